@@ -10,6 +10,7 @@ from importlib import import_module
 
 MODULES = (
     "lz_fingerprint",
+    "html_extract",
 )
 
 
