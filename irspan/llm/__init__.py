@@ -11,6 +11,7 @@ from importlib import import_module
 MODULES = (
     "lz_fingerprint",
     "html_extract",
+    "byte_bpe",
 )
 
 
