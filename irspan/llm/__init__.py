@@ -12,6 +12,7 @@ MODULES = (
     "lz_fingerprint",
     "html_extract",
     "byte_bpe",
+    "language_id",
 )
 
 

@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, text_column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with about ``limit`` bytes of text each; a longer text stands alone."""
-    lengths = pa.compute.binary_length(batch.column(text_column)).to_pylist()
+    lengths = pc.binary_length(batch.column(text_column)).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         n = n or 0
