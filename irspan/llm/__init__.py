@@ -13,6 +13,7 @@ MODULES = (
     "html_extract",
     "byte_bpe",
     "language_id",
+    "line_quality",
 )
 
 
