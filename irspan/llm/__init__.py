@@ -14,6 +14,7 @@ MODULES = (
     "byte_bpe",
     "language_id",
     "line_quality",
+    "knn_quality",
 )
 
 
