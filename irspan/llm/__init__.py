@@ -12,6 +12,7 @@ MODULES = (
     "lz_fingerprint",
     "html_extract",
     "byte_bpe",
+    "simhash_dedup",
     "language_id",
     "line_quality",
     "knn_quality",
