@@ -15,6 +15,7 @@ MODULES = (
     "simhash_dedup",
     "language_id",
     "line_quality",
+    "warc",
     "knn_quality",
 )
 

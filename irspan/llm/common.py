@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """URI of a new folder for files that all executors and the driver see."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="irspan-")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by files in the shared folder of ``spark.checkpoint.dir``.
 
