@@ -15,6 +15,7 @@ MODULES = (
     "simhash_dedup",
     "language_id",
     "line_quality",
+    "pattern_packing",
     "warc",
     "knn_quality",
 )
