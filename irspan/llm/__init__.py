@@ -16,6 +16,7 @@ MODULES = (
     "language_id",
     "line_quality",
     "pattern_packing",
+    "suffix_dedup",
     "warc",
     "knn_quality",
 )

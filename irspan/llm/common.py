@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +45,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished work that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, text_column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with about ``limit`` bytes of text each; a longer text stands alone."""
     lengths = pc.binary_length(batch.column(text_column)).to_pylist()
@@ -73,6 +80,19 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def filter_arrow(df: DataFrame, accept: Callable[[list], list], text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text ``accept`` (a list of texts to truth values) wants; no shuffle."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(accept(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc32_of(column: str) -> Column:
     """crc32 of the decimal text of an integer column; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

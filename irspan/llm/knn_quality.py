@@ -151,6 +151,14 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: tupl
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "score")
 
 
+def accepted(docs: DataFrame, model: Model, text_column: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` with at least that score; all of them where nothing was learned."""
+    if not len(model.labels):
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return common.filter_arrow(docs, lambda texts: (held.value.score(texts) >= least).tolist(), text_column)
+
+
 #: Documents whose crc32 leaves this remainder by FOLDS are held out.
 FOLDS, HELD_OUT = 3, 1
 

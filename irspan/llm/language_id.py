@@ -224,6 +224,21 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: tupl
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "coverage")
 
 
+#: A text of whose n-grams fewer belong to its language is in none of those learned.
+LEAST_COVERAGE = 0.2
+
+
+def accepted(docs: DataFrame, model: Model, text_column: str = "text", least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """Rows of ``docs`` whose text is in a learned language."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accept(texts: list) -> list:
+        names, _, covers = held.value.predict(texts)
+        return [n != UNDETERMINED and c >= least_coverage for n, c in zip(names, covers, strict=True)]
+
+    return common.filter_arrow(docs, accept, text_column)
+
+
 #: Documents whose crc32 leaves this remainder by FOLDS are held out.
 FOLDS, HELD_OUT = 5, 0
 

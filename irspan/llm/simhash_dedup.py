@@ -196,6 +196,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(moved, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: that with the least id.  Rows without an id stay, and
+    of rows that repeat an id in a group one stays."""
+    found = common.checkpointed(near_duplicates(docs, id_column, text_column))
+    stay = found.where(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count("*").alias("rows"))
+    kept = docs.join(stay.select(id_column), id_column, "left_semi").select(docs.columns)
+    if stay.where("rows > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_column])
+    return kept.unionByName(docs.where(F.col(id_column).isNull()))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
