@@ -12,9 +12,10 @@ strings of :data:`MATCH` bytes meet:
 2. Contexts of an anchor that are equal have the same strings, so all but the first are repeats
    throughout.  The first of each is looked at again only if its anchor has different contexts (at
    the ends of a passage, around an edit).
-3. The strings of those contexts are put in suffix order, block by block; in it each string's
-   previous smaller position with a common prefix of that length is its earlier match.  The first of
-   each class in a block meets those of other blocks by a digest of the string.
+3. The contexts of an anchor meet, and their strings are put in suffix order; in it each string's
+   previous smaller position with a common prefix of that length is its earlier match.  An anchor with
+   more than :data:`MOST_CONTEXTS` contexts is dealt out by strings: those of a block of texts are put
+   in suffix order there, and the first of each class meets those of other blocks by its digest.
 
 Hot passages are reduced to their first copy in each block of rows before they are moved, and all
 groups are read as sorted streams, never gathered.
@@ -43,6 +44,8 @@ _WINDOW = MATCH - GRAM + 1
 CHUNK = 2 << 20
 #: Anchors, and strings, that a task holds to reduce before it sends them on.
 HELD_ROWS, HELD_STRINGS = 400_000, 60_000
+#: Contexts of an anchor that meet in one place.
+MOST_CONTEXTS = 1000
 
 _BASE = 0x9E3779B97F4A7C15
 _NO_ID = (1 << 63) - 1
@@ -170,11 +173,12 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key, context, id_, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         later = _later((context, key), id_, place)
-        at, far, near = (place >> 14) & 0xFFFFFFFF, (place >> 7) & 127, place & 127
-        context = np.where(later, ((at - far) << 32) | (at - near + MATCH), context)
-        # Repeats go where their document's hash sends them.
-        spread = (_mix(id_.view(_U) + _U(1)) >> _U(1)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(later, -1 - spread, key), context, id_, place)], ["key", "context", "id", "place"])
+        i, tie, begin, end, _, _ = _ranges(id_[later], place[later], key[later])
+        i, tie, begin, end = _merged(i, tie, begin, end)
+        # Ranges go where their document's hash sends them.
+        spread = (_mix(i.view(_U) + _U(1)) >> _U(1)).view(np.int64)
+        columns = zip((key[~later], context[~later], id_[~later], place[~later]), (-1 - spread, (begin << 32) | end, i, tie << 46), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["key", "context", "id", "place"])
 
     for batch in batches:
         ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
@@ -204,6 +208,16 @@ def _ranges(id_: np.ndarray, place: np.ndarray, key: np.ndarray) -> list[np.ndar
     return [id_, place >> 46, at - ((place >> 7) & 127), at - (place & 127) + MATCH, at, key]
 
 
+def _merged(id_: np.ndarray, tie: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Ranges of equal length or in one pass over a text, those that touch put together."""
+    if not len(id_):
+        return [id_, tie, begin, end]
+    order = np.lexsort((begin, tie, id_))
+    id_, tie, begin, end = id_[order], tie[order], begin[order], end[order]
+    new = np.flatnonzero(np.concatenate(([True], (id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]) | (begin[1:] > end[:-1]))))
+    return [id_[new], tie[new], begin[new], np.maximum.reduceat(end, new)]
+
+
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in the order of key, context, id, place: ranges of repeats (key -1), and those first
     contexts whose anchors have several (with their key)."""
@@ -257,70 +271,121 @@ def previous_match(strings: np.ndarray, id_: np.ndarray, place: np.ndarray) -> n
     return out
 
 
-def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows digest, key, id, place (tie and start) of the strings of contexts: those that are the first
-    in this block.  Repeats within it have the digest of none (key -1)."""
-    held: list[tuple] = []
-    size = 0
+_MET = "route long, key long, id long, place long, body binary"
+_MET_NAMES = ["route", "key", "id", "place", "body"]
 
-    def give() -> pa.RecordBatch:
-        strings, digest, key, id_, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.lexsort((place, id_))
-        again = np.zeros(len(order), bool)
-        again[order] = previous_match(strings[order], id_[order], place[order])
-        key = np.where(again, -1, key)
-        digest = np.where(again, _mix(id_.view(_U)).view(np.int64), digest)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (digest, key, id_, place)], ["digest", "key", "id", "place"])
 
-    for batch in batches:
-        for row_id, tie, text, begin, end, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            begin, end, key = np.array(begin, np.int64), np.array(end, np.int64), np.array(key, np.int64)
-            data = np.frombuffer(text, np.uint8)
-            counts = end - begin - MATCH + 1
-            p = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - begin, counts)
-            view = np.lib.stride_tricks.sliding_window_view(data, MATCH)
-            for at in range(0, len(p), HELD_STRINGS):
-                some = p[at : at + HELD_STRINGS]
-                rows = np.ascontiguousarray(view[some])
-                words = np.zeros((len(some), 13), _U)
-                words.view(np.uint8)[:, :MATCH] = rows
-                digest = np.zeros(len(some), _U)
-                for j in range(13):
-                    digest = _mix(digest * _U(31) + words[:, j] + _U(_BASE + j & 0xFFFFFFFF))
-                held.append((rows.view(f"S{MATCH}").ravel(), digest.view(np.int64), np.repeat(key, counts)[at : at + HELD_STRINGS], np.full(len(some), row_id if row_id is not None else _NO_ID), (tie << 46) | (some << 14)))
-                size += len(some)
-                if size >= HELD_STRINGS:
-                    yield give()
-                    size = 0
-    if held:
-        yield give()
+def _strings(bodies: list[bytes], id_: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All strings in contexts: the strings, their ids and places, and which context each is in."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    counts = lengths - MATCH + 1
+    which = np.repeat(np.arange(len(bodies)), counts)
+    within = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.lib.stride_tricks.sliding_window_view(data, MATCH)[within + np.repeat(np.cumsum(lengths) - lengths, counts)]
+    return np.ascontiguousarray(rows).view(f"S{MATCH}").ravel(), id_[which], place[which] + (within << 14), which
+
+
+def _digests(strings: np.ndarray) -> np.ndarray:
+    words = np.zeros((len(strings), 13), _U)
+    words.view(np.uint8)[:, :MATCH] = strings.view(np.uint8).reshape(-1, MATCH)
+    out = np.zeros(len(strings), _U)
+    for j in range(13):
+        out = _mix(out * _U(31) + words[:, j] + _U(_BASE + j))
+    return out.view(np.int64)
+
 
+def _repeated(strings: np.ndarray, id_: np.ndarray, place: np.ndarray) -> np.ndarray:
+    order = np.lexsort((place, id_))
+    out = np.zeros(len(order), bool)
+    out[order] = previous_match(strings[order], id_[order], place[order])
+    return out
+
+
+def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows route, key, id, place (tie and start) and body: contexts, which meet by their key, and of
+    hot anchors the strings that are the first in this block, which meet by their digest.  Repeats
+    among these have the key -1."""
+    cold: list[tuple] = []
+    hot: list[tuple] = []
+    sizes = [0, 0]
+
+    def give_cold() -> pa.RecordBatch:
+        key, id_, place, body = zip(*cold, strict=True)
+        cold.clear()
+        sizes[0] = 0
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(key, pa.int64()), pa.array(id_, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], _MET_NAMES)
+
+    def give_hot() -> pa.RecordBatch:
+        keys, ids, places, bodies = zip(*hot, strict=True)
+        hot.clear()
+        sizes[1] = 0
+        strings, id_, place, which = _strings(list(bodies), np.array(ids, np.int64), np.array(places, np.int64))
+        again = _repeated(strings, id_, place)
+        key = np.where(again, -1, np.array(keys, np.int64)[which])
+        route = np.where(again, _mix(id_.view(_U)).view(np.int64), _digests(strings))
+        return pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.array(id_), pa.array(place), pa.nulls(len(id_), pa.binary())], _MET_NAMES)
 
-def _sort_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of digest, key, id, place: ranges of all but the first of a class."""
+    for batch in batches:
+        for row_id, tie, text, contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for c in contexts:
+                row = (c["key"], row_id, (tie << 46) | (c["begin"] << 14), text[c["begin"] : c["end"]])
+                (hot if c["hot"] else cold).append(row)
+                sizes[bool(c["hot"])] += c["end"] - c["begin"] - MATCH + 1
+                if sizes[0] >= 4 * HELD_STRINGS:
+                    yield give_cold()
+                if sizes[1] >= HELD_STRINGS:
+                    yield give_hot()
+    if cold:
+        yield give_cold()
+    if hot:
+        yield give_hot()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of route, key, id, place: ranges of all strings but the first of a class."""
     last = first = None
+    held: list[tuple] = []  # contexts of whole anchors, and of one that may go on
+    size = 0
+
+    def ranges(id_: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        p = (place >> 14) & 0xFFFFFFFF
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(id_, place >> 46, p, p + MATCH)], ["id", "tie", "begin", "end"])
+
+    def match(rows: list[tuple]) -> pa.RecordBatch:
+        _, ids, places, bodies = zip(*rows, strict=True)
+        strings, id_, place, _ = _strings(list(bodies), np.array(ids, np.int64), np.array(places, np.int64))
+        again = _repeated(strings, id_, place)
+        return ranges(id_[again], place[again])
+
     for batch in batches:
-        digest, key, id_, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        ready = key < 0
-        d, k, i, p = digest[~ready], key[~ready], id_[~ready], place[~ready]
-        again = ready.copy()
+        route, key, id_, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+        whole = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        for row in zip(key[whole].tolist(), id_[whole].tolist(), place[whole].tolist(), batch.column(4).filter(pa.array(whole)).to_pylist(), strict=True):
+            if size >= HELD_STRINGS and row[0] != held[-1][0]:
+                out = match(held)
+                if out.num_rows:
+                    yield out
+                held, size = [], 0
+            held.append(row)
+            size += len(row[3]) - MATCH + 1
+        alone = ~whole
+        route, key, id_, place = route[alone], key[alone], id_[alone], place[alone]
+        again = key < 0
+        d, k, i, p = route[~again], key[~again], id_[~again], place[~again]
         if len(d):
             new = np.concatenate(([(d[0], k[0]) != last], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
-            again[~ready] = _repeats(new, i, p, first)
+            again[~again] = _repeats(new, i, p, first)
             if new.any():
                 at = int(np.flatnonzero(new)[-1])
                 first = (i[at], p[at])
             last = (d[-1], k[-1])
         if again.any():
-            i, t, p = id_[again], place[again] >> 46, (place[again] >> 14) & 0xFFFFFFFF
-            # Starts next to each other in one text, as far as they come in a row here, are one range.
-            order = np.lexsort((p, t, i))
-            i, t, p = i[order], t[order], p[order]
-            new = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (p[1:] - p[:-1] > MATCH))))
-            ends = p[np.concatenate((new[1:] - 1, [len(p) - 1]))] + MATCH
-            zero = np.zeros(len(new), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i[new], t[new], p[new], ends, zero, zero - 1)], _RANGE_NAMES)
+            yield ranges(id_[again], place[again])
+    if held:
+        out = match(held)
+        if out.num_rows:
+            yield out
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -335,15 +400,17 @@ def removed_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
     common.small_batches(spark)
     rows = _keyed(docs, id_column, text_column)
     width = common.shuffle_width(spark)
-    order = ("key", "context", "id", "place")
     found = rows.mapInArrow(_find_anchors, "key long, context long, id long, place long")
-    found = common.checkpointed(found.repartition(width, "key").sortWithinPartitions(*order).mapInArrow(_sort_contexts, _RANGE))
+    found = found.repartition(width, "key").sortWithinPartitions("key", "context", "id", "place").mapInArrow(_sort_contexts, _RANGE)
+    found = common.written(found, "repeats")
     common.release(spark)
-    open_ = found.where("key >= 0").groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "end", "key")).alias("c"))  # of one text
-    texts = rows.join(open_.hint("shuffle_hash"), ["id", "tie"])
-    strings = texts.select("id", "tie", "text", "c.begin", "c.end", "c.key").mapInArrow(_find_strings, "digest long, key long, id long, place long")
-    strings = strings.repartition(width, "digest").sortWithinPartitions("digest", "key", "id", "place").mapInArrow(_sort_strings, _RANGE)
-    more = common.checkpointed(strings.select("id", "tie", "begin", "end"))
+    contexts = found.where("key >= 0").select("id", "tie", "begin", "end", "key")
+    hot = contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CONTEXTS).select("key", F.lit(True).alias("hot"))
+    entry = F.struct("begin", "end", "key", F.coalesce("hot", F.lit(False)).alias("hot"))
+    lists = contexts.join(hot, "key", "left").groupBy("id", "tie").agg(F.collect_list(entry).alias("contexts"))  # of one text
+    met = rows.join(lists.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "contexts").mapInArrow(_find_contexts, _MET)
+    met = met.repartition(width, "route").sortWithinPartitions("route", "key", "id", "place").mapInArrow(_meet, "id long, tie long, begin long, end long")
+    more = common.written(met, "repeats")
     common.release(spark)
     return found.where("key < 0").select("id", "tie", "begin", "end").unionByName(more)
 
@@ -370,7 +437,7 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _with_ranges(docs: DataFrame, id_column: str, text_column: str, keep: list) -> DataFrame:
     ranges = removed_ranges(docs, id_column, text_column)
-    lists = ranges.groupBy("id", "tie").agg(F.collect_set(F.shiftleft("begin", 32).bitwiseOR(F.col("end"))).alias("ranges"))  # of one text
+    lists = ranges.groupBy("id", "tie").agg(F.collect_list(F.shiftleft("begin", 32).bitwiseOR(F.col("end"))).alias("ranges"))  # of one text
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("tie"), text.alias("text"), *keep)
     return rows.join(lists.hint("shuffle_hash"), ["id", "tie"], "left").drop("tie")
