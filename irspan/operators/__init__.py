@@ -1,0 +1 @@
+"""Retrieval, evaluation and comparison operators."""

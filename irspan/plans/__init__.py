@@ -1,0 +1 @@
+"""What callers run: the service, the command line, figures."""

@@ -1,9 +1,778 @@
-"""Registered retrieval queries and their SQL."""
+"""Registered retrieval queries, each over whole tables, with the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from irspan.functions import text as T
+from irspan.operators import agreement, combine, expansion, metrics, significance, sweeps, vectors
+from irspan.operators.bm25 import BM25Retriever, LexicalIndex, MultiFieldBM25Retriever, query_terms
+from irspan.operators.ranking import top_k
+from irspan.operators.rm3 import RM3Retriever
+from irspan.plans.service import describe_benchmark
+from irspan.sources import datasets
+from irspan.sources import fixtures as X
+
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+
+STOP = "('" + "','".join(T.STOPWORDS) + "')"
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    """Register a query, with its SQL where there is one; ``{x}`` places are filled by the caller."""
+
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _ORACLES[key] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)
+
+
+def _with(*ctes: str, select: str) -> str:
+    return "WITH " + ",\n".join([X.SQL.strip(), *ctes]) + "\n" + select
+
+
+def _ints(df: DataFrame) -> DataFrame:
+    """Integers as bigint, doubles to six decimals: what both engines compare."""
+    kinds = dict(df.dtypes)
+    return df.select(*(F.col(c).cast("bigint").alias(c) if kinds[c] in ("int", "smallint", "tinyint") else F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns))
+
+
+# ---- SQL of the lexical index and of scoring ------------------------------------------------------
+
+
+def _lex(stop: bool = True) -> str:
+    where = f"WHERE term NOT IN {STOP}" if stop else ""
+    return f"""t AS (SELECT doc_id, term FROM tok {where}),
+dl AS (SELECT c.doc_id, count(t.term) AS dl FROM corpus c LEFT JOIN t USING (doc_id) GROUP BY 1),
+fs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+idf AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), fs),
+qt AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM qtok {where} GROUP BY ALL)"""
+
+
+def _scored(name: str, k1: float = 0.9, b: float = 0.4, terms: str = "qt", k: int = 10) -> str:
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(weight * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) AS score
+  FROM {terms} JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), fs GROUP BY ALL) WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+_FIELDS = f"""ft AS (SELECT 'title' AS field, doc_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS term FROM corpus
+  UNION ALL SELECT 'text', doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM corpus),
+fk AS (SELECT * FROM ft WHERE term NOT IN {STOP}),
+fdl AS (SELECT f.field, c.doc_id, count(k.term) AS dl FROM corpus c CROSS JOIN (VALUES ('title'), ('text')) f(field) LEFT JOIN fk k ON k.doc_id = c.doc_id AND k.field = f.field GROUP BY ALL),
+ffs AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM fdl GROUP BY 1),
+ftf AS (SELECT field, doc_id, term, count(*) AS tf FROM fk GROUP BY ALL),
+fidf AS (SELECT field, term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT field, term, count(*) AS df FROM ftf GROUP BY ALL) JOIN ffs USING (field)),
+fqt AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM qtok WHERE term NOT IN {STOP} GROUP BY ALL)"""
+
+
+def _field_scored(name: str, title: float = 1, text: float = 1, terms: str = "fqt", k: int = 10) -> str:
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(CASE field WHEN 'title' THEN {title} ELSE {text} END * weight * idf * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / avgdl))), 6) AS score
+  FROM {terms} JOIN ftf USING (term) JOIN fidf USING (field, term) JOIN fdl USING (field, doc_id) JOIN ffs USING (field) GROUP BY ALL) WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+_RUN = "SELECT query_id, doc_id, score, rank FROM "
+_VECTOR_RUN = """vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(list_cosine_similarity(vq.v, vc.v), 6) AS score FROM vq, vc) QUALIFY rank <= 10)"""
+
+
+def _bm25(spark, sf_dir, k1=0.9, b=0.4, tokenizer=T.NO_STEM) -> BM25Retriever:
+    return BM25Retriever(k1, b, tokenizer).index(X.single(spark, sf_dir))
+
+
+def _run(spark, sf_dir, k=10, **kw) -> DataFrame:
+    return _bm25(spark, sf_dir, **kw).retrieve(X.queries(spark, sf_dir), k)
+
+
+def _dense_run(spark, sf_dir, k=10) -> DataFrame:
+    return vectors.dense_retrieve(X.vec_queries(spark, sf_dir), X.vec_corpus(spark, sf_dir), k)
+
+
+# ---- text and index -------------------------------------------------------------------------------
+
+
+@_query(_with(select="SELECT doc_id, term, count(*) AS n FROM tok GROUP BY ALL"))
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, without stop words or stems taken out."""
+    return X.single(spark, sf_dir).select("doc_id", F.explode(T.PLAIN(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@_query(_with(_lex(), select="SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL"))
+def tokenize_stopped(spark, sf_dir):
+    return X.single(spark, sf_dir).select("doc_id", F.explode(T.NO_STEM(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@_query(_with(select="SELECT query_id, term, count(*) AS n FROM qtok WHERE length(term) >= 4 GROUP BY ALL"))
+def min_length_terms(spark, sf_dir):
+    return X.queries(spark, sf_dir).select("query_id", F.explode(T.Tokenizer(None, False, 4)(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+
+
+@_query(_with(select="SELECT doc_id, trim(title || ' ' || text) AS document FROM corpus"))
+def document_texts(spark, sf_dir):
+    return X.corpus(spark, sf_dir).select("doc_id", T.document_text(F.col("title"), F.col("text")).alias("document"))
+
+
+@_query(_with(_lex(), select="SELECT doc_id, dl FROM dl"))
+def doc_lengths(spark, sf_dir):
+    return _bm25(spark, sf_dir).indexed.tokens.select("doc_id", F.col("dl").cast("bigint").alias("dl"))
+
+
+@_query(_with(_lex(), select="SELECT term, df, round(idf, 6) AS idf FROM idf"))
+def term_stats_idf(spark, sf_dir):
+    return _bm25(spark, sf_dir).indexed.term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@_query(_with(_FIELDS, select="SELECT field, n, round(avgdl, 6) AS avgdl FROM ffs"))
+def field_stats(spark, sf_dir):
+    return _ints(LexicalIndex.build(X.corpus(spark, sf_dir), T.NO_STEM, ("title", "text")).field_stats())
+
+
+# ---- BM25 -----------------------------------------------------------------------------------------
+
+
+@_query(_with(_lex(), _scored("r"), select=_RUN + "r"))
+def bm25_top10(spark, sf_dir):
+    """The ten best documents of every query."""
+    return _ints(_run(spark, sf_dir))
+
+
+@_query(_with(_lex(), _scored("r", 1.2, 0.75), select=_RUN + "r"))
+def bm25_k12_b75(spark, sf_dir):
+    return _ints(_run(spark, sf_dir, k1=1.2, b=0.75))
+
+
+@_query(_with(_lex(), _scored("r", 1.5, 0), select=_RUN + "r"))
+def bm25_b0(spark, sf_dir):
+    return _ints(_bm25(spark, sf_dir).with_parameters(1.5, 0).retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query(_with(_lex(False), _scored("r"), select=_RUN + "r"))
+def bm25_no_stopwords(spark, sf_dir):
+    return _ints(_run(spark, sf_dir, tokenizer=T.PLAIN))
+
+
+@_query(_with(_lex(), "wt AS (SELECT query_id, term, weight / length(term) AS weight FROM qt)", _scored("r", terms="wt"), select=_RUN + "r"))
+def bm25_weighted_terms(spark, sf_dir):
+    terms = query_terms(X.queries(spark, sf_dir), T.NO_STEM).withColumn("weight", F.col("weight") / F.length("term"))
+    return _ints(top_k(_bm25(spark, sf_dir).score_weighted_terms(terms), 10))
+
+
+@_query(_with(_FIELDS, _field_scored("r"), select=_RUN + "r"))
+def bm25_multifield(spark, sf_dir):
+    return _ints(MultiFieldBM25Retriever(tokenizer=T.NO_STEM).index(X.corpus(spark, sf_dir)).retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query(_with(_FIELDS, _field_scored("r", 3, 0.5), select=_RUN + "r"))
+def bm25_field_weights(spark, sf_dir):
+    return _ints(MultiFieldBM25Retriever(weights=(3.0, 0.5), tokenizer=T.NO_STEM).index(X.corpus(spark, sf_dir)).retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query()
+def bm25_stemmed(spark, sf_dir):
+    """BM25 over stems; SQL has no stemmer."""
+    return _ints(_run(spark, sf_dir, tokenizer=T.Tokenizer()))
+
+
+@_query(_with(_lex(), select="""SELECT q.query_id, coalesce(round(max(idf), 6), 0) AS max_idf, coalesce(round(avg(idf), 6), 0) AS mean_idf, count(s.term) AS num_terms, count(idf) AS num_in_vocabulary,
+  CASE WHEN count(s.term) = 0 THEN 0 ELSE round((count(s.term) - count(idf)) / count(s.term), 6) END::DOUBLE AS out_of_vocabulary_rate
+FROM queries q LEFT JOIN (SELECT * FROM qtok WHERE term NOT IN """ + STOP + """) s USING (query_id) LEFT JOIN idf USING (term) GROUP BY 1"""))
+def query_statistics(spark, sf_dir):
+    return _ints(_bm25(spark, sf_dir).query_statistics(X.queries(spark, sf_dir)))
+
+
+# ---- measures -------------------------------------------------------------------------------------
+
+
+
+
+def _dcg(gains: str, ks: tuple = (10, 100)) -> str:
+    """Values by query of the run r, as long rows in pq."""
+    g = {"exponential": "(pow(2, grade) - 1)", "linear": "grade::DOUBLE"}
+    parts = []
+    for kind in gains.split():
+        for k in ks:
+            parts.append(f"""SELECT query_id, '{kind}' AS gain, 'ndcg@{k}' AS metric, coalesce(d / nullif(i, 0), 0) AS value FROM jq LEFT JOIN (
+  SELECT query_id, sum({g[kind]} / log2(rank + 1)) AS d FROM hits WHERE rank <= {k} GROUP BY 1) USING (query_id) LEFT JOIN (
+  SELECT query_id, sum({g[kind]} / log2(nth + 1)) AS i FROM ideal WHERE nth <= {k} GROUP BY 1) USING (query_id)""")
+            parts.append(f"""SELECT query_id, '{kind}' AS gain, 'recall@{k}' AS metric, coalesce(f / nullif(m, 0), 0)::DOUBLE AS value FROM jq LEFT JOIN (
+  SELECT query_id, count(*) AS f FROM hits WHERE rank <= {k} GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS m FROM ideal GROUP BY 1) USING (query_id)""")
+    return """jq AS (SELECT DISTINCT query_id FROM qrels),
+ideal AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS nth FROM qrels WHERE grade > 0),
+hits AS (SELECT query_id, rank, grade FROM r JOIN qrels USING (query_id, doc_id) WHERE grade > 0),
+pq AS (""" + "\nUNION ALL ".join(parts) + ")"
+
+
+_EVALUATED = (_lex(), _scored("r", k=100), _dcg("exponential linear"))
+_BOTH = ("exponential", "linear")
+
+
+def _per_query(spark, sf_dir) -> DataFrame:
+    return metrics.evaluate_per_query(_run(spark, sf_dir, 100), X.qrels(spark, sf_dir), (10, 100), _BOTH)
+
+
+@_query(_with(select="SELECT count(*) AS judgements, count(*) FILTER (WHERE grade > 0) AS relevant, count(DISTINCT query_id) AS queries, string_agg(DISTINCT grade::VARCHAR, ',' ORDER BY grade::VARCHAR) AS levels, count(DISTINCT grade) FILTER (WHERE grade > 0) > 1 AS graded FROM qrels"))
+def qrels_profile(spark, sf_dir):
+    return metrics.qrels_profile(X.qrels(spark, sf_dir)).withColumn("levels", F.array_join(F.array_sort(F.transform("levels", lambda x: x.cast("string"))), ","))
+
+
+@_query(_with(_lex(), _scored("r", k=100), _dcg("exponential"), select="SELECT query_id, round(value, 6) AS value FROM pq WHERE metric = 'ndcg@10'"))
+def ndcg_exp(spark, sf_dir):
+    rows = metrics.evaluate_per_query(_run(spark, sf_dir, 100), X.qrels(spark, sf_dir))
+    return _ints(rows.where("metric = 'ndcg@10'").select("query_id", "value"))
+
+
+@_query(_with(*_EVALUATED, select="SELECT query_id, round(value, 6) AS value FROM pq WHERE metric = 'ndcg@10' AND gain = 'linear'"))
+def ndcg_linear(spark, sf_dir):
+    return _ints(_per_query(spark, sf_dir).where("metric = 'ndcg@10' and gain = 'linear'").select("query_id", "value"))
+
+
+@_query(_with(*_EVALUATED, select="SELECT query_id, round(value, 6) AS value FROM pq WHERE metric = 'recall@100' AND gain = 'exponential'"))
+def recall_at_k(spark, sf_dir):
+    return _ints(_per_query(spark, sf_dir).where("metric = 'recall@100' and gain = 'exponential'").select("query_id", "value"))
+
+
+@_query(_with(*_EVALUATED, select="SELECT query_id, gain, metric, round(value, 6) AS value FROM pq"))
+def per_query_long(spark, sf_dir):
+    return _ints(_per_query(spark, sf_dir))
+
+
+@_query(_with(*_EVALUATED, select="SELECT gain, metric, round(avg(value), 6) AS value, count(*) AS num_queries FROM pq GROUP BY ALL"))
+def macro_mean(spark, sf_dir):
+    return _ints(metrics.macro_mean(_per_query(spark, sf_dir)))
+
+
+@_query(_with(*_EVALUATED, select="""SELECT metric, round(avg(value) FILTER (WHERE gain = 'exponential'), 6) AS exponential, round(avg(value) FILTER (WHERE gain = 'linear'), 6) AS linear,
+  round(avg(value) FILTER (WHERE gain = 'exponential') - avg(value) FILTER (WHERE gain = 'linear'), 6) AS difference FROM pq GROUP BY 1"""))
+def gain_difference(spark, sf_dir):
+    return _ints(metrics.gain_difference(_per_query(spark, sf_dir)))
+
+
+@_query(_with(select="SELECT round(avg(least(10, n) / n), 6) AS oracle_recall FROM (SELECT query_id, count(*) AS n FROM qrels WHERE grade > 0 GROUP BY 1)"))
+def oracle_recall(spark, sf_dir):
+    return _ints(metrics.oracle_recall(X.qrels(spark, sf_dir), 10))
+
+
+@_query(_with(*_EVALUATED, select="""SELECT dataset, round(value, 6) AS value, published, round(value - published, 6) AS delta, abs(value - published) <= 0.03 AS within
+FROM (SELECT avg(value) AS value FROM pq WHERE metric = 'ndcg@10' AND gain = 'exponential'), (VALUES ('scifact', 0.665), ('nfcorpus', 0.325), ('scidocs', 0.158), ('trec-covid', 0.656)) p(dataset, published)""").replace("published, round(value", "published::DOUBLE AS published, round(value"))
+def baseline_delta(spark, sf_dir):
+    value = metrics.macro_mean(_per_query(spark, sf_dir)).where("metric = 'ndcg@10' and gain = 'exponential'").select("value")
+    names = spark.createDataFrame([(n,) for n in metrics.PUBLISHED_NDCG_10], "dataset string")
+    return _ints(metrics.baseline_verdict(names.crossJoin(F.broadcast(value))))
+
+
+# ---- feedback -------------------------------------------------------------------------------------
+
+_FEEDBACK = """w AS (SELECT query_id, doc_id, score / sum(score) OVER (PARTITION BY query_id) AS share FROM fb),
+rm AS (SELECT query_id, term, round(sum(share * tf / dl), 10) AS weight FROM w JOIN tf USING (doc_id) JOIN dl USING (doc_id) GROUP BY ALL),
+best AS (SELECT * FROM rm WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) <= 10),
+model AS (SELECT query_id, term, weight / sum(weight) OVER (PARTITION BY query_id) AS weight FROM best),
+mixed AS (SELECT query_id, term, sum(weight) AS weight FROM (
+  SELECT query_id, term, (CASE WHEN query_id IN (SELECT query_id FROM model) THEN 0.5 ELSE 1 END) * weight / sum(weight) OVER (PARTITION BY query_id) AS weight FROM qt
+  UNION ALL SELECT query_id, term, 0.5 * weight FROM model) GROUP BY ALL)"""
+_RM3 = (_lex(), _scored("fb"), _FEEDBACK)
+
+
+def _rm3(spark, sf_dir, **kw) -> RM3Retriever:
+    return RM3Retriever(tokenizer=T.NO_STEM, **kw).index(X.corpus(spark, sf_dir) if kw.get("multi_field") else X.single(spark, sf_dir))
+
+
+@_query(_with(*_RM3, select="SELECT query_id, term, round(weight, 6) AS weight FROM model"))
+def rm3_relevance_model(spark, sf_dir):
+    r = _rm3(spark, sf_dir)
+    return _ints(r.relevance_model(r.scorer.retrieve(X.queries(spark, sf_dir), r.fb_docs)))
+
+
+@_query(_with(*_RM3, select="SELECT query_id, term, round(weight, 6) AS weight FROM mixed"))
+def rm3_expanded_query(spark, sf_dir):
+    return _ints(_rm3(spark, sf_dir).expanded_queries(X.queries(spark, sf_dir)))
+
+
+@_query(_with(*_RM3, _scored("r", terms="mixed"), select=_RUN + "r"))
+def rm3_top10(spark, sf_dir):
+    return _ints(_rm3(spark, sf_dir).retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query(_with(_lex(), _FIELDS, _field_scored("fb"), _FEEDBACK, _field_scored("r", terms="mixed"), select=_RUN + "r"))
+def rm3_multifield(spark, sf_dir):
+    return _ints(_rm3(spark, sf_dir, multi_field=True).retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query(_with(_lex(), "own AS (SELECT query_id, term, weight / sum(weight) OVER (PARTITION BY query_id) AS weight FROM qt)", _scored("r", terms="own"), select=_RUN + "r"))
+def rm3_alpha0(spark, sf_dir):
+    return _ints(_rm3(spark, sf_dir).with_parameters(alpha=0.0).retrieve(X.queries(spark, sf_dir), 10))
+
+
+# ---- vectors --------------------------------------------------------------------------------------
+
+
+@_query(_with(_VECTOR_RUN, select=_RUN + "vr"))
+def dense_cosine_top10(spark, sf_dir):
+    return _ints(_dense_run(spark, sf_dir))
+
+
+@_query(_with(select="""SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, max(round(list_cosine_similarity(vq.v, vg.v), 6)) AS score FROM vq, vg GROUP BY ALL) QUALIFY rank <= 10"""))
+def dense_maxp(spark, sf_dir):
+    """Documents of four chunks each, scored by the best one."""
+    return _ints(vectors.dense_retrieve(X.vec_queries(spark, sf_dir), X.vec_groups(spark, sf_dir), 10))
+
+
+@_query(_with(_VECTOR_RUN, select="SELECT query_id, count(*) FILTER (WHERE vq.label = vc.label) AS relevant FROM vr JOIN vq USING (query_id) JOIN vc USING (doc_id) GROUP BY 1"))
+def dense_relevant(spark, sf_dir):
+    rows = _dense_run(spark, sf_dir).join(X.vec_queries(spark, sf_dir).select("query_id", F.col("label").alias("q")), "query_id").join(X.vec_corpus(spark, sf_dir).select("doc_id", "label"), "doc_id")
+    return rows.groupBy("query_id").agg(F.count_if(F.col("q") == F.col("label")).alias("relevant"))
+
+
+def _windows(size: int, stride: int) -> str:
+    return _with(f"w AS (SELECT query_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM queries)", select=f"""SELECT query_id, i AS chunk_no, array_to_string(w[i * {stride} + 1 : i * {stride} + {size}], ' ') AS chunk
+FROM (SELECT query_id, w, unnest(range(0, CASE WHEN len(w) <= {size} THEN 1 ELSE (len(w) - 1) // {stride} + 1 END)) AS i FROM w)""")
+
+
+@_query(_windows(12, 12))
+def chunk_windows(spark, sf_dir):
+    return _ints(X.queries(spark, sf_dir).select("query_id", F.posexplode(T.chunks(F.col("text"), 12)).alias("chunk_no", "chunk")))
+
+
+@_query(_windows(10, 6))
+def chunk_overlap(spark, sf_dir):
+    return _ints(X.queries(spark, sf_dir).select("query_id", F.posexplode(T.chunks(F.col("text"), 10, 4)).alias("chunk_no", "chunk")))
+
+
+@_query(_with(select="SELECT round(avg(CASE WHEN n + 1 > 256 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT doc_id, len(regexp_extract_all(lower(whole), '[a-z0-9]+')) AS n FROM corpus)"))
+def truncation_rate(spark, sf_dir):
+    return _ints(X.single(spark, sf_dir).agg(T.truncation_rate(T.PLAIN(F.col("text")), 256).alias("rate")))
+
+
+_SPARSE = """sd AS (SELECT doc_id, i - 1 AS term_id, round(max(ln(1 + greatest(x, 0))), 6) AS weight FROM (SELECT doc_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vg) GROUP BY ALL HAVING weight > 0),
+sq AS (SELECT query_id, i - 1 AS term_id, round(max(ln(1 + greatest(x, 0))), 6) AS weight FROM (SELECT query_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vqg) GROUP BY ALL HAVING weight > 0)"""
+
+
+@_query(_with(_SPARSE, select="SELECT doc_id, term_id, weight FROM sd"))
+def sparse_encode(spark, sf_dir):
+    return _ints(vectors.sparse_encode(X.vec_groups(spark, sf_dir)))
+
+
+@_query(_with(_SPARSE, select="SELECT doc_id, term_id, weight FROM sd QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term_id) <= 8"))
+def sparse_top_terms(spark, sf_dir):
+    return _ints(vectors.sparse_encode(X.vec_groups(spark, sf_dir), 8))
+
+
+@_query(_with(_SPARSE, select="SELECT round(avg(n), 6) AS mean_terms FROM (SELECT doc_id, count(*) AS n FROM sd GROUP BY 1)"))
+def sparse_mean_terms(spark, sf_dir):
+    return _ints(vectors.mean_terms(vectors.sparse_encode(X.vec_groups(spark, sf_dir))))
+
+
+@_query(_with(_SPARSE, select="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(sq.weight * sd.weight), 6) AS score FROM sq JOIN sd USING (term_id) GROUP BY ALL) WHERE score > 0 QUALIFY rank <= 10"""))
+def sparse_dot_top10(spark, sf_dir):
+    return _ints(vectors.sparse_retrieve(vectors.sparse_encode(X.vec_query_groups(spark, sf_dir), key="query_id"), vectors.sparse_encode(X.vec_groups(spark, sf_dir)), 10))
+
+
+@_query(_with(select="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(m), 6) AS score FROM (SELECT query_id, vqg.pos, doc_id, max(list_dot_product(vqg.v, vg.v)) AS m FROM vqg, vg GROUP BY ALL) GROUP BY ALL) QUALIFY rank <= 10"""))
+def maxsim_top10(spark, sf_dir):
+    return _ints(vectors.maxsim_retrieve(X.vec_query_groups(spark, sf_dir), X.vec_groups(spark, sf_dir), 10))
+
+
+@_query(_with("i AS (SELECT doc_id, list_transform(range(1, 9), lambda x: (doc_id::BIGINT * x) % 11) AS ids FROM corpus)", select="""SELECT doc_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i = 2 THEN 1 WHEN x = 0 THEN 103 ELSE x END), ' ') AS query_ids,
+  array_to_string(list_transform(range(1, 9), lambda i: CASE WHEN (i = 2 OR ids[i] <> 0) AND NOT ((CASE WHEN i = 2 THEN 1 ELSE ids[i] END) = 5) THEN '1' ELSE '0' END), '') AS kept FROM i"""))
+def colbert_prepare_ids(spark, sf_dir):
+    """Marker, mask tokens and kept positions; 0 is padding and 5 is skipped."""
+    d = F.col("doc_id").cast("long")
+    rows = X.corpus(spark, sf_dir).select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda x: ((d * x) % 11).cast("int")).alias("ids"))
+    rows = rows.withColumn("mask", F.transform("ids", lambda x, i: F.when((x == 0) & (i != 1), 0).otherwise(1)))
+    query, _ = T.prepared_ids(F.col("ids"), F.col("mask"), 1, 0, 103, True)
+    _, kept = T.prepared_ids(F.col("ids"), F.col("mask"), 1, 0, 103, False, (5,))
+    return rows.select("doc_id", F.array_join(F.transform(query, lambda x: x.cast("string")), " ").alias("query_ids"), F.array_join(F.transform(kept, lambda k: F.when(k, "1").otherwise("0")), "").alias("kept"))
+
+
+# ---- fusion, reranking, routing -------------------------------------------------------------------
+
+_TWO = (_lex(), _scored("a", k=50), _scored("b", 1.5, 0.9, k=50))
+
+
+def _fused(k: float, wa: float, wb: float, top: int = 10) -> str:
+    return f"""f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(p), 9) AS score FROM (SELECT query_id, doc_id, {float(wa)} / ({float(k)} + rank) AS p FROM a WHERE {wa} <> 0 UNION ALL SELECT query_id, doc_id, {float(wb)} / ({float(k)} + rank) FROM b WHERE {wb} <> 0) GROUP BY ALL) WHERE score > 0 QUALIFY rank <= {top})"""
+
+
+def _two(spark, sf_dir, k=50) -> list[DataFrame]:
+    r = _bm25(spark, sf_dir)
+    q = X.queries(spark, sf_dir)
+    return [r.retrieve(q, k), r.with_parameters(1.5, 0.9).retrieve(q, k)]
+
+
+_ROUNDED_RUN = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM "
+
+
+@_query(_with(*_TWO, _fused(60, 1, 1), select=_ROUNDED_RUN + "f"))
+def rrf_two(spark, sf_dir):
+    return _ints(combine.reciprocal_rank_fusion(_two(spark, sf_dir), top=10))
+
+
+@_query(_with(*_TWO, _fused(5, 1, 3), select=_ROUNDED_RUN + "f"))
+def rrf_weighted(spark, sf_dir):
+    return _ints(combine.reciprocal_rank_fusion(_two(spark, sf_dir), 5, 10, [1, 3]))
+
+
+@_query(_with(*_TWO, _fused(0, 1, 0), select=_ROUNDED_RUN + "f"))
+def rrf_zero_weight(spark, sf_dir):
+    return _ints(combine.reciprocal_rank_fusion(_two(spark, sf_dir), 0, 10, [1, 0]))
+
+
+@_query(_with(_lex(), _scored("r", k=30), """h AS (SELECT query_id, doc_id, rank, CASE WHEN rank <= 10 THEN CASE WHEN contains(c.whole, q.text) THEN 1 ELSE -1 END + round(1.0 / length(c.whole), 6) END AS new FROM r JOIN corpus c USING (doc_id) JOIN queries q USING (query_id)),
+s AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN round(new, 6) ELSE min(round(new, 6)) OVER (PARTITION BY query_id) - (rank - 10) END AS score FROM h)""", select="SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s"))
+def rerank_depth(spark, sf_dir):
+    """The first ten reranked by a rule, the rest below them."""
+    rule = F.when(F.contains("text", "query_text"), 1).otherwise(-1) + F.round(1.0 / F.length("text"), 6)
+    return _ints(combine.rerank(_run(spark, sf_dir, 30), X.queries(spark, sf_dir), X.single(spark, sf_dir), rule, 10))
+
+
+_STATS = f"st AS (SELECT q.query_id, coalesce(round(max(idf), 6), 0) AS max_idf FROM queries q LEFT JOIN (SELECT * FROM qtok WHERE term NOT IN {STOP}) s USING (query_id) LEFT JOIN idf USING (term) GROUP BY 1)"
+
+
+def _stats(spark, sf_dir) -> DataFrame:
+    return _bm25(spark, sf_dir).query_statistics(X.queries(spark, sf_dir)).withColumn("max_idf", F.round("max_idf", 6))
+
+
+_ASSIGNED = "asg AS (SELECT query_id, CASE WHEN max_idf >= 5 THEN 'a' ELSE 'b' END AS system FROM st)"
+
+
+@_query(_with(_lex(), _STATS, _ASSIGNED, select="SELECT * FROM asg"))
+def route_threshold(spark, sf_dir):
+    return combine.threshold_assignment(_stats(spark, sf_dir), "max_idf", 5, "a", "b")
+
+
+@_query(_with(*_TWO, _STATS, _ASSIGNED, select="SELECT query_id, doc_id, score, rank FROM a JOIN asg USING (query_id) WHERE system = 'a' AND rank <= 50 UNION ALL SELECT query_id, doc_id, score, rank FROM b JOIN asg USING (query_id) WHERE system = 'b'"))
+def route_runs(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return _ints(combine.route({"a": a, "b": b}, combine.threshold_assignment(_stats(spark, sf_dir), "max_idf", 5, "a", "b")))
+
+
+def _ndcg_of(run: str) -> str:
+    return f"""SELECT query_id, '{run}' AS system, round(coalesce(d / nullif(i, 0), 0), 6) AS value FROM (SELECT DISTINCT query_id FROM qrels)
+  LEFT JOIN (SELECT query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS d FROM {run} JOIN qrels USING (query_id, doc_id) WHERE grade > 0 AND rank <= 10 GROUP BY 1) USING (query_id)
+  LEFT JOIN (SELECT query_id, sum((pow(2, grade) - 1) / log2(nth + 1)) AS i FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS nth FROM qrels WHERE grade > 0) WHERE nth <= 10 GROUP BY 1) USING (query_id)"""
+
+
+_SYSTEMS = f"sys AS ({_ndcg_of('a')}\nUNION ALL {_ndcg_of('b')})"
+
+
+def _systems(spark, sf_dir) -> DataFrame:
+    q = X.qrels(spark, sf_dir)
+    rows = [metrics.evaluate_per_query(r, q, (10,)).where("metric = 'ndcg@10'").select("query_id", F.lit(s).alias("system"), F.round("value", 6).alias("value")) for s, r in zip("ab", _two(spark, sf_dir), strict=True)]
+    return rows[0].unionByName(rows[1])
+
+
+def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s = _systems(spark, sf_dir)
+    return tuple(s.where(F.col("system") == x).select("query_id", "value") for x in "ab")
+
+
+@_query(_with(*_TWO, _SYSTEMS, select="SELECT query_id, system, value FROM sys QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, system) = 1"))
+def route_oracle(spark, sf_dir):
+    return combine.oracle_assignment(_systems(spark, sf_dir))
+
+
+@_query(_with(*_TWO, select="SELECT query_id, count(b.doc_id) AS shared FROM a LEFT JOIN (SELECT * FROM b WHERE rank <= 10) b USING (query_id, doc_id) WHERE a.rank <= 10 GROUP BY 1"))
+def overlap_at_k(spark, sf_dir):
+    return combine.overlap(*_two(spark, sf_dir), 10)
+
+
+# ---- tests between systems ------------------------------------------------------------------------
+
+_FIRST12 = "d AS (SELECT a.query_id, a.value - b.value AS d, row_number() OVER (ORDER BY a.query_id) - 1 AS i FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b' AND a.query_id::BIGINT < 12)"
+_TEST_COLUMNS = "round(o / n, 6) AS delta, round({p}, 6) AS p_value, n, '{m}' AS method, {r}::BIGINT AS assignments, {s}::BIGINT AS seed, ties, n - ties AS effective_queries"
+
+
+@_query(_with(*_TWO, _SYSTEMS, _FIRST12, """o AS (SELECT sum(d) AS o, count(*) AS n, count(*) FILTER (WHERE d = 0) AS ties FROM d),
+m AS (SELECT m, sum(d * (1 - 2 * ((m >> i) & 1))) AS s FROM d, range(0, (1 << 12)) AS g(m) GROUP BY 1)""", select="SELECT " + _TEST_COLUMNS.format(p="c / t", m="exact", r="t", s="NULL") + " FROM o, (SELECT count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) AS c, count(*) AS t FROM m, o)"))
+def paired_exact(spark, sf_dir):
+    """Exact test over the twelve queries of the smallest numbers."""
+    a, b = (x.where(F.col("query_id").cast("long") < 12) for x in _pairs(spark, sf_dir))
+    return _ints(significance.paired_exact(significance.aligned(a, b)))
+
+
+@_query(_with(*_TWO, _SYSTEMS, """d AS (SELECT a.query_id, a.value - b.value AS d FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b'),
+o AS (SELECT sum(d) AS o, count(*) AS n, count(*) FILTER (WHERE d = 0) AS ties FROM d),
+m AS (SELECT r, sum(CASE WHEN substr(md5('0:' || r || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d, range(0, 2000) AS g(r) GROUP BY 1)""", select="SELECT " + _TEST_COLUMNS.format(p="least(1, (c + 1) / 2001.0)", m="monte-carlo", r="2000", s="0") + " FROM o, (SELECT count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) AS c FROM m, o)"))
+def paired_mc_portable(spark, sf_dir):
+    return _ints(significance.paired_sampled(significance.aligned(*_pairs(spark, sf_dir)), 2000))
+
+
+@_query(_with("p AS (SELECT item_id AS position, ((item_id * 37) % 101) / 1000.0::DOUBLE AS p FROM benchmark)", select="""SELECT position, round(p, 6) AS p, round(least(1, max(step) OVER (ORDER BY p, position ROWS UNBOUNDED PRECEDING)), 6) AS adjusted
+FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, position) + 1) * p AS step FROM p)"""))
+def holm(spark, sf_dir):
+    """Holm's correction of a family of made-up p-values."""
+    p = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("position"), ((F.col("item_id") * 37 % 101) / 1000.0).alias("p"))
+    return _ints(significance.holm(p))
+
+
+@_query(_with("st AS (SELECT doc_id, length(title) AS x FROM corpus)", select="SELECT doc_id, round(rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0, 6)::DOUBLE AS avg_rank FROM st"))
+def average_ranks(spark, sf_dir):
+    rows = X.corpus(spark, sf_dir).select("doc_id", F.length("title").alias("x"))
+    return _ints(rows.select("doc_id", significance.average_rank("x").alias("avg_rank")))
+
+
+_XY = "xy AS (SELECT st.query_id, max_idf AS x, value AS y FROM st JOIN sys USING (query_id) WHERE system = 'a'), rk AS (SELECT query_id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, row_number() OVER (ORDER BY query_id) AS i FROM xy)"
+_RHO = "coalesce((count(*) * sum(rx * ry) - sum(rx) * sum(ry)) / nullif(sqrt((count(*) * sum(rx * rx) - sum(rx) * sum(rx)) * (count(*) * sum(ry * ry) - sum(ry) * sum(ry))), 0), 0)"
+
+
+def _xy(spark, sf_dir) -> DataFrame:
+    return _stats(spark, sf_dir).select("query_id", F.col("max_idf").alias("x")).join(_pairs(spark, sf_dir)[0].withColumnRenamed("value", "y"), "query_id")
+
+
+@_query(_with(*_TWO, _STATS, _SYSTEMS, _XY, select=f"SELECT round({_RHO}, 6) AS rho, count(*) AS n FROM rk"))
+def spearman(spark, sf_dir):
+    return _ints(significance.spearman(_xy(spark, sf_dir)))
+
+
+@_query(_with(*_TWO, _STATS, _SYSTEMS, _XY, f"""w AS (SELECT count(*) AS n, {_RHO} AS rho, sum(rx) * sum(ry) / count(*) AS centre, sum(rx * ry) AS sxy FROM rk),
+sh AS (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk, range(0, 500) AS g(r)),
+m AS (SELECT r, sum(rk.rx * sh.ry) AS s FROM sh JOIN rk USING (i) GROUP BY 1)""", select="SELECT round(rho, 6) AS rho, round((count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / 501.0, 6) AS p_value, n FROM m, w GROUP BY rho, n"))
+def perm_corr_portable(spark, sf_dir):
+    return _ints(significance.correlation_test(_xy(spark, sf_dir), 500))
+
+
+_ADV = "adv AS (SELECT st.query_id, max_idf AS predictor, a.value - b.value AS advantage FROM st JOIN sys a USING (query_id) JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b')"
+
+
+@_query(_with(*_TWO, _STATS, _SYSTEMS, _ADV, select="SELECT tercile, count(*) AS n, round(min(predictor), 6) AS low, round(max(predictor), 6) AS high, round(avg(advantage), 6) AS mean_advantage FROM (SELECT *, ntile(3) OVER (ORDER BY predictor, query_id) AS tercile FROM adv) GROUP BY 1"))
+def terciles(spark, sf_dir):
+    a, b = _pairs(spark, sf_dir)
+    rows = significance.aligned(a, b).join(_stats(spark, sf_dir), "query_id").select("query_id", F.col("max_idf").alias("predictor"), (F.col("a") - F.col("b")).alias("advantage"))
+    return _ints(significance.terciles(rows))
+
+
+@_query(_with("f AS (SELECT ((item_id * 7) % 13) / 13.0::DOUBLE AS rho, ((item_id * 37) % 101) / 1000.0::DOUBLE AS p FROM benchmark)", select="SELECT bool_and(rho > 0) AS all_positive, count(*) FILTER (WHERE p < 0.05) AS significant, round(min(rho), 6) AS min_rho, round(max(rho), 6) AS max_rho, round(quantile_cont(rho, 0.5), 6) AS median_rho FROM f"))
+def family_summary(spark, sf_dir):
+    i = F.col("item_id")
+    return _ints(significance.family_summary(X.table(spark, sf_dir, "benchmark").select(((i * 7 % 13) / 13.0).alias("rho"), ((i * 37 % 101) / 1000.0).alias("p"))))
+
+
+# ---- expansion ------------------------------------------------------------------------------------
+
+_PASSAGE = "qp AS (SELECT query_id, q.text, trim(coalesce(generations[1], '')) AS p, generations FROM queries q LEFT JOIN expansions e ON e.id = q.query_id)"
+
+
+def _expanded(weight: int) -> str:
+    return _with(_PASSAGE, select=f"SELECT query_id, CASE WHEN p = '' THEN text ELSE trim(repeat(text || ' ', {weight}) || p) END AS text FROM qp")
+
+
+@_query(_expanded(0))
+def expand_queries_w0(spark, sf_dir):
+    return expansion.expand_queries(X.queries(spark, sf_dir), X.expansions(spark, sf_dir), 0)
+
+
+@_query(_expanded(2))
+def expand_queries_w2(spark, sf_dir):
+    return expansion.expand_queries(X.queries(spark, sf_dir), X.expansions(spark, sf_dir), 2)
+
+
+@_query(_with("g AS (SELECT c.doc_id, c.title, c.whole, list_filter(list_transform(coalesce(generations, []), lambda x: trim(x)), lambda x: x <> '') AS g FROM corpus c LEFT JOIN expansions e ON e.id = c.doc_id)", select="SELECT doc_id, md5(CASE WHEN len(g) = 0 THEN whole ELSE whole || ' ' || array_to_string(g, ' ') END) AS text FROM g"))
+def expand_documents(spark, sf_dir):
+    return expansion.expand_documents(X.single(spark, sf_dir), X.expansions(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+_TERMS = f"list_filter(regexp_extract_all(lower({{x}}), '[a-z0-9]+'), lambda x: NOT list_contains([{', '.join(repr(w) for w in T.STOPWORDS)}], x))"
+
+
+@_query(_with(_PASSAGE, select=f"""SELECT query_id, array_to_string(list_sort(list_distinct(list_filter({_TERMS.format(x='p')}, lambda x: NOT list_contains({_TERMS.format(x='text')}, x)))), ' ') AS added FROM qp"""))
+def added_terms(spark, sf_dir):
+    rows = X.queries(spark, sf_dir).join(X.expansions(spark, sf_dir).select(F.col("id").alias("query_id"), F.get("generations", F.lit(0)).alias("p")), "query_id", "left")
+    return rows.select("query_id", F.array_join(F.array_sort(T.added_terms(F.col("text"), F.coalesce("p", F.lit("")))), " ").alias("added"))
+
+
+_QUARTILES = ", ".join(f"round(quantile_cont({c}, {p}) FILTER (WHERE words > 0), 6) AS {c}_{n}" for c in ("words", "added") for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))
+_RANGES = ", ".join(f"round(avg({c}) FILTER (WHERE words > 0), 4) AS {c}_mean, min({c}) FILTER (WHERE words > 0) AS {c}_min, max({c}) FILTER (WHERE words > 0) AS {c}_max" for c in ("words", "added"))
+
+
+@_query(_with(_PASSAGE, f"""e AS (SELECT {_TERMS.format(x='text')} AS own, {_TERMS.format(x="coalesce(array_to_string(generations, ' '), '')")} AS gen FROM qp),
+s AS (SELECT len(gen) AS words, len(list_distinct(gen)) AS terms, len(list_filter(list_distinct(gen), lambda x: NOT list_contains(own, x))) AS added FROM e)""", select=f"SELECT count(*) AS inputs, count(*) FILTER (WHERE words = 0) AS empty, count(*) FILTER (WHERE words > 0 AND added = 0) AS adding_nothing, {_QUARTILES}, {_RANGES}, round(avg(added / terms) FILTER (WHERE words > 0), 4) AS mean_fraction FROM s"))
+def expansion_stats(spark, sf_dir):
+    return _ints(expansion.summarise_expansions(X.queries(spark, sf_dir).select(F.col("query_id").alias("id"), "text"), X.expansions(spark, sf_dir)))
+
+
+# ---- judging and answers --------------------------------------------------------------------------
+
+_ANSWER_SQL = "CASE (vec_id % 9) WHEN 0 THEN ' Yes.' WHEN 1 THEN 'No' WHEN 2 THEN 'not relevant' WHEN 3 THEN 'TRUE' WHEN 4 THEN 'maybe' WHEN 5 THEN 'irrelevant' WHEN 6 THEN 'relevant' WHEN 7 THEN 'none of it' ELSE '' END"
+
+
+def _answer(n) -> F.Column:
+    out = F.lit("")
+    for i, a in enumerate((" Yes.", "No", "not relevant", "TRUE", "maybe", "irrelevant", "relevant", "none of it")):
+        out = F.when(n % 9 == i, a).otherwise(out)
+    return out
+
+
+_VERDICTS = f"v AS (SELECT *, CASE WHEN a LIKE 'no%' OR a LIKE 'false%' OR a LIKE 'irrelevant%' THEN 0 WHEN a LIKE 'yes%' OR a LIKE 'true%' OR a LIKE 'relevant%' THEN 1 END AS verdict FROM (SELECT vec_id, label, lower(trim({_ANSWER_SQL})) AS a FROM embeddings))"
+
+
+@_query(_with(_VERDICTS, select="SELECT vec_id, verdict::BIGINT AS verdict FROM v"))
+def parse_verdict(spark, sf_dir):
+    return _ints(X.table(spark, sf_dir, "embeddings").select("vec_id", T.verdict(_answer(F.col("vec_id"))).alias("verdict")))
+
+
+@_query(_with(select="SELECT query_id, doc_id, grade::BIGINT AS grade FROM qrels"))
+def judgeable_qrels(spark, sf_dir):
+    return _ints(agreement.judgeable_pairs(X.qrels(spark, sf_dir)))
+
+
+@_query(_with(_lex(), _scored("r", k=20), select="SELECT query_id, doc_id, grade::BIGINT AS grade FROM r JOIN qrels USING (query_id, doc_id)"))
+def judgeable_retrieved(spark, sf_dir):
+    return _ints(agreement.judgeable_pairs(X.qrels(spark, sf_dir), _run(spark, sf_dir, 20), 20, "retrieved"))
+
+
+@_query(_with("o AS (SELECT *, row_number() OVER (ORDER BY query_id, doc_id) - 1 AS nth, count(*) OVER () AS n FROM qrels)", select="SELECT query_id, doc_id, grade::BIGINT AS grade FROM o WHERE n <= 100 OR nth IN (SELECT floor(i * (n / 100.0))::BIGINT FROM range(100) g(i), (SELECT any_value(n) AS n FROM o))"))
+def judge_thinning(spark, sf_dir):
+    return _ints(agreement.thinned(agreement.judgeable_pairs(X.qrels(spark, sf_dir)), 100))
+
+
+_LABELS = "l AS (SELECT quality AS first, toxic AS second FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    return X.table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select(F.col("quality").alias("first"), F.col("toxic").alias("second"))
+
+
+@_query(_with(_LABELS, "u AS (SELECT first AS x FROM l UNION SELECT second FROM l)", select="SELECT a.x::BIGINT AS first, b.x::BIGINT AS second, (SELECT count(*) FROM l WHERE l.first = a.x AND l.second = b.x) AS n FROM u a, u b"))
+def confusion(spark, sf_dir):
+    return _ints(agreement.confusion(_labels(spark, sf_dir)))
+
+
+def _kappa_sql(source: str) -> str:
+    return f"""k AS (SELECT n, same / n AS po, (SELECT coalesce(sum(x.c * y.c), 0) FROM (SELECT first, count(*) AS c FROM {source} GROUP BY 1) x JOIN (SELECT second, count(*) AS c FROM {source} GROUP BY 1) y ON x.first = y.second) / (n * n) AS pc
+  FROM (SELECT count(*) AS n, count(*) FILTER (WHERE first = second) AS same FROM {source}))"""
+
+
+_KAPPA = "n, round(po, 6) AS observed, round(pc, 6) AS chance, round(CASE WHEN pc >= 1 THEN 0 ELSE (po - pc) / (1 - pc) END, 6) AS kappa"
+
+
+@_query(_with(_LABELS, _kappa_sql("l"), select=f"SELECT {_KAPPA} FROM k"))
+def kappa(spark, sf_dir):
+    return _ints(agreement.kappa(_labels(spark, sf_dir)))
+
+
+@_query(_with(_VERDICTS, "g AS (SELECT (label % 3 > 0)::INT AS first, verdict AS second FROM v)", "s AS (SELECT * FROM g WHERE second IS NOT NULL)", _kappa_sql("s"), select=f"SELECT {_KAPPA}, (SELECT count(*) FROM g WHERE second IS NULL) AS unparseable, (SELECT count(*) FROM g WHERE first = 0 AND second = 1) AS false_positives, (SELECT count(*) FROM g WHERE first = 1 AND second = 0) AS false_negatives, (SELECT round(avg(second), 6) FROM g) AS yes_rate FROM k"))
+def calibrate(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("grade"), _answer(F.col("vec_id")).alias("answer"))
+    return _ints(agreement.calibrated(rows))
+
+
+_CITE = "c AS (SELECT query_id, text || ' [' || (query_id::BIGINT % 7) || '] and [2] [' || (query_id::BIGINT % 5) || '] [x]' AS a FROM queries), m AS (SELECT query_id, list_transform(regexp_extract_all(a, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT) AS l FROM c), u AS (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM m)"
+
+
+@_query(_with(_CITE, select="""SELECT query_id, array_to_string(list_filter(l, lambda x: x BETWEEN 1 AND 3), ' ') AS valid, array_to_string(list_filter(l, lambda x: NOT x BETWEEN 1 AND 3), ' ') AS invalid,
+  round(1 - len(list_filter(l, lambda x: NOT x BETWEEN 1 AND 3)) / len(l), 6) AS citation_precision FROM u"""))
+def citations(spark, sf_dir):
+    q = F.col("query_id").cast("long")
+    rows = X.queries(spark, sf_dir).select("query_id", F.concat("text", F.lit(" ["), (q % 7).cast("string"), F.lit("] and [2] ["), (q % 5).cast("string"), F.lit("] [x]")).alias("a"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    n = F.lit(3)
+    return _ints(rows.select("query_id", joined(T.valid_citations(F.col("a"), n)).alias("valid"), joined(T.invalid_citations(F.col("a"), n)).alias("invalid"), T.citation_precision(F.col("a"), n).alias("citation_precision")))
+
+
+@_query(_with(_lex(), _scored("r", k=3), select="SELECT query_id, md5(string_agg('[' || rank || '] ' || title || chr(10) || substr(c.text, 1, 700), chr(10) || chr(10) ORDER BY rank)) AS sources FROM r JOIN corpus c USING (doc_id) GROUP BY 1"))
+def format_sources(spark, sf_dir):
+    from irspan.plans.service import format_sources as formatted
+
+    return formatted(_run(spark, sf_dir, 3), X.corpus(spark, sf_dir)).select("query_id", F.md5(F.col("sources").cast("binary")).alias("sources"))
+
+
+@_query(_with(_lex(), _scored("r", k=5), select="SELECT query_id, doc_id, round(score, 4) AS score, title, md5(substr(c.text, 1, 600)) AS snippet, rank FROM r JOIN corpus c USING (doc_id)"))
+def search_documents(spark, sf_dir):
+    from irspan.plans.service import result_rows
+
+    return _ints(result_rows(_run(spark, sf_dir, 5), X.corpus(spark, sf_dir)).withColumn("snippet", F.md5(F.col("snippet").cast("binary"))))
+
+
+@_query(_with(select="SELECT (SELECT count(*) FROM corpus) AS documents, count(DISTINCT query_id) AS queries, count(*) AS judgements, count(*) FILTER (WHERE grade > 0) AS relevant FROM qrels"), name="describe_benchmark")
+def _describe(spark, sf_dir):
+    return describe_benchmark(X.single(spark, sf_dir), X.qrels(spark, sf_dir))
+
+
+@_query(_with("""h AS (SELECT sha256(doc_id || chr(0) || title || chr(0) || text) AS h FROM (SELECT doc_id, '' AS title, whole AS text FROM corpus))""", select="SELECT n AS documents, substr(sha256(n || ':' || a || ':' || b || ':' || c || ':' || d), 1, 16) AS digest FROM (SELECT count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {at}, 8))::HUGEINT) AS {x}" for x, at in zip("abcd", (1, 9, 17, 25), strict=True)) + " FROM h)"))
+def corpus_digest(spark, sf_dir):
+    return datasets.corpus_digest(X.single(spark, sf_dir))
+
+
+# ---- sweeps ---------------------------------------------------------------------------------------
+
+_CELLS = [(k1, b) for k1 in (0.6, 0.9, 1.2) for b in (0.0, 0.4, 0.8)]
+_CELL_ROWS = ", ".join(f"({i}, {k1}::DOUBLE, {b}::DOUBLE)" for i, (k1, b) in enumerate(_CELLS))
+_SWEEP = f"""g AS (SELECT * FROM (VALUES {_CELL_ROWS}) v(cell, k1, b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell, query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT cell, query_id, doc_id, round(sum(weight * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score
+  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), fs, g GROUP BY ALL) WHERE score > 0 QUALIFY rank <= 10),
+i AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(nth + 1)) AS i FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS nth FROM qrels WHERE grade > 0) WHERE nth <= 10 GROUP BY 1),
+sw AS (SELECT cell, k1, b, avg(coalesce(d / nullif(i, 0), 0)) AS ndcg FROM g CROSS JOIN (SELECT DISTINCT query_id FROM qrels) q LEFT JOIN (SELECT cell, query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS d FROM r JOIN qrels USING (query_id, doc_id) WHERE grade > 0 GROUP BY ALL) USING (cell, query_id) LEFT JOIN i USING (query_id) GROUP BY ALL)"""
+
+
+def _swept(spark, sf_dir) -> DataFrame:
+    return sweeps.sweep_bm25(_bm25(spark, sf_dir), X.queries(spark, sf_dir), X.qrels(spark, sf_dir), _CELLS)
+
+
+@_query(_with(_lex(), _SWEEP, select="SELECT cell::BIGINT AS cell, k1, b, round(ndcg, 6) AS ndcg FROM sw"))
+def sweep_bm25(spark, sf_dir):
+    return _ints(_swept(spark, sf_dir))
+
+
+@_query(_with(_lex(), _SWEEP, "v AS (SELECT round(ndcg, 6) AS v FROM sw), m AS (SELECT max(v) AS best FROM v)", select="SELECT best, min(v) AS worst, round(best - min(v), 6) AS span, count(*) AS cells, count(*) FILTER (WHERE best - v <= 0.005 + 1e-9) AS within_005, count(*) FILTER (WHERE best - v <= 0.010 + 1e-9) AS within_010 FROM v, m GROUP BY best"))
+def sweep_surface(spark, sf_dir):
+    return sweeps.surface(_swept(spark, sf_dir))
+
+
+def _union_cells(parts: list[str]) -> str:
+    return "\nUNION ALL ".join(parts)
+
+
+_RRF_CELLS = (0, 5, 60)
+
+
+def _fused_as(name: str, k: float) -> str:
+    return _fused(k, 1, 1).replace("f AS (", f"{name} AS (", 1)
+
+
+@_query(_with(*_TWO, *(_fused_as(f"f{i}", k) for i, k in enumerate(_RRF_CELLS)), select=_union_cells([f"SELECT {i}::BIGINT AS cell, {k}::DOUBLE AS rrf_k, round(avg(v), 6) AS ndcg FROM (SELECT value AS v FROM ({_ndcg_of(f'f{i}')}))" for i, k in enumerate(_RRF_CELLS)]).replace("round(coalesce(d / nullif(i, 0), 0), 6) AS value", "coalesce(d / nullif(i, 0), 0) AS value")))
+def sweep_rrf_k(spark, sf_dir):
+    return _ints(sweeps.sweep_rrf(_two(spark, sf_dir), X.qrels(spark, sf_dir), _RRF_CELLS))
+
+
+_WEIGHTS = (0, 1, 3)
+
+
+def _weighted_as(i: int, w: int) -> str:
+    return f"""x{i} AS (SELECT query_id, term, sum(weight) AS weight FROM (SELECT query_id, term, weight * CASE WHEN query_id IN (SELECT query_id FROM pt) THEN {w} ELSE 1 END AS weight FROM qt UNION ALL SELECT * FROM pt) GROUP BY ALL),
+{_scored(f"e{i}", terms=f"x{i}")}"""
+
+
+@_query(_with(_lex(), _PASSAGE, f"pt AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, unnest({_TERMS.format(x='p')}) AS term FROM qp) GROUP BY ALL)", *(_weighted_as(i, w) for i, w in enumerate(_WEIGHTS)), select=_union_cells([f"SELECT {i}::BIGINT AS cell, {w}::BIGINT AS weight, round(avg(v), 6) AS ndcg FROM (SELECT value AS v FROM ({_ndcg_of(f'e{i}')}))" for i, w in enumerate(_WEIGHTS)]).replace("round(coalesce(d / nullif(i, 0), 0), 6) AS value", "coalesce(d / nullif(i, 0), 0) AS value")))
+def sweep_expansion_weight(spark, sf_dir):
+    passages = X.queries(spark, sf_dir).select("query_id").join(X.expansions(spark, sf_dir).select(F.col("id").alias("query_id"), F.get("generations", F.lit(0)).alias("text")), "query_id")
+    return _ints(sweeps.sweep_expansion(_bm25(spark, sf_dir), X.queries(spark, sf_dir), passages, X.qrels(spark, sf_dir), _WEIGHTS))
+
+
+@_query()
+def sweep_rm3(spark, sf_dir):
+    """A small grid of feedback parameters; its parts have SQL of their own."""
+    return _ints(sweeps.sweep_rm3(_rm3(spark, sf_dir), X.queries(spark, sf_dir), X.qrels(spark, sf_dir), [(5, 10, 0.3), (10, 10, 0.5)]))
+
+
+@_query(_with(*_TWO, _STATS, _SYSTEMS, "qs AS (SELECT i AS cell, quantile_cont(max_idf, i / 20) AS threshold FROM st, range(21) g(i) GROUP BY i)".replace("quantile_cont(max_idf, i / 20)", "(SELECT quantile_cont(max_idf, [x / 20.0 FOR x IN range(21)]) FROM st)[i + 1]").replace("FROM st, range(21) g(i) GROUP BY i", "FROM range(21) g(i)"), select="SELECT cell::BIGINT AS cell, round(threshold, 6) AS threshold, round(avg(CASE WHEN max_idf >= threshold THEN a.value ELSE b.value END), 6) AS value FROM qs, st JOIN sys a USING (query_id) JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b' GROUP BY ALL"))
+def router_sweep(spark, sf_dir):
+    return _ints(sweeps.sweep_router(_stats(spark, sf_dir), _systems(spark, sf_dir), "max_idf", "a", "b"))

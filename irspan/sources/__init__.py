@@ -1,0 +1 @@
+"""Datasets on disk and tables derived for tests."""

@@ -1,0 +1 @@
+"""No operator here is a stream: every index is built from a finite corpus."""
