@@ -37,7 +37,7 @@ class VocabularyEncoder:
 
     def encode(self, texts: DataFrame, text_column: str = "text") -> DataFrame:
         words = F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), r"\s+")
-        counts = F.array(*(F.size(F.filter(words, lambda w, v=v: w == v)).cast("double") for v in self.vocabulary))
+        counts = F.transform(F.array(*(F.lit(v) for v in self.vocabulary)), lambda v: F.size(F.filter(words, lambda w: w == v)).cast("double"))
         return texts.withColumn("embedding", normalised(counts))
 
 
