@@ -406,6 +406,7 @@ def removed_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
     common.release(spark)
     contexts = found.where("key >= 0").select("id", "tie", "begin", "end", "key")
     hot = contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CONTEXTS).select("key", F.lit(True).alias("hot"))
+    hot = common.written(hot, "hot")  # a table of its own, so that the join's skew can be split
     entry = F.struct("begin", "end", "key", F.coalesce("hot", F.lit(False)).alias("hot"))
     lists = contexts.join(hot, "key", "left").groupBy("id", "tie").agg(F.collect_list(entry).alias("contexts"))  # of one text
     met = rows.join(lists.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "contexts").mapInArrow(_find_contexts, _MET)
