@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,13 @@ from irspan.functions.text import verdict
 from irspan.operators.ranking import reranked
 
 
+class Judge(Protocol):
+    """A model that answers whether a document is relevant: pairs (query_id, doc_id, query_text, title,
+    text) to the same rows with a column ``answer``."""
+
+    def judge(self, pairs: DataFrame) -> DataFrame: ...
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     """first, second and n for every pair of the labels that either column uses."""
     labels = pairs.select(F.explode(F.array("first", "second")).alias("label")).distinct()

@@ -7,6 +7,9 @@ engine; ``numpy_*`` give the streams of a NumPy generator instead.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,3 +128,27 @@ def terciles(rows: DataFrame) -> DataFrame:
 def family_summary(tests: DataFrame) -> DataFrame:
     """Of several analyses (rho, p): whether all rho are positive, significant ones, range and median."""
     return tests.agg(F.bool_and(F.col("rho") > 0).alias("all_positive"), F.count_if(F.col("p") < 0.05).alias("significant"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho"), F.percentile("rho", F.lit(0.5)).alias("median_rho"))
+
+
+def compare_family(systems: dict[str, DataFrame], resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """Every pair of systems' values (query_id, value): first, second, delta, p_value and Holm's adjusted
+    value (the p-value itself for one pair)."""
+    rows = []
+    for i, (x, y) in enumerate(combinations(systems, 2)):
+        test = paired_sampled(aligned(systems[x], systems[y]), resamples, seed)
+        rows.append(test.select(F.lit(i).alias("position"), F.lit(x).alias("first"), F.lit(y).alias("second"), "delta", F.col("p_value").alias("p")))
+    tests = reduce(DataFrame.unionByName, rows)
+    return tests.join(holm(tests.select("position", "p"), validate=False).select("position", "adjusted"), "position").select("first", "second", "delta", F.col("p").alias("p_value"), "adjusted")
+
+
+#: The predictor that is tested by itself, and those that are corrected among themselves.
+PRIMARY, SECONDARY = "max_idf", ("mean_idf", "num_terms", "out_of_vocabulary_rate")
+
+
+def query_dependence(statistics: DataFrame, advantage: DataFrame, permutations: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """Rank correlation of each predictor of a query with a system's advantage (query_id, advantage)."""
+    pairs = statistics.join(advantage, "query_id")
+    rows = [correlation_test(pairs.select("query_id", F.col(c).alias("x"), F.col("advantage").alias("y")), permutations, seed).select(F.lit(i).alias("position"), F.lit(c).alias("predictor"), "rho", F.col("p_value").alias("p")) for i, c in enumerate((PRIMARY, *SECONDARY))]
+    tests = reduce(DataFrame.unionByName, rows)
+    corrected = holm(tests.where("position > 0").select("position", "p"), validate=False).select("position", "adjusted")
+    return tests.join(corrected, "position", "left").select("predictor", "rho", F.col("p").alias("p_value"), F.coalesce("adjusted", "p").alias("adjusted"))

@@ -447,7 +447,7 @@ _STATS = f"st AS (SELECT q.query_id, coalesce(round(max(idf), 6), 0) AS max_idf
 
 
 def _stats(spark, sf_dir) -> DataFrame:
-    return _bm25(spark, sf_dir).query_statistics(X.queries(spark, sf_dir)).withColumn("max_idf", F.round("max_idf", 6))
+    return _bm25(spark, sf_dir).query_statistics(X.queries(spark, sf_dir)).withColumn("max_idf", F.round("max_idf", 6)).cache()  # a row a query
 
 
 _ASSIGNED = "asg AS (SELECT query_id, CASE WHEN max_idf >= 5 THEN 'a' ELSE 'b' END AS system FROM st)"
@@ -476,7 +476,7 @@ _SYSTEMS = f"sys AS ({_ndcg_of('a')}\nUNION ALL {_ndcg_of('b')})"
 def _systems(spark, sf_dir) -> DataFrame:
     q = X.qrels(spark, sf_dir)
     rows = [metrics.evaluate_per_query(r, q, (10,)).where("metric = 'ndcg@10'").select("query_id", F.lit(s).alias("system"), F.round("value", 6).alias("value")) for s, r in zip("ab", _two(spark, sf_dir), strict=True)]
-    return rows[0].unionByName(rows[1])
+    return rows[0].unionByName(rows[1]).cache()  # a value a query, read several times by a test
 
 
 def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -565,6 +565,46 @@ def family_summary(spark, sf_dir):
     return _ints(significance.family_summary(X.table(spark, sf_dir, "benchmark").select(((i * 7 % 13) / 13.0).alias("rho"), ((i * 37 % 101) / 1000.0).alias("p"))))
 
 
+def _pair_sql(i: int, x: str, y: str) -> str:
+    return f"""d{i} AS (SELECT a.query_id, a.value - b.value AS d FROM sys a JOIN sys b USING (query_id) WHERE a.system = '{x}' AND b.system = '{y}'),
+o{i} AS (SELECT sum(d) AS o, count(*) AS n FROM d{i}),
+m{i} AS (SELECT r, sum(CASE WHEN substr(md5('0:' || r || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d{i}, range(0, 500) AS g(r) GROUP BY 1),
+t{i} AS (SELECT {i} AS position, '{x}' AS first, '{y}' AS second, any_value(o) / any_value(n) AS delta, least(1, (count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) + 1) / 501.0) AS p FROM m{i}, o{i})"""
+
+
+_THREE = (*_TWO, _scored("c", 0.6, 0.1, k=50), f"sys AS ({_ndcg_of('a')}\nUNION ALL {_ndcg_of('b')}\nUNION ALL {_ndcg_of('c')})")
+
+
+@_query(_with(*_THREE, *(_pair_sql(i, x, y) for i, (x, y) in enumerate((("a", "b"), ("a", "c"), ("b", "c")))), "tt AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)", select="""SELECT first, second, round(delta, 6) AS delta, round(p, 6) AS p_value, round(least(1, max(step) OVER (ORDER BY p, position ROWS UNBOUNDED PRECEDING)), 6) AS adjusted
+FROM (SELECT *, (3 - row_number() OVER (ORDER BY p, position) + 1) * p AS step FROM tt)"""))
+def compare_runs(spark, sf_dir):
+    """Three systems, every pair of them, corrected together."""
+    r, q, judged = _bm25(spark, sf_dir), X.queries(spark, sf_dir), X.qrels(spark, sf_dir)
+    values = {s: metrics.evaluate_per_query(r.with_parameters(*p).retrieve(q, 50), judged, (10,)).where("metric = 'ndcg@10'").select("query_id", F.round("value", 6).alias("value")).cache() for s, p in (("a", (0.9, 0.4)), ("b", (1.5, 0.9)), ("c", (0.6, 0.1)))}
+    return _ints(significance.compare_family(values, 500))
+
+
+_FULL_STATS = f"""st AS (SELECT q.query_id, coalesce(max(idf), 0) AS max_idf, coalesce(avg(idf), 0) AS mean_idf, count(s.term)::DOUBLE AS num_terms, coalesce((count(s.term) - count(idf)) / nullif(count(s.term), 0), 0) AS out_of_vocabulary_rate
+  FROM queries q LEFT JOIN (SELECT * FROM qtok WHERE term NOT IN {STOP}) s USING (query_id) LEFT JOIN idf USING (term) GROUP BY 1)"""
+
+
+def _dependence_sql(i: int, c: str) -> str:
+    return f"""rk{i} AS (SELECT query_id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY advantage) + (count(*) OVER (PARTITION BY advantage) - 1) / 2.0 AS ry, row_number() OVER (ORDER BY query_id) AS i FROM (SELECT query_id, round({c}, 6) AS x, advantage FROM st JOIN adv USING (query_id))),
+w{i} AS (SELECT count(*) AS n, count(DISTINCT rx) = 1 OR count(DISTINCT ry) = 1 AS flat, {_RHO} AS rho, sum(rx) * sum(ry) / count(*) AS centre, sum(rx * ry) AS sxy FROM rk{i}),
+m{i} AS (SELECT r, sum(k.rx * s.ry) AS s FROM (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk{i}, range(0, 300) AS g(r)) s JOIN rk{i} k USING (i) GROUP BY 1),
+c{i} AS (SELECT {i} AS position, '{c}' AS predictor, any_value(rho) AS rho, CASE WHEN any_value(flat) THEN 1 ELSE (count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / 301.0 END AS p FROM m{i}, w{i})"""
+
+
+@_query(_with(*_TWO, _FULL_STATS, _SYSTEMS, "adv AS (SELECT a.query_id, round(a.value - b.value, 6) AS advantage FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b')", *(_dependence_sql(i, c) for i, c in enumerate((significance.PRIMARY, *significance.SECONDARY))), "tt AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)", select="""SELECT predictor, round(rho, 6) AS rho, round(p, 6) AS p_value, round(CASE position WHEN 0 THEN p ELSE least(1, max(step) OVER (PARTITION BY position > 0 ORDER BY p, position ROWS UNBOUNDED PRECEDING)) END, 6) AS adjusted
+FROM (SELECT *, (3 - row_number() OVER (PARTITION BY position > 0 ORDER BY p, position) + 1) * p AS step FROM tt)"""))
+def query_dependence(spark, sf_dir):
+    """How a system's advantage goes with predictors of the query."""
+    stats = _bm25(spark, sf_dir).query_statistics(X.queries(spark, sf_dir))
+    stats = stats.cache().select("query_id", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in (significance.PRIMARY, *significance.SECONDARY)))
+    advantage = significance.aligned(*_pairs(spark, sf_dir)).select("query_id", F.round(F.col("a") - F.col("b"), 6).alias("advantage"))
+    return _ints(significance.query_dependence(stats, advantage, 300))
+
+
 # ---- expansion ------------------------------------------------------------------------------------
 
 _PASSAGE = "qp AS (SELECT query_id, q.text, trim(coalesce(generations[1], '')) AS p, generations FROM queries q LEFT JOIN expansions e ON e.id = q.query_id)"
@@ -737,6 +777,33 @@ def sweep_surface(spark, sf_dir):
     return sweeps.surface(_swept(spark, sf_dir))
 
 
+@_query(_with(_lex(), _SWEEP, "p AS (SELECT b AS x, round(ndcg, 6) AS value FROM sw WHERE k1 = 0.9), l AS (SELECT *, value - lag(value) OVER (ORDER BY x) AS step FROM p)", select="""SELECT best_x, best_x = low OR best_x = high AS at_edge, CASE WHEN up THEN 'increasing' WHEN down THEN 'decreasing' ELSE 'neither' END AS direction
+FROM (SELECT (SELECT x FROM p ORDER BY value DESC, x LIMIT 1) AS best_x, min(x) AS low, max(x) AS high, bool_and(coalesce(step > 0, true)) AS up, bool_and(coalesce(step < 0, true)) AS down FROM l)"""))
+def sweep_shape(spark, sf_dir):
+    """The direction of the measure along b."""
+    return _ints(sweeps.shape(_swept(spark, sf_dir).where("k1 = 0.9").select(F.col("b").alias("x"), F.round("ndcg", 6).alias("value"))))
+
+
+_FORMS = {"head": (1, 8), "middle": (5, 12), "all": (1, 1000)}
+
+
+def _form_sql(i: int, a: int, n: int) -> str:
+    return f"""y{i} AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[{a}:{a + n - 1}], ' ')), '[a-z0-9]+')) AS term FROM queries) WHERE term NOT IN {STOP} GROUP BY ALL),
+{_scored(f"z{i}", terms=f"y{i}")}"""
+
+
+@_query(_with(_lex(), *(_form_sql(i, *f) for i, f in enumerate(_FORMS.values())), "v AS (" + "\nUNION ALL ".join(f"SELECT avg(value) AS value FROM ({_ndcg_of(f'z{i}')})" for i in range(len(_FORMS))) + ")", select="SELECT round(max(value), 6) AS best, round(min(value), 6) AS worst, round(max(value) - min(value), 6) AS spread FROM v"))
+def formulation_spread(spark, sf_dir):
+    """Means of three formulations of the queries."""
+    r, judged, q = _bm25(spark, sf_dir), X.qrels(spark, sf_dir), X.queries(spark, sf_dir)
+    means = None
+    for name, (a, n) in _FORMS.items():
+        part = q.select("query_id", F.array_join(F.slice(F.split("text", " "), a, n), " ").alias("text"))
+        values = metrics.evaluate_per_query(r.retrieve(part, 10), judged, (10,)).where("metric = 'ndcg@10'").agg(F.avg(F.round("value", 6)).alias("value")).select(F.lit(name).alias("formulation"), "value")
+        means = values if means is None else means.unionByName(values)
+    return _ints(metrics.formulation_spread(means))
+
+
 def _union_cells(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
