@@ -145,8 +145,9 @@ def citation_precision(answer: Column, n: Column) -> Column:
 
 
 def source_block(number: Column, title: Column, text: Column, max_chars: int = 700) -> Column:
-    """One numbered source of a prompt."""
-    return F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(F.coalesce(text, F.lit("")), 1, max_chars))
+    """One numbered source of a prompt; without title and text its number alone."""
+    clean = lambda c: strip(F.coalesce(c, F.lit("")))
+    return strip(F.concat(F.lit("["), number.cast("string"), F.lit("] "), clean(title), F.lit("\n"), F.substring(clean(text), 1, max_chars)))
 
 
 def prepared_ids(ids: Column, mask: Column, marker: int, pad: int, mask_id: int, is_query: bool, skiplist: tuple[int, ...] = ()) -> tuple[Column, Column]:

@@ -15,9 +15,9 @@ from irspan.operators.ranking import top_k
 from irspan.operators.rm3 import RM3Retriever
 
 # The default grids.
-RRF_K = (0, 1, 2, 5, 10, 20, 60, 100, 200)
+RRF_K = (0, 1, 5, 10, 20, 40, 60, 100, 200)
 EXPANSION_WEIGHTS = (0, 1, 2, 3, 5, 8, 12, 20)
-RM3_GRID = {"fb_docs": (3, 5, 10, 20), "fb_terms": (10, 20, 50, 100), "alpha": (0.1, 0.3, 0.4, 0.5, 0.6, 0.8)}
+RM3_GRID = {"fb_docs": (3, 5, 10, 20), "fb_terms": (5, 10, 20, 50), "alpha": (0.2, 0.3, 0.4, 0.5, 0.6, 0.8)}
 
 
 def frange(start: float, stop: float, step: float) -> list[float]:

@@ -727,7 +727,7 @@ def citations(spark, sf_dir):
     return _ints(rows.select("query_id", joined(T.valid_citations(F.col("a"), n)).alias("valid"), joined(T.invalid_citations(F.col("a"), n)).alias("invalid"), T.citation_precision(F.col("a"), n).alias("citation_precision")))
 
 
-@_query(_with(_lex(), _scored("r", k=3), select="SELECT query_id, md5(string_agg('[' || rank || '] ' || title || chr(10) || substr(c.text, 1, 700), chr(10) || chr(10) ORDER BY rank)) AS sources FROM r JOIN corpus c USING (doc_id) GROUP BY 1"))
+@_query(_with(_lex(), _scored("r", k=3), select="SELECT query_id, md5(string_agg(regexp_replace('[' || rank || '] ' || regexp_replace(title, '^\\s+|\\s+$', '', 'g') || chr(10) || substr(regexp_replace(c.text, '^\\s+|\\s+$', '', 'g'), 1, 700), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY rank)) AS sources FROM r JOIN corpus c USING (doc_id) GROUP BY 1"))
 def format_sources(spark, sf_dir):
     from irspan.plans.service import format_sources as formatted
 
