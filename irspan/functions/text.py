@@ -57,8 +57,7 @@ class Tokenizer:
         """Array of tokens; a null text has none."""
         tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
         if self.stopwords:
-            stop = F.array(*(F.lit(w) for w in self.stopwords))
-            tokens = F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+            tokens = F.filter(tokens, lambda t: ~t.isin(*self.stopwords))
         if self.stem:
             tokens = _stemmed(tokens)
         if self.min_length > 1:
