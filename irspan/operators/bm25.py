@@ -12,7 +12,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irspan.functions.text import Tokenizer, document_text
+from irspan.functions.text import Tokenizer
+from irspan.operators.physical import small, spread, written
 from irspan.operators.ranking import top_k
 
 CONTENTS = "contents"
@@ -28,13 +29,13 @@ class LexicalIndex:
     def build(cls, corpus: DataFrame, tokenizer: Tokenizer, fields: tuple[str, ...] | None = None) -> LexicalIndex:
         """Index ``corpus`` (doc_id, title, text): title and text as one, or each of ``fields`` apart."""
         if fields is None:
-            texts = [(CONTENTS, document_text(F.col("title"), F.col("text")))]
+            texts = [(CONTENTS, F.concat_ws(" ", "title", "text"))]  # white space at the ends holds no token
         elif fields:
             texts = [(f, F.col(f)) for f in fields]
         else:
             raise ValueError("there must be a field")
         entries = F.array(*(F.struct(F.lit(f).alias("field"), tokenizer(t).alias("tokens")) for f, t in texts))
-        rows = corpus.select("doc_id", F.explode(entries).alias("e")).select("e.field", "doc_id", "e.tokens")
+        rows = spread(corpus, "doc_id").select("doc_id", F.explode(entries).alias("e")).select("e.field", "doc_id", "e.tokens")
         return cls(rows.withColumn("dl", F.size("tokens")))
 
     def field_stats(self) -> DataFrame:
@@ -42,10 +43,14 @@ class LexicalIndex:
         return self.tokens.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """field, doc_id, dl, term and tf, of all terms or those in a frame with the column term."""
+        """field, doc_id, dl, term and tf, of all terms or those in a frame with the column term.
+
+        The wanted occurrences are moved once, by document: counting them, the sums of a document's
+        scores and (by reuse of that exchange) document frequencies need no other move of them.
+        """
         rows = self.tokens.select("field", "doc_id", "dl", F.explode("tokens").alias("term"))
         if terms is not None:
-            rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+            rows = rows.join(terms.select("term").distinct(), "term", "left_semi").select("field", "doc_id", "dl", "term").repartition("doc_id")
         return rows.groupBy("field", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
@@ -99,9 +104,14 @@ class BM25Retriever:
 
     def matches(self, terms: DataFrame) -> DataFrame:
         """Query terms with the postings they meet: query_id, doc_id, field, weight, idf, tf, dl, avgdl.
-        Nothing here depends on k1 or b."""
+        Nothing here depends on k1 or b.
+
+        The terms, which may come from a first pass, are computed once and written: three joins read them.
+        Their number decides whether they are broadcast to the postings.
+        """
         index = self._need_index()
-        terms = terms.where("weight <> 0")
+        terms = written(terms.where("weight <> 0"), "terms")
+        n_terms = terms.count()
         fields = [(f, w) for f, w in self._field_weights().items() if w]
         field_weight = F.lit(None).cast("double")
         for f, w in fields:
@@ -109,9 +119,9 @@ class BM25Retriever:
         stats = index.field_stats().withColumn("field_weight", field_weight).where("field_weight is not null")
         postings = index.postings(terms)
         df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-        known = terms.join(df, "term").join(F.broadcast(stats), "field")  # stats: one row a field
+        known = df.join(small(terms, n_terms), "term").join(F.broadcast(stats), "field")  # stats: one row a field
         known = known.select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("field_weight")).alias("weight"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        return postings.join(known, ["field", "term"]).select("query_id", "doc_id", "field", "term", "weight", "idf", "tf", "dl", "avgdl")
+        return postings.join(small(known, n_terms * len(fields)), ["field", "term"]).select("query_id", "doc_id", "field", "term", "weight", "idf", "tf", "dl", "avgdl")
 
     def score_weighted_terms(self, terms: DataFrame) -> DataFrame:
         """Scores (query_id, doc_id, score) of weighted query terms."""

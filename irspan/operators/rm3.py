@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from irspan.functions.text import Tokenizer
 from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
+from irspan.operators.physical import written
 from irspan.operators.ranking import top_k
 
 #: Decimals of a term's weight when terms are ranked.
@@ -58,7 +59,9 @@ class RM3Retriever:
         own = terms.select("query_id", "term", (F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).alias("weight"))
         if not self.alpha or not self.fb_docs or not self.fb_terms:
             return own
-        model = self.relevance_model(top_k(self.scorer.score_weighted_terms(terms), self.fb_docs))
+        # The first pass and its model are small (fb_docs and fb_terms rows a query) and read several times.
+        feedback = written(top_k(self.scorer.score_weighted_terms(terms), self.fb_docs), "feedback")
+        model = written(self.relevance_model(feedback), "model")
         has = model.select("query_id").distinct().withColumn("has", F.lit(True))
         scaled = own.join(has, "query_id", "left").select("query_id", "term", F.when(F.col("has"), (1 - self.alpha) * F.col("weight")).otherwise(F.col("weight")).alias("weight"))
         mixed = scaled.unionByName(model.select("query_id", "term", (self.alpha * F.col("weight")).alias("weight")))
