@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irspan.llm import common, knn_quality, language_id, pattern_packing, simhash_dedup, suffix_dedup
+from irspan.llm import common, jaccard_dedup, knn_quality, language_id, pattern_packing, suffix_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (operator 4)."""
-    return simhash_dedup.one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    return jaccard_dedup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from irspan.llm import byte_bpe, components, html_extract, knn_quality, language_id, line_quality, lz_fingerprint, pattern_packing, simhash_dedup, suffix_dedup, warc
+from irspan.llm import byte_bpe, components, html_extract, jaccard_dedup, knn_quality, language_id, line_quality, lz_fingerprint, pattern_packing, simhash_dedup, suffix_dedup, warc
 
 WORDS = "the of and river stone lamp ñandú straße été window paper green seven holding under into garden".split()
 
@@ -178,6 +178,38 @@ def test_links_connect_all(spark, block):
     assert {k: joined.get(k, k) for k in prints} == slow_components(prints)
 
 
+@pytest.mark.parametrize("short", [256, 2])
+def test_near_duplicates_of_the_pipeline(spark, short, monkeypatch):
+    """All pairs of a five-word Jaccard of 0.8 or more, whatever their fingerprints."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_dedup, "SHORT", short)
+    r = random.Random(4)
+    rows = [(i, prose(3000 + i, r.randrange(20, 200))) for i in range(40)]
+    for i in range(40, 160):  # copies of copies with a few words changed, many of one text
+        words = (rows[0] if i < 80 else r.choice(rows))[1].split()
+        for _ in range(r.randrange(1, 5)):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, None), (201, ""), (202, "one two"), (203, "ONE  two"), (204, "one two three")]
+    sets = {i: set(jaccard_dedup.shingles((t or "").encode()).tolist()) for i, t in rows}
+    group = {i: i for i in sets}
+    bits = []
+    for i in sets:
+        for j in sets:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                bits.append((simhash_dedup.simhash((rows[i][1] if i < 160 else "").encode()) ^ simhash_dedup.simhash((rows[j][1] if j < 160 else "").encode())).bit_count())
+                a, b = group[i], group[j]
+                group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    assert max(bits) > simhash_dedup.BITS
+    want = {i for i in group if group[i] == i}
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "")
+    assert kept.columns == docs(spark).columns and sorted(x.doc_id for x in kept.collect()) == sorted(want)
+    more = [*rows, rows[0], (0, prose(9001, 50)), (None, rows[0][1]), (None, rows[0][1])]
+    assert Counter(x.doc_id for x in jaccard_dedup.one_of_each(docs(spark, more)).collect()) == Counter([*want, 0, None, None])
+    assert jaccard_dedup.one_of_each(empty(spark)).count() == 0
+
+
 def test_long_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
