@@ -21,8 +21,8 @@ Hot passages are reduced to their first copy in each block of rows before they a
 groups are read as sorted streams, never gathered.
 
 Defined cases: a null text counts as empty; texts shorter than :data:`MATCH` lose nothing; a null id
-comes after all others.  Rows with equal ids come in the order of a hash of their text; rows with
-equal ids and texts are one document, and get the same result.  Extra columns are not looked at.
+comes after all others.  Rows with equal ids are told apart by 64 bits of a hash of their text, the
+tie, and come in its order; rows with equal ids and texts are one document, and get the same result.  Extra columns are not looked at.
 Equality of contexts is decided by 128 bits of hashes (anchor and context, anchor and string).
 """
 
@@ -130,19 +130,19 @@ def _joined(held: list[tuple[int, int, bytes]]):
     return [i for i, _, _ in held], [at for _, at, _ in held], np.frombuffer(b"".join(x for _, _, x in held), np.uint8), ends - lengths, ends
 
 
-def _repeats(new: np.ndarray, id_: np.ndarray, place: np.ndarray, before: tuple | None = None) -> np.ndarray:
+def _repeats(new: np.ndarray, id_: np.ndarray, tie: np.ndarray, place: np.ndarray, before: tuple | None = None) -> np.ndarray:
     """Rows of classes that aren't at the place of their class's first; new: where classes begin, before:
-    id and place of the first of a class that goes on."""
+    id, tie and place of the first of a class that goes on."""
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-    out = (id_ != id_[first]) | (place != place[first])
+    out = (id_ != id_[first]) | (tie != tie[first]) | (place != place[first])
     if before is not None:
         on = first < 0
-        out[on] = (id_[on] != before[0]) | (place[on] != before[1])
+        out[on] = (id_[on] != before[0]) | (tie[on] != before[1]) | (place[on] != before[2])
     return out
 
 
-def _later(order_by: tuple[np.ndarray, ...], id_: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which rows repeat an earlier one: equal in ``order_by``, later by id and place."""
+def _later(order_by: tuple[np.ndarray, ...], id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows repeat an earlier one: equal in ``order_by``, later by id, tie and place."""
     out = np.zeros(len(id_), bool)
     if len(id_) < 2:
         return out
@@ -154,31 +154,31 @@ def _later(order_by: tuple[np.ndarray, ...], id_: np.ndarray, place: np.ndarray)
     near[1:] |= same
     near[:-1] |= same
     some = order[near]  # only rows with an equal neighbour; a class may still be apart where the first column ties
-    some = some[np.lexsort((place[some], id_[some], *(c[some] for c in reversed(order_by))))]
+    some = some[np.lexsort((place[some], tie[some], id_[some], *(c[some] for c in reversed(order_by))))]
     if len(some):
         new = np.ones(len(some), bool)
         new[1:] = np.any([c[some][1:] != c[some][:-1] for c in order_by], axis=0)
-        out[some] = _repeats(new, id_[some], place[some])
+        out[some] = _repeats(new, id_[some], tie[some], place[some])
     return out
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, context, id, place.  Anchors have a key of 0 or more; a place is the tie, the anchor's
+    """Rows key, context, id, tie, place.  Anchors have a key of 0 or more; a place is the anchor's
     position and how far before it its first and last strings start.  Rows with a negative key are
     ranges of repeats found within the task: the context is where one starts and ends."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def give() -> pa.RecordBatch:
-        key, context, id_, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, context, id_, tie, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        later = _later((context, key), id_, place)
-        i, tie, begin, end, _, _ = _ranges(id_[later], place[later], key[later])
-        i, tie, begin, end = _merged(i, tie, begin, end)
+        later = _later((context, key), id_, tie, place)
+        i, t, begin, end, _, _ = _ranges(id_[later], tie[later], place[later], key[later])
+        i, t, begin, end = _merged(i, t, begin, end)
         # Ranges go where their document's hash sends them.
-        spread = (_mix(i.view(_U) + _U(1)) >> _U(1)).view(np.int64)
-        columns = zip((key[~later], context[~later], id_[~later], place[~later]), (-1 - spread, (begin << 32) | end, i, tie << 46), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["key", "context", "id", "place"])
+        spread = (_mix(i.view(_U) + _mix(t.view(_U)) + _U(1)) >> _U(1)).view(np.int64)
+        columns = zip((key[~later], context[~later], id_[~later], tie[~later], place[~later]), (-1 - spread, (begin << 32) | end, i, t, np.zeros(len(i), np.int64)), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["key", "context", "id", "tie", "place"])
 
     for batch in batches:
         ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
@@ -189,8 +189,8 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             which, offsets = np.array(which)[doc], np.array(offsets, np.int64)[doc]
             own = at - starts[doc] + offsets
-            place = (ties[which] << 46) | (own << 14) | ((at - first) << 7) | (at - last)
-            held.append((key, context, ids[which], place))
+            place = (own << 14) | ((at - first) << 7) | (at - last)
+            held.append((key, context, ids[which], ties[which], place))
             size += len(key)
             if size >= HELD_ROWS:
                 yield give()
@@ -203,9 +203,9 @@ _RANGE = "id long, tie long, begin long, end long, at long, key long"
 _RANGE_NAMES = ["id", "tie", "begin", "end", "at", "key"]
 
 
-def _ranges(id_: np.ndarray, place: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
-    at = (place >> 14) & 0xFFFFFFFF
-    return [id_, place >> 46, at - ((place >> 7) & 127), at - (place & 127) + MATCH, at, key]
+def _ranges(id_: np.ndarray, tie: np.ndarray, place: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    at = place >> 14
+    return [id_, tie, at - ((place >> 7) & 127), at - (place & 127) + MATCH, at, key]
 
 
 def _merged(id_: np.ndarray, tie: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -219,22 +219,22 @@ def _merged(id_: np.ndarray, tie: np.ndarray, begin: np.ndarray, end: np.ndarray
 
 
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key, context, id, place: ranges of repeats (key -1), and those first
+    """From rows in the order of key, context, id, tie, place: ranges of repeats (key -1), and those first
     contexts whose anchors have several (with their key)."""
     last_key = last_context = first = None
     waiting = None  # the first row of the current anchor while it has one context only
     for batch in batches:
-        key, context, id_, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        key, context, id_, tie, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         ready = key < 0
-        out = [[id_[ready], place[ready] >> 46, context[ready] >> 32, context[ready] & 0xFFFFFFFF, np.zeros(int(ready.sum()), np.int64), np.full(int(ready.sum()), -1)]]
-        key, context, id_, place = key[~ready], context[~ready], id_[~ready], place[~ready]
+        out = [[id_[ready], tie[ready], context[ready] >> 32, context[ready] & 0xFFFFFFFF, np.zeros(int(ready.sum()), np.int64), np.full(int(ready.sum()), -1)]]
+        key, context, id_, tie, place = (c[~ready] for c in (key, context, id_, tie, place))
         if len(key):
             new_key = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
             new = new_key | np.concatenate(([context[0] != last_context], context[1:] != context[:-1]))
-            again = _repeats(new, id_, place, first)
+            again = _repeats(new, id_, tie, place, first)
             i = int(np.flatnonzero(new)[-1]) if new.any() else None
-            first = (id_[i], place[i]) if i is not None else first
-            out.append(_ranges(id_[again], place[again], np.full(int(again.sum()), -1)))
+            first = (id_[i], tie[i], place[i]) if i is not None else first
+            out.append(_ranges(id_[again], tie[again], place[again], np.full(int(again.sum()), -1)))
             run = np.cumsum(new_key)  # 0: goes on from the batch before
             several = np.zeros(int(run[-1]) + 1, bool)
             several[run[new & ~new_key]] = True
@@ -242,10 +242,10 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 out.append(_ranges(*(np.array([x]) for x in waiting)))
                 waiting = None
             look = new & several[run]
-            out.append(_ranges(id_[look], place[look], key[look]))
+            out.append(_ranges(id_[look], tie[look], place[look], key[look]))
             if run[-1]:
                 i = int(np.flatnonzero(new_key)[-1])
-                waiting = None if several[-1] else (id_[i], place[i], key[i])
+                waiting = None if several[-1] else (id_[i], tie[i], place[i], key[i])
             last_key, last_context = key[-1], context[-1]
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         if len(columns[0]):
@@ -257,33 +257,34 @@ def suffix_order(strings: np.ndarray) -> np.ndarray:
     return np.argsort(strings, kind="stable")
 
 
-def previous_match(strings: np.ndarray, id_: np.ndarray, place: np.ndarray) -> np.ndarray:
+def previous_match(strings: np.ndarray, id_: np.ndarray, place: np.ndarray, tie: np.ndarray | None = None) -> np.ndarray:
     """For strings in the order of their positions: whether the longest previous factor is whole.
 
     In suffix order the previous smaller position of a string with an equal one before it is its
     predecessor, since equal strings lie side by side by position.
     """
     order = suffix_order(strings)
+    tie = np.zeros(len(strings), np.int64) if tie is None else tie
     new = np.ones(len(strings), bool)
     new[1:] = strings[order[1:]] != strings[order[:-1]]
     out = np.zeros(len(strings), bool)
-    out[order] = _repeats(new, id_[order], place[order])
+    out[order] = _repeats(new, id_[order], tie[order], place[order])
     return out
 
 
-_MET = "route long, key long, id long, place long, body binary"
-_MET_NAMES = ["route", "key", "id", "place", "body"]
+_MET = "route long, key long, id long, tie long, place long, body binary"
+_MET_NAMES = ["route", "key", "id", "tie", "place", "body"]
 
 
-def _strings(bodies: list[bytes], id_: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All strings in contexts: the strings, their ids and places, and which context each is in."""
+def _strings(bodies: list[bytes], id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All strings in contexts: the strings, their ids, ties and places, and which context each is in."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
     lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
     counts = lengths - MATCH + 1
     which = np.repeat(np.arange(len(bodies)), counts)
     within = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
     rows = np.lib.stride_tricks.sliding_window_view(data, MATCH)[within + np.repeat(np.cumsum(lengths) - lengths, counts)]
-    return np.ascontiguousarray(rows).view(f"S{MATCH}").ravel(), id_[which], place[which] + (within << 14), which
+    return np.ascontiguousarray(rows).view(f"S{MATCH}").ravel(), id_[which], tie[which], place[which] + (within << 14), which
 
 
 def _digests(strings: np.ndarray) -> np.ndarray:
@@ -295,15 +296,15 @@ def _digests(strings: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _repeated(strings: np.ndarray, id_: np.ndarray, place: np.ndarray) -> np.ndarray:
-    order = np.lexsort((place, id_))
+def _repeated(strings: np.ndarray, id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    order = np.lexsort((place, tie, id_))
     out = np.zeros(len(order), bool)
-    out[order] = previous_match(strings[order], id_[order], place[order])
+    out[order] = previous_match(strings[order], id_[order], place[order], tie[order])
     return out
 
 
 def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows route, key, id, place (tie and start) and body: contexts, which meet by their key, and of
+    """Rows route, key, id, tie, place (the start) and body: contexts, which meet by their key, and of
     hot anchors the strings that are the first in this block, which meet by their digest.  Repeats
     among these have the key -1."""
     cold: list[tuple] = []
@@ -311,25 +312,25 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     sizes = [0, 0]
 
     def give_cold() -> pa.RecordBatch:
-        key, id_, place, body = zip(*cold, strict=True)
+        key, id_, tie, place, body = zip(*cold, strict=True)
         cold.clear()
         sizes[0] = 0
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(key, pa.int64()), pa.array(id_, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], _MET_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(key, pa.int64()), pa.array(id_, pa.int64()), pa.array(tie, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], _MET_NAMES)
 
     def give_hot() -> pa.RecordBatch:
-        keys, ids, places, bodies = zip(*hot, strict=True)
+        keys, ids, ties, places, bodies = zip(*hot, strict=True)
         hot.clear()
         sizes[1] = 0
-        strings, id_, place, which = _strings(list(bodies), np.array(ids, np.int64), np.array(places, np.int64))
-        again = _repeated(strings, id_, place)
+        strings, id_, tie, place, which = _strings(list(bodies), *(np.array(x, np.int64) for x in (ids, ties, places)))
+        again = _repeated(strings, id_, tie, place)
         key = np.where(again, -1, np.array(keys, np.int64)[which])
-        route = np.where(again, _mix(id_.view(_U)).view(np.int64), _digests(strings))
-        return pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.array(id_), pa.array(place), pa.nulls(len(id_), pa.binary())], _MET_NAMES)
+        route = np.where(again, _mix(id_.view(_U) + _mix(tie.view(_U))).view(np.int64), _digests(strings))
+        return pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.array(id_), pa.array(tie), pa.array(place), pa.nulls(len(id_), pa.binary())], _MET_NAMES)
 
     for batch in batches:
         for row_id, tie, text, contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for c in contexts:
-                row = (c["key"], row_id, (tie << 46) | (c["begin"] << 14), text[c["begin"] : c["end"]])
+                row = (c["key"], row_id, tie, c["begin"] << 14, text[c["begin"] : c["end"]])
                 (hot if c["hot"] else cold).append(row)
                 sizes[bool(c["hot"])] += c["end"] - c["begin"] - MATCH + 1
                 if sizes[0] >= 4 * HELD_STRINGS:
@@ -343,45 +344,45 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of route, key, id, place: ranges of all strings but the first of a class."""
+    """From rows in the order of route, key, id, tie, place: ranges of all strings but the first of a class."""
     last = first = None
     held: list[tuple] = []  # contexts of whole anchors, and of one that may go on
     size = 0
 
-    def ranges(id_: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        p = (place >> 14) & 0xFFFFFFFF
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(id_, place >> 46, p, p + MATCH)], ["id", "tie", "begin", "end"])
+    def ranges(id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        p = place >> 14
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(id_, tie, p, p + MATCH)], ["id", "tie", "begin", "end"])
 
     def match(rows: list[tuple]) -> pa.RecordBatch:
-        _, ids, places, bodies = zip(*rows, strict=True)
-        strings, id_, place, _ = _strings(list(bodies), np.array(ids, np.int64), np.array(places, np.int64))
-        again = _repeated(strings, id_, place)
-        return ranges(id_[again], place[again])
+        _, ids, ties, places, bodies = zip(*rows, strict=True)
+        strings, id_, tie, place, _ = _strings(list(bodies), *(np.array(x, np.int64) for x in (ids, ties, places)))
+        again = _repeated(strings, id_, tie, place)
+        return ranges(id_[again], tie[again], place[again])
 
     for batch in batches:
-        route, key, id_, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
-        whole = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        for row in zip(key[whole].tolist(), id_[whole].tolist(), place[whole].tolist(), batch.column(4).filter(pa.array(whole)).to_pylist(), strict=True):
+        route, key, id_, tie, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+        whole = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+        for row in zip(key[whole].tolist(), id_[whole].tolist(), tie[whole].tolist(), place[whole].tolist(), batch.column(5).filter(pa.array(whole)).to_pylist(), strict=True):
             if size >= HELD_STRINGS and row[0] != held[-1][0]:
                 out = match(held)
                 if out.num_rows:
                     yield out
                 held, size = [], 0
             held.append(row)
-            size += len(row[3]) - MATCH + 1
+            size += len(row[4]) - MATCH + 1
         alone = ~whole
-        route, key, id_, place = route[alone], key[alone], id_[alone], place[alone]
+        route, key, id_, tie, place = (c[alone] for c in (route, key, id_, tie, place))
         again = key < 0
-        d, k, i, p = route[~again], key[~again], id_[~again], place[~again]
+        d, k, i, t, p = (c[~again] for c in (route, key, id_, tie, place))
         if len(d):
             new = np.concatenate(([(d[0], k[0]) != last], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
-            again[~again] = _repeats(new, i, p, first)
+            again[~again] = _repeats(new, i, t, p, first)
             if new.any():
                 at = int(np.flatnonzero(new)[-1])
-                first = (i[at], p[at])
+                first = (i[at], t[at], p[at])
             last = (d[-1], k[-1])
         if again.any():
-            yield ranges(id_[again], place[again])
+            yield ranges(id_[again], tie[again], place[again])
     if held:
         out = match(held)
         if out.num_rows:
@@ -391,7 +392,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, tie and text in bytes; the tie tells rows with equal ids apart."""
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("tie"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def removed_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -400,8 +401,8 @@ def removed_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
     common.small_batches(spark)
     rows = _keyed(docs, id_column, text_column)
     width = common.shuffle_width(spark)
-    found = rows.mapInArrow(_find_anchors, "key long, context long, id long, place long")
-    found = found.repartition(width, "key").sortWithinPartitions("key", "context", "id", "place").mapInArrow(_sort_contexts, _RANGE)
+    found = rows.mapInArrow(_find_anchors, "key long, context long, id long, tie long, place long")
+    found = found.repartition(width, "key").sortWithinPartitions("key", "context", "id", "tie", "place").mapInArrow(_sort_contexts, _RANGE)
     found = common.written(found, "repeats")
     common.release(spark)
     contexts = found.where("key >= 0").select("id", "tie", "begin", "end", "key")
@@ -410,7 +411,7 @@ def removed_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
     entry = F.struct("begin", "end", "key", F.coalesce("hot", F.lit(False)).alias("hot"))
     lists = contexts.join(hot, "key", "left").groupBy("id", "tie").agg(F.collect_list(entry).alias("contexts"))  # of one text
     met = rows.join(lists.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "contexts").mapInArrow(_find_contexts, _MET)
-    met = met.repartition(width, "route").sortWithinPartitions("route", "key", "id", "place").mapInArrow(_meet, "id long, tie long, begin long, end long")
+    met = met.repartition(width, "route").sortWithinPartitions("route", "key", "id", "tie", "place").mapInArrow(_meet, "id long, tie long, begin long, end long")
     more = common.written(met, "repeats")
     common.release(spark)
     return found.where("key < 0").select("id", "tie", "begin", "end").unionByName(more)
@@ -440,7 +441,7 @@ def _with_ranges(docs: DataFrame, id_column: str, text_column: str, keep: list)
     ranges = removed_ranges(docs, id_column, text_column)
     lists = ranges.groupBy("id", "tie").agg(F.collect_list(F.shiftleft("begin", 32).bitwiseOR(F.col("end"))).alias("ranges"))  # of one text
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("tie"), text.alias("text"), *keep)
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"), *keep)
     return rows.join(lists.hint("shuffle_hash"), ["id", "tie"], "left").drop("tie")
 
 

@@ -358,6 +358,31 @@ def test_suffix_dedup(spark, most, monkeypatch):
     assert suffix_dedup.digests(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1000, 2])
+def test_suffix_dedup_of_rows_with_one_id(spark, most, monkeypatch):
+    """Many different texts under no id and under one id: each is a document of its own."""
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    r = random.Random(11)
+    passages = [prose(4000 + i, 25) for i in range(6)]
+    texts = [" ".join([prose(5000 + i, r.randrange(3, 30)), *r.sample(passages, 2), f"{i}"]) for i in range(1400)]
+    # Texts that share the lowest 15 bits of the hash, and a passage at the same place.
+    hashes = spark.createDataFrame([(f"{passages[0]} {i}" + " x" * (i % 90),) for i in range(3000)], "t string").selectExpr("t", "xxhash64(cast(t as binary)) AS h").collect()
+    same = {}
+    for x in hashes:
+        same.setdefault(x.h & 0x7FFF, []).append(x.t)
+    alike = [t for ts in same.values() if len(ts) > 1 for t in ts][:60]
+    assert len(alike) >= 40
+    texts += alike
+    for hot in (None, 7):
+        rows = [(1, passages[0]), *((hot, t) for t in texts)]
+        got = Counter((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(docs(spark, rows)).where("doc_id is null or doc_id = 7").collect())
+        order = {x.t: x.h for x in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(cast(t as binary)) AS h").collect()}
+        ranked = [(-1, passages[0]), *enumerate(sorted(texts, key=order.get))]
+        want = slow_removal(ranked)
+        del want[-1]
+        assert got == Counter(want.values())
+
+
 def test_previous_match_is_the_longest_previous_factor():
     text = np.frombuffer((prose(1, 80) + prose(2, 30) + prose(1, 80)).encode(), np.uint8)
     view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 100)).view("S100").ravel()
