@@ -515,6 +515,16 @@ def paired_mc_portable(spark, sf_dir):
     return _ints(significance.paired_sampled(significance.aligned(*_pairs(spark, sf_dir)), 2000))
 
 
+@_query(_with(*_TWO, _SYSTEMS, """d AS (SELECT a.query_id, a.value - b.value AS d, row_number() OVER (ORDER BY a.query_id) - 1 AS i FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b'),
+o AS (SELECT sum(d) AS o, count(*) AS n, count(*) FILTER (WHERE d = 0) AS ties FROM d),
+e AS (SELECT m, sum(d * (1 - 2 * ((m >> i) & 1))) AS s FROM d, o, range(0, (1 << 16)) AS g(m) WHERE n <= 16 AND m < (1 << least(n, 16)) GROUP BY 1),
+m AS (SELECT r, sum(CASE WHEN substr(md5('0:' || r || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d, o, range(0, 10000) AS g(r) WHERE n > 16 GROUP BY 1),
+h AS (SELECT count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) AS c, count(*) AS t FROM (SELECT s FROM e UNION ALL SELECT s FROM m), o)""", select="SELECT round(o / n, 6) AS delta, round(CASE WHEN n <= 16 THEN c / t ELSE least(1, (c + 1) / 10001.0) END, 6) AS p_value, n, CASE WHEN n <= 16 THEN 'exact' ELSE 'monte-carlo' END AS method, t::BIGINT AS assignments, CASE WHEN n > 16 THEN 0 END::BIGINT AS seed, ties, n - ties AS effective_queries FROM o, h"))
+def paired_test(spark, sf_dir):
+    """Test over all queries: all sign vectors of few, draws of many."""
+    return _ints(significance.paired_test(*_pairs(spark, sf_dir)))
+
+
 @_query(_with("p AS (SELECT item_id AS position, ((item_id * 37) % 101) / 1000.0::DOUBLE AS p FROM benchmark)", select="""SELECT position, round(p, 6) AS p, round(least(1, max(step) OVER (ORDER BY p, position ROWS UNBOUNDED PRECEDING)), 6) AS adjusted
 FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, position) + 1) * p AS step FROM p)"""))
 def holm(spark, sf_dir):
