@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch that reaches a Python worker; with whole texts a batch must stay small.
 BATCH_ROWS = 1000
 #: Text bytes that a worker handles at a time within a batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+#: An input below this estimate may lie in a single row group, and is dealt out to the cores.
+SPREAD_BYTES = 64 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,33 +28,99 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, with the rows of a small input dealt out to all cores; a larger one is read where it lies."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lower the session's bound of an Arrow batch to ``rows``, so that long texts do not fill a worker.
+
+    The setting is read when a frame runs, which may be after its maker has returned; so it is only
+    ever lowered, and stays.  What runs at once takes :func:`batches` instead.
+    """
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows for the jobs that run inside; the setting is put back."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Only a local master may do without: all its threads
+    are on one machine; a cluster's executors would not see each other's files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="irspan-")
+            _made.append((spark, _local[app]))
+        base = _local[app]
+    return base.rstrip("/")
+
+
+_local: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """URI of a new folder for files that all executors and the driver see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="irspan-")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """URI of a new folder for files that all executors and the driver see; gone when the driver ends."""
+    path = f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by files in the shared folder of ``spark.checkpoint.dir``.
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder whose rows are no longer needed."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    A folder is set only where the session names none, as in tests.
-    """
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in reversed(_made):
+        try:
+            drop(spark, path)
+        except Exception:  # the session has ended; files are then left to the folder's owner
+            return
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by files in the shared folder of ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="irspan-"))
+        sc.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
     """``df`` cut from its lineage as a Parquet table in the shared folder: smaller than a checkpoint."""
-    path = shared_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Table(df, kind).rows
+
+
+class Table:
+    """Rows kept as Parquet in the shared folder until they are dropped."""
+
+    def __init__(self, df: DataFrame, kind: str):
+        self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, kind)
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        drop(self.spark, self.path)
 
 
 def release(spark: SparkSession) -> None:
@@ -100,6 +171,17 @@ def filter_arrow(df: DataFrame, accept: Callable[[list], list], text_column: str
     return df.mapInArrow(run, df.schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` for columns beside those of ``df``, made longer where one is taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc32_of(column: str) -> Column:
     """crc32 of the decimal text of an integer column; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
