@@ -1,10 +1,9 @@
 """Removal of repeated passages: every byte covered by a string of :data:`MATCH` bytes that also
 starts earlier, in a smaller id or before it in the same text.
 
-A suffix has an earlier match of that length when its longest previous factor is that long; in suffix
-order that factor is shared with the previous or the next suffix of smaller position.  Suffixes of
-all texts cannot be sorted in one place, so they are dealt out by content, in such a way that equal
-strings of :data:`MATCH` bytes meet:
+A position goes when its longest previous factor (the longest string from there that also starts
+earlier) is that long.  Suffixes of all texts cannot be sorted in one place, so they are dealt out by
+content, in such a way that equal strings of :data:`MATCH` bytes meet:
 
 1. Each such string is represented by its anchor, the :data:`GRAM` bytes in it with the least hash
    (the leftmost of equals).  Neighbouring strings share an anchor; the bytes that the strings of one
@@ -12,18 +11,21 @@ strings of :data:`MATCH` bytes meet:
 2. Contexts of an anchor that are equal have the same strings, so all but the first are repeats
    throughout.  The first of each is looked at again only if its anchor has different contexts (at
    the ends of a passage, around an edit).
-3. The contexts of an anchor meet, and their strings are put in suffix order; in it each string's
-   previous smaller position with a common prefix of that length is its earlier match.  An anchor with
-   more than :data:`MOST_CONTEXTS` contexts is dealt out by strings: those of a block of texts are put
-   in suffix order there, and the first of each class meets those of other blocks by its digest.
+3. The contexts of an anchor meet.  Their suffixes are put in suffix order with the array of longest
+   common prefixes; the previous and the next smaller place in that order give each suffix its longest
+   previous factor, and those of :data:`MATCH` bytes or more are repeats.  An anchor with more than
+   :data:`MOST_CONTEXTS` contexts is dealt out by strings: those of a block of texts are put in
+   suffix order there, and what is first in its block meets that of other blocks by its digest.
 
 Hot passages are reduced to their first copy in each block of rows before they are moved, and all
 groups are read as sorted streams, never gathered.
 
-Defined cases: a null text counts as empty; texts shorter than :data:`MATCH` lose nothing; a null id
-comes after all others.  Rows with equal ids are told apart by 64 bits of a hash of their text, the
-tie, and come in its order; rows with equal ids and texts are one document, and get the same result.  Extra columns are not looked at.
-Equality of contexts is decided by 128 bits of hashes (anchor and context, anchor and string).
+Defined cases: a null or empty text loses nothing and is of 0 bytes; so do texts shorter than
+:data:`MATCH`; an empty table gives no rows.  Very long texts are hashed in parts that overlap.  A null
+id comes after all others.  Rows with equal ids are told apart by 64 bits of a hash of their text, the
+tie, and come in its order; rows with equal ids and texts are one document, and get the same result.
+Extra columns, whatever their names, are not looked at.  Equality of contexts is decided by 128 bits of
+hashes (anchor and context; in hot anchors also anchor and string).
 """
 
 from __future__ import annotations
@@ -252,23 +254,51 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], _RANGE_NAMES)
 
 
-def suffix_order(strings: np.ndarray) -> np.ndarray:
-    """Order of fixed-width byte strings, equal ones by their place: a suffix array cut at the width."""
-    return np.argsort(strings, kind="stable")
-
-
-def previous_match(strings: np.ndarray, id_: np.ndarray, place: np.ndarray, tie: np.ndarray | None = None) -> np.ndarray:
-    """For strings in the order of their positions: whether the longest previous factor is whole.
-
-    In suffix order the previous smaller position of a string with an equal one before it is its
-    predecessor, since equal strings lie side by side by position.
+def suffix_array(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of suffixes that are given as zero-padded rows of bytes, equal ones by their place,
+    and the length of the longest common prefix of each with the one before it (0 for the first)."""
+    n, width = rows.shape
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    words = rows.view(np.uint64)
+    lcp = np.zeros(n, np.int64)
+    for at in range(1, n, 1 << 15):
+        here, last = order[at : at + (1 << 15)], order[at - 1 : at - 1 + min(1 << 15, n - at)]
+        differ = words[here] ^ words[last]
+        word = (differ != 0).argmax(axis=1)
+        first = differ[np.arange(len(here)), word]
+        low = first & (~first + _U(1))  # the lowest set bit lies in the first byte that differs
+        byte = np.where(first == 0, width, 8 * word + (np.bitwise_count(low - _U(1)) >> 3))
+        lcp[at : at + len(here)] = np.minimum(byte, np.minimum(lengths[here], lengths[last]))
+    return order, lcp
+
+
+def longest_previous_factors(order: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """For each place the length of the longest string from there that also starts at a smaller place;
+    values under ``least`` are given as 0.
+
+    In suffix order that string is shared with the nearest entry before, or after, that has a smaller
+    place (the previous and the next smaller value): its length is the least common prefix on the
+    way there.  Both are found for all entries at once by jumping along the pointers found so far; an
+    entry is given up as soon as its common prefix is under ``least``.
     """
-    order = suffix_order(strings)
-    tie = np.zeros(len(strings), np.int64) if tie is None else tie
-    new = np.ones(len(strings), bool)
-    new[1:] = strings[order[1:]] != strings[order[:-1]]
-    out = np.zeros(len(strings), bool)
-    out[order] = _repeats(new, id_[order], tie[order], place[order])
+    n = len(order)
+    best = np.zeros(n, np.int64)
+    for step in (-1, 1):
+        to = np.arange(n) + step
+        low = np.zeros(n, np.int64)
+        if step < 0:
+            low[1:] = lcp[1:]
+        else:
+            low[:-1] = lcp[1:]
+        open_ = np.flatnonzero(low >= least)
+        while len(open_):
+            open_ = open_[order[to[open_]] > order[open_]]
+            there = to[open_]
+            low[open_], to[open_] = np.minimum(low[open_], low[there]), to[there]
+            open_ = open_[low[open_] >= least]
+        best = np.maximum(best, np.where(low >= least, low, 0))
+    out = np.empty(n, np.int64)
+    out[order] = best
     return out
 
 
@@ -276,33 +306,42 @@ _MET = "route long, key long, id long, tie long, place long, body binary"
 _MET_NAMES = ["route", "key", "id", "tie", "place", "body"]
 
 
-def _strings(bodies: list[bytes], id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All strings in contexts: the strings, their ids, ties and places, and which context each is in."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
+def _suffixes(bodies: list[bytes], id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The suffixes of at least MATCH bytes of contexts, in the order of their places: padded rows of
+    bytes, lengths, ids, ties, places, and which context each is of.  A row that repeats (equal id,
+    tie and place) is one context."""
+    order = np.lexsort((place, tie, id_))
+    new = np.ones(len(order), bool)
+    new[1:] = (id_[order][1:] != id_[order][:-1]) | (tie[order][1:] != tie[order][:-1]) | (place[order][1:] != place[order][:-1])
+    order = order[new]
+    lengths = np.fromiter((len(bodies[i]) for i in order), np.int64, len(order))
+    width = -(-int(lengths.max()) // 8) * 8
+    data = np.frombuffer(b"".join([*(bodies[i] for i in order), bytes(width)]), np.uint8)
     counts = lengths - MATCH + 1
-    which = np.repeat(np.arange(len(bodies)), counts)
+    which = np.repeat(np.arange(len(order)), counts)
     within = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    rows = np.lib.stride_tricks.sliding_window_view(data, MATCH)[within + np.repeat(np.cumsum(lengths) - lengths, counts)]
-    return np.ascontiguousarray(rows).view(f"S{MATCH}").ravel(), id_[which], tie[which], place[which] + (within << 14), which
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)[within + np.repeat(np.cumsum(lengths) - lengths, counts)].copy()
+    left = lengths[which] - within
+    rows *= np.arange(width) < left[:, None]
+    which = order[which]
+    return rows, left, id_[which], tie[which], place[which] + (within << 14), which
+
 
+def _repeated(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which suffixes start with MATCH bytes that also start at a smaller place."""
+    return longest_previous_factors(*suffix_array(rows, lengths), MATCH) >= MATCH
 
-def _digests(strings: np.ndarray) -> np.ndarray:
-    words = np.zeros((len(strings), 13), _U)
-    words.view(np.uint8)[:, :MATCH] = strings.view(np.uint8).reshape(-1, MATCH)
-    out = np.zeros(len(strings), _U)
+
+def _digests(rows: np.ndarray) -> np.ndarray:
+    """Hashes of the first MATCH bytes of each row."""
+    words = np.zeros((len(rows), 13), _U)
+    words.view(np.uint8)[:, :MATCH] = rows[:, :MATCH]
+    out = np.zeros(len(rows), _U)
     for j in range(13):
         out = _mix(out * _U(31) + words[:, j] + _U(_BASE + j))
     return out.view(np.int64)
 
 
-def _repeated(strings: np.ndarray, id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
-    order = np.lexsort((place, tie, id_))
-    out = np.zeros(len(order), bool)
-    out[order] = previous_match(strings[order], id_[order], place[order], tie[order])
-    return out
-
-
 def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows route, key, id, tie, place (the start) and body: contexts, which meet by their key, and of
     hot anchors the strings that are the first in this block, which meet by their digest.  Repeats
@@ -321,10 +360,10 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         keys, ids, ties, places, bodies = zip(*hot, strict=True)
         hot.clear()
         sizes[1] = 0
-        strings, id_, tie, place, which = _strings(list(bodies), *(np.array(x, np.int64) for x in (ids, ties, places)))
-        again = _repeated(strings, id_, tie, place)
+        suffixes, lengths, id_, tie, place, which = _suffixes(list(bodies), *(np.array(x, np.int64) for x in (ids, ties, places)))
+        again = _repeated(suffixes, lengths)
         key = np.where(again, -1, np.array(keys, np.int64)[which])
-        route = np.where(again, _mix(id_.view(_U) + _mix(tie.view(_U))).view(np.int64), _digests(strings))
+        route = np.where(again, _mix(id_.view(_U) + _mix(tie.view(_U))).view(np.int64), _digests(suffixes))
         return pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.array(id_), pa.array(tie), pa.array(place), pa.nulls(len(id_), pa.binary())], _MET_NAMES)
 
     for batch in batches:
@@ -355,8 +394,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def match(rows: list[tuple]) -> pa.RecordBatch:
         _, ids, ties, places, bodies = zip(*rows, strict=True)
-        strings, id_, tie, place, _ = _strings(list(bodies), *(np.array(x, np.int64) for x in (ids, ties, places)))
-        again = _repeated(strings, id_, tie, place)
+        suffixes, lengths, id_, tie, place, _ = _suffixes(list(bodies), *(np.array(x, np.int64) for x in (ids, ties, places)))
+        again = _repeated(suffixes, lengths)
         return ranges(id_[again], tie[again], place[again])
 
     for batch in batches:
@@ -479,7 +518,7 @@ def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses and keeps."""
-    return digests(common.table(spark, sf_dir, "documents"))
+    return digests(common.spread(common.table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
