@@ -3,14 +3,17 @@
 Texts become token ids, a separator behind each document; documents longer than a sequence are cut
 into full pieces, the remainder first.  Lengths alone decide the packing: their histogram (one count
 for each length, however large the corpus) goes to the driver.  Patterns of up to three length bins
-that fill a sequence are enumerated, their repeat counts fitted to the binned histogram by
-non-negative least squares and rounded down; each pattern takes exact lengths, the last one the best
-fit; what is left is packed best fit first, longest first.  The plan is a few thousand entries
+that fill a sequence are enumerated, and longer ones added by what the histogram has left; their repeat
+counts are fitted to the binned histogram by non-negative least squares and rounded down; each pattern
+takes exact lengths, the last one the best fit; what is left is packed best fit, longest first.  Plain
+best fit is among the plans compared, so none takes more sequences.  The plan is a few thousand entries
 (lengths, repeats).  Pieces take their places by rank among those of their length; ranks come from
 buckets of bounded size, so no length is gathered in one task.
 
-Defined cases: a null or empty text is the separator alone; rows with equal ids are separate
-documents; an empty table gives no pieces.  Extra columns are not looked at.
+Defined cases: a null or empty text is the separator alone; rows that repeat, and rows with equal or null
+ids, are separate documents; an empty table gives no pieces; a very long text is encoded whole by one
+task, long runs of white space by the rule of :mod:`byte_bpe`; the strings of special tokens are
+ordinary text.  Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from irspan.llm import common
-from irspan.llm.byte_bpe import encoding, vocabulary_path
+from irspan.llm.byte_bpe import encode_text, encoding, has_long_space, vocabulary_path
 
 #: Tokens of a sequence, and the id behind each document.
 SEQUENCE, SEPARATOR = 2048, 0
-#: Width of the length bins that patterns are made of, and lengths in a pattern at most.
-BIN, PATTERN_DOCS = 16, 3
+#: Width of the length bins that patterns are made of, documents in the patterns that are enumerated,
+#: and how often patterns of any number of documents are added by what is left of the histogram.
+BIN, PATTERN_DOCS, ROUNDS = 16, 3, 8
+#: Shares of the fitted repeats that are tried; 0 is plain best fit.
+SHARES = (1.0, 0.95, 0.8, 0.5, 0.0)
 #: Pieces of a length are ranked in buckets of about so many, and in so many buckets at most over all.
 BUCKET_ROWS, MOST_BUCKETS = 256, 20_000
 #: Words that a worker remembers the ids of.
@@ -74,7 +80,7 @@ class Tokenizer:
             self.words.clear()
         words = self.words
         for t in texts:
-            if not t.isascii() and _BEYOND.search(t) or _ODD_SPACE.search(t):
+            if not t.isascii() and _BEYOND.search(t) or _ODD_SPACE.search(t) or has_long_space(t):
                 split.append(None)
                 continue
             parts = t.split(" ")
@@ -94,7 +100,7 @@ class Tokenizer:
         out = []
         for t, parts in zip(texts, split, strict=True):
             if parts is None:
-                out.append(self._exact(t) if _BEYOND.search(t) else np.array(self.encoding.encode_ordinary(t), "<u4").tobytes())
+                out.append(self._exact(t) if _BEYOND.search(t) else np.array(encode_text(t, self.encoding), "<u4").tobytes())
             else:
                 out.append(np.array(self.encoding.encode_ordinary(parts[0]), "<u4").tobytes() + b"".join(map(get, parts[1:])))
         return out
@@ -204,11 +210,59 @@ def _take(counts: np.ndarray, lengths: list[int]) -> int:
     return min(int(counts[x]) // n for x, n in need.items())
 
 
-def make_plan(histogram: dict[int, int], sequence: int = SEQUENCE, width: int = BIN) -> Plan:
-    """Pack a histogram of lengths."""
-    counts = np.zeros(sequence + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
+def best_patterns(worth: np.ndarray) -> list[tuple[int, ...]]:
+    """For each length bin the pattern of most worth that has a document of it, with as many documents
+    as fit (an unbounded knapsack); ``worth``: of a document of bin 1, 2, ..., as many as fill a sequence."""
+    bins = len(worth)
+    some = [i + 1 for i in range(bins) if worth[i] > 0]
+    best, pick = np.zeros(bins + 1), np.zeros(bins + 1, np.int64)
+    for room in range(1, bins + 1):
+        best[room] = best[room - 1]
+        for i in some:
+            if i > room:
+                break
+            if best[room - i] + worth[i - 1] > best[room] + 1e-9:
+                best[room], pick[room] = best[room - i] + worth[i - 1], i
+    out = []
+    for first in some:
+        pattern, room = [first], bins - first
+        while room:
+            if pick[room]:
+                pattern.append(int(pick[room]))
+                room -= int(pick[room])
+            else:
+                room -= 1
+        out.append(tuple(sorted(pattern)))
+    return out
+
+
+def fitted_patterns(binned: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of length bins and how often to use each, by non-negative least squares on a histogram
+    of bins.
+
+    Begins with all patterns of up to :data:`PATTERN_DOCS` documents that fill a sequence, and adds, for
+    :data:`ROUNDS` times, those of any number of documents that the rest of the histogram calls for.
+    """
+    bins = len(binned)
+    some = [i + 1 for i in range(bins) if binned[i]]
+    found = dict.fromkeys(p for k in range(1, PATTERN_DOCS + 1) for p in combinations_with_replacement(some, k) if sum(p) == bins)
+    rest, repeats = binned, np.zeros(0)
+    for _ in range(ROUNDS):
+        before = len(found)
+        found.update(dict.fromkeys(best_patterns(rest)))
+        if len(found) == before:
+            break
+        matrix = np.zeros((bins, len(found)))
+        for j, p in enumerate(found):
+            np.add.at(matrix[:, j], np.array(p) - 1, 1)
+        repeats = nnls(matrix, binned)
+        rest = binned - matrix @ repeats
+    return [(p, n) for p, n in zip(found, np.floor(repeats + 1e-6).astype(np.int64).tolist(), strict=False) if n]
+
+
+def _packed(counts: np.ndarray, patterns: list[tuple[tuple[int, ...], int]], sequence: int, width: int) -> Plan:
+    """Use the patterns as often as the lengths allow, then pack the rest best fit, longest first."""
+    counts = counts.copy()
     entries: list[tuple[tuple[int, ...], int]] = []
     if counts[sequence]:
         entries.append(((sequence,), int(counts[sequence])))
@@ -216,9 +270,9 @@ def make_plan(histogram: dict[int, int], sequence: int = SEQUENCE, width: int =
 
     def largest(most: int, least: int = 1, taken: list[int] = ()) -> int:
         """The largest length from least to most of which one is left beside those taken; 0 if none."""
-        for x in range(min(most, sequence), least - 1, -1):
-            if counts[x] and (not taken or counts[x] > taken.count(x)):
-                return x
+        for x in np.flatnonzero(counts[least : min(most, sequence) + 1])[::-1].tolist():
+            if not taken or counts[x + least] > taken.count(x + least):
+                return x + least
         return 0
 
     def fill(first: list[int], repeats: int | None) -> int:
@@ -234,34 +288,44 @@ def make_plan(histogram: dict[int, int], sequence: int = SEQUENCE, width: int =
         entries.append((tuple(first), n))
         return n
 
-    bins = -(-sequence // width)
-    binned = np.bincount((np.arange(sequence + 1) + width - 1) // width, counts, minlength=bins + 1)[1:].astype(float)
-    some = [i + 1 for i in range(bins) if binned[i]]
-    found = [p for k in range(1, PATTERN_DOCS + 1) for p in combinations_with_replacement(some, k) if sum(p) == bins]
-    if found:
-        matrix = np.zeros((bins, len(found)))
-        for j, p in enumerate(found):
-            for i in p:
-                matrix[i - 1, j] += 1
-        repeats = np.floor(nnls(matrix, binned) + 1e-6).astype(np.int64)
-        for j in np.argsort(-repeats, kind="stable"):
-            left = int(repeats[j])
-            while left > 0:
-                first: list[int] = []
-                for i in sorted(found[j], reverse=True)[:-1] or found[j]:
-                    x = largest(i * width, (i - 1) * width + 1, first)
-                    if not x:
-                        break
-                    first.append(x)
-                else:
-                    left -= fill(first, left)
-                    continue
-                break
+    for pattern, left in sorted(patterns, key=lambda x: (-x[1], x[0])):
+        while left > 0:
+            first: list[int] = []
+            for i in sorted(pattern, reverse=True)[:-1] or pattern:
+                x = largest(i * width, (i - 1) * width + 1, first)
+                if not x:
+                    break
+                first.append(x)
+            else:
+                left -= fill(first, left)
+                continue
+            break
     while x := largest(sequence):
         fill([x], None)
     return Plan(entries)
 
 
+def make_plan(histogram: dict[int, int], sequence: int = SEQUENCE, width: int = BIN) -> Plan:
+    """Pack a histogram of lengths: the patterns as often as fitted, or a smaller share of them where
+    that takes fewer sequences (more is then left for the exact lengths to decide)."""
+    counts = np.zeros(sequence + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    bins = -(-sequence // width)
+    short = counts[:sequence]
+    binned = np.bincount((np.arange(sequence) + width - 1) // width, short, minlength=bins + 1)[1 : bins + 1].astype(float)
+    patterns = fitted_patterns(binned)
+    fewest = -(-int((counts * np.arange(sequence + 1)).sum()) // sequence)
+    best: Plan | None = None
+    for share in SHARES:
+        plan = _packed(counts, [(p, int(n * share)) for p, n in patterns if int(n * share)], sequence, width)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == fewest:
+            break
+    return best
+
+
 def pack(found: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Give the pieces (column length, and any others) their sequence_id and offset.
 
@@ -309,7 +373,7 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return pack_documents(common.table(spark, sf_dir, "documents"))
+    return pack_documents(common.spread(common.table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op7_pattern_packing": op7_pattern_packing}
