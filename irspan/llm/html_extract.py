@@ -2,17 +2,25 @@
 
 A page is cut into blocks at block-level tags; scripts, styles, comments and containers that are
 boilerplate by tag, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) yield none.  Where a page marks its article (``article``, else ``main``), only
-blocks inside it are looked at.
+reader comments) yield none.
 
 First pass, each block alone: a block made of link text or a copyright line is bad; a long one is
-good by its share of stop words (inside a marked article by its length alone); a short one, or one
-with few stop words, stays open.  Second pass: open blocks take the label of the nearest decided
-neighbours; between a good and a bad one, a heading or a block with stop words is good.
-
-Defined cases: null and empty html give the empty text; unclosed, mis-nested or truncated mark-up is
-read as far as it goes; white space inside a block (line breaks and no-break spaces too) becomes one
-space.  Extra columns are not looked at.
+good by its share of stop words and bad without them; a short one, or one between, stays open.  Stop
+words are those of the list that fits the page best; where none of the four fits (another language or
+script), long blocks are good by their length.  Second pass: open blocks take the label of the nearest
+decided neighbours; between a good and a bad one, a heading before a good block, or a block with some
+stop words, is good.
+
+A marked article (``article``, else ``main``) is a prior, not a verdict: inside one a long block without
+stop words stays open instead of bad, and open blocks without decided neighbours are good.  If the article with
+the most good text holds at least half of the page's, the rest of the page goes, other articles
+(teasers, nested ones) too unless they are about as long; otherwise the rules alone decide.
+
+Defined cases: null and empty html, and pages without text, give the empty text; unclosed, mis-nested or
+truncated mark-up is read as far as it goes, in time that grows with the page's length; white space inside
+a block (line breaks and no-break spaces too) becomes one space.  Rows that repeat get the same text; very
+long pages are read whole; an empty table gives no rows.  Extra columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -56,12 +64,14 @@ _HEADING = re.compile(r"h[1-6]\Z")
 
 @dataclass(slots=True)
 class Block:
-    """One block: its text, how many of its characters are link text, its tag and its region."""
+    """One block: its text, how many of its characters are link text, its tag, and the numbers of the
+    ``article`` and of the ``main`` that it is in (0: none)."""
 
     text: str
     linked: int
     tag: str
-    region: str  # article, main or the empty string
+    article: int = 0
+    main: int = 0
     label: str = ""
 
 
@@ -84,40 +94,90 @@ def _dropped(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+#: Tags whose opening ends an open one of the group, up to the tags that hold them.
+_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_HOLDERS = frozenset("ul ol menu dl table select".split())
+
+
+class _Open:
+    """The open elements, with the places of each name, so that a closing tag costs what it closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int]] = []  # name, dropped, number of the article or main (or 0)
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []  # places of block-level elements
+        self.dropped = 0
+        self.regions: dict[str, list[int]] = {"article": [], "main": []}
+        self.made = 0
+
+    def push(self, name: str, drops: bool) -> None:
+        at = len(self.stack)
+        region = 0
+        if name in self.regions and not drops and not self.dropped:
+            self.made += 1
+            region = self.made
+            self.regions[name].append(region)
+        self.stack.append((name, drops, region))
+        self.places.setdefault(name, []).append(at)
+        if name in BLOCK_TAGS:
+            self.walls.append(at)
+        self.dropped += drops
+
+    def _pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name, drops, region = self.stack.pop()
+            self.places[name].pop()
+            if name in BLOCK_TAGS:
+                self.walls.pop()
+            self.dropped -= drops
+            if region:
+                self.regions[name].pop()
+
+    def close(self, name: str) -> None:
+        """A closing tag: it ends the nearest element of its name and what is open in it; that of an
+        inline element ends nothing beyond the block that it stands in."""
+        places = self.places.get(name)
+        if places and (name in BLOCK_TAGS or not self.walls or self.walls[-1] < places[-1]):
+            self._pop_to(places[-1])
+
+    def before(self, name: str) -> None:
+        """What the opening of a block-level element ends: an open paragraph, and a sibling."""
+        if self.walls and self.stack[self.walls[-1]][0] == "p":
+            self._pop_to(self.walls[-1])
+        holder = max((self.places[h][-1] for h in _HOLDERS if self.places.get(h)), default=-1)
+        ends = [self.places[x][-1] for x in _SIBLINGS.get(name, ()) if self.places.get(x) and self.places[x][-1] > holder]
+        if ends:
+            self._pop_to(min(ends))
+
+    def region(self, name: str) -> int:
+        return self.regions[name][-1] if self.regions[name] else 0
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page outside boilerplate containers, in page order."""
     found: list[Block] = []
     text: list[str] = []
-    linked = dropping = 0
-    in_link = False
-    tag_now, regions = "", []
-    stack: list[tuple[str, bool]] = []  # open containers, and whether each is dropped
+    linked = 0
+    tag_now = ""
+    open_ = _Open()
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                found.append(Block(joined, linked, tag_now, regions[-1] if regions else ""))
+                found.append(Block(joined, linked, tag_now, open_.region("article"), open_.region("main")))
             text.clear()
         linked = 0
 
     def take(raw: str) -> None:
         nonlocal linked
-        if raw and not dropping:
+        if raw and not open_.dropped:
             s = unescape(raw) if "&" in raw else raw
             text.append(s)
-            if in_link:
+            if open_.places.get("a"):
                 linked += len(s.strip())
 
-    def pop(to: int) -> None:
-        nonlocal dropping
-        while len(stack) > to:
-            name, drops = stack.pop()
-            dropping -= drops
-            if name in ("article", "main") and regions and not drops:
-                regions.pop()
-
     at = 0
     while m := _TAG.search(html, at):
         take(html[at : m.start()])
@@ -129,55 +189,66 @@ def blocks(html: str) -> list[Block]:
         tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if not closing and tag in RAW_TAGS:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                end = _RAW_ENDS[tag].search(html, at)
                 at = end.end() if end else len(html)
             text.append(" ")
             continue
-        if tag == "a":
-            in_link = not closing
-        elif tag == "br":
+        if tag == "br":
             text.append(" ")
-        if tag in BLOCK_TAGS:
+        elif tag == "a" and not closing and not open_.dropped:
+            open_.close(tag)  # links are not nested
+        block = tag in BLOCK_TAGS
+        if block:
             flush()
             tag_now = "" if closing else tag
-            if not closing and stack and stack[-1][0] == "p":
-                pop(len(stack) - 1)
-        elif tag in VOID_TAGS or not closing and "=" not in attributes and "hidden" not in attributes:
+        if tag in VOID_TAGS:
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                pop(depth)
-        elif tag not in VOID_TAGS and not attributes.endswith("/"):
-            drops = _dropped(tag, attributes, bool(regions))
-            if drops or tag in BLOCK_TAGS and tag not in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                if tag in ("article", "main") and not drops:
-                    regions.append("article" if tag == "article" or "article" in regions else "main")
-                stack.append((tag, drops))
-                dropping += drops
+            open_.close(tag)
+        else:
+            if block:
+                open_.before(tag)
+            if not attributes.endswith("/"):
+                open_.push(tag, _dropped(tag, attributes, bool(open_.region("article") or open_.region("main"))))
     take(html[at:])
     flush()
     return found
 
 
-def _stop_share(text: str) -> float:
-    words = _WORD.findall(text.lower())
-    return max(sum(w in stops for w in words) for stops in _STOPS) / len(words) if words else 0.0
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW_TAGS}
+
+
+def stop_words_of(found: list[Block]) -> frozenset[str] | None:
+    """The list of stop words that fits the blocks best; None if fewer than :data:`STOP_LOW` of their
+    words are in any."""
+    words = [w for b in found if b.linked <= LINKS * len(b.text) for w in _WORD.findall(b.text.lower())]
+    shares = [sum(w in stops for w in words) for stops in _STOPS]
+    best = max(range(len(_STOPS)), key=shares.__getitem__)
+    return _STOPS[best] if shares[best] >= STOP_LOW * len(words) else None
+
+
+def first_pass(b: Block, stops: frozenset[str] | None) -> str:
+    """The label of a block by itself: good, bad, near (long, with some stop words), open or short."""
+    n = len(b.text)
+    inside = b.article or b.main
+    if b.linked > LINKS * n or not inside and b.text.startswith(("©", "Copyright")):
+        return "bad"
+    if n < SHORT:
+        return "short"
+    if stops is None:
+        return "good"
+    words = _WORD.findall(b.text.lower())
+    share = sum(w in stops for w in words) / len(words) if words else 0.0
+    if share >= STOP_HIGH and (inside or n > LONG):
+        return "good"
+    return "near" if share >= STOP_LOW else "open" if inside else "bad"
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Label every block ``good`` or ``bad``, in two passes."""
+    stops = stop_words_of(found)
     for b in found:
-        n = len(b.text)
-        if b.linked > LINKS * n or not b.region and b.text.startswith(("©", "Copyright")):
-            b.label = "bad"
-        elif n < SHORT:
-            b.label = "short"
-        elif b.region:
-            b.label = "good"
-        else:
-            share = _stop_share(b.text)
-            b.label = "good" if share >= STOP_HIGH and n > LONG else "near" if share >= STOP_LOW else "bad"
+        b.label = first_pass(b, stops)
     before, last = [], ""
     for b in found:
         before.append(last)
@@ -187,25 +258,36 @@ def classify(found: list[Block]) -> list[Block]:
         after.append(last)
         last = b.label if b.label in ("good", "bad") else last
     for b, x, y in zip(found, before, reversed(after), strict=True):
-        if b.label in ("short", "near"):
-            around = {x, y} - {""}
-            if len(around) == 1:
-                b.label = around.pop()
-            elif around:
-                b.label = "good" if b.label == "near" or y == "good" and _HEADING.match(b.tag) or b.region else "bad"
-            else:
-                b.label = "good" if b.region or b.label == "near" else "bad"
+        if b.label in ("good", "bad"):
+            continue
+        inside, around = bool(b.article or b.main), {x, y} - {""}
+        if len(around) == 1:
+            b.label = around.pop()
+        elif around:
+            b.label = "good" if b.label == "near" or y == "good" and _HEADING.match(b.tag) or inside else "bad"
+        else:
+            b.label = "good" if inside or b.label == "near" else "bad"
     return found
 
 
-def main_text(html: str | None) -> str:
-    """The good blocks of a page, joined by empty lines."""
-    found = blocks(html or "")
+def main_blocks(found: list[Block]) -> list[Block]:
+    """The good blocks of the main article, or of the page where no marked one holds half of them."""
+    good = [b for b in classify(found) if b.label == "good"]
+    total = sum(len(b.text) for b in good)
     for region in ("article", "main"):
-        if any(b.region == region for b in found):
-            found = [b for b in found if b.region == region]
-            break
-    return "\n\n".join(b.text for b in classify(found) if b.label == "good")
+        sizes: dict[int, int] = {}
+        for b in good:
+            if at := getattr(b, region):
+                sizes[at] = sizes.get(at, 0) + len(b.text)
+        most = max(sizes.values(), default=0)
+        if most and 2 * most >= total:
+            return [b for b in good if (at := getattr(b, region)) and 2 * sizes[at] >= most]
+    return good
+
+
+def main_text(html: str | None) -> str:
+    """The text of the main blocks of a page, joined by empty lines."""
+    return "\n\n".join(b.text for b in main_blocks(blocks(html or "")))
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -223,7 +305,7 @@ def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] =
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract(common.spread(common.table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES = {"op2_html_extract": op2_html_extract}
