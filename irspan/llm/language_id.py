@@ -5,12 +5,16 @@ language over a bounded sample of the labelled rows and keeps, for each language
 relative frequency there is at least :data:`SHARE` of its highest in any language.  They go into one
 bit-sliced Bloom filter: a table of language bitmasks in which an n-gram sets its languages' bits at
 :data:`HASHES` places, so one look-up (the places' masks and-ed) returns every language that contains
-the n-gram.  A text is decided by its popcount for each language over all its n-grams, corrected for
-that language's rate of false positives.
+the n-gram.  Languages have their bits in as many 64-bit words as they need.  The filter's size is
+fixed, and the n-grams in it are not capped: executors put together the masks of each place, and a
+fuller filter has a higher rate of false positives, which is measured for each language.  A text is
+decided by its popcount for each language over all its n-grams, corrected for that rate.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text none of whose
-n-grams is known gets the most frequent language and score 0; ties go to the more frequent language.
-Without a labelled row every text is ``und``.  Extra columns are not looked at.
+n-grams is known gets the most frequent language and score 0; ties go to the more frequent language, of
+equally frequent ones to the first by name.  Without a labelled row every text is ``und``.  Rows that
+repeat get the same result, and count as often as they are met when learned from.  A very long text is
+looked at whole.  An empty table gives no rows.  Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ from irspan.llm import common
 ORDERS = (3, 4)
 HASHES = 3
 SLOTS = 1 << 21
-#: At most about so many labelled rows of a language are learned from, picked by a hash of the id.
+#: At most about so many labelled rows of a language are learned from, picked by a hash of id and text.
 SAMPLE_ROWS = 10_000
-#: An n-gram must be met so often, and be so frequent against its best language, to stand for a language.
-LEAST_COUNT, SHARE = 3, 0.5
-#: Most n-grams kept for a language (the most frequent): the filter's size is fixed.
-MOST_GRAMS = 120_000
+#: How frequent an n-gram must be, against its best language, to stand for a language.
+SHARE = 0.5
 UNDETERMINED = "und"
+#: Languages whose bits share a word.
+WORD = 64
 
 _SPACE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,12 +50,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def _folded() -> np.ndarray:
     """For each code point its lower-case letter, or a space where it isn't a letter."""
     out = np.full(0x110000, _SPACE, np.uint32)
-    for i in range(0x30000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
             out[i] = ord(low) if len(low) == 1 else i
-    out[0x30000:0x40000] = np.arange(0x30000, 0x40000)
     return out
 
 
@@ -88,7 +91,8 @@ def _places(code: np.ndarray, order: int, slots: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Languages (most frequent first), the filter's masks, and each language's false-positive rate."""
+    """Languages (most frequent first), the filter's masks (a row for each word of languages, a column
+    for each slot), and each language's false-positive rate."""
 
     languages: list[str]
     masks: np.ndarray
@@ -107,12 +111,15 @@ class Model:
             if not len(at) or not k:
                 continue
             code = code[at]
-            masks = np.bitwise_and.reduce([self.masks[p] for p in _places(code, order, len(self.masks))])
+            places = _places(code, order, self.masks.shape[1])
             first = np.searchsorted(at, starts)
             sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[first])
             totals += np.diff(first)
-            for j in range(k):
-                hits[j] += sums((masks >> self.masks.dtype.type(j)) & self.masks.dtype.type(1))
+            bit = self.masks.dtype.type
+            for w, word in enumerate(self.masks):
+                masks = np.bitwise_and.reduce([word[p] for p in places])
+                for j in range(min(WORD, k - w * WORD)):
+                    hits[w * WORD + j] += sums((masks >> bit(j)) & bit(1))
         names, scores, covers = [], [], []
         if k:
             hits = np.maximum((hits - totals * self.wrong[:, None]) / (1 - self.wrong[:, None]), 0)
@@ -129,21 +136,21 @@ class Model:
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from labelled rows: of each language about ``sample_rows``, by a hash of the id.
+    """Learn from labelled rows: of each language about ``sample_rows``, by a hash of id and text.
 
     Counts of languages cover all rows; the sample bounds only what n-grams are counted over.  What
-    reaches the driver is bounded by :data:`MOST_GRAMS` for each language.
+    reaches the driver are the masks of the filter's slots.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
-        return Model([], np.zeros(1, np.uint8), np.zeros(0))
-    pick = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    limit = F.lit(0)
+        return Model([], np.zeros((1, 1), np.uint8), np.zeros(0))
+    pick = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    limit = F
     for x in languages:
-        limit = F.when(F.col("lang") == x, int(min(1.0, sample_rows / sizes[x]) * (1 << 30))).otherwise(limit)
+        limit = limit.when(F.col("lang") == x, int(min(1.0, sample_rows / sizes[x]) * (1 << 30)))
     number = {x: i for i, x in enumerate(languages)}
     common.small_batches(spark)
 
@@ -171,41 +178,29 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             yield give(key)
 
     grams = rows.where(pick < limit).mapInArrow(count, "lang long, gram_order long, code long, n long").groupBy("lang", "gram_order", "code").agg(F.sum("n").alias("n"))
-    grams = common.checkpointed(grams.where(F.col("n") >= LEAST_COUNT))
-    totals = {(r.lang, r.gram_order): r.n for r in grams.groupBy("lang", "gram_order").agg(F.sum("n").alias("n")).collect()}
-    rate = F.lit(None).cast("double")
-    for (x, order), n in totals.items():
-        rate = F.when((F.col("lang") == x) & (F.col("gram_order") == order), F.col("n") / float(n)).otherwise(rate)
-    rated = grams.withColumn("rate", rate)
-    most = rated.groupBy("gram_order", "code").agg(F.max("rate").alias("most"))
-    kept = common.checkpointed(rated.join(most, ["gram_order", "code"]).where(F.col("rate") >= SHARE * F.col("most")).select("lang", "gram_order", "code", "n"))
-    # The most frequent of each language: a threshold from the counts of counts, which are few.
-    least = dict.fromkeys(range(len(languages)), LEAST_COUNT)
-    levels: dict[int, list] = {}
-    for r in kept.groupBy("lang", F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("m")).collect():
-        levels.setdefault(r.lang, []).append((r.n, r.m))
-    for x, found in levels.items():
-        running = 0
-        for n, m in sorted(found, reverse=True):
-            running += m
-            if running > MOST_GRAMS:
-                least[x] = n + 1
-                break
-    few = F.lit(LEAST_COUNT)
-    for x, n in least.items():
-        few = F.when(F.col("lang") == x, n).otherwise(few)
-    kept = kept.where(F.col("n") >= few)
-    kind = np.dtype(f"u{next(b for b in (1, 2, 4, 8) if 8 * b >= min(64, len(languages)))}")
-    if len(languages) > 64:
-        raise ValueError("the filter has bits for 64 languages at most")
-    masks = np.zeros(SLOTS, kind)
-    table = kept.select("lang", "gram_order", "code").toArrow()
-    lang, order, code = (table.column(i).to_numpy() for i in range(3))
-    for x in range(len(languages)):
-        for o in ORDERS:
-            for place in _places(code[(lang == x) & (order == o)].view(np.uint64), o, SLOTS):
-                masks[place] |= kind.type(1 << x)
-    fill = np.array([np.count_nonzero(masks & kind.type(1 << x)) / SLOTS for x in range(len(languages))])
+    grams = common.written(grams, "grams")
+    totals = grams.groupBy("lang", "gram_order").agg(F.sum("n").alias("total"))
+    rated = grams.join(F.broadcast(totals), ["lang", "gram_order"])  # a row for each language and order
+    by_gram = rated.groupBy("gram_order", "code").agg(F.collect_list(F.struct("lang", (F.col("n") / F.col("total")).alias("rate"))).alias("found"))  # a language at most once
+    most = F.array_max(F.transform("found", lambda x: x["rate"]))
+    kept = by_gram.withColumn("most", most).select("gram_order", "code", F.explode(F.filter("found", lambda x: x["rate"] >= SHARE * F.col("most"))).alias("x")).select("x.lang", "gram_order", "code")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, order, code = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for o in ORDERS:
+                own = order == o
+                for place in _places(code[own].view(np.uint64), o, SLOTS):
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(lang[own])], ["place", "lang"])
+
+    bits = F.expr(f"shiftleft(1L, cast(lang % {WORD} as int))")
+    table = kept.mapInArrow(placed, "place long, lang long").groupBy("place", F.expr(f"lang div {WORD}").alias("word")).agg(F.bit_or(bits).alias("mask")).toArrow()  # SLOTS places at most
+    place, word, mask = (table.column(i).to_numpy() for i in range(3))
+    words = -(-len(languages) // WORD)
+    kind = np.dtype(f"u{next(b for b in (1, 2, 4, 8) if 8 * b >= min(WORD, len(languages)))}")
+    masks = np.zeros((words, SLOTS), kind)
+    masks[word, place] = mask.view(np.uint64).astype(kind)
+    fill = np.array([np.count_nonzero(masks[x // WORD] & kind.type(1 << x % WORD)) / SLOTS for x in range(len(languages))])
     return Model(languages, masks, np.minimum(fill**HASHES, 0.5))
 
 
@@ -249,7 +244,7 @@ def is_held_out(id_column: str = "doc_id"):
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that aren't held out."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"))
     model = train(docs.where(~is_held_out()))
     return predict(docs, model).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
