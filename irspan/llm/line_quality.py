@@ -6,13 +6,16 @@ doubled marks for its words, as a navigation line (several separators) or as boi
 phrases).  Failing lines are removed; a document that loses more than :data:`MOST_LOST` per cent of
 the characters of its words is rejected.  Lines without a word are neither kept nor lost.
 
-Defined cases: a null text has no words; a text with fewer than 50 words, or with more than half of
-its words in repeated three-word windows, fails the base rules.  Equal rows give equal rows; extra
-columns are not looked at.  Windows are compared by 64-bit hashes of their three words.
+Defined cases: a null or empty text has no words; a text with fewer than 50 words, or with more than half
+of its words in repeated three-word windows, fails the base rules.  Equal rows give equal rows; an empty
+table gives none; a very long text is measured whole, in one row.  Extra columns, whatever their names,
+are not looked at.  Windows are compared by 64-bit hashes of their three words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +31,13 @@ WORDS_A_SENTENCE = 40
 # Patterns, in the syntax that Java and RE2 share.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
+WORD = r"[^\x20\x09-\x0D]+"
+SPACES, CLOSERS, TERMINALS = " \t\n\x0b\f\r", "\"'”’»)]", ".!?…:;。！？"
 TERMINAL = r"[.!?…:;。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*[\x20\x09]"
 DOUBLED = r"[!?]{2,}|\.{4,}"
-SEPARATOR = r"[|»›•·→]|[\x20]>[\x20]|[\x20]/[\x20]"
+SEPARATOR = r"[|»›•·→]|[\x20][>/][\x20]"
+PHRASES = ("lorem ipsum", "javascript", "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright ©", "click here", "read more", "sign up", "sign in", "log in", "subscribe", "newsletter", "share this", "share on", "powered by", "follow us", "skip to main content", "skip to content", "back to top")
 BOILERPLATE = r"(?i)lorem ipsum|javascript|cookie|privacy policy|terms of (use|service)|all rights reserved|copyright ©|click here|read more|sign up|sign in|log in|subscribe|newsletter|share (this|on)|powered by|follow us|skip to (main )?content|back to top"
 
 
@@ -39,9 +45,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
-def _repeated_words(words: Column, hashes: Column) -> Column:
-    """Words inside windows that are found twice or more; hashes: of all windows, in order."""
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _phrased(lower: Column) -> Column:
+    """Whether a text has a phrase of boilerplate anywhere: its lines needn't be tried if not."""
+    return reduce(Column.__or__, (F.contains(lower, F.lit(p)) for p in PHRASES))
+
+
+def _repeated_words(hashes: Column) -> Column:
+    """Windows that are found twice or more, by hash and place; hashes: of all windows, in order."""
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), ordered)
 
 
@@ -61,19 +72,20 @@ def measure(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] =
         F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("hashes"),
-        F.col("words"),
+        _phrased(F.lower("text")).alias("phrased"),
     )
-    rows = rows.withColumn("ordered", _repeated_words(F.col("words"), F.col("hashes"))).drop("hashes", "words")
+    rows = rows.withColumn("ordered", _repeated_words(F.col("hashes"))).drop("hashes")
     same = lambda i, x: F.coalesce(F.get("ordered", i)["h"] == x["h"], F.lit(False))
     found = F.filter("ordered", lambda x, i: same(i - 1, x) | same(i + 1, x))
-    rows = rows.withColumn("at", F.array_sort(F.transform(found, lambda x: x["i"]))).drop("ordered")
+    rows = rows.withColumn("at", F.sort_array(F.transform(found, lambda x: x["i"]))).drop("ordered")
     covered = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
-    rows = rows.withColumn("judged", F.transform("lines", lambda x: F.struct(x.alias("line"), F.size(_words(x)).alias("n"))))
-    good = F.filter("judged", lambda x: _line_passes(x["line"], x["n"]))
-    rows = rows.withColumn("good", F.transform(good, lambda x: x["line"]))
-    chars = F.aggregate("good", F.lit(0).cast("long"), lambda a, x: a + F.length(F.regexp_replace(x, SPACE, "")))
-    rows = rows.withColumn("lost_chars", F.col("word_chars") - chars)
+    rows = rows.withColumn("judged", F.transform("lines", lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"))))
+    judged = lambda phrased: F.transform("judged", lambda x: F.struct(x["line"].alias("line"), _line_passes(x["line"], x["n"], phrased).alias("good")))
+    rows = rows.withColumn("judged", F.when(F.col("phrased"), judged(True)).otherwise(judged(False)))
+    rows = rows.withColumn("good", F.transform(F.filter("judged", lambda x: x["good"]), lambda x: x["line"]))
+    lost = F.aggregate(F.filter("judged", lambda x: ~x["good"]), F.lit(0).cast("long"), lambda a, x: a + F.length(F.regexp_replace(x["line"], SPACE, "")))
+    rows = rows.withColumn("lost_chars", lost)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(
         *(F.col(a).alias(c) for c, a in zip(keep, k, strict=True)),
@@ -91,20 +103,26 @@ def measure(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] =
     )
 
 
-def _line_passes(line: Column, n_words: Column) -> Column:
-    """Whether a line with a word passes all rules."""
-    return (
-        (line.rlike(TERMINAL) | (WORDS_A_SENTENCE * F.regexp_count(line, F.lit(SENTENCE_END)) >= n_words))
+def _ends_in_punctuation(line: Column) -> Column:
+    """The pattern TERMINAL, read from the line's end."""
+    stripped = lambda x, marks: F.rtrim(x, F.lit(marks))
+    return F.right(stripped(stripped(line, SPACES), CLOSERS), F.lit(1)).isin(*TERMINALS)
+
+
+def _line_passes(line: Column, n_words: Column, phrased: bool) -> Column:
+    """Whether a line with a word passes all rules; phrased: its text has a phrase of boilerplate."""
+    passes = (
+        (_ends_in_punctuation(line) | (WORDS_A_SENTENCE * F.regexp_count(line, F.lit(SENTENCE_END)) >= n_words))
         & (WORDS_A_SYMBOL * F.regexp_count(line, F.lit(SYMBOL)) <= n_words)
         & (WORDS_A_SYMBOL * F.regexp_count(line, F.lit(DOUBLED)) <= n_words)
         & (F.regexp_count(line, F.lit(SEPARATOR)) < SEPARATORS)
-        & ~line.rlike(BOILERPLATE)
     )
+    return passes & ~line.rlike(BOILERPLATE) if phrased else passes
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the verdict of the line rules for every document."""
-    return measure(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return measure(common.spread(common.table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {"op6_line_quality": op6_line_quality}
