@@ -15,7 +15,8 @@ neither decompressed nor decoded.  Folders without a manifest are read whole, ``
 
 Defined cases: a null payload counts as empty; rows that repeat the largest id are all responses; a
 null id stays null and neither is nor makes a revisit; a null URL writes no target header.  An empty
-table writes no record.  Extra columns are not looked at.
+table writes no record; a very long payload is one record, held whole by one task.  Extra columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ LEAST_REVISIT = 1000
 #: Bytes of a file after which a task begins another, and of files that one task reads.
 FILE_BYTES, PARTITION_BYTES = 128 << 20, 64 << 20
 BATCH_BYTES = 4 << 20
+#: Repeated digests that are broadcast to the pages (some 60 bytes each); beyond, Spark joins by a shuffle.
+BROADCAST_ROWS = 200_000
 
 WRITTEN = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_length long, payload binary"
 READ = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to string, content_type string, content_length long, payload_length long, headers map<string,string>, payload binary"
@@ -348,8 +351,13 @@ def plan_records(pages: DataFrame, id_column: str = "page_id", url_column: str =
     """Rows to write, with the columns of :data:`WRITTEN`; ids become ``urn:page:`` names."""
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("target_uri"), F.coalesce(F.col(html_column), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("payload_length"))
-    again = rows.where(F.col("payload_length") >= LEAST_REVISIT).groupBy("sha", "payload_length").agg(F.max("id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").drop("n")
-    rows = rows.join(again, ["sha", "payload_length"], "left")
+    long = F.col("payload_length") >= LEAST_REVISIT
+    again = rows.where(long).groupBy("sha", "payload_length").agg(F.max("id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").drop("n")
+    again = common.written(again, "again")
+    few = again.count() <= BROADCAST_ROWS
+    # Payloads that cannot be revisited are never moved, others only where too many digests repeat.
+    short = rows.where(~long).withColumn("kept", F.lit(None).cast("long"))
+    rows = rows.where(long).join(F.broadcast(again) if few else again, ["sha", "payload_length"], "left").select(short.columns).unionByName(short)
     revisit = F.coalesce(F.col("id") < F.col("kept"), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return rows.select(
