@@ -3,6 +3,14 @@
 Each stage works on all that the one before it kept, written as Parquet and read again:
 documents in no learned language go, documents of low quality go, one document of each group of
 near duplicates stays, repeated passages are taken out, and what is left is packed.
+
+Defined cases: a null or empty text, or one without a letter, is in no language and goes at the first
+stage.  Rows with a null id pass the filters like any other; they are in no group of near duplicates, and
+their passages count as later than all others'.  Rows that repeat are near duplicates, and one stays; rows
+with equal ids and different texts are documents of their own.  An empty table goes through all stages
+empty, with the same columns.  Without labels every document passes the quality stage.  Extra columns,
+whatever their names, go along to the last stage, which returns places alone.  Very long texts are whole
+at every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irspan.llm import common, jaccard_dedup, knn_quality, language_id, pattern_packing, suffix_dedup
+from irspan.llm import common, knn_quality, language_id, pattern_packing, simhash_dedup, suffix_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, Jaccard 0.8 or more."""
-    return jaccard_dedup.one_of_each(docs)
+    """One document of each group of near duplicates (operator 4): five-word shingles, similarity 0.8 or more."""
+    return simhash_dedup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; the last one's rows."""
-    docs = common.table(spark, sf_dir, "documents")
-    folder = common.shared_folder(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        after = common.Table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()
+        docs, before = after.rows, after
     return docs
 
 

@@ -1,61 +1,53 @@
-"""Near-duplicate documents by the Jaccard similarity of their shingles, all pairs of 0.8 or more.
-
-A text's bytes, with A-Z in lower case, are split at white space; its shingles of :data:`SHINGLE` words
-are hashed (XXH64).  Documents are linked if their sets of shingles have a Jaccard similarity of
-:data:`PART` / :data:`WHOLE` or more, and grouped by the components of the links.  Nothing is estimated:
-
-1. Equal sets are one entry.  In any fixed order of shingles two linked sets share one of their first
-   n - ceil(0.8 n) + 1 (the prefix filter), so each set is posted under those, and only there.
-   Shingles that are frequent in a sample come last in that order: it decides the length of
-   the posting lists, not what they find.
-2. Pairs of a list are candidates unless their sizes, or the parities of their shingles in 256 classes,
-   prove that too many shingles differ; what is left is held against parities in 4096 classes likewise.
-3. Candidates are verified by their whole sets.  Of a list of over :data:`SHORT` entries each is first
-   held against one, then only those pairs are that the links found so far do not connect.  So a dense
-   group of n is not n * n pairs, and the components are those of all links.
-
-Defined cases: a null text, or one without a word, has no shingle and is linked to others like it; a text
-with fewer than five words is one shingle.  Rows with a null id are not grouped.  Shingles are told apart
-by 64 bits of hash, as are sets and texts.  Extra columns are not looked at.
+"""Documents as sets of word shingles, and the exact test of their Jaccard similarity.
+
+The part of near-duplicate search (:mod:`simhash_dedup`) that decides: a set is posted under a prefix of
+its shingles, so that any two sets that are similar enough share a list, and pairs of sets are verified
+whole.  Sets, and texts, are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from irspan.llm import common
-from irspan.llm.components import components
 
 SHINGLE, SEED = 5, 42
 #: The least similarity of a link, as a fraction.
 PART, WHOLE = 4, 5
-#: Documents in the sample (about), and in how many of them a shingle is frequent.
+#: Documents in the sample that orders shingles (about), and in how many of them a shingle is frequent.
 SAMPLE_ROWS, FREQUENT = 20_000, 4
-#: Entries of a list whose pairs are all candidates at once.
-SHORT = 256
 #: Wanted documents up to which a join with the texts broadcasts them.
 BROADCAST_ROWS = 200_000
 
 _PARITIES = [f"b{i}" for i in range(4)]
+#: What pairs are held against before their sets are: an entry of a list.
+ENTRY = ["node", "size", *_PARITIES]
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Distinct hashes of a text's shingles, in order."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's shingles, in the text's order: A-Z in lower case, split at ASCII white space; a
+    text with fewer words is one shingle, one without a word has none."""
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:-SHINGLE].tolist()]
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    starts = [0, *ends[:-shingle].tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -65,14 +57,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles that a set is posted under; ``found`` and ``frequent`` are in order."""
+    """The shingles that a set is posted under; ``found`` and ``frequent`` are in order.
+
+    In any fixed order of all shingles two linked sets share one of their first n - ceil(0.8 n) + 1.
+    Shingles that are frequent in a sample come last: that decides how long lists are, not what they find.
+    """
     if len(frequent):
         last = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
         found = np.concatenate((found[~last], found[last]))
     return found[: len(found) - -(-PART * len(found) // WHOLE) + 1]
 
 
-def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, tie (a hash of the text) and text of the rows with an id."""
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
     return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
@@ -87,31 +84,34 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
     sample = rows.where(F.pmod("tie", F.lit(part)) == 0).select("text")
     counted = common.map_arrow(sample, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    found = counted.select("key").toArrow().column(0).to_numpy()
+    found = counted.select("key").toArrow().column(0).to_numpy()  # of the sample alone
     return np.sort(found.view(np.uint64))
 
 
-def _sketches(rows: DataFrame) -> DataFrame:
-    """Of every row: id, tie, node (hash of its set), the set's size and parities, and its keys."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(_frequent(rows))
+def sketches(rows: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> common.Table:
+    """Of every row: id, tie, node (hash of its set), the set's size and the parities of its shingles in
+    256 classes, the fingerprint of its shingles (fp), and the keys that it is posted under."""
+    shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t) for t in batch.column(2).to_pylist()]
+        whole = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
+        prints = np.array([fingerprint(h) for h in whole], np.uint64).view(np.int64)
+        found = [np.unique(h) for h in whole]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
         sizes = np.array([len(s) for s in found], np.int64)
         odd = np.array([np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1 for s in found], np.uint8)
         parities = np.packbits(odd, axis=1).view(np.int64)
         keys = [_prefix(s, shared.value).view(np.int64) for s in found]
-        columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), *(pa.array(np.ascontiguousarray(parities[:, i])) for i in range(4)), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["id", "tie", "node", "size", *_PARITIES, "keys"])
+        columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), *(pa.array(np.ascontiguousarray(parities[:, i])) for i in range(4)), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "tie", *ENTRY, "fp", "keys"])
 
-    schema = ", ".join(["id long, tie long, node long, size long", *(f"{b} long" for b in _PARITIES), "keys array<long>"])
-    return common.written(common.map_arrow(rows, run, schema), "sketches")
+    schema = ", ".join(["id long, tie long", *(f"{c} long" for c in ENTRY), "fp long, keys array<long>"])
+    return common.Table(common.map_arrow(rows, run, schema), "sketches")
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether sizes and parities of two entries allow a link."""
+def possible(a: str, b: str) -> Column:
+    """Whether sizes and parities of two entries allow a link: a shingle that one set alone has turns
+    one parity, and linked sets of n and m have at most (n + m) / 9 such."""
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _PARITIES])
     sizes = F.col(f"{a}.size"), F.col(f"{b}.size")
     return (WHOLE * F.least(*sizes) >= PART * F.greatest(*sizes)) & ((PART + WHOLE) * differ <= (WHOLE - PART) * (sizes[0] + sizes[1]))
@@ -129,91 +129,43 @@ def _wide_possible(x: bytes, y: bytes) -> bool:
     return (PART + WHOLE) * differ <= (WHOLE - PART) * (int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little"))
 
 
-def _verified(candidates: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
-    """The links among pairs ``a``, ``b`` of nodes; firsts: node, id and tie of one row of each."""
+def verified(candidates: DataFrame, firsts: DataFrame, rows: DataFrame) -> common.Table:
+    """The links among pairs ``a``, ``b`` of nodes; ``firsts``: node, id and tie of one row of each.
+
+    Pairs are held against wide parities first, so that whole sets move only for the few that are left.
+    """
     spark = rows.sparkSession
-    pairs = common.written(candidates.distinct(), "candidates")
-    if not pairs.limit(1).count():
+    pairs = common.Table(candidates.distinct(), "candidates")
+    if not pairs.rows.limit(1).count():
         return pairs
 
-    def texts(of: DataFrame) -> DataFrame:
-        needed = common.written(of.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node"), "needed")
-        common.release(spark)
-        few = needed.count() <= BROADCAST_ROWS
-        return rows.join(F.broadcast(needed) if few else needed, ["id", "tie"]).select("node", "text")
+    def values(of: DataFrame, value: Callable[[np.ndarray], bytes], name: str) -> common.Table:
+        needed = common.Table(of.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node"), "needed")
+        few = needed.rows.count() <= BROADCAST_ROWS
 
-    def met(of: DataFrame, values: DataFrame, kept, name: str) -> DataFrame:
-        """Pairs whose two values ``kept`` wants."""
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([value(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "value"])
+
+        texts = rows.join(F.broadcast(needed.rows) if few else needed.rows, ["id", "tie"]).select("node", "text")
+        out = common.Table(common.map_arrow(texts, run, "node long, value binary"), name)
+        needed.drop()
+        return out
+
+    def met(of: common.Table, held: common.Table, kept, name: str) -> common.Table:
+        """Pairs whose two values ``kept`` wants; what they came from goes."""
 
         def compared(batches):
             for batch in batches:
                 yield batch.select([0, 1]).filter(pa.array([kept(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
 
-        joined = of.join(values.select(F.col("node").alias("a"), F.col("value").alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col("value").alias("y")), "b")
-        common.small_batches(spark, 200)  # two sets a row
-        out = common.written(joined.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), name)
+        one = held.rows.select(F.col("node").alias("a"), F.col("value").alias("x"))
+        two = held.rows.select(F.col("node").alias("b"), F.col("value").alias("y"))
+        with common.batches(spark, 200):  # two sets a row
+            out = common.Table(of.rows.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), name)
+        of.drop()
+        held.drop()
         common.release(spark)
         return out
 
-    def hashed(of) -> object:
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "value"])
-
-        return run
-
-    wide = common.written(common.map_arrow(texts(pairs), hashed(_wide), "node long, value binary"), "wide")
-    left = met(pairs, wide, _wide_possible, "left")
-    sets = common.written(common.map_arrow(texts(left), hashed(lambda s: s.tobytes()), "node long, value binary"), "sets")
-    return met(left, sets, lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), "links").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Columns id, tie (hash of the text) and component (a number) of every row with an id."""
-    rows = _rows(docs, id_column, text_column)
-    spark = rows.sparkSession
-    sketches = _sketches(rows)
-    firsts = sketches.groupBy("node").agg(F.min(F.struct("id", "tie")).alias("f")).select("node", "f.id", "f.tie")
-    posted = sketches.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    several = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "n")
-    lists = common.written(several, "lists")
-    common.release(spark)
-    known = sketches.select("node", F.struct("node", "size", *_PARITIES).alias("e")).join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    entries = common.written(lists.join(known, "node").select("key", "node", "n", "e"), "entries")
-    common.release(spark)
-
-    # All pairs of short lists, and of long ones each against one.
-    short, long = entries.where(F.col("n") <= SHORT), entries.where(F.col("n") > SHORT)
-    paired = short.select("key", F.col("e").alias("l")).join(short.select("key", F.col("e").alias("r")), "key").where((F.col("l.node") < F.col("r.node")) & _possible("l", "r"))
-    first = common.written(paired.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "candidates")
-    common.release(spark)
-    met = long.withColumn("r", F.min("e").over(Window.partitionBy("key"))).where((F.col("r.node") != F.col("node")) & _possible("r", "e"))
-    links = _verified(first.unionByName(met.select(F.col("r.node").alias("a"), F.col("node").alias("b"))), firsts, rows)
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # Those of a long list's largest component need no comparison among themselves.
-    named = long.join(found, "node", "left").select("key", "e", F.coalesce("component", "node").alias("c"))
-    counted = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    apart = common.written(named.join(counted, "key").select("key", "e", "c", (F.col("c") == F.col("most.c")).alias("main")), "apart")
-    common.release(spark)
-    left = apart.where("not main").select("key", F.col("e").alias("l"), F.col("c").alias("lc"))
-    right = apart.select("key", F.col("e").alias("r"), F.col("c").alias("rc"), "main")
-    crossed = left.join(right, "key").where((F.col("main") | (F.col("lc") < F.col("rc"))) & _possible("l", "r"))
-    more = _verified(crossed.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")), firsts, rows)
-    common.release(spark)
-
-    all_links = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    moved = components(all_links)
-    return sketches.select("id", "tie", "node").join(moved, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("component"))
-
-
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the least id, of equal ids that with the least
-    hash of its text, of equal rows one.  Rows without an id stay."""
-    found = near_duplicates(docs, id_column, text_column)
-    stay = found.groupBy("component", "id", "tie").agg(F.count("*").alias("n")).groupBy("component").agg(F.min(F.struct("id", "tie", "n")).alias("f"))
-    stay = common.written(stay.select(F.col("f.id").alias("_id"), F.col("f.tie").alias("_tie"), "f.n"), "stay")
-    tie = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
-    kept = docs.withColumn("_tie", tie).withColumn("_id", F.col(id_column).cast("long")).join(stay.select("_id", "_tie"), ["_id", "_tie"], "left_semi")
-    if stay.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_id", "_tie"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
+    left = met(pairs, values(pairs.rows, _wide, "wide"), _wide_possible, "left")
+    return met(left, values(left.rows, lambda s: s.tobytes(), "sets"), lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), "links")

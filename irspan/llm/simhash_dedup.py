@@ -13,9 +13,19 @@ are verified by their differing bits, and a pair counts only once in a list: a l
 forest of its links, never all pairs.  Copies are one entry.  Lists longer than :data:`BLOCK` are
 dealt out as pairs of blocks, so no list is gathered in one task or cut short.
 
+:func:`similar_documents` groups by a Jaccard similarity of 0.8 or more over five-word shingles, which
+the pipeline asks for.  Fingerprints alone cannot give that (similar texts may differ in any number of
+bits), so the SimHash index comes first and its links are verified by whole sets; then pairs that the
+index missed are looked for in lists of rare shingles, among documents that aren't connected yet, and
+verified likewise.  The groups are those of all similar pairs.
+
 Defined cases: a null text, or one without a word, has the fingerprint zero and is linked like any
-other; a text with fewer than four words is one shingle.  Rows with a null id keep a fingerprint and
-get the component of their fingerprint.  Extra columns are not looked at.
+other; a text with fewer words than a shingle is one shingle; a very long text is hashed by one task.
+Rows that repeat get the same result.  Rows with a null id keep a fingerprint and get the component of
+their fingerprint (:func:`near_duplicates`), or are not grouped (:func:`similar_documents`).  An empty
+table gives no rows.  Extra columns, whatever their names, are not looked at.
+Aggregates by fingerprint and by node combine before they are moved; joins on a hot fingerprint have
+one row a key on their other side, so Spark can split the hot one (adaptive skew join).
 """
 
 from __future__ import annotations
@@ -25,18 +35,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from irspan.llm import common
+from irspan.llm import common, shingle_sets
 from irspan.llm.components import components
 
-SHINGLE, SEED, BITS = 4, 42, 4
+SHINGLE, BITS = 4, 4
 #: Equal bytes that a link guarantees.
 LEAST_EQUAL = 8 - BITS
-#: Entries of a posting list that are compared in one piece.
-BLOCK = 4096
+#: Entries of a posting list that are compared in one piece, and entries that a task looks at together.
+BLOCK, GATHERED_ROWS = 4096, 20_000
+#: Entries of a list of shingles whose pairs are all candidates at once.
+SHORT = 256
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -52,26 +63,20 @@ def _triples() -> list[tuple[int, int, int]]:
 TRIPLES = _triples()
 
 
-def simhash(text: bytes | None) -> int:
-    """Fingerprint of UTF-8 bytes."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[: -SHINGLE].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], ">u8")
+        block = hashes[at : at + (1 << 16)].astype(">u8")
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of UTF-8 bytes."""
+    return fingerprint_of(shingle_sets.shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns id (long) and fp (the fingerprint's bits as a long); no shuffle."""
 
@@ -117,6 +122,20 @@ def _forest(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return found
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of several batches together, of about so many rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(batch.num_columns)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(held[0].num_columns)]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal lists: rows key, one, two (blocks), block, fp in that order."""
     rest: list[np.ndarray] | None = None
@@ -151,8 +170,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate(a_out), np.concatenate(b_out)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
 
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    for cols in _gathered(batches, GATHERED_ROWS):
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
@@ -180,7 +198,6 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.select("key", "fp", "block", other.alias("other")).select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "fp")
     ordered = dealt.repartition(common.shuffle_width(spark), "key", "one", "two").sortWithinPartitions("key", "one", "two", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # short rows
     return ordered.mapInArrow(_compare, "a long, b long").distinct()
 
 
@@ -196,20 +213,90 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(moved, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
+def _simhash_links(sketches: DataFrame, firsts: DataFrame, rows: DataFrame) -> common.Table:
+    """Similar pairs of sets (a, b) among those whose fingerprints the index links, or that share one."""
+    prints = common.Table(sketches.select("fp", "node").distinct().groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    near = links(prints.rows.select("fp"))
+    one = prints.rows.select(F.col("fp").alias("a"), F.col("first").alias("x"))
+    two = prints.rows.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    apart = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    alike = sketches.select("fp", "node").distinct().join(prints.rows, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = shingle_sets.verified(apart.unionByName(alike), firsts, rows)
+    prints.drop()
+    return found
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Columns id, tie (hash of the text) and component (a number) of every row with an id: the groups
+    of a Jaccard similarity of 0.8 or more over five-word shingles."""
+    rows = shingle_sets.keyed(docs, id_column, text_column)
+    spark = rows.sparkSession
+    sketches = shingle_sets.sketches(rows, fingerprint_of).rows
+    firsts = sketches.groupBy("node").agg(F.min(F.struct("id", "tie")).alias("f")).select("node", "f.id", "f.tie")
+    edges = lambda t: t.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    # 1. What the index of fingerprints finds.
+    near = _simhash_links(sketches, firsts, rows).rows
+    groups = components(edges(near))
+
+    # 2. Lists of rare shingles, for pairs that aren't connected yet.
+    posted = sketches.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    several = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "n")
+    lists = common.Table(several, "lists")
+    common.release(spark)
+    known = sketches.select("node", F.struct(*shingle_sets.ENTRY).alias("e")).join(lists.rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    known = known.join(groups, "node", "left").select("node", "e", F.coalesce("component", "node").alias("c"))
+    named = lists.rows.join(known, "node")
+    # A list all of whose entries are connected has nothing to find.
+    mixed = F.min("c").over(Window.partitionBy("key")) != F.max("c").over(Window.partitionBy("key"))
+    entries = common.Table(named.withColumn("mixed", mixed).where("mixed").select("key", "node", "n", "e", "c"), "entries")
+    lists.drop()
+    common.release(spark)
+
+    # All pairs of short lists, and of long ones each against one.
+    short, long = entries.rows.where(F.col("n") <= SHORT), entries.rows.where(F.col("n") > SHORT)
+    left, right = short.select("key", F.col("e").alias("l"), F.col("c").alias("lc")), short.select("key", F.col("e").alias("r"), F.col("c").alias("rc"))
+    paired = left.join(right, "key").where((F.col("l.node") < F.col("r.node")) & (F.col("lc") != F.col("rc")) & shingle_sets.possible("l", "r"))
+    met = long.withColumn("r", F.min(F.struct("e", "c")).over(Window.partitionBy("key"))).select("e", "c", F.col("r.e").alias("r"), F.col("r.c").alias("rc"))
+    met = met.where((F.col("c") != F.col("rc")) & shingle_sets.possible("r", "e"))
+    candidates = paired.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().unionByName(met.select(F.col("r.node").alias("a"), F.col("e.node").alias("b")))
+    near = near.unionByName(shingle_sets.verified(candidates, firsts, rows).rows)
+    groups = components(edges(near))
+
+    # 3. Of long lists, the pairs that are still apart; those of a list's largest group are not paired.
+    named = long.select("key", "e", "node").join(groups, "node", "left").select("key", "e", F.coalesce("component", "node").alias("c"))
+    counted = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    apart = common.Table(named.join(counted, "key").select("key", "e", "c", (F.col("c") == F.col("most.c")).alias("main")), "apart")
+    entries.drop()
+    common.release(spark)
+    left = apart.rows.where("not main").select("key", F.col("e").alias("l"), F.col("c").alias("lc"))
+    right = apart.rows.select("key", F.col("e").alias("r"), F.col("c").alias("rc"), "main")
+    crossed = left.join(right, "key").where((F.col("main") | (F.col("lc") < F.col("rc"))) & shingle_sets.possible("l", "r"))
+    more = shingle_sets.verified(crossed.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")), firsts, rows)
+    apart.drop()
+    common.release(spark)
+
+    groups = components(edges(near.unionByName(more.rows)))
+    return sketches.select("id", "tie", "node").join(groups, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("component"))
+
+
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the least id.  Rows without an id stay, and
-    of rows that repeat an id in a group one stays."""
-    found = common.checkpointed(near_duplicates(docs, id_column, text_column))
-    stay = found.where(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count("*").alias("rows"))
-    kept = docs.join(stay.select(id_column), id_column, "left_semi").select(docs.columns)
-    if stay.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_column])
-    return kept.unionByName(docs.where(F.col(id_column).isNull()))
+    """``docs`` with one document of each group of :func:`similar_documents`: that with the least id, of equal
+    ids that with the least hash of its text, of equal rows one.  Rows without an id stay."""
+    found = similar_documents(docs, id_column, text_column)
+    stay = found.groupBy("component", "id", "tie").agg(F.count("*").alias("n")).groupBy("component").agg(F.min(F.struct("id", "tie", "n")).alias("f"))
+    id_, tie = common.fresh(docs, "id", "tie")
+    stay = common.written(stay.select(F.col("f.id").alias(id_), F.col("f.tie").alias(tie), F.col("f.n").alias("n")), "stay")
+    key = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
+    kept = docs.select("*", F.col(id_column).cast("long").alias(id_), key.alias(tie)).join(stay.select(id_, tie), [id_, tie], "left_semi")
+    if stay.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_, tie])
+    return kept.select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
-    found = near_duplicates(common.table(spark, sf_dir, "documents"))
+    found = near_duplicates(common.spread(common.table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
