@@ -153,29 +153,28 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features(batch.column(2).to_pylist())
-        at = [np.flatnonzero(r) for r in x]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([r[a] for r, a in zip(x, at, strict=True)], pa.list_(pa.float32()))], ["id", "label", "at", "value"])
+        at = [np.flatnonzero(r).astype(np.int32) for r in x]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())], ["id", "label", "at", "value"])
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "id")
     texts = texts.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one of each id
-    sample = common.map_arrow(texts, run, "id long, label int, at array<int>, value array<float>").collect()
-    sample.sort(key=lambda r: (r.id, r.label, r.at))
+    sample = common.map_arrow(texts, run, "id long, label int, at binary, value binary").toArrow().sort_by("id")
     width = 2 * TERMS + 1
-    x = np.zeros((len(sample), width), np.float32)
-    for i, r in enumerate(sample):
-        x[i, r.at] = r.value
-    y = np.array([r.label for r in sample], np.float64)
-    if not len(sample):
+    x = np.zeros((sample.num_rows, width), np.float32)
+    for i, (at, value) in enumerate(zip(sample.column(2), sample.column(3), strict=True)):
+        x[i, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(value.as_buffer(), np.float32)
+    y = sample.column(1).to_numpy().astype(np.float64)
+    del sample
+    if not len(x):
         return Model(np.zeros((width, 1)), np.zeros((0, 1)), y)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
     x *= idf
     random = np.random.default_rng(7)
-    basis = np.linalg.qr(x @ random.standard_normal((width, min(RANK + 16, len(x)))).astype(np.float32))[0]
+    basis = np.linalg.qr(x @ random.standard_normal((width, min(RANK + 16, len(x))), np.float32))[0]
     for _ in range(4):
         basis = np.linalg.qr(x @ np.linalg.qr(x.T @ basis)[0])[0]
-    right = np.linalg.svd(basis.T @ x, full_matrices=False)[2][:RANK].T
-    right = right.astype(np.float64)
-    vectors = x.astype(np.float64) @ right
+    right = np.linalg.svd(basis.T @ x, full_matrices=False)[2][:RANK].T.astype(np.float64)
+    vectors = np.concatenate([x[at : at + BLOCK_DOCS].astype(np.float64) @ right for at in range(0, len(x), BLOCK_DOCS)])
     return Model(idf[:, None] * right, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), y)
 
 
