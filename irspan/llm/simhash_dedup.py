@@ -260,23 +260,24 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     met = long.withColumn("r", F.min(F.struct("e", "c")).over(Window.partitionBy("key"))).select("e", "c", F.col("r.e").alias("r"), F.col("r.c").alias("rc"))
     met = met.where((F.col("c") != F.col("rc")) & shingle_sets.possible("r", "e"))
     candidates = paired.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().unionByName(met.select(F.col("r.node").alias("a"), F.col("e.node").alias("b")))
-    near = near.unionByName(shingle_sets.verified(candidates, firsts, rows).rows)
-    groups = components(edges(near))
+    found = shingle_sets.verified(candidates, firsts, rows).rows
+    if found.limit(1).count():
+        near = near.unionByName(found)
+        groups = components(edges(near))
 
     # 3. Of long lists, the pairs that are still apart; those of a list's largest group are not paired.
     named = long.select("key", "e", "node").join(groups, "node", "left").select("key", "e", F.coalesce("component", "node").alias("c"))
     counted = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     apart = common.Table(named.join(counted, "key").select("key", "e", "c", (F.col("c") == F.col("most.c")).alias("main")), "apart")
     entries.drop()
-    common.release(spark)
     left = apart.rows.where("not main").select("key", F.col("e").alias("l"), F.col("c").alias("lc"))
     right = apart.rows.select("key", F.col("e").alias("r"), F.col("c").alias("rc"), "main")
     crossed = left.join(right, "key").where((F.col("main") | (F.col("lc") < F.col("rc"))) & shingle_sets.possible("l", "r"))
-    more = shingle_sets.verified(crossed.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")), firsts, rows)
+    more = shingle_sets.verified(crossed.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")), firsts, rows).rows
     apart.drop()
     common.release(spark)
-
-    groups = components(edges(near.unionByName(more.rows)))
+    if more.limit(1).count():
+        groups = components(edges(near.unionByName(more)))
     return sketches.select("id", "tie", "node").join(groups, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("component"))
 
 
