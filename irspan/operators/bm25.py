@@ -1,63 +1,125 @@
 """BM25 over one field or several, for batches of queries.
 
-All queries are scored by one join of their terms with the postings of those terms; postings of other
-terms are never grouped or moved.  Statistics are per field: each has its own document count, document
-frequencies, lengths and average length.
+An index is written once, as Parquet in the shared folder: postings with their document's length, in buckets
+by term; df and idf of each term; lengths; statistics of each field (each has its own document count,
+document frequencies, lengths and average length).  All queries are scored by one join of their terms
+with the postings of those terms; postings of other terms are never grouped or moved.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from irspan.functions.porter2 import stem
 from irspan.functions.text import Tokenizer
-from irspan.operators.physical import small, spread, written
+from irspan.operators.physical import drop, shared_folder, small, spread, written
 from irspan.operators.ranking import top_k
 
 CONTENTS = "contents"
+#: Buckets of terms that postings are written in, and parts of a bucket by document: a frequent term's
+#: postings are in as many tasks.
+BUCKETS, PARTS = 16, 8
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _stems(vocabulary: DataFrame) -> DataFrame:
+    """term and stem of distinct terms: each is stemmed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stem(t) for t in batch.column(0).to_pylist()], pa.string())], ["term", "stem"])
+
+    return vocabulary.select("term").mapInArrow(run, "term string, stem string")
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tokens of each field of each document: columns field, doc_id, tokens and dl (their number)."""
+    """A written index: ``lengths`` (field, doc_id, dl), ``fields`` (field, n, avgdl), ``terms`` (field,
+    term, df, idf) and ``posted`` (field, term, doc_id, tf, dl, bucket)."""
 
-    tokens: DataFrame
+    folder: str
+    lengths: DataFrame
+    fields: DataFrame
+    terms: DataFrame
+    posted: DataFrame
 
     @classmethod
-    def build(cls, corpus: DataFrame, tokenizer: Tokenizer, fields: tuple[str, ...] | None = None) -> LexicalIndex:
-        """Index ``corpus`` (doc_id, title, text): title and text as one, or each of ``fields`` apart."""
-        if fields is None:
-            texts = [(CONTENTS, F.concat_ws(" ", "title", "text"))]  # white space at the ends holds no token
-        elif fields:
-            texts = [(f, F.col(f)) for f in fields]
-        else:
+    def build(cls, corpus: DataFrame, tokenizer: Tokenizer, fields: tuple[str, ...] | None = None, folder: str | None = None) -> LexicalIndex:
+        """Index ``corpus`` (doc_id, title, text): title and text as one, or each of ``fields`` apart.
+        An empty corpus is an error.
+
+        Terms are stemmed as a vocabulary, not token by token (a tokenizer that drops short stems has
+        to stem first, and does it in the text).
+        """
+        if fields is not None and not fields:
             raise ValueError("there must be a field")
-        entries = F.array(*(F.struct(F.lit(f).alias("field"), tokenizer(t).alias("tokens")) for f, t in texts))
-        rows = spread(corpus, "doc_id").select("doc_id", F.explode(entries).alias("e")).select("e.field", "doc_id", "e.tokens")
-        return cls(rows.withColumn("dl", F.size("tokens")))
+        spark = corpus.sparkSession
+        folder = folder or shared_folder(spark, "index")
+        texts = [(f, F.col(f)) for f in fields] if fields else [(CONTENTS, F.concat_ws(" ", "title", "text"))]  # white space at the ends holds no token
+        late = tokenizer.stem and tokenizer.min_length <= 1
+        plain = replace(tokenizer, stem=False) if late else tokenizer
+        entries = F.array(*(F.struct(F.lit(f).alias("field"), plain(t).alias("tokens")) for f, t in texts))
+        rows = spread(corpus, "doc_id").select("doc_id", F.explode(entries).alias("e")).select("e.field", "doc_id", F.size("e.tokens").alias("dl"), F.explode_outer("e.tokens").alias("term"))
+        counts = written(rows.groupBy("field", "doc_id", "dl", "term").agg(F.count("term").alias("tf")), "counts")  # a row without a term for an empty text
+        counts.groupBy("field", "doc_id").agg(F.max("dl").alias("dl")).write.parquet(f"{folder}/lengths")
+        lengths = spark.read.parquet(f"{folder}/lengths")
+        stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).collect()  # a row a field
+        if not stats:
+            raise ValueError("the corpus is empty")
+        spark.createDataFrame(stats, "field string, n long, avgdl double").coalesce(1).write.parquet(f"{folder}/fields")
+        kept = counts.where("term is not null")
+        if late:
+            stems = written(_stems(kept.select("term").distinct()), "stems")
+            kept = kept.join(small(stems, stems.count()), "term").groupBy("field", "doc_id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+        dealt = kept.select("field", "term", "doc_id", "tf", "dl", _bucket(F.col("term")).alias("bucket"))
+        dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
+        dealt.write.partitionBy("bucket").parquet(f"{folder}/posted")
+        posted = spark.read.schema("field string, term string, doc_id string, tf long, dl int, bucket int").parquet(f"{folder}/posted")
+        fields_ = F.broadcast(spark.read.parquet(f"{folder}/fields"))  # a row a field
+        df = posted.groupBy("field", "term").agg(F.count("*").alias("df")).join(fields_, "field")
+        df.select("field", "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).write.parquet(f"{folder}/terms")
+        return cls.open(spark, folder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LexicalIndex:
+        """The index that was written to ``folder``."""
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
+        return cls(
+            folder,
+            read("lengths", "field string, doc_id string, dl int"),
+            read("fields", "field string, n long, avgdl double"),
+            read("terms", "field string, term string, df long, idf double"),
+            read("posted", "field string, term string, doc_id string, tf long, dl int, bucket int"),
+        )
+
+    def there(self) -> bool:
+        """Whether the files still are."""
+        spark = self.fields.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/terms/_SUCCESS")
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def drop(self) -> None:
+        drop(self.fields.sparkSession, self.folder)
 
     def field_stats(self) -> DataFrame:
         """field, n and avgdl; one row a field."""
-        return self.tokens.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """field, doc_id, dl, term and tf, of all terms or those in a frame with the column term.
-
-        The wanted occurrences are moved once, by document: counting them, the sums of a document's
-        scores and (by reuse of that exchange) document frequencies need no other move of them.
-        """
-        rows = self.tokens.select("field", "doc_id", "dl", F.explode("tokens").alias("term"))
-        if terms is not None:
-            rows = rows.join(terms.select("term").distinct(), "term", "left_semi").select("field", "doc_id", "dl", "term").repartition("doc_id")
-        return rows.groupBy("field", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        return self.fields
 
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
-        """field, term, df and idf."""
-        df = self.postings(terms).groupBy("field", "term").agg(F.count("*").alias("df"))
-        stats = F.broadcast(self.field_stats())  # one row a field
-        return df.join(stats, "field").select("field", "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        """field, term, df and idf, of all terms or those in a frame with the column term."""
+        return self.terms if terms is None else self.terms.join(terms.select("term").distinct(), "term", "left_semi").select("field", "term", "df", "idf")
+
+    def postings(self) -> DataFrame:
+        """field, doc_id, dl, term and tf."""
+        return self.posted.select("field", "doc_id", "dl", "term", "tf")
 
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -103,25 +165,21 @@ class BM25Retriever:
         return dict(zip(names, self.weights or (1.0,) * len(names), strict=True))
 
     def matches(self, terms: DataFrame) -> DataFrame:
-        """Query terms with the postings they meet: query_id, doc_id, field, weight, idf, tf, dl, avgdl.
+        """Query terms with the postings they meet: query_id, doc_id, field, term, weight, idf, tf, dl, avgdl.
         Nothing here depends on k1 or b.
 
-        The terms, which may come from a first pass, are computed once and written: three joins read them.
-        Their number decides whether they are broadcast to the postings.
+        The terms, which may come from a first pass, meet the table of known terms and are written; their
+        number decides whether they are broadcast to the postings, and only their buckets are read.
         """
         index = self._need_index()
-        terms = written(terms.where("weight <> 0"), "terms")
-        n_terms = terms.count()
-        fields = [(f, w) for f, w in self._field_weights().items() if w]
-        field_weight = F.lit(None).cast("double")
-        for f, w in fields:
-            field_weight = F.when(F.col("field") == f, w).otherwise(field_weight)
-        stats = index.field_stats().withColumn("field_weight", field_weight).where("field_weight is not null")
-        postings = index.postings(terms)
-        df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-        known = df.join(small(terms, n_terms), "term").join(F.broadcast(stats), "field")  # stats: one row a field
-        known = known.select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("field_weight")).alias("weight"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        return postings.join(small(known, n_terms * len(fields)), ["field", "term"]).select("query_id", "doc_id", "field", "term", "weight", "idf", "tf", "dl", "avgdl")
+        spark = terms.sparkSession
+        weights = [(f, float(w)) for f, w in self._field_weights().items() if w]
+        stats = index.fields.join(F.broadcast(spark.createDataFrame(weights, "field string, field_weight double")), "field")  # a row a field
+        known = index.terms.join(terms.where("weight <> 0"), "term").join(F.broadcast(stats), "field")
+        known = written(known.select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("field_weight")).alias("weight"), "idf", _bucket(F.col("term")).alias("bucket")), "terms")
+        n, *_ = sizes = known.agg(F.count("*"), F.collect_set("bucket")).first()  # BUCKETS at most
+        posted = index.posted.where(F.col("bucket").isin(sizes[1])) if sizes[1] else index.posted.where("false")
+        return posted.join(small(known.drop("bucket"), n), ["field", "term"]).select("query_id", "doc_id", "field", "term", "weight", "idf", "tf", "dl", "avgdl")
 
     def score_weighted_terms(self, terms: DataFrame) -> DataFrame:
         """Scores (query_id, doc_id, score) of weighted query terms."""
@@ -136,7 +194,7 @@ class BM25Retriever:
         if self.fields is not None and len(self.fields) > 1:
             raise ValueError("query statistics need an index of one field")
         tokens = queries.select("query_id", F.explode(self.tokenizer(F.col("text"))).alias("term"))
-        idf = self._need_index().term_stats(tokens).select("term", "idf")
+        idf = self._need_index().terms.select("term", "idf")
         found = tokens.join(idf, "term", "left").groupBy("query_id").agg(F.max("idf").alias("max_idf"), F.avg("idf").alias("mean_idf"), F.count("*").alias("num_terms"), F.count("idf").alias("num_in_vocabulary"))
         zero = lambda c: F.coalesce(c, F.lit(0))
         rate = F.coalesce(F.try_divide(F.col("num_terms") - F.col("num_in_vocabulary"), F.col("num_terms")), F.lit(0.0))

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irspan.functions.text import NO_STEM, Tokenizer, added_terms, expanded_document, expanded_query
+from irspan.functions.text import NO_STEM, Tokenizer, expanded_document, expanded_query, strip, words
 
 
 class Generator(Protocol):
@@ -29,14 +29,22 @@ def expand_documents(corpus: DataFrame, expansions: DataFrame, field: str = "tex
 
 
 def summarise_expansions(originals: DataFrame, expansions: DataFrame, tokenizer: Tokenizer = NO_STEM) -> DataFrame:
-    """One row: inputs, empty expansions, those that add nothing, quartiles, mean and range of the words
-    and of the new terms, and the mean share of new terms; ``originals``: id and text."""
-    generated = F.array_join(F.col("generations"), " ")
-    rows = originals.join(expansions, "id", "left").select("text", F.coalesce(generated, F.lit("")).alias("generated"))
-    rows = rows.select(F.size(tokenizer(F.col("generated"))).alias("words"), F.size(F.array_distinct(tokenizer(F.col("generated")))).alias("terms"), F.size(added_terms(F.col("text"), F.col("generated"), tokenizer)).alias("added"))
-    kept = lambda c: F.when(F.col("words") > 0, F.col(c))
-    out = [F.count("*").alias("inputs"), F.count_if(F.col("words") == 0).alias("empty"), F.count_if((F.col("words") > 0) & (F.col("added") == 0)).alias("adding_nothing")]
+    """One row: inputs, empty expansions, those that add nothing, quartiles, mean and range of the generated
+    words and of the new terms, and the mean share of new terms; ``originals``: id and text.
+
+    Words are what white space separates, before any tokenizer; an expansion is empty if all its
+    generations are blank.  Terms are the tokenizer's.  Without an expansion all figures are 0.
+    """
+    kept = F.filter(F.transform("generations", lambda g: strip(F.coalesce(g, F.lit("")))), lambda g: g != "")
+    generated = F.coalesce(F.array_join(kept, " "), F.lit(""))
+    rows = originals.join(expansions, "id", "left").select(F.coalesce("text", F.lit("")).alias("text"), generated.alias("generated"))
+    own, more = tokenizer(F.col("text")), F.array_distinct(tokenizer(F.col("generated")))
+    rows = rows.select((F.col("generated") != "").alias("made"), F.size(words(F.col("generated"))).alias("words"), F.size(more).alias("terms"), F.size(F.array_except(more, own)).alias("added"))
+    of = lambda c: F.when(F.col("made"), F.col(c))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = [F.count("*").alias("inputs"), F.count_if(~F.col("made")).alias("empty"), F.count_if(F.col("made") & (F.col("added") == 0)).alias("adding_nothing")]
     for c in ("words", "added"):
-        out += [F.percentile(kept(c), F.lit(p)).alias(f"{c}_{n}") for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
-        out += [F.round(F.avg(kept(c)), 4).alias(f"{c}_mean"), F.min(kept(c)).cast("long").alias(f"{c}_min"), F.max(kept(c)).cast("long").alias(f"{c}_max")]
-    return rows.agg(*out, F.round(F.avg(F.try_divide(kept("added").cast("double"), kept("terms"))), 4).alias("mean_fraction"))
+        out += [zero(F.percentile(of(c), F.lit(p))).alias(f"{c}_{n}") for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
+        out += [zero(F.round(F.avg(of(c)), 4)).alias(f"{c}_mean"), F.coalesce(F.min(of(c)), F.lit(0)).cast("long").alias(f"{c}_min"), F.coalesce(F.max(of(c)), F.lit(0)).cast("long").alias(f"{c}_max")]
+    share = F.when(F.col("made"), F.coalesce(F.try_divide(F.col("added").cast("double"), F.col("terms")), F.lit(0.0)))
+    return rows.agg(*out, zero(F.round(F.avg(share), 4)).alias("mean_fraction"))

@@ -10,6 +10,11 @@ GAINS = ("exponential", "linear")
 # Published nDCG@10 of the multi-field baseline, and the tolerance of a reproduction.
 PUBLISHED_NDCG_10 = {"scifact": 0.665, "nfcorpus": 0.325, "scidocs": 0.158, "trec-covid": 0.656}
 TOLERANCE = 0.03
+# Published nDCG@10 of learned models, by method.
+PUBLISHED_LEARNED = {
+    "splade": {"scifact": 0.693, "nfcorpus": 0.348, "trec-covid": 0.727},
+    "colbert": {"scifact": 0.693, "nfcorpus": 0.338, "trec-covid": 0.738},
+}
 
 
 def gain(grade: Column, kind: str = "exponential") -> Column:
@@ -86,3 +91,11 @@ def qrels_profile(qrels: DataFrame) -> DataFrame:
 def formulation_spread(means: DataFrame) -> DataFrame:
     """Largest less smallest mean over query formulations (formulation, value)."""
     return means.agg(F.max("value").alias("best"), F.min("value").alias("worst"), (F.max("value") - F.min("value")).alias("spread"))
+
+
+def formulation_means(values: DataFrame, published: float | None = None) -> DataFrame:
+    """Means of every metric for each formulation (formulation, query_id, metric, value), and the difference
+    to a published value of nDCG@10 (null elsewhere)."""
+    means = values.groupBy("formulation", "metric").agg(F.avg("value").alias("value"), F.count("*").alias("num_queries"))
+    delta = F.when(F.col("metric") == "ndcg@10", F.col("value") - F.lit(published).cast("double"))
+    return means.withColumn("delta_to_published", delta)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from irspan.functions.text import Tokenizer
 from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
-from irspan.operators.physical import written
+from irspan.operators.physical import small, written
 from irspan.operators.ranking import top_k
 
 #: Decimals of a term's weight when terms are ranked.
@@ -45,11 +45,23 @@ class RM3Retriever:
 
     def relevance_model(self, feedback: DataFrame) -> DataFrame:
         """query_id, term and weight from a run of feedback documents (query_id, doc_id, score)."""
+        return self.best_terms(self.feedback_terms(feedback))
+
+    def _need_index(self) -> RM3Retriever:
+        if self.scorer is None or self.harvested is None:
+            raise RuntimeError("index() comes first")
+        return self
+
+    def feedback_terms(self, feedback: DataFrame) -> DataFrame:
+        """query_id, term and weight of all terms of the feedback documents."""
         query = Window.partitionBy("query_id")
         shares = feedback.withColumn("share", F.try_divide("score", F.sum("score").over(query))).select("query_id", "doc_id", "share")
-        documents = self.harvested.tokens.join(feedback.select("doc_id").distinct(), "doc_id", "left_semi").where("dl > 0")
-        tf = LexicalIndex(documents).postings()
-        model = shares.join(tf, "doc_id").groupBy("query_id", "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("dl")), DECIMALS).alias("weight")).where("weight > 0")
+        tf = self._need_index().harvested.postings()
+        return tf.join(small(shares, feedback.count()), "doc_id").groupBy("query_id", "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("dl")), DECIMALS).alias("weight")).where("weight > 0")
+
+    def best_terms(self, model: DataFrame) -> DataFrame:
+        """The ``fb_terms`` heaviest terms of each query, their weights summing to 1."""
+        query = Window.partitionBy("query_id")
         best = model.withColumn("nth", F.row_number().over(query.orderBy(F.desc("weight"), "term"))).where(F.col("nth") <= self.fb_terms)
         return best.select("query_id", "term", (F.col("weight") / F.sum("weight").over(query)).alias("weight"))
 
@@ -68,7 +80,7 @@ class RM3Retriever:
         return mixed.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
 
     def retrieve(self, queries: DataFrame, top_k_: int = 100) -> DataFrame:
-        return top_k(self.scorer.score_weighted_terms(self.expanded_queries(queries)), top_k_)
+        return top_k(self._need_index().scorer.score_weighted_terms(self.expanded_queries(queries)), top_k_)
 
     def describe(self) -> dict:
         return {"model": "rm3", "fb_docs": self.fb_docs, "fb_terms": self.fb_terms, "alpha": self.alpha, "k1": self.k1, "b": self.b, "multi_field": self.multi_field, "tokenizer": self.tokenizer.describe()}

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from irspan.operators.physical import average_ranks, cumulative
+
 #: Up to so many queries all sign vectors are enumerated.
 EXACT_QUERIES = 16
 RESAMPLES = 10_000
@@ -85,15 +87,12 @@ def holm(p_values: DataFrame, validate: bool = True) -> DataFrame:
     return stepped.select("position", "p", F.least(F.lit(1.0), F.max("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("adjusted"))
 
 
-def average_rank(column: str, partition: list[str] | None = None) -> Column:
-    """Rank by a column; ties share their mean rank."""
-    by = Window.partitionBy(*(partition or []))
-    return F.rank().over(by.orderBy(column)) + (F.count("*").over(Window.partitionBy(*(partition or []), column)) - 1) / 2.0
-
-
 def spearman(pairs: DataFrame) -> DataFrame:
-    """Rank correlation of x and y; 0 where either is constant.  One row: rho and n."""
-    ranks = pairs.select(average_rank("x").alias("rx"), average_rank("y").alias("ry"))
+    """Rank correlation of x and y; 0 where either is constant.  One row: rho and n.
+
+    Ranks come from ranges of values (:func:`physical.average_ranks`), so frames of any size will do.
+    """
+    ranks = average_ranks(average_ranks(pairs.select("x", "y"), "x", "rx"), "y", "ry")
     return ranks.agg(F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy")).select(_rho().alias("rho"), "n")
 
 
@@ -106,7 +105,8 @@ def _rho() -> Column:
 
 def correlation_test(pairs: DataFrame, permutations: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """Two-sided permutation p of the rank correlation of x and y by query_id; a constant gives (0, 1)."""
-    ranks = pairs.select("query_id", average_rank("x").alias("rx"), average_rank("y").alias("ry")).withColumn("i", F.row_number().over(Window.orderBy("query_id")))
+    own = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+    ranks = pairs.select("query_id", own("x").alias("rx"), own("y").alias("ry")).withColumn("i", F.row_number().over(Window.orderBy("query_id")))  # a row a query
     whole = ranks.agg(F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
     draws = ranks.select("query_id", "ry", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("r"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), "query_id").cast("binary"))
@@ -120,13 +120,23 @@ def correlation_test(pairs: DataFrame, permutations: int = RESAMPLES, seed: int
 
 
 def terciles(rows: DataFrame) -> DataFrame:
-    """Three near-equal groups by predictor (query_id, predictor, advantage): size, range, mean advantage."""
-    grouped = rows.withColumn("tercile", F.ntile(3).over(Window.orderBy("predictor", "query_id")))
-    return grouped.groupBy("tercile").agg(F.count("*").alias("n"), F.min("predictor").alias("low"), F.max("predictor").alias("high"), F.avg("advantage").alias("mean_advantage"))
+    """Three near-equal groups by predictor (query_id, predictor, advantage), earlier ones the larger:
+    size, range, mean advantage."""
+    placed = cumulative(rows, ["predictor", "query_id"], F.lit(1), "nth")
+    n = rows.count()
+    size, more = divmod(n, 3)
+    first, second = size + (more > 0), 2 * size + more
+    tercile = F.when(F.col("nth") <= first, 1).when(F.col("nth") <= second, 2).otherwise(3)
+    return placed.withColumn("tercile", tercile).groupBy("tercile").agg(F.count("*").alias("n"), F.min("predictor").alias("low"), F.max("predictor").alias("high"), F.avg("advantage").alias("mean_advantage"))
 
 
 def family_summary(tests: DataFrame) -> DataFrame:
-    """Of several analyses (rho, p): whether all rho are positive, significant ones, range and median."""
+    """Of several analyses (rho, p): whether all rho are positive, significant ones, range and median.
+    Where a column predictor is there, other than one predictor is an error."""
+    if "predictor" in tests.columns:
+        names = sorted(str(r[0]) for r in tests.select("predictor").distinct().limit(2).collect())
+        if len(names) > 1:
+            raise ValueError(f"the analyses are of different predictors: {', '.join(names)}")
     return tests.agg(F.bool_and(F.col("rho") > 0).alias("all_positive"), F.count_if(F.col("p") < 0.05).alias("significant"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho"), F.percentile("rho", F.lit(0.5)).alias("median_rho"))
 
 

@@ -1,19 +1,29 @@
-"""Parameter sweeps: cells are rows, joined after the work that no parameter touches."""
+"""Parameter sweeps: one plan for all cells of a grid.
+
+What no parameter touches (postings, first passes, ranks) is computed once.  Scores of all cells are
+columns of a matrix: a task reads the matches of its documents, adds up every cell's scores of a query and
+a document together, and sends on only the best documents of each cell.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from irspan.functions.text import Tokenizer
 from irspan.operators.bm25 import BM25Retriever, contribution, query_terms
-from irspan.operators.combine import reciprocal_rank_fusion
-from irspan.operators.metrics import evaluate, evaluate_per_query
-from irspan.operators.ranking import top_k
+from irspan.operators.metrics import discount, gain
+from irspan.operators.physical import small, written
+from irspan.operators.ranking import DECIMALS, reranked, top_k
 from irspan.operators.rm3 import RM3Retriever
 
+#: Rows of matches that a task looks at together, and weights (terms of queries by cells) that are broadcast.
+BATCH_ROWS, MOST_WEIGHTS = 4_000, 20_000_000
+
 # The default grids.
 RRF_K = (0, 1, 5, 10, 20, 40, 60, 100, 200)
 EXPANSION_WEIGHTS = (0, 1, 2, 3, 5, 8, 12, 20)
@@ -30,20 +40,103 @@ def bm25_grid() -> list[tuple[float, float]]:
     return [(k1, b) for k1 in sorted({*frange(0.2, 2.0, 0.2), 0.9}) for b in frange(0.0, 1.0, 0.1)]
 
 
-def sweep_bm25(retriever: BM25Retriever, queries: DataFrame, qrels: DataFrame, cells: list[tuple[float, float]], k: int = 10) -> DataFrame:
-    """k1, b and mean nDCG@k of every cell; postings are matched once for all cells."""
-    spark = queries.sparkSession
-    grid = spark.createDataFrame([(i, k1, b) for i, (k1, b) in enumerate(cells)], "cell int, k1 double, b double")
-    matches = retriever.matches(query_terms(queries, retriever.tokenizer))
-    scores = matches.crossJoin(F.broadcast(grid)).groupBy("cell", "query_id", "doc_id").agg(F.round(F.sum(contribution(F.col("k1"), F.col("b"))), 6).alias("score")).where("score > 0")  # the grid is a parameter
+def _best_of_cells(rows: DataFrame, contributions: Callable[[list[np.ndarray]], np.ndarray], k: int) -> DataFrame:
+    """cell, query_id, doc_id, score and nth of the ``k`` best documents of every query in every cell.
+
+    ``rows``: query_id, doc_id and numbers, which ``contributions`` turns into a matrix (rows by cells);
+    a document's score is the sum of its rows.
+    """
+
+    def best(query: np.ndarray, doc: np.ndarray, numbers: list[np.ndarray]) -> pa.RecordBatch:
+        new = np.concatenate(([True], (query[1:] != query[:-1]) | (doc[1:] != doc[:-1])))
+        starts = np.flatnonzero(new)
+        scores = np.round(np.add.reduceat(contributions(numbers), starts, axis=0), DECIMALS)
+        query, doc = query[starts], doc[starts]
+        edges = [*np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))).tolist(), len(query)]
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = scores[a:b]
+            # Ties at the cut-off all stay, for the ids to decide.
+            cut = np.partition(part, b - a - k, axis=0)[b - a - k] if b - a > k else -np.inf
+            at, cell = np.nonzero((part >= cut) & (part > 0))
+            out.append((cell, at + a, part[at, cell]))
+        cell, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(query[at], pa.string()), pa.array(doc[at], pa.string()), pa.array(score)], ["cell", "query_id", "doc_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                now = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, BATCH_ROWS).columns]
+                now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+                last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))  # the last document may go on
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield best(now[0][:cut], now[1][:cut], [x[:cut] for x in now[2:]])
+                held = [x[cut:] for x in now]
+        if held is not None and len(held[0]):
+            yield best(held[0], held[1], held[2:])
+
+    dealt = rows.repartition("doc_id").sortWithinPartitions("query_id", "doc_id")
+    found = dealt.mapInArrow(run, "cell int, query_id string, doc_id string, score double")
     order = Window.partitionBy("cell", "query_id").orderBy(F.desc("score"), "doc_id")
-    top = scores.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-    # One evaluation for all cells: a query of a cell is a query of its own.
-    tag = lambda df: df.withColumn("query_id", F.concat_ws(" ", F.col("cell").cast("string"), "query_id"))
-    judged = qrels.crossJoin(F.broadcast(grid.select("cell")))
-    values = evaluate_per_query(tag(top).select("query_id", "doc_id", "score"), tag(judged).select("query_id", "doc_id", "grade"), (k,)).where(F.col("metric") == f"ndcg@{k}")
-    means = values.groupBy(F.substring_index("query_id", " ", 1).cast("int").alias("cell")).agg(F.avg("value").alias("ndcg"))
-    return means.join(grid, "cell").select("cell", "k1", "b", "ndcg")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+
+
+def mean_ndcg(best: DataFrame, qrels: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """``cells`` (with the column cell) with their mean nDCG@k over all judged queries.
+
+    The judgements, and the ideal of each query, are read once for all cells.
+    """
+    relevant = qrels.where("grade > 0").select("query_id", "doc_id", "grade")
+    ideal = relevant.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade")))).where(F.col("i") <= k)
+    ideal = ideal.groupBy("query_id").agg(F.sum(gain(F.col("grade")) / discount(F.col("i"))).alias("ideal"))
+    n = qrels.agg(F.count_distinct("query_id").alias("n"))
+    dcg = best.join(relevant, ["query_id", "doc_id"]).groupBy("cell", "query_id").agg(F.sum(gain(F.col("grade")) / discount(F.col("nth"))).alias("dcg"))
+    sums = dcg.join(ideal, "query_id").groupBy("cell").agg(F.sum(F.col("dcg") / F.col("ideal")).alias("s"))
+    rows = cells.join(sums, "cell", "left").crossJoin(F.broadcast(n))  # one row
+    return rows.select(*cells.columns, F.coalesce(F.try_divide(F.col("s"), F.col("n")), F.lit(0.0)).alias("ndcg"))
+
+
+def sweep_bm25(retriever: BM25Retriever, queries: DataFrame, qrels: DataFrame, cells: list[tuple[float, float]], k: int = 10) -> DataFrame:
+    """cell, k1, b and mean nDCG@k of every cell; postings are matched once for all cells."""
+    grid = queries.sparkSession.createDataFrame([(i, float(k1), float(b)) for i, (k1, b) in enumerate(cells)], "cell int, k1 double, b double")
+    k1, b = (np.array([c[i] for c in cells], float) for i in (0, 1))
+
+    def contributions(numbers: list[np.ndarray]) -> np.ndarray:
+        weight, tf, length = (x.astype(float)[:, None] for x in numbers)
+        return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+
+    matches = retriever.matches(query_terms(queries, retriever.tokenizer)).where("avgdl > 0")
+    rows = matches.select("query_id", "doc_id", (F.col("weight") * F.col("idf")).alias("w"), F.col("tf").cast("double").alias("tf"), (F.col("dl") / F.col("avgdl")).alias("length"))
+    return mean_ndcg(_best_of_cells(rows, contributions, k), qrels, grid, k)
+
+
+def _sweep_weights(retriever: BM25Retriever, weights: DataFrame, qrels: DataFrame, cells: DataFrame, n_cells: int, k: int) -> DataFrame:
+    """``cells`` with mean nDCG@k when a cell's query terms have the ``weights`` (cell, query_id, term, weight).
+
+    A term's part of a document's score is the same in all cells but for its weight, so postings are
+    matched once.  Weights are broadcast as a matrix; a set of queries with more of them is swept in parts.
+    """
+    spark = weights.sparkSession
+    weights = written(weights, "weights")
+    terms = written(weights.select("query_id", "term").distinct(), "swept")
+    parts = max(1, -(-terms.count() * n_cells // MOST_WEIGHTS))
+    own = lambda df, p: df.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else df
+    best = []
+    for p in range(parts):
+        table = own(terms, p).toPandas()  # MOST_WEIGHTS / n_cells rows, about
+        row = {key: i for i, key in enumerate(zip(table["query_id"], table["term"], strict=True))}
+        long = own(weights, p).select("cell", "query_id", "term", "weight").toArrow()
+        matrix = np.zeros((len(row), n_cells))
+        at = np.fromiter((row[key] for key in zip(long.column(1).to_pylist(), long.column(2).to_pylist(), strict=True)), np.int64, long.num_rows)
+        matrix[at, long.column(0).to_numpy()] = long.column(3).to_numpy()
+        shared = spark.sparkContext.broadcast(matrix)
+        rows = spark.createDataFrame([(q, t, i) for (q, t), i in row.items()], "query_id string, term string, at long") if row else terms.withColumn("at", F.lit(0).cast("long"))
+        matches = retriever.matches(own(terms, p).withColumn("weight", F.lit(1.0))).join(small(rows, len(row)), ["query_id", "term"])
+        matches = matches.select("query_id", "doc_id", "at", contribution(F.lit(retriever.k1), F.lit(retriever.b)).alias("c"))
+        best.append(_best_of_cells(matches, lambda x, shared=shared: shared.value[x[0]] * x[1][:, None], k))
+    return mean_ndcg(reduce(DataFrame.unionByName, best), qrels, cells, k)
 
 
 def surface(cells: DataFrame, value: str = "ndcg") -> DataFrame:
@@ -64,34 +157,73 @@ def shape(points: DataFrame) -> DataFrame:
     return edge.select("best_x", ((F.col("best_x") == F.col("low")) | (F.col("best_x") == F.col("high"))).alias("at_edge"), F.when(F.col("up"), "increasing").when(F.col("down"), "decreasing").otherwise("neither").alias("direction"))
 
 
-def _means(runs: list[tuple], qrels: DataFrame, column: str, k: int) -> DataFrame:
-    rows = [evaluate(run, qrels, (k,)).where(F.col("metric") == f"ndcg@{k}").select(F.lit(i).alias("cell"), F.lit(x).alias(column), F.col("value").alias("ndcg")) for i, (x, run) in enumerate(runs)]
-    return reduce(DataFrame.unionByName, rows)
+def best_by_axis(cells: DataFrame, axis: str, value: str = "ndcg") -> DataFrame:
+    """For each value of one axis its best cell, the first of equals."""
+    order = Window.partitionBy(axis).orderBy(F.desc("v"), "cell")
+    return cells.withColumn("v", F.round(value, 6)).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("v", "nth")
+
+
+def _grid(qrels: DataFrame, column: str, values: tuple, kind: str) -> DataFrame:
+    return qrels.sparkSession.createDataFrame(list(enumerate(values)), f"cell int, {column} {kind}")
 
 
 def sweep_rrf(runs: list[DataFrame], qrels: DataFrame, ks: tuple = RRF_K, k: int = 10) -> DataFrame:
-    """Mean nDCG@k of the fused runs for each constant."""
-    return _means([(float(x), reciprocal_rank_fusion(runs, x, k)) for x in ks], qrels, "rrf_k", k)
+    """cell, rrf_k and mean nDCG@k of the fused runs for each constant; runs are ranked once."""
+    grid = _grid(qrels, "rrf_k", tuple(float(x) for x in ks), "double")
+    ranks = reduce(DataFrame.unionByName, [reranked(r.select("query_id", "doc_id", "score"), "nth").select("query_id", "doc_id", "nth") for r in runs])
+    sums: list[Column] = [F.round(F.sum(F.lit(1.0) / (F.lit(float(x)) + F.col("nth"))), 9).alias(f"s{i}") for i, x in enumerate(ks)]
+    fused = ranks.groupBy("query_id", "doc_id").agg(*sums)
+    cells = fused.select("query_id", "doc_id", F.posexplode(F.array(*(f"s{i}" for i in range(len(ks))))).alias("cell", "score"))
+    order = Window.partitionBy("cell", "query_id").orderBy(F.desc("score"), "doc_id")
+    best = cells.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    return mean_ndcg(best, qrels, grid, k)
 
 
 def sweep_expansion(retriever: BM25Retriever, queries: DataFrame, passages: DataFrame, qrels: DataFrame, weights: tuple = EXPANSION_WEIGHTS, k: int = 10) -> DataFrame:
-    """Mean nDCG@k for each weight of the query: its term counts are weighted, not its text repeated."""
+    """cell, weight and mean nDCG@k for each weight of the query: its term counts are weighted, not its text
+    repeated; a query without a passage stays as it is."""
+    grid = _grid(qrels, "weight", tuple(weights), "long")
     own = query_terms(queries, retriever.tokenizer)
-    more = query_terms(passages, retriever.tokenizer)
+    more = written(query_terms(passages, retriever.tokenizer), "passages")
+    has = more.select("query_id").distinct().withColumn("has", F.lit(True))
+    cells = F.broadcast(grid.select("cell", F.col("weight").alias("times")))
+    times = F.when(F.col("has"), F.col("times")).otherwise(F.lit(1))
+    weighted = own.join(has, "query_id", "left").crossJoin(cells).select("cell", "query_id", "term", (F.col("weight") * times).alias("weight"))
+    both = weighted.unionByName(more.crossJoin(cells).select("cell", "query_id", "term", "weight"))  # the grid is a parameter
+    return _sweep_weights(retriever, both.groupBy("cell", "query_id", "term").agg(F.sum("weight").alias("weight")), qrels, grid, len(weights), k)
+
 
-    def run(w: int) -> DataFrame:
-        blank = own.join(more.select("query_id").distinct(), "query_id", "left_anti")
-        both = own.join(more.select("query_id").distinct(), "query_id", "left_semi").withColumn("weight", F.col("weight") * w)
-        terms = both.unionByName(more).unionByName(blank).groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
-        return top_k(retriever.score_weighted_terms(terms), k)
+def rm3_grid() -> list[tuple[int, int, float]]:
+    return [(d, t, a) for d in RM3_GRID["fb_docs"] for t in RM3_GRID["fb_terms"] for a in RM3_GRID["alpha"]]
 
-    return _means([(w, run(w)) for w in weights], qrels, "weight", k)
 
+def sweep_rm3(retriever: RM3Retriever, queries: DataFrame, qrels: DataFrame, grid: list[tuple[int, int, float]] | None = None, k: int = 10) -> DataFrame:
+    """cell, fb_docs, fb_terms, alpha and mean nDCG@k of every cell.
 
-def sweep_rm3(retriever: RM3Retriever, queries: DataFrame, qrels: DataFrame, grid: list[tuple[int, int, float]], k: int = 10) -> DataFrame:
-    """fb_docs, fb_terms, alpha and mean nDCG@k of every cell."""
-    rows = [evaluate(retriever.with_parameters(*cell).retrieve(queries, k), qrels, (k,)).where(F.col("metric") == f"ndcg@{k}").select(F.lit(i).alias("cell"), *(F.lit(x).alias(c) for c, x in zip(("fb_docs", "fb_terms", "alpha"), cell, strict=True)), F.col("value").alias("ndcg")) for i, cell in enumerate(grid)]
-    return reduce(DataFrame.unionByName, rows)
+    The first pass runs once, to the greatest ``fb_docs``; a model for each number of feedback documents
+    is ranked once, and its prefixes are the models of fewer terms.
+    """
+    grid = rm3_grid() if grid is None else grid
+    spark = queries.sparkSession
+    cells = spark.createDataFrame([(i, *map(int, c[:2]), float(c[2])) for i, c in enumerate(grid)], "cell int, fb_docs int, fb_terms int, alpha double")
+    docs, terms_ = (spark.createDataFrame([(x,) for x in sorted({c[i] for c in grid})], f"{n} int") for i, n in ((0, "fb_docs"), (1, "fb_terms")))
+    terms = query_terms(queries, retriever.tokenizer)
+    own = terms.select("query_id", "term", (F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).alias("own"))
+    first = written(top_k(retriever.scorer.score_weighted_terms(terms), max(c[0] for c in grid)), "feedback")
+    # A number of feedback documents makes a query of its own: "5 q1" is q1 with five of them.
+    feedback = first.crossJoin(F.broadcast(docs)).where(F.col("rank") <= F.col("fb_docs")).withColumn("query_id", F.concat_ws(" ", F.col("fb_docs").cast("string"), "query_id"))
+    model = retriever.feedback_terms(written(feedback.select("query_id", "doc_id", "score"), "feedback"))
+    ranked = model.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))).where(F.col("nth") <= max(c[1] for c in grid))
+    cut = ranked.crossJoin(F.broadcast(terms_)).where(F.col("nth") <= F.col("fb_terms"))
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id", "fb_terms"))
+    models = cut.select(F.substring_index("query_id", " ", 1).cast("int").alias("fb_docs"), F.expr("substring(query_id, instr(query_id, ' ') + 1)").alias("query_id"), "fb_terms", "term", share.alias("share"))
+    models = written(models, "models")
+    has = models.select("query_id", "fb_docs", "fb_terms").distinct().withColumn("has", F.lit(True))
+    alpha = F.when(F.col("has"), F.col("alpha")).otherwise(F.lit(0.0))
+    mixed = own.crossJoin(F.broadcast(cells)).join(has, ["query_id", "fb_docs", "fb_terms"], "left").select("cell", "query_id", "term", ((1 - alpha) * F.col("own")).alias("weight"))
+    mixed = mixed.unionByName(models.join(F.broadcast(cells), ["fb_docs", "fb_terms"]).select("cell", "query_id", "term", (F.col("alpha") * F.col("share")).alias("weight")))  # the grid is a parameter
+    weights = mixed.groupBy("cell", "query_id", "term").agg(F.sum("weight").alias("weight"))
+    return _sweep_weights(retriever.scorer, weights, qrels, cells, len(grid), k)
 
 
 def sweep_router(statistics: DataFrame, scores: DataFrame, predictor: str, at_or_above: str, below: str, steps: int = 20) -> DataFrame:

@@ -1,25 +1,26 @@
 """Retrieval with vectors: dense, learned sparse and late interaction.
 
 Models are plug-ins that give vectors (see :class:`Encoder`); the operators work on frames of vectors.
-Queries are a stated set: each task compares its rows of the corpus with the queries' vectors in blocks
-of matrix products and keeps the best of each query, so neither pairs nor scores are moved.
+Queries are a stated set: their vectors are broadcast, and each task compares its rows of the corpus with
+them in blocks of matrix products and sends on the best documents of each query only, so neither pairs nor
+scores are moved.  One scan of the corpus serves up to :data:`PASS_BYTES` of query vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from irspan.operators.ranking import DECIMALS, top_k
 
-#: Bytes of query vectors that are sent to the tasks; a larger set is joined in blocks of this size.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors that one scan of the corpus is compared with, and that one product takes.
+PASS_BYTES, BLOCK_BYTES = 128 << 20, 4 << 20
 
 
 class Encoder(Protocol):
@@ -29,17 +30,36 @@ class Encoder(Protocol):
         """``texts`` with a column ``embedding`` (array of float)."""
 
 
+class TokenEncoder(Protocol):
+    """A model that gives a vector for each position of a text."""
+
+    def encode_tokens(self, texts: DataFrame, text_column: str = "text", is_query: bool = False) -> DataFrame:
+        """A row for each kept position: the other columns of ``texts``, ``pos`` and ``embedding``."""
+
+
+def _words(text_column: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), r"\s+"), lambda w: w != "")
+
+
 class VocabularyEncoder:
-    """Counts of the words of a fixed vocabulary, as unit vectors: a deterministic stand-in for a model."""
+    """Counts of the words of a fixed vocabulary, as unit vectors: a deterministic stand-in for a model.
+
+    As a token encoder, a word of the vocabulary is a unit vector along its own axis.
+    """
 
     def __init__(self, vocabulary: tuple[str, ...]):
         self.vocabulary = vocabulary
 
     def encode(self, texts: DataFrame, text_column: str = "text") -> DataFrame:
-        words = F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), r"\s+")
-        counts = F.transform(F.array(*(F.lit(v) for v in self.vocabulary)), lambda v: F.size(F.filter(words, lambda w: w == v)).cast("double"))
+        counts = F.transform(F.array(*(F.lit(v) for v in self.vocabulary)), lambda v: F.size(F.filter(_words(text_column), lambda w: w == v)).cast("double"))
         return texts.withColumn("embedding", normalised(counts))
 
+    def encode_tokens(self, texts: DataFrame, text_column: str = "text", is_query: bool = False) -> DataFrame:
+        known = F.filter(_words(text_column), lambda w: w.isin(*self.vocabulary))
+        rows = texts.select(*(c for c in texts.columns if c != text_column), F.posexplode(known).alias("pos", "word"))
+        axis = F.transform(F.array(*(F.lit(v) for v in self.vocabulary)), lambda v: (v == F.col("word")).cast("double"))
+        return rows.withColumn("embedding", axis).drop("word")
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -56,18 +76,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and vectors on the driver, in blocks of bounded size."""
-    ids, rows, size = [], [], 0
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(r[0])
-        rows.append(np.array(r[1], np.float64))
-        size += rows[-1].nbytes
-        if size >= QUERY_BYTES:
-            yield ids, np.stack(rows)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield ids, np.stack(rows)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _passes(vectors: DataFrame) -> list[DataFrame]:
+    """Query vectors (query_id, embedding and others), those of a query together, in parts of about PASS_BYTES."""
+    size = vectors.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
+    n = max(1, -(-int(size) // PASS_BYTES))
+    return [vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [vectors]
+
+
+def _best(scores: np.ndarray, docs: list, queries: list, k: int) -> pa.RecordBatch:
+    """The best documents (columns) of each query (rows); ties at the cut-off all stay, for the ids to decide."""
+    n = min(k, len(docs))
+    cut = np.partition(scores, len(docs) - n, axis=1)[:, len(docs) - n]
+    r, c = np.nonzero(scores >= cut[:, None])
+    return pa.RecordBatch.from_arrays([pa.array([queries[i] for i in r], pa.string()), pa.array([docs[i] for i in c], pa.string()), pa.array(scores[r, c])], ["query_id", "doc_id", "score"])
+
+
+_SCORES = "query_id string, doc_id string, score double"
+
+
+def _scanned(rows: DataFrame, shared: list, run: Callable) -> DataFrame:
+    """The union of ``run`` over ``rows`` for each of the ``shared`` query parts: one scan a part."""
+    spark = rows.sparkSession
+    parts = [rows.mapInArrow(run(spark.sparkContext.broadcast(x)), _SCORES) for x in shared]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _SCORES)
 
 
 def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 100) -> DataFrame:
@@ -78,30 +113,30 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 100) -> Da
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    best = None
-    for ids, q in _query_blocks(queries):
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+    shared = []
+    for part in _passes(queries.select("query_id", "embedding")):
+        table = part.toArrow()  # PASS_BYTES, about
+        if table.num_rows:
+            shared.append((table.column(0).to_pylist(), _unit(_matrix(table.column(1).combine_chunks()))))
+
+    def run(held) -> Callable:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
+            step = max(1, BLOCK_BYTES // (8 * q.shape[1]))
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                d = _matrix(batch.column(1))
-                d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
-                scores = np.round(q @ d.T, DECIMALS)
+                d = _unit(_matrix(batch.column(1)))
                 docs, at = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
-                most = np.full((len(q), len(docs)), -np.inf)
-                np.maximum.at(most.T, at, scores.T)
-                n = min(k, len(docs))
-                # Ties at the cut-off all stay, for the ids to decide.
-                cut = np.partition(most, len(docs) - n, axis=1)[:, len(docs) - n]
-                r, c = np.nonzero(most >= cut[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r], pa.string()), pa.array(docs[c].tolist(), pa.string()), pa.array(most[r, c])], ["query_id", "doc_id", "score"])
-
-        found = documents.select(F.col("doc_id").cast("string"), "embedding").mapInArrow(run, "query_id string, doc_id string, score double")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = documents.sparkSession.createDataFrame([], "query_id string, doc_id string, score double")
+                for i in range(0, len(ids), step):
+                    scores = np.round(q[i : i + step] @ d.T, DECIMALS)
+                    most = np.full((len(scores), len(docs)), -np.inf)
+                    np.maximum.at(most.T, at, scores.T)
+                    yield _best(most, docs.tolist(), ids[i : i + step], k)
+
+        return compare
+
+    best = _scanned(documents.select(F.col("doc_id").cast("string"), "embedding"), shared, run)
     return top_k(best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k, drop_zero=False)
 
 
@@ -130,27 +165,44 @@ def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> Data
     """Late interaction: over a query's tokens, the sum of the best dot product in a document.
 
     ``queries``: query_id, pos, embedding; ``tokens``: doc_id, pos, embedding.  A document's tokens are
-    brought together as one row, then compared in blocks.  No score is dropped.
+    brought together as one row, then compared in blocks; a task sends on the best documents of each query.
+    No score is dropped.  A document without a token (a row whose embedding is null) is an error: it
+    would have no score.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    rows = sorted(queries.select("query_id", "pos", "embedding").collect())  # a stated query set
-    ids = sorted({r[0] for r in rows})
-    matrix = np.array([r[2] for r in rows], np.float64)
-    starts = np.array([next(i for i, r in enumerate(rows) if r[0] == x) for x in ids], np.int64)
-    gathered = tokens.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "embedding"))), lambda t: t["embedding"])).alias("flat"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not ids:
-                continue
-            docs = batch.column(0).to_pylist()
-            flat = batch.column(1)
-            d = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
-            lengths = np.array(pc.list_value_length(flat)) // matrix.shape[1]
-            best = np.maximum.reduceat(matrix @ d.T, np.cumsum(lengths) - lengths, axis=1)
-            scores = np.add.reduceat(best, starts, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(docs)).tolist(), pa.string()), pa.array(docs * len(ids), pa.string()), pa.array(scores.ravel())], ["query_id", "doc_id", "score"])
-
-    scores = gathered.select(F.col("doc_id").cast("string"), "flat").mapInArrow(run, "query_id string, doc_id string, score double")
-    return top_k(scores, k, drop_zero=False)
+    shared = []
+    for part in _passes(queries.select("query_id", "embedding", "pos")):
+        table = part.toArrow().sort_by([("query_id", "ascending"), ("pos", "ascending")])  # PASS_BYTES, about
+        if table.num_rows:
+            names = np.array(table.column(0).to_pylist(), object)
+            starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+            shared.append((names[starts].tolist(), starts, _matrix(table.column(1).combine_chunks())))
+    empty = F.raise_error(F.concat(F.lit("no token is left of document "), F.col("doc_id").cast("string"))).cast("array<double>")
+    rows = tokens.select("doc_id", "pos", F.when(F.col("embedding").isNull(), empty).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))
+    gathered = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "embedding"))), lambda t: t["embedding"]).alias("vectors"))  # of one document
+    gathered = gathered.select(F.col("doc_id").cast("string"), F.flatten("vectors").alias("flat"), F.size("vectors").alias("n"))
+
+    def run(held) -> Callable:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, starts, q = held.value
+            ends = [*starts[1:].tolist(), len(q)]
+            most = max(1, BLOCK_BYTES // (8 * q.shape[1]))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                docs = batch.column(0).to_pylist()
+                lengths = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                d = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                a = 0
+                while a < len(ids):  # runs of whole queries of about BLOCK_BYTES
+                    b = a + 1
+                    while b < len(ids) and ends[b] - starts[a] <= most:
+                        b += 1
+                    best = np.maximum.reduceat(q[starts[a] : ends[b - 1]] @ d.T, np.cumsum(lengths) - lengths, axis=1)
+                    yield _best(np.round(np.add.reduceat(best, starts[a:b] - starts[a], axis=0), DECIMALS), docs, ids[a:b], k)
+                    a = b
+
+        return compare
+
+    return top_k(_scanned(gathered, shared, run), k, drop_zero=False)

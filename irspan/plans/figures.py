@@ -1,67 +1,134 @@
-"""A dot plot of methods as SVG text: deterministic, without a plotting library."""
+"""A dot plot of methods as SVG text: deterministic, without a plotting library; and labels of runs."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from html import escape
 
-_COLOURS = ("#1b6ca8", "#b3541e", "#3c7a3c", "#7a3c7a", "#555555")
+#: Colours of groups on a light and on a dark ground, and of the grounds and inks themselves.
+COLOURS = (("#1b6ca8", "#5aa9e6"), ("#b3541e", "#f0935f"), ("#3c7a3c", "#7cc47c"), ("#7a3c7a", "#c48bc4"), ("#555555", "#aaaaaa"))
+_GROUND, _INK, _FAINT = ("#ffffff", "#15181c"), ("#1c1e21", "#e8e8e6"), ("#d6d6d2", "#3c4046")
+
+_LEFT, _PANEL, _GAP, _LINE, _TOP, _FOOT = 230, 230, 34, 24, 110, 70
 
 
 def nice_ticks(low: float, high: float, most: int = 7) -> list[float]:
-    """At most ``most`` round values that lie from low to high."""
-    if high <= low:
-        return [low]
-    step = 10.0 ** math.floor(math.log10((high - low) / most))
-    while (math.floor(high / step + 1e-9) - math.ceil(low / step - 1e-9) + 1) > most:
-        lead = round(step / 10.0 ** math.floor(math.log10(step) + 1e-9))
-        step *= 2.5 if lead == 2 else 2
-    first = math.ceil(low / step - 1e-9)
-    return [round(i * step, 10) for i in range(first, math.floor(high / step + 1e-9) + 1)]
+    """At most ``most`` even, round values, the first not above ``low`` and the last not below ``high``.
+
+    Steps of 1, 2, 2.5 and 5 times a power of ten are tried from small to large.
+    """
+    if not high > low:
+        raise ValueError(f"there is no range from {low} to {high}")
+    if most < 3:
+        raise ValueError("there must be three ticks")
+    power = math.floor(math.log10((high - low) / most)) - 1
+    while True:
+        for lead in (1, 2, 2.5, 5):
+            step = lead * 10.0**power
+            first, last = math.floor(low / step + 1e-9), math.ceil(high / step - 1e-9)
+            if last - first < most:
+                return [round(i * step, 10) for i in range(first, last + 1)]
+        power += 1
+
+
+def axis(domain: tuple[float, float], start: float, length: float) -> Callable[[float], float]:
+    """Places along an axis that begins at ``start``: the domain's ends are its ends."""
+    per_unit = length / (domain[1] - domain[0])
+    return lambda value: start + per_unit * (value - domain[0])
+
+
+def by_gain(rows: list[dict], reference: dict) -> list[dict]:
+    """Rows by their mean gain over the reference, the best first, equals by name."""
+    gain = lambda r: sum(r["values"][p] - v for p, v in reference["values"].items()) / len(reference["values"])
+    return sorted(rows, key=lambda r: (-gain(r), r["name"]))
 
 
-def scale(value: float, domain: tuple[float, float], extent: tuple[float, float]) -> float:
-    """``value`` carried linearly from the domain to the extent."""
-    return extent[0] + (value - domain[0]) / (domain[1] - domain[0]) * (extent[1] - extent[0])
+def _style(groups: list[str]) -> str:
+    def rules(dark: int) -> str:
+        own = "".join(f".c{i}{{fill:{COLOURS[i % len(COLOURS)][dark]}}}" for i in range(len(groups)))
+        return f".ground{{fill:{_GROUND[dark]}}}text{{fill:{_INK[dark]}}}.grid{{stroke:{_FAINT[dark]}}}.line{{stroke:{_INK[dark]};stroke-dasharray:4 3}}.mark{{fill:{_INK[dark]}}}{own}"
 
+    return f"<style>text{{font:12px sans-serif}}.head{{font-size:16px}}.bold{{font-weight:bold}}{rules(0)}@media (prefers-color-scheme:dark){{{rules(1)}}}</style>"
 
-def dot_plot_svg(rows: list[dict], panels: list[str], title: str, reference: str | None = None, caption: str = "") -> str:
-    """One line of dots a method and one panel a dataset; ``rows``: name, group, and a value by panel.
 
-    The reference method's value is drawn as a line through its panel.
+def dot_plot_svg(rows: list[dict], panels: list[str], title: str, reference: str, subtitle: str = "", caption: str = "", groups: list[str] | None = None) -> str:
+    """One line of dots a method and one panel a dataset; ``rows``: name, group, and values by panel.
+
+    The row named ``reference`` is drawn as a line through every panel.  A row without a value for a panel,
+    a group that isn't among ``groups``, or a reference that isn't a row, is an error.
     """
-    groups = list(dict.fromkeys(r["group"] for r in rows))
-    left, width, gap, line, top = 180, 220, 30, 22, 60
-    height = top + line * len(rows) + 70
-    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{left + len(panels) * (width + gap)}" height="{height}" font-family="sans-serif" font-size="12">', f'<text x="10" y="22" font-size="16">{escape(title)}</text>']
+    groups = groups or list(dict.fromkeys(r["group"] for r in rows))
+    for r in rows:
+        if lost := [p for p in panels if r["values"].get(p) is None]:
+            raise ValueError(f"{r['name']} has no value for {', '.join(lost)}")
+        if r["group"] not in groups:
+            raise ValueError(f"{r['name']} is of an unknown group {r['group']}")
+    base = next((r for r in rows if r["name"] == reference), None)
+    if base is None:
+        raise ValueError(f"there is no row {reference}")
+    bottom = _TOP + _LINE * len(rows)
+    width, height = _LEFT + len(panels) * (_PANEL + _GAP), bottom + _FOOT
+    out = [
+        f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}" role="img" aria-labelledby="plot-title plot-desc">',
+        f'<title id="plot-title">{escape(title)}</title><desc id="plot-desc">{escape(subtitle or title)}</desc>',
+        _style(groups),
+        f'<rect class="ground" width="{width}" height="{height}"/><text class="head" x="12" y="28">{escape(title)}</text><text x="12" y="48">{escape(subtitle)}</text>',
+    ]
+    for g, name in enumerate(groups):
+        out.append(f'<circle class="c{g}" cx="{18 + g * 170}" cy="70" r="5"/><text x="{30 + g * 170}" y="74">{escape(name)}</text>')
+    line = lambda i: _TOP + _LINE * i + _LINE / 2
     for i, r in enumerate(rows):
-        out.append(f'<text x="{left - 10}" y="{top + line * i + 4}" text-anchor="end">{escape(r["name"])}</text>')
+        out.append(f'<text class="{"bold" if r is base else "name"}" x="{_LEFT - 14}" y="{line(i) + 4:.0f}" text-anchor="end">{escape(r["name"])}</text>')
     for p, panel in enumerate(panels):
-        x0 = left + p * (width + gap)
-        values = [r["values"][panel] for r in rows if r["values"].get(panel) is not None]
-        low, high = (min(values), max(values)) if values else (0.0, 1.0)
-        pad = (high - low) * 0.05 or 0.05
-        domain, extent = (low - pad, high + pad), (x0, x0 + width)
-        out.append(f'<text x="{x0}" y="{top - 18}" font-weight="bold">{escape(panel)}</text>')
-        for t in nice_ticks(*domain):
-            x = scale(t, domain, extent)
-            out.append(f'<line x1="{x:.1f}" x2="{x:.1f}" y1="{top - 10}" y2="{top + line * len(rows)}" stroke="#ddd"/><text x="{x:.1f}" y="{top + line * len(rows) + 16}" text-anchor="middle">{t:g}</text>')
+        start = _LEFT + p * (_PANEL + _GAP)
+        values = [r["values"][panel] for r in rows]
+        low, high = min(values), max(values)
+        ticks = nice_ticks(low, high) if high > low else [round(low - 0.05, 10), round(low + 0.05, 10)]
+        place = axis((ticks[0], ticks[-1]), start, _PANEL)
+        out.append(f'<text class="bold" x="{start}" y="{_TOP - 8}">{escape(panel)}</text>')
+        for t in ticks:
+            out.append(f'<line class="grid" x1="{place(t):.1f}" x2="{place(t):.1f}" y1="{_TOP}" y2="{bottom}"/><text x="{place(t):.1f}" y="{bottom + 16}" text-anchor="middle">{t:g}</text>')
+        x = place(base["values"][panel])
+        out.append(f'<line class="line" x1="{x:.1f}" x2="{x:.1f}" y1="{_TOP}" y2="{bottom}"/>')
         for i, r in enumerate(rows):
-            v = r["values"].get(panel)
-            if v is None:
-                continue
-            x, y = scale(v, domain, extent), top + line * i
-            if r["name"] == reference:
-                out.append(f'<line x1="{x:.1f}" x2="{x:.1f}" y1="{top - 10}" y2="{top + line * len(rows)}" stroke="#888" stroke-dasharray="4 3"/>')
-            out.append(f'<circle cx="{x:.1f}" cy="{y}" r="5" fill="{_COLOURS[groups.index(r["group"]) % len(_COLOURS)]}"><title>{escape(r["name"])}: {v:.4f}</title></circle>')
-    for g, name in enumerate(groups):
-        out.append(f'<circle cx="{left + g * 120}" cy="{height - 32}" r="5" fill="{_COLOURS[g % len(_COLOURS)]}"/><text x="{left + g * 120 + 10}" y="{height - 28}">{escape(name)}</text>')
-    out.append(f'<text x="10" y="{height - 8}" fill="#555">{escape(caption)}</text></svg>')
+            css = "mark" if r is base else f"c{groups.index(r['group'])}"
+            v = r["values"][panel]
+            out.append(f'<circle class="{css}" cx="{place(v):.1f}" cy="{line(i):.1f}" r="5"><title>{escape(r["name"])}, {escape(panel)}: {v:.4f}</title></circle>')
+    out.append(f'<text x="12" y="{height - 10}">{escape(caption)}</text></svg>')
     return "\n".join(out)
 
 
+#: Settings that tell runs of a method apart.
+_TELLING = {
+    "dense": ("model", "chunk_words", "truncation_rate"),
+    "learned-sparse": ("model", "top_terms"),
+    "late-interaction": ("model",),
+    "rm3": ("fb_docs", "fb_terms", "alpha"),
+    "bm25": ("k1", "b", "fields"),
+    "rrf": ("k", "retrievers"),
+    "rerank": ("model", "depth"),
+    "expanded": ("expanded", "query_weight"),
+}
+
+
 def run_label(summary: dict) -> str:
-    """A readable label of a run's settings."""
-    model = str(summary.get("model", "run"))
-    settings = ", ".join(f"{k}={summary[k]}" for k in sorted(summary) if k not in ("model", "dataset") and isinstance(summary[k], (int, float, str)))
-    return f"{model} ({settings})" if settings else model
+    """A readable label of a run from its summary: its tag or method, and the settings that tell it apart.
+
+    ``summary``: tag (may be empty), and the retriever's description as ``settings``.
+    """
+    settings = summary.get("settings") or {}
+    method = settings.get("method") or settings.get("model") or "run"
+    parts = []
+    for key in _TELLING.get(method, ()):
+        value = settings.get(key)
+        if key == "retrievers":
+            value = "+".join(str(r.get("method") or r.get("model")) for r in value or [])
+        elif isinstance(value, (list, tuple)):
+            value = "+".join(map(str, value))
+        if value is not None and value != "":
+            parts.append(f"truncated {100 * value:.0f} %" if key == "truncation_rate" else f"{key} {value}")
+    tokenizer = settings.get("tokenizer") or {}
+    if tokenizer:
+        parts.append("stemmed" if tokenizer.get("stemmer") else "not stemmed")
+    return f"{summary.get('tag') or method} [{method}]" + (f": {', '.join(parts)}" if parts else "")

@@ -7,16 +7,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irspan.functions.text import NO_STEM, Tokenizer, citation_precision, invalid_citations, source_block, valid_citations
+from irspan.functions.text import NO_STEM, Tokenizer, source_block
+from irspan.operators import generation
 from irspan.operators.bm25 import BM25Retriever, MultiFieldBM25Retriever
 from irspan.operators.combine import overlap, reciprocal_rank_fusion
 from irspan.operators.metrics import PUBLISHED_NDCG_10
 from irspan.operators.ranking import reranked
-from irspan.operators.vectors import Encoder, dense_retrieve
+from irspan.operators.retrievers import DenseRetriever
+from irspan.operators.vectors import Encoder
 
 #: Documents that either model gives to the fusion, and its constant.
 DEPTH, FUSION_K = 100, 5
 SNIPPET_CHARS = 600
+CAVEAT = "Only scores of judged queries with these settings are benchmark results: a query that was made up has no judgements."
 
 
 def result_rows(run: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -35,14 +38,17 @@ def format_sources(run: DataFrame, corpus: DataFrame, max_chars: int = 700) -> D
 def describe_benchmark(corpus: DataFrame, qrels: DataFrame) -> DataFrame:
     """One row: documents, judged queries, judgements, relevant ones."""
     counts = qrels.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("judgements"), F.count_if(F.col("grade") > 0).alias("relevant"))
-    return corpus.agg(F.count("*").alias("documents")).crossJoin(counts)
+    return corpus.agg(F.count("*").alias("documents")).crossJoin(counts)  # a row each
 
 
 class SearchService:
-    """Lazily indexed search with BM25, an encoder's vectors where one is given, and both fused."""
+    """Search with BM25, an encoder's vectors where one is given, and both fused.
 
-    def __init__(self, name: str, corpus: DataFrame, qrels: DataFrame | None = None, encoder: Encoder | None = None, tokenizer: Tokenizer = NO_STEM):
-        self.name, self.corpus, self.qrels, self.encoder, self.tokenizer = name, corpus, qrels, encoder, tokenizer
+    Indexes are written when first needed, and read by every call after that.
+    """
+
+    def __init__(self, name: str, corpus: DataFrame, qrels: DataFrame | None = None, encoder: Encoder | None = None, tokenizer: Tokenizer = NO_STEM, split: str = "test"):
+        self.name, self.corpus, self.qrels, self.encoder, self.tokenizer, self.split = name, corpus, qrels, encoder, tokenizer, split
 
     @cached_property
     def bm25(self) -> BM25Retriever:
@@ -53,11 +59,8 @@ class SearchService:
         return BM25Retriever(tokenizer=self.tokenizer).index(self.corpus)
 
     @cached_property
-    def embeddings(self) -> DataFrame | None:
-        if self.encoder is None:
-            return None
-        text = self.corpus.select("doc_id", F.concat_ws(" ", "title", "text").alias("text"))
-        return self.encoder.encode(text).select("doc_id", "embedding")
+    def dense(self) -> DenseRetriever | None:
+        return None if self.encoder is None else DenseRetriever(self.encoder).index(self.corpus)
 
     def _queries(self, query: str) -> DataFrame:
         return self.corpus.sparkSession.createDataFrame([("q", query)], "query_id string, text string")
@@ -66,13 +69,13 @@ class SearchService:
         """The run of ``method`` (bm25, dense or hybrid) and the methods that it really used."""
         if method not in ("bm25", "dense", "hybrid"):
             raise ValueError("method must be bm25, dense or hybrid")
-        if method == "dense" and self.embeddings is None:
+        if method == "dense" and self.dense is None:
             raise RuntimeError("there is no encoder")
         found = {}
         if method != "dense":
             found["bm25"] = self.bm25.retrieve(queries, DEPTH)
-        if method != "bm25" and self.embeddings is not None:
-            found["dense"] = dense_retrieve(self.encoder.encode(queries).select("query_id", "embedding"), self.embeddings, DEPTH)
+        if method != "bm25" and self.dense is not None:
+            found["dense"] = self.dense.retrieve(queries, DEPTH)
         run = next(iter(found.values())).where(F.col("rank") <= k) if len(found) == 1 else reciprocal_rank_fusion(list(found.values()), FUSION_K, k)
         return run, list(found)
 
@@ -84,23 +87,23 @@ class SearchService:
     def compare_methods(self, query: str, top_k: int = 5) -> dict:
         q = self._queries(query)
         lexical, _ = self.runs(q, "bm25", top_k)
-        other, used = self.runs(q, "dense" if self.embeddings is not None else "bm25", top_k)
+        other, used = self.runs(q, "dense" if self.dense is not None else "bm25", top_k)
         shared = overlap(lexical, other, top_k).collect()
         stats = self.concatenated.query_statistics(q).drop("query_id").first().asDict()
         return {"query": query, "bm25": self.search(query, top_k, "bm25")["results"], used[0]: self.search(query, top_k, used[0])["results"], "shared": shared[0].shared if shared else 0, "query_statistics": stats}
 
-    def answer(self, query: str, generator, top_k: int = 5) -> dict:
-        """An answer of ``generator`` (a prompt to a text) with its citations checked."""
-        run, _ = self.runs(self._queries(query), "hybrid", top_k)
-        sources = format_sources(run, self.corpus).collect()
-        if not sources:
+    def answer(self, query: str, model: generation.Model, top_k: int = 5, settings: generation.Settings = generation.Settings(max_new_tokens=160)) -> dict:
+        """An answer of ``model`` from the first ``top_k`` documents, with its citations checked; no documents
+        is an error."""
+        q = self._queries(query)
+        run, used = self.runs(q, "hybrid", top_k)
+        rows = generation.answer(format_sources(run, self.corpus), q, run, model, settings).drop("query_id").collect()
+        if not rows:
             raise ValueError("there are no documents to answer from")
-        n = run.count()
-        text = generator(f"{sources[0].sources}\n\nAnswer with citations like [1]: {query}")
-        row = self.corpus.sparkSession.createDataFrame([(text,)], "a string").select(valid_citations(F.col("a"), F.lit(n)).alias("valid"), invalid_citations(F.col("a"), F.lit(n)).alias("invalid"), citation_precision(F.col("a"), F.lit(n)).alias("precision")).first()
-        return {"query": query, "answer": text, "valid": row.valid, "invalid": row.invalid, "citation_precision": row.precision}
+        return {**rows[0].asDict(), "methods": used, "settings": settings.describe("answer")}
 
     def describe_benchmark(self) -> dict:
         if self.qrels is None:
             raise ValueError("there are no judgements")
-        return {"dataset": self.name, "published_ndcg_10": PUBLISHED_NDCG_10.get(self.name), **describe_benchmark(self.corpus, self.qrels).first().asDict()}
+        levels = sorted(r[0] for r in self.qrels.select("grade").distinct().collect())  # grades are few
+        return {"dataset": self.name, "split": self.split, "published_ndcg_10": PUBLISHED_NDCG_10.get(self.name), **describe_benchmark(self.corpus, self.qrels).first().asDict(), "levels": levels, "retriever": self.bm25.describe(), "caveat": CAVEAT}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irspan.functions import text as T
-from irspan.operators import agreement, combine, expansion, metrics, significance, sweeps, vectors
-from irspan.operators.bm25 import BM25Retriever, LexicalIndex, MultiFieldBM25Retriever, query_terms
+from irspan.operators import agreement, combine, expansion, metrics, physical, significance, sweeps, vectors
+from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
 from irspan.operators.ranking import top_k
 from irspan.operators.rm3 import RM3Retriever
 from irspan.plans.service import describe_benchmark
@@ -91,8 +91,27 @@ _VECTOR_RUN = """vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
   SELECT query_id, doc_id, round(list_cosine_similarity(vq.v, vc.v), 6) AS score FROM vq, vc) QUALIFY rank <= 10)"""
 
 
+_INDEXES: dict[tuple, LexicalIndex] = {}
+
+
+def _index(spark, sf_dir, tokenizer=T.NO_STEM, fields: tuple[str, ...] | None = None) -> LexicalIndex:
+    """The index of a folder's corpus, written once a session and opened by every query on it."""
+    key = (spark.sparkContext.applicationId, sf_dir, tokenizer, fields)
+    if key not in _INDEXES or not _INDEXES[key].there():
+        corpus = X.corpus(spark, sf_dir) if fields else X.single(spark, sf_dir)
+        _INDEXES[key] = LexicalIndex.build(corpus, tokenizer, fields)
+    return _INDEXES[key]
+
+
 def _bm25(spark, sf_dir, k1=0.9, b=0.4, tokenizer=T.NO_STEM) -> BM25Retriever:
-    return BM25Retriever(k1, b, tokenizer).index(X.single(spark, sf_dir))
+    return BM25Retriever(k1, b, tokenizer, indexed=_index(spark, sf_dir, tokenizer))
+
+
+_FIELD_NAMES = ("title", "text")
+
+
+def _multi(spark, sf_dir, weights=None) -> BM25Retriever:
+    return BM25Retriever(tokenizer=T.NO_STEM, fields=_FIELD_NAMES, weights=weights, indexed=_index(spark, sf_dir, T.NO_STEM, _FIELD_NAMES))
 
 
 def _run(spark, sf_dir, k=10, **kw) -> DataFrame:
@@ -129,17 +148,17 @@ def document_texts(spark, sf_dir):
 
 @_query(_with(_lex(), select="SELECT doc_id, dl FROM dl"))
 def doc_lengths(spark, sf_dir):
-    return _bm25(spark, sf_dir).indexed.tokens.select("doc_id", F.col("dl").cast("bigint").alias("dl"))
+    return _index(spark, sf_dir).lengths.select("doc_id", F.col("dl").cast("bigint").alias("dl"))
 
 
 @_query(_with(_lex(), select="SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def term_stats_idf(spark, sf_dir):
-    return _bm25(spark, sf_dir).indexed.term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @_query(_with(_FIELDS, select="SELECT field, n, round(avgdl, 6) AS avgdl FROM ffs"))
 def field_stats(spark, sf_dir):
-    return _ints(LexicalIndex.build(X.corpus(spark, sf_dir), T.NO_STEM, ("title", "text")).field_stats())
+    return _ints(_index(spark, sf_dir, T.NO_STEM, _FIELD_NAMES).field_stats())
 
 
 # ---- BM25 -----------------------------------------------------------------------------------------
@@ -174,12 +193,12 @@ def bm25_weighted_terms(spark, sf_dir):
 
 @_query(_with(_FIELDS, _field_scored("r"), select=_RUN + "r"))
 def bm25_multifield(spark, sf_dir):
-    return _ints(MultiFieldBM25Retriever(tokenizer=T.NO_STEM).index(X.corpus(spark, sf_dir)).retrieve(X.queries(spark, sf_dir), 10))
+    return _ints(_multi(spark, sf_dir).retrieve(X.queries(spark, sf_dir), 10))
 
 
 @_query(_with(_FIELDS, _field_scored("r", 3, 0.5), select=_RUN + "r"))
 def bm25_field_weights(spark, sf_dir):
-    return _ints(MultiFieldBM25Retriever(weights=(3.0, 0.5), tokenizer=T.NO_STEM).index(X.corpus(spark, sf_dir)).retrieve(X.queries(spark, sf_dir), 10))
+    return _ints(_multi(spark, sf_dir, (3.0, 0.5)).retrieve(X.queries(spark, sf_dir), 10))
 
 
 @_query()
@@ -288,7 +307,8 @@ _RM3 = (_lex(), _scored("fb"), _FEEDBACK)
 
 
 def _rm3(spark, sf_dir, **kw) -> RM3Retriever:
-    return RM3Retriever(tokenizer=T.NO_STEM, **kw).index(X.corpus(spark, sf_dir) if kw.get("multi_field") else X.single(spark, sf_dir))
+    scorer = _multi(spark, sf_dir) if kw.get("multi_field") else _bm25(spark, sf_dir)
+    return RM3Retriever(tokenizer=T.NO_STEM, scorer=scorer, harvested=_index(spark, sf_dir), **kw)
 
 
 @_query(_with(*_RM3, select="SELECT query_id, term, round(weight, 6) AS weight FROM model"))
@@ -339,18 +359,23 @@ def dense_relevant(spark, sf_dir):
 
 
 def _windows(size: int, stride: int) -> str:
-    return _with(f"w AS (SELECT query_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM queries)", select=f"""SELECT query_id, i AS chunk_no, array_to_string(w[i * {stride} + 1 : i * {stride} + {size}], ' ') AS chunk
-FROM (SELECT query_id, w, unnest(range(0, CASE WHEN len(w) <= {size} THEN 1 ELSE (len(w) - 1) // {stride} + 1 END)) AS i FROM w)""")
+    return _with(f"w AS (SELECT doc_id, list_filter(string_split_regex(whole, '\\s+'), lambda x: x <> '') AS w FROM corpus)", select=f"""SELECT doc_id, i AS chunk_no, md5(array_to_string(w[i * {stride} + 1 : i * {stride} + {size}], ' ')) AS chunk
+FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= {size} THEN 1 ELSE (len(w) - 1) // {stride} + 1 END)) AS i FROM w)""")
+
+
+def _chunked(spark, sf_dir, size: int, overlap: int) -> DataFrame:
+    rows = X.single(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), size, overlap)).alias("chunk_no", "chunk"))
+    return _ints(rows.select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk")))
 
 
-@_query(_windows(12, 12))
+@_query(_windows(200, 200))
 def chunk_windows(spark, sf_dir):
-    return _ints(X.queries(spark, sf_dir).select("query_id", F.posexplode(T.chunks(F.col("text"), 12)).alias("chunk_no", "chunk")))
+    return _chunked(spark, sf_dir, 200, 0)
 
 
-@_query(_windows(10, 6))
+@_query(_windows(120, 80))
 def chunk_overlap(spark, sf_dir):
-    return _ints(X.queries(spark, sf_dir).select("query_id", F.posexplode(T.chunks(F.col("text"), 10, 4)).alias("chunk_no", "chunk")))
+    return _chunked(spark, sf_dir, 120, 40)
 
 
 @_query(_with(select="SELECT round(avg(CASE WHEN n + 1 > 256 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT doc_id, len(regexp_extract_all(lower(whole), '[a-z0-9]+')) AS n FROM corpus)"))
@@ -496,23 +521,22 @@ def overlap_at_k(spark, sf_dir):
 
 # ---- tests between systems ------------------------------------------------------------------------
 
-_FIRST12 = "d AS (SELECT a.query_id, a.value - b.value AS d, row_number() OVER (ORDER BY a.query_id) - 1 AS i FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b' AND a.query_id::BIGINT < 12)"
 _TEST_COLUMNS = "round(o / n, 6) AS delta, round({p}, 6) AS p_value, n, '{m}' AS method, {r}::BIGINT AS assignments, {s}::BIGINT AS seed, ties, n - ties AS effective_queries"
 
 
-@_query(_with(*_TWO, _SYSTEMS, _FIRST12, """o AS (SELECT sum(d) AS o, count(*) AS n, count(*) FILTER (WHERE d = 0) AS ties FROM d),
-m AS (SELECT m, sum(d * (1 - 2 * ((m >> i) & 1))) AS s FROM d, range(0, (1 << 12)) AS g(m) GROUP BY 1)""", select="SELECT " + _TEST_COLUMNS.format(p="c / t", m="exact", r="t", s="NULL") + " FROM o, (SELECT count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) AS c, count(*) AS t FROM m, o)"))
+@_query(_with("s AS (SELECT (vec_id % 13) AS i, avg(embedding[1] - embedding[2])::DOUBLE AS d FROM embeddings GROUP BY 1)", """o AS (SELECT sum(d) AS o, count(*) AS n, count(*) FILTER (WHERE d = 0) AS ties FROM s),
+m AS (SELECT m, sum(d * (1 - 2 * ((m >> i) & 1))) AS s FROM s, range(0, (1 << 13)) AS g(m) GROUP BY 1)""", select="SELECT " + _TEST_COLUMNS.format(p="c / t", m="exact", r="t", s="NULL") + " FROM o, (SELECT count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) AS c, count(*) AS t FROM m, o)"))
 def paired_exact(spark, sf_dir):
-    """Exact test over the twelve queries of the smallest numbers."""
-    a, b = (x.where(F.col("query_id").cast("long") < 12) for x in _pairs(spark, sf_dir))
-    return _ints(significance.paired_exact(significance.aligned(a, b)))
+    """Exact test over thirteen groups of all vectors: two means a group."""
+    rows = X.table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % 13).alias("i")).agg(F.avg(F.col("embedding")[0] - F.col("embedding")[1]).alias("d"))
+    return _ints(significance.paired_exact(rows.select(F.format_string("%02d", "i").alias("query_id"), F.col("d").alias("a"), F.lit(0.0).alias("b"))))
 
 
 @_query(_with(*_TWO, _SYSTEMS, """d AS (SELECT a.query_id, a.value - b.value AS d FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b'),
 o AS (SELECT sum(d) AS o, count(*) AS n, count(*) FILTER (WHERE d = 0) AS ties FROM d),
-m AS (SELECT r, sum(CASE WHEN substr(md5('0:' || r || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d, range(0, 2000) AS g(r) GROUP BY 1)""", select="SELECT " + _TEST_COLUMNS.format(p="least(1, (c + 1) / 2001.0)", m="monte-carlo", r="2000", s="0") + " FROM o, (SELECT count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) AS c FROM m, o)"))
+m AS (SELECT r, sum(CASE WHEN substr(md5('0:' || r || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d, range(0, 10000) AS g(r) GROUP BY 1)""", select="SELECT " + _TEST_COLUMNS.format(p="least(1, (c + 1) / 10001.0)", m="monte-carlo", r="10000", s="0") + " FROM o, (SELECT count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) AS c FROM m, o)"))
 def paired_mc_portable(spark, sf_dir):
-    return _ints(significance.paired_sampled(significance.aligned(*_pairs(spark, sf_dir)), 2000))
+    return _ints(significance.paired_sampled(significance.aligned(*_pairs(spark, sf_dir))))
 
 
 @_query(_with(*_TWO, _SYSTEMS, """d AS (SELECT a.query_id, a.value - b.value AS d, row_number() OVER (ORDER BY a.query_id) - 1 AS i FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b'),
@@ -536,7 +560,7 @@ def holm(spark, sf_dir):
 @_query(_with("st AS (SELECT doc_id, length(title) AS x FROM corpus)", select="SELECT doc_id, round(rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0, 6)::DOUBLE AS avg_rank FROM st"))
 def average_ranks(spark, sf_dir):
     rows = X.corpus(spark, sf_dir).select("doc_id", F.length("title").alias("x"))
-    return _ints(rows.select("doc_id", significance.average_rank("x").alias("avg_rank")))
+    return _ints(physical.average_ranks(rows, "x", "avg_rank").select("doc_id", "avg_rank"))
 
 
 _XY = "xy AS (SELECT st.query_id, max_idf AS x, value AS y FROM st JOIN sys USING (query_id) WHERE system = 'a'), rk AS (SELECT query_id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, row_number() OVER (ORDER BY query_id) AS i FROM xy)"
@@ -553,10 +577,10 @@ def spearman(spark, sf_dir):
 
 
 @_query(_with(*_TWO, _STATS, _SYSTEMS, _XY, f"""w AS (SELECT count(*) AS n, {_RHO} AS rho, sum(rx) * sum(ry) / count(*) AS centre, sum(rx * ry) AS sxy FROM rk),
-sh AS (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk, range(0, 500) AS g(r)),
-m AS (SELECT r, sum(rk.rx * sh.ry) AS s FROM sh JOIN rk USING (i) GROUP BY 1)""", select="SELECT round(rho, 6) AS rho, round((count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / 501.0, 6) AS p_value, n FROM m, w GROUP BY rho, n"))
+sh AS (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk, range(0, 10000) AS g(r)),
+m AS (SELECT r, sum(rk.rx * sh.ry) AS s FROM sh JOIN rk USING (i) GROUP BY 1)""", select="SELECT round(rho, 6) AS rho, round((count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / 10001.0, 6) AS p_value, n FROM m, w GROUP BY rho, n"))
 def perm_corr_portable(spark, sf_dir):
-    return _ints(significance.correlation_test(_xy(spark, sf_dir), 500))
+    return _ints(significance.correlation_test(_xy(spark, sf_dir)))
 
 
 _ADV = "adv AS (SELECT st.query_id, max_idf AS predictor, a.value - b.value AS advantage FROM st JOIN sys a USING (query_id) JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b')"
@@ -578,8 +602,8 @@ def family_summary(spark, sf_dir):
 def _pair_sql(i: int, x: str, y: str) -> str:
     return f"""d{i} AS (SELECT a.query_id, a.value - b.value AS d FROM sys a JOIN sys b USING (query_id) WHERE a.system = '{x}' AND b.system = '{y}'),
 o{i} AS (SELECT sum(d) AS o, count(*) AS n FROM d{i}),
-m{i} AS (SELECT r, sum(CASE WHEN substr(md5('0:' || r || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d{i}, range(0, 500) AS g(r) GROUP BY 1),
-t{i} AS (SELECT {i} AS position, '{x}' AS first, '{y}' AS second, any_value(o) / any_value(n) AS delta, least(1, (count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) + 1) / 501.0) AS p FROM m{i}, o{i})"""
+m{i} AS (SELECT r, sum(CASE WHEN substr(md5('0:' || r || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d{i}, range(0, 10000) AS g(r) GROUP BY 1),
+t{i} AS (SELECT {i} AS position, '{x}' AS first, '{y}' AS second, any_value(o) / any_value(n) AS delta, least(1, (count(*) FILTER (WHERE abs(s) + 1e-12 * greatest(1, abs(o)) >= abs(o)) + 1) / 10001.0) AS p FROM m{i}, o{i})"""
 
 
 _THREE = (*_TWO, _scored("c", 0.6, 0.1, k=50), f"sys AS ({_ndcg_of('a')}\nUNION ALL {_ndcg_of('b')}\nUNION ALL {_ndcg_of('c')})")
@@ -591,7 +615,7 @@ def compare_runs(spark, sf_dir):
     """Three systems, every pair of them, corrected together."""
     r, q, judged = _bm25(spark, sf_dir), X.queries(spark, sf_dir), X.qrels(spark, sf_dir)
     values = {s: metrics.evaluate_per_query(r.with_parameters(*p).retrieve(q, 50), judged, (10,)).where("metric = 'ndcg@10'").select("query_id", F.round("value", 6).alias("value")).cache() for s, p in (("a", (0.9, 0.4)), ("b", (1.5, 0.9)), ("c", (0.6, 0.1)))}
-    return _ints(significance.compare_family(values, 500))
+    return _ints(significance.compare_family(values))
 
 
 _FULL_STATS = f"""st AS (SELECT q.query_id, coalesce(max(idf), 0) AS max_idf, coalesce(avg(idf), 0) AS mean_idf, count(s.term)::DOUBLE AS num_terms, coalesce((count(s.term) - count(idf)) / nullif(count(s.term), 0), 0) AS out_of_vocabulary_rate
@@ -601,8 +625,8 @@ _FULL_STATS = f"""st AS (SELECT q.query_id, coalesce(max(idf), 0) AS max_idf, co
 def _dependence_sql(i: int, c: str) -> str:
     return f"""rk{i} AS (SELECT query_id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY advantage) + (count(*) OVER (PARTITION BY advantage) - 1) / 2.0 AS ry, row_number() OVER (ORDER BY query_id) AS i FROM (SELECT query_id, round({c}, 6) AS x, advantage FROM st JOIN adv USING (query_id))),
 w{i} AS (SELECT count(*) AS n, count(DISTINCT rx) = 1 OR count(DISTINCT ry) = 1 AS flat, {_RHO} AS rho, sum(rx) * sum(ry) / count(*) AS centre, sum(rx * ry) AS sxy FROM rk{i}),
-m{i} AS (SELECT r, sum(k.rx * s.ry) AS s FROM (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk{i}, range(0, 300) AS g(r)) s JOIN rk{i} k USING (i) GROUP BY 1),
-c{i} AS (SELECT {i} AS position, '{c}' AS predictor, any_value(rho) AS rho, CASE WHEN any_value(flat) THEN 1 ELSE (count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / 301.0 END AS p FROM m{i}, w{i})"""
+m{i} AS (SELECT r, sum(k.rx * s.ry) AS s FROM (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk{i}, range(0, 20000) AS g(r)) s JOIN rk{i} k USING (i) GROUP BY 1),
+c{i} AS (SELECT {i} AS position, '{c}' AS predictor, any_value(rho) AS rho, CASE WHEN any_value(flat) THEN 1 ELSE (count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / 20001.0 END AS p FROM m{i}, w{i})"""
 
 
 @_query(_with(*_TWO, _FULL_STATS, _SYSTEMS, "adv AS (SELECT a.query_id, round(a.value - b.value, 6) AS advantage FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b')", *(_dependence_sql(i, c) for i, c in enumerate((significance.PRIMARY, *significance.SECONDARY))), "tt AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)", select="""SELECT predictor, round(rho, 6) AS rho, round(p, 6) AS p_value, round(CASE position WHEN 0 THEN p ELSE least(1, max(step) OVER (PARTITION BY position > 0 ORDER BY p, position ROWS UNBOUNDED PRECEDING)) END, 6) AS adjusted
@@ -612,7 +636,7 @@ def query_dependence(spark, sf_dir):
     stats = _bm25(spark, sf_dir).query_statistics(X.queries(spark, sf_dir))
     stats = stats.cache().select("query_id", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in (significance.PRIMARY, *significance.SECONDARY)))
     advantage = significance.aligned(*_pairs(spark, sf_dir)).select("query_id", F.round(F.col("a") - F.col("b"), 6).alias("advantage"))
-    return _ints(significance.query_dependence(stats, advantage, 300))
+    return _ints(significance.query_dependence(stats, advantage, 20_000))
 
 
 # ---- expansion ------------------------------------------------------------------------------------
@@ -648,12 +672,23 @@ def added_terms(spark, sf_dir):
     return rows.select("query_id", F.array_join(F.array_sort(T.added_terms(F.col("text"), F.coalesce("p", F.lit("")))), " ").alias("added"))
 
 
-_QUARTILES = ", ".join(f"round(quantile_cont({c}, {p}) FILTER (WHERE words > 0), 6) AS {c}_{n}" for c in ("words", "added") for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))
-_RANGES = ", ".join(f"round(avg({c}) FILTER (WHERE words > 0), 4) AS {c}_mean, min({c}) FILTER (WHERE words > 0) AS {c}_min, max({c}) FILTER (WHERE words > 0) AS {c}_max" for c in ("words", "added"))
+def _spread_sql(c: str) -> str:
+    """Quartiles, mean and range of a number over the expansions that are there; 0 without any."""
+    parts = [f"coalesce(round(quantile_cont({c}, {p}) FILTER (WHERE made), 6), 0)::DOUBLE AS {c}_{n}" for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
+    return ", ".join([*parts, f"coalesce(round(avg({c}) FILTER (WHERE made), 4), 0)::DOUBLE AS {c}_mean", f"coalesce(min({c}) FILTER (WHERE made), 0) AS {c}_min", f"coalesce(max({c}) FILTER (WHERE made), 0) AS {c}_max"])
 
 
-@_query(_with(_PASSAGE, f"""e AS (SELECT {_TERMS.format(x='text')} AS own, {_TERMS.format(x="coalesce(array_to_string(generations, ' '), '')")} AS gen FROM qp),
-s AS (SELECT len(gen) AS words, len(list_distinct(gen)) AS terms, len(list_filter(list_distinct(gen), lambda x: NOT list_contains(own, x))) AS added FROM e)""", select=f"SELECT count(*) AS inputs, count(*) FILTER (WHERE words = 0) AS empty, count(*) FILTER (WHERE words > 0 AND added = 0) AS adding_nothing, {_QUARTILES}, {_RANGES}, round(avg(added / terms) FILTER (WHERE words > 0), 4) AS mean_fraction FROM s"))
+# Words are counted in the raw text, terms as sets of rows: nothing here follows the Spark plan.
+_EXPANSIONS_OF = """ex AS (SELECT q.query_id, q.text, g.text AS generation FROM queries q LEFT JOIN (SELECT id, unnest(generations) AS text FROM expansions) g ON g.id = q.query_id),
+pooled AS (SELECT query_id, any_value(text) AS text, coalesce(string_agg(trim(generation), ' ') FILTER (WHERE trim(generation) <> ''), '') AS gen FROM ex GROUP BY 1),
+counted AS (SELECT query_id, gen <> '' AS made, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(gen, '\\S+'))) t) AS words FROM pooled),
+gt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(gen), '[a-z0-9]+')) AS term FROM pooled) WHERE term NOT IN """ + STOP + """),
+ot AS (SELECT DISTINCT query_id, term FROM qtok WHERE term NOT IN """ + STOP + """),
+tt AS (SELECT gt.query_id, count(*) AS terms, count(*) FILTER (WHERE ot.term IS NULL) AS added FROM gt LEFT JOIN ot USING (query_id, term) GROUP BY 1),
+st AS (SELECT made, words, coalesce(terms, 0) AS terms, coalesce(added, 0) AS added FROM counted LEFT JOIN tt USING (query_id))"""
+
+
+@_query(_with(_EXPANSIONS_OF, select=f"SELECT count(*) AS inputs, count(*) FILTER (WHERE NOT made) AS empty, count(*) FILTER (WHERE made AND added = 0) AS adding_nothing, {_spread_sql('words')}, {_spread_sql('added')}, coalesce(round(avg(coalesce(added / nullif(terms, 0), 0)) FILTER (WHERE made), 4), 0)::DOUBLE AS mean_fraction FROM st"))
 def expansion_stats(spark, sf_dir):
     return _ints(expansion.summarise_expansions(X.queries(spark, sf_dir).select(F.col("query_id").alias("id"), "text"), X.expansions(spark, sf_dir)))
 
@@ -680,17 +715,17 @@ def parse_verdict(spark, sf_dir):
 
 @_query(_with(select="SELECT query_id, doc_id, grade::BIGINT AS grade FROM qrels"))
 def judgeable_qrels(spark, sf_dir):
-    return _ints(agreement.judgeable_pairs(X.qrels(spark, sf_dir)))
+    return _ints(agreement.judgeable_pairs(X.qrels(spark, sf_dir), min_per_class=0))
 
 
 @_query(_with(_lex(), _scored("r", k=20), select="SELECT query_id, doc_id, grade::BIGINT AS grade FROM r JOIN qrels USING (query_id, doc_id)"))
 def judgeable_retrieved(spark, sf_dir):
-    return _ints(agreement.judgeable_pairs(X.qrels(spark, sf_dir), _run(spark, sf_dir, 20), 20, "retrieved"))
+    return _ints(agreement.judgeable_pairs(X.qrels(spark, sf_dir), _run(spark, sf_dir, 20), 20, "retrieved", min_per_class=0))
 
 
 @_query(_with("o AS (SELECT *, row_number() OVER (ORDER BY query_id, doc_id) - 1 AS nth, count(*) OVER () AS n FROM qrels)", select="SELECT query_id, doc_id, grade::BIGINT AS grade FROM o WHERE n <= 100 OR nth IN (SELECT floor(i * (n / 100.0))::BIGINT FROM range(100) g(i), (SELECT any_value(n) AS n FROM o))"))
 def judge_thinning(spark, sf_dir):
-    return _ints(agreement.thinned(agreement.judgeable_pairs(X.qrels(spark, sf_dir)), 100))
+    return _ints(agreement.thinned(agreement.judgeable_pairs(X.qrels(spark, sf_dir), min_per_class=0), 100))
 
 
 _LABELS = "l AS (SELECT quality AS first, toxic AS second FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
@@ -744,7 +779,7 @@ def format_sources(spark, sf_dir):
     return formatted(_run(spark, sf_dir, 3), X.corpus(spark, sf_dir)).select("query_id", F.md5(F.col("sources").cast("binary")).alias("sources"))
 
 
-@_query(_with(_lex(), _scored("r", k=5), select="SELECT query_id, doc_id, round(score, 4) AS score, title, md5(substr(c.text, 1, 600)) AS snippet, rank FROM r JOIN corpus c USING (doc_id)"))
+@_query(_with(_lex(), _scored("r", k=5), select="SELECT query_id, doc_id, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score, title, md5(substr(c.text, 1, 600)) AS snippet, rank FROM r JOIN corpus c USING (doc_id)"))
 def search_documents(spark, sf_dir):
     from irspan.plans.service import result_rows
 
@@ -763,7 +798,7 @@ def corpus_digest(spark, sf_dir):
 
 # ---- sweeps ---------------------------------------------------------------------------------------
 
-_CELLS = [(k1, b) for k1 in (0.6, 0.9, 1.2) for b in (0.0, 0.4, 0.8)]
+_CELLS = sweeps.bm25_grid()
 _CELL_ROWS = ", ".join(f"({i}, {k1}::DOUBLE, {b}::DOUBLE)" for i, (k1, b) in enumerate(_CELLS))
 _SWEEP = f"""g AS (SELECT * FROM (VALUES {_CELL_ROWS}) v(cell, k1, b)),
 r AS (SELECT *, row_number() OVER (PARTITION BY cell, query_id ORDER BY score DESC, doc_id) AS rank FROM (
@@ -794,11 +829,11 @@ def sweep_shape(spark, sf_dir):
     return _ints(sweeps.shape(_swept(spark, sf_dir).where("k1 = 0.9").select(F.col("b").alias("x"), F.round("ndcg", 6).alias("value"))))
 
 
-_FORMS = {"head": (1, 8), "middle": (5, 12), "all": (1, 1000)}
+_FORMS = {"head": (1, 8), "middle": (5, 12), "all": (1, 0)}  # first word and number of words; 0: all
 
 
 def _form_sql(i: int, a: int, n: int) -> str:
-    return f"""y{i} AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[{a}:{a + n - 1}], ' ')), '[a-z0-9]+')) AS term FROM queries) WHERE term NOT IN {STOP} GROUP BY ALL),
+    return f"""y{i} AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[{a}:{a + n - 1 if n else 'len(text) + 1'}], ' ')), '[a-z0-9]+')) AS term FROM queries) WHERE term NOT IN {STOP} GROUP BY ALL),
 {_scored(f"z{i}", terms=f"y{i}")}"""
 
 
@@ -808,7 +843,7 @@ def formulation_spread(spark, sf_dir):
     r, judged, q = _bm25(spark, sf_dir), X.qrels(spark, sf_dir), X.queries(spark, sf_dir)
     means = None
     for name, (a, n) in _FORMS.items():
-        part = q.select("query_id", F.array_join(F.slice(F.split("text", " "), a, n), " ").alias("text"))
+        part = q.select("query_id", (F.array_join(F.slice(F.split("text", " "), a, n), " ") if n else F.col("text")).alias("text"))
         values = metrics.evaluate_per_query(r.retrieve(part, 10), judged, (10,)).where("metric = 'ndcg@10'").agg(F.avg(F.round("value", 6)).alias("value")).select(F.lit(name).alias("formulation"), "value")
         means = values if means is None else means.unionByName(values)
     return _ints(metrics.formulation_spread(means))
@@ -818,7 +853,7 @@ def _union_cells(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-_RRF_CELLS = (0, 5, 60)
+_RRF_CELLS = sweeps.RRF_K
 
 
 def _fused_as(name: str, k: float) -> str:
@@ -830,7 +865,7 @@ def sweep_rrf_k(spark, sf_dir):
     return _ints(sweeps.sweep_rrf(_two(spark, sf_dir), X.qrels(spark, sf_dir), _RRF_CELLS))
 
 
-_WEIGHTS = (0, 1, 3)
+_WEIGHTS = sweeps.EXPANSION_WEIGHTS
 
 
 def _weighted_as(i: int, w: int) -> str:
@@ -844,10 +879,39 @@ def sweep_expansion_weight(spark, sf_dir):
     return _ints(sweeps.sweep_expansion(_bm25(spark, sf_dir), X.queries(spark, sf_dir), passages, X.qrels(spark, sf_dir), _WEIGHTS))
 
 
-@_query()
+_RM3_ROWS = ", ".join(f"({i}, {d}, {t}, {a}::DOUBLE)" for i, (d, t, a) in enumerate(sweeps.rm3_grid()))
+_RM3_SWEEP = f"""cells AS (SELECT * FROM (VALUES {_RM3_ROWS}) v(cell, fb_docs, fb_terms, alpha)),
+fd AS (SELECT f.fb_docs, query_id, doc_id, score / sum(score) OVER (PARTITION BY f.fb_docs, query_id) AS share FROM fb, (SELECT DISTINCT fb_docs FROM cells) f WHERE rank <= f.fb_docs),
+rm AS (SELECT fb_docs, query_id, term, round(sum(share * tf / dl), 10) AS weight FROM fd JOIN tf USING (doc_id) JOIN dl USING (doc_id) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY fb_docs, query_id ORDER BY weight DESC, term) AS nth FROM rm WHERE weight > 0),
+mo AS (SELECT fb_docs, c.fb_terms, query_id, term, weight / sum(weight) OVER (PARTITION BY fb_docs, c.fb_terms, query_id) AS share FROM rk, (SELECT DISTINCT fb_terms FROM cells) c WHERE nth <= c.fb_terms),
+own AS (SELECT query_id, term, weight / sum(weight) OVER (PARTITION BY query_id) AS weight FROM qt),
+mixed AS (SELECT cell, query_id, term, sum(weight) AS weight FROM (
+  SELECT cell, query_id, term, CASE WHEN EXISTS (SELECT 1 FROM mo WHERE mo.fb_docs = c.fb_docs AND mo.fb_terms = c.fb_terms AND mo.query_id = own.query_id) THEN 1 - alpha ELSE 1 END * weight AS weight FROM own, cells c
+  UNION ALL SELECT cell, query_id, term, alpha * share FROM mo JOIN cells c USING (fb_docs, fb_terms)) GROUP BY ALL),
+part AS (SELECT term, doc_id, idf * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / avgdl)) AS c FROM tf JOIN idf USING (term) JOIN dl USING (doc_id), fs WHERE term IN (SELECT term FROM mixed)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell, query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT cell, query_id, doc_id, round(sum(weight * c), 6) AS score FROM mixed JOIN part USING (term) GROUP BY ALL) WHERE score > 0 QUALIFY rank <= 10),
+i AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(nth + 1)) AS i FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS nth FROM qrels WHERE grade > 0) WHERE nth <= 10 GROUP BY 1),
+d AS (SELECT cell, query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS d FROM r JOIN qrels USING (query_id, doc_id) WHERE grade > 0 GROUP BY ALL),
+sw AS (SELECT cell, fb_docs, fb_terms, alpha, (SELECT coalesce(sum(d.d / i.i), 0) FROM d JOIN i USING (query_id) WHERE d.cell = cells.cell) / (SELECT count(DISTINCT query_id) FROM qrels) AS ndcg FROM cells)"""
+
+
+@_query(_with(_lex(), _scored("fb", k=max(sweeps.RM3_GRID["fb_docs"])), _RM3_SWEEP, select="SELECT cell::BIGINT AS cell, fb_docs::BIGINT AS fb_docs, fb_terms::BIGINT AS fb_terms, alpha, round(ndcg, 6) AS ndcg FROM sw"))
 def sweep_rm3(spark, sf_dir):
-    """A small grid of feedback parameters; its parts have SQL of their own."""
-    return _ints(sweeps.sweep_rm3(_rm3(spark, sf_dir), X.queries(spark, sf_dir), X.qrels(spark, sf_dir), [(5, 10, 0.3), (10, 10, 0.5)]))
+    """All 96 cells of the feedback grid."""
+    return _ints(sweeps.sweep_rm3(_rm3(spark, sf_dir), X.queries(spark, sf_dir), X.qrels(spark, sf_dir)))
+
+
+@_query(_with(_lex(), _SWEEP, select="SELECT cell::BIGINT AS cell, k1, b, round(ndcg, 6) AS ndcg FROM sw QUALIFY row_number() OVER (PARTITION BY b ORDER BY round(ndcg, 6) DESC, cell) = 1"))
+def sweep_best_by_axis(spark, sf_dir):
+    """The best k1 for each b."""
+    return _ints(sweeps.best_by_axis(_swept(spark, sf_dir), "b"))
+
+
+@_query(_with(_lex(), _SWEEP, select="SELECT cell::BIGINT AS cell, k1, b, round(ndcg, 6) AS ndcg FROM sw ORDER BY round(ndcg, 6) DESC, cell LIMIT 1"))
+def sweep_best_cell(spark, sf_dir):
+    """The best cell of the grid, the first of equals."""
+    return _ints(sweeps.best_cell(_swept(spark, sf_dir)))
 
 
 @_query(_with(*_TWO, _STATS, _SYSTEMS, "qs AS (SELECT i AS cell, quantile_cont(max_idf, i / 20) AS threshold FROM st, range(21) g(i) GROUP BY i)".replace("quantile_cont(max_idf, i / 20)", "(SELECT quantile_cont(max_idf, [x / 20.0 FOR x IN range(21)]) FROM st)[i + 1]").replace("FROM st, range(21) g(i) GROUP BY i", "FROM range(21) g(i)"), select="SELECT cell::BIGINT AS cell, round(threshold, 6) AS threshold, round(avg(CASE WHEN max_idf >= threshold THEN a.value ELSE b.value END), 6) AS value FROM qs, st JOIN sys a USING (query_id) JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b' GROUP BY ALL"))

@@ -5,13 +5,14 @@ Tables: corpus(doc_id, title, text), queries(query_id, text), qrels(query_id, do
 
 from __future__ import annotations
 
+import json
 import shutil
 import urllib.request
 import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where archives of the public benchmark collection are fetched from.
@@ -45,11 +46,15 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated query, document and grade, with or without a header; short rows are passed over, of
-    several grades of one pair the last one stands."""
-    rows = spark.read.text(path).select(F.split("value", "\t").alias("c"), F.monotonically_increasing_id().alias("at")).where(F.size("c") >= 3)
-    cell = lambda i: F.trim(F.col("c")[i])
-    rows = rows.where(~F.lower(cell(0)).isin("query-id", "query_id"))
+    """Tab-separated query, document and grade; a header is passed over where it is the first line of its
+    file, as are rows of fewer cells; of several grades of one pair the last one stands."""
+    line = F.struct("_metadata.file_path", F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("c"), line.alias("line"))
+    firsts = F.broadcast(rows.groupBy("line.file_path").agg(F.min("line.at").alias("first")))  # a row a file
+    cell = lambda i: F.trim(F.get("c", F.lit(i)))
+    rows = rows.select("c", F.col("line.file_path").alias("file_path"), F.col("line.at").alias("at")).join(firsts, "file_path")
+    header = (F.col("at") == F.col("first")) & F.coalesce(F.lower(cell(0)).isin("query-id", "query_id"), F.lit(False))
+    rows = rows.where(~header & (F.size("c") >= 3))
     return rows.groupBy(cell(0).alias("query_id"), cell(1).alias("doc_id")).agg(F.max_by(cell(2), "at").cast("double").cast("int").alias("grade"))
 
 
@@ -74,13 +79,21 @@ def available_formulations(spark: SparkSession, path: str, formulations: dict[st
     return [name for name, fs in formulations.items() if set(fs) <= there]
 
 
+def splits(spark: SparkSession, base: str) -> list[str]:
+    """Names of a dataset's splits, wherever its folder is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/qrels")
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+    return sorted(n.removesuffix(".tsv") for n in found if n.endswith(".tsv"))
+
+
 def load_dataset(spark: SparkSession, name: str, split: str = "test", folder: str = "data", validate: bool = True) -> Dataset:
-    """A dataset's split from ``folder``/``name``: its judged queries only."""
+    """A dataset's split from ``folder``/``name``: its judged queries only.  A split that isn't there, or a
+    judged query without a text, is an error."""
     base = f"{folder}/{name}"
-    local = Path(base)
-    if local.is_dir() and not (local / "qrels" / f"{split}.tsv").exists():
-        splits = sorted(p.stem for p in (local / "qrels").glob("*.tsv"))
-        raise ValueError(f"{name} has no split {split}; it has {', '.join(splits)}")
+    there = splits(spark, base)
+    if split not in there:
+        raise ValueError(f"{name} has no split {split}; it has {', '.join(there) or 'none'}")
     qrels = read_qrels(spark, f"{base}/qrels/{split}.tsv")
     judged = qrels.select("query_id").distinct()
     queries = read_queries(spark, f"{base}/queries.jsonl")
@@ -150,18 +163,31 @@ def read_per_query(spark: SparkSession, folder: str, run_id: str, metric: str) -
 
 
 def read_expansions(spark: SparkSession, path: str) -> DataFrame:
-    """id and generations of a stored record with a map of expansions."""
+    """id and generations: a folder of :func:`write_expansions`, or one stored record with a map of expansions."""
+    lines = spark.read.text(path)
+    if "kind" in lines.columns:
+        rows = lines.where("kind = 'expansions'").select(F.from_json("value", "id string, generations array<string>", {"mode": "FAILFAST"}).alias("r"))
+        return rows.select("r.id", "r.generations")
     record = spark.read.schema("expansions map<string,array<string>>").option("multiLine", True).json(path)
     return record.select(F.explode("expansions").alias("id", "generations"))
 
 
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """The settings that expansions were written with."""
+    return json.loads(spark.read.text(path).where("kind = 'settings'").first().value)
+
+
 def write_expansions(expansions: DataFrame, path: str, settings: dict) -> None:
-    """id and generations as one record beside its settings."""
-    entries = expansions.agg(F.map_from_entries(F.collect_list(F.struct("id", "generations"))).alias("expansions"))
-    entries.select(*(F.lit(v).alias(k) for k, v in settings.items()), "expansions").coalesce(1).write.mode("overwrite").json(path)
+    """id and generations as JSON lines, as many files as there are tasks, beside their settings."""
+    rows = expansions.select(F.lit("expansions").alias("kind"), F.to_json(F.struct("id", "generations")).alias("value"))
+    own = expansions.sparkSession.createDataFrame([("settings", json.dumps(settings))], "kind string, value string")
+    rows.unionByName(own).write.mode("overwrite").partitionBy("kind").text(path)
+
+
+def write_record(spark: SparkSession, record: dict, path: str) -> None:
+    """One JSON record in a folder of its own."""
+    spark.createDataFrame([(json.dumps(record, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def last_grade(qrels: DataFrame, order: str) -> DataFrame:
-    """Judgements without repeated pairs: the last by ``order`` stands."""
-    by = Window.partitionBy("query_id", "doc_id").orderBy(F.desc(order))
-    return qrels.withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth")
+def read_record(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
