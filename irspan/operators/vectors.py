@@ -51,8 +51,12 @@ class VocabularyEncoder:
         self.vocabulary = vocabulary
 
     def encode(self, texts: DataFrame, text_column: str = "text") -> DataFrame:
-        counts = F.transform(F.array(*(F.lit(v) for v in self.vocabulary)), lambda v: F.size(F.filter(_words(text_column), lambda w: w == v)).cast("double"))
-        return texts.withColumn("embedding", normalised(counts))
+        words, counts, norm = (f"{text_column}_{c}" for c in ("words", "counts", "norm"))
+        rows = texts.withColumn(words, _words(text_column))  # columns of their own: each is computed once
+        rows = rows.withColumn(counts, F.transform(F.array(*(F.lit(v) for v in self.vocabulary)), lambda v: F.size(F.filter(words, lambda w: w == v)).cast("double")))
+        rows = rows.withColumn(norm, F.sqrt(dot(F.col(counts), F.col(counts))))
+        unit = F.transform(counts, lambda x: F.coalesce(F.try_divide(x, F.col(norm)), F.lit(0.0)))
+        return rows.withColumn("embedding", unit).select(*texts.columns, "embedding")
 
     def encode_tokens(self, texts: DataFrame, text_column: str = "text", is_query: bool = False) -> DataFrame:
         known = F.filter(_words(text_column), lambda w: w.isin(*self.vocabulary))
@@ -65,12 +69,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def normalised(vector: Column) -> Column:
-    """``vector`` at unit length; zeros stay."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irspan.functions import text as T
-from irspan.operators import agreement, combine, expansion, metrics, physical, significance, sweeps, vectors
+from irspan.operators import agreement, combine, expansion, metrics, physical, retrievers, significance, sweeps, vectors
 from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
 from irspan.operators.ranking import top_k
 from irspan.operators.rm3 import RM3Retriever
@@ -94,7 +94,7 @@ _VECTOR_RUN = """vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _INDEXES: dict[tuple, LexicalIndex] = {}
 
 
-def _index(spark, sf_dir, tokenizer=T.NO_STEM, fields: tuple[str, ...] | None = None) -> LexicalIndex:
+def written_index(spark, sf_dir, tokenizer=T.NO_STEM, fields: tuple[str, ...] | None = None) -> LexicalIndex:
     """The index of a folder's corpus, written once a session and opened by every query on it."""
     key = (spark.sparkContext.applicationId, sf_dir, tokenizer, fields)
     if key not in _INDEXES or not _INDEXES[key].there():
@@ -104,14 +104,14 @@ def _index(spark, sf_dir, tokenizer=T.NO_STEM, fields: tuple[str, ...] | None =
 
 
 def _bm25(spark, sf_dir, k1=0.9, b=0.4, tokenizer=T.NO_STEM) -> BM25Retriever:
-    return BM25Retriever(k1, b, tokenizer, indexed=_index(spark, sf_dir, tokenizer))
+    return BM25Retriever(k1, b, tokenizer, indexed=written_index(spark, sf_dir, tokenizer))
 
 
-_FIELD_NAMES = ("title", "text")
+FIELDS = ("title", "text")
 
 
 def _multi(spark, sf_dir, weights=None) -> BM25Retriever:
-    return BM25Retriever(tokenizer=T.NO_STEM, fields=_FIELD_NAMES, weights=weights, indexed=_index(spark, sf_dir, T.NO_STEM, _FIELD_NAMES))
+    return BM25Retriever(tokenizer=T.NO_STEM, fields=FIELDS, weights=weights, indexed=written_index(spark, sf_dir, T.NO_STEM, FIELDS))
 
 
 def _run(spark, sf_dir, k=10, **kw) -> DataFrame:
@@ -148,17 +148,17 @@ def document_texts(spark, sf_dir):
 
 @_query(_with(_lex(), select="SELECT doc_id, dl FROM dl"))
 def doc_lengths(spark, sf_dir):
-    return _index(spark, sf_dir).lengths.select("doc_id", F.col("dl").cast("bigint").alias("dl"))
+    return written_index(spark, sf_dir).lengths.select("doc_id", F.col("dl").cast("bigint").alias("dl"))
 
 
 @_query(_with(_lex(), select="SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def term_stats_idf(spark, sf_dir):
-    return _index(spark, sf_dir).term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
+    return written_index(spark, sf_dir).term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @_query(_with(_FIELDS, select="SELECT field, n, round(avgdl, 6) AS avgdl FROM ffs"))
 def field_stats(spark, sf_dir):
-    return _ints(_index(spark, sf_dir, T.NO_STEM, _FIELD_NAMES).field_stats())
+    return _ints(written_index(spark, sf_dir, T.NO_STEM, FIELDS).field_stats())
 
 
 # ---- BM25 -----------------------------------------------------------------------------------------
@@ -308,7 +308,7 @@ _RM3 = (_lex(), _scored("fb"), _FEEDBACK)
 
 def _rm3(spark, sf_dir, **kw) -> RM3Retriever:
     scorer = _multi(spark, sf_dir) if kw.get("multi_field") else _bm25(spark, sf_dir)
-    return RM3Retriever(tokenizer=T.NO_STEM, scorer=scorer, harvested=_index(spark, sf_dir), **kw)
+    return RM3Retriever(tokenizer=T.NO_STEM, scorer=scorer, harvested=written_index(spark, sf_dir), **kw)
 
 
 @_query(_with(*_RM3, select="SELECT query_id, term, round(weight, 6) AS weight FROM model"))
@@ -917,3 +917,113 @@ def sweep_best_cell(spark, sf_dir):
 @_query(_with(*_TWO, _STATS, _SYSTEMS, "qs AS (SELECT i AS cell, quantile_cont(max_idf, i / 20) AS threshold FROM st, range(21) g(i) GROUP BY i)".replace("quantile_cont(max_idf, i / 20)", "(SELECT quantile_cont(max_idf, [x / 20.0 FOR x IN range(21)]) FROM st)[i + 1]").replace("FROM st, range(21) g(i) GROUP BY i", "FROM range(21) g(i)"), select="SELECT cell::BIGINT AS cell, round(threshold, 6) AS threshold, round(avg(CASE WHEN max_idf >= threshold THEN a.value ELSE b.value END), 6) AS value FROM qs, st JOIN sys a USING (query_id) JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b' GROUP BY ALL"))
 def router_sweep(spark, sf_dir):
     return _ints(sweeps.sweep_router(_stats(spark, sf_dir), _systems(spark, sf_dir), "max_idf", "a", "b"))
+
+
+# ---- datasets on disk, written from the tables and read again ---------------------------------------
+
+
+def _dataset(spark, sf_dir, name: str) -> str:
+    """A folder with one dataset, as its public format has it: JSON lines and tab-separated judgements."""
+    folder = physical.shared_folder(spark, "datasets")
+    record = lambda *cols: F.to_json(F.struct(*cols)).alias("value")
+    corpus = X.corpus(spark, sf_dir).select(F.col("doc_id").alias("_id"), "title", "text")
+    corpus.select(record("_id", "title", "text")).write.text(f"{folder}/{name}/corpus.jsonl")
+    asked = X.queries(spark, sf_dir).select(F.col("query_id").alias("_id"), "text", F.struct(F.substring_index("text", " ", 2).alias("query"), F.when(F.col("query_id").cast("long") % 3 == 0, F.lit("")).otherwise(F.col("query_id")).alias("narrative")).alias("metadata"))
+    asked.select(record("_id", "text", "metadata")).write.text(f"{folder}/{name}/queries.jsonl")
+    lines = X.qrels(spark, sf_dir).select(F.concat_ws("\t", "query_id", "doc_id", F.col("grade").cast("string")).alias("value"), F.lit(1).alias("o"))
+    head = spark.createDataFrame([("query-id\tcorpus-id\tscore", 0)], "value string, o int")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/{name}/qrels/test.tsv")
+    return folder
+
+
+@_query(_with(select="SELECT doc_id, md5(title) AS title, md5(text) AS text FROM corpus"))
+def scan_corpus(spark, sf_dir):
+    """A JSONL corpus."""
+    rows = datasets.read_corpus(spark, f"{_dataset(spark, sf_dir, 'made')}/made/corpus.jsonl")
+    return rows.select("doc_id", *(F.md5(F.col(c).cast("binary")).alias(c) for c in ("title", "text")))
+
+
+@_query(_with(select="SELECT query_id, doc_id, grade::BIGINT AS grade FROM qrels"))
+def scan_qrels(spark, sf_dir):
+    """Tab-separated judgements with a header."""
+    return _ints(datasets.read_qrels(spark, f"{_dataset(spark, sf_dir, 'made')}/made/qrels/test.tsv"))
+
+
+@_query(_with(select="SELECT query_id, text, (SELECT count(*) FROM corpus) AS documents, (SELECT count(*) FROM qrels) AS judgements FROM queries WHERE query_id IN (SELECT query_id FROM qrels)"))
+def load_dataset(spark, sf_dir):
+    """A whole dataset: its judged queries, and how much there is of the rest."""
+    data = datasets.load_dataset(spark, "made", folder=_dataset(spark, sf_dir, "made"))
+    return data.queries.select("query_id", "text", F.lit(data.corpus.count()).cast("long").alias("documents"), F.lit(data.qrels.count()).cast("long").alias("judgements"))
+
+
+@_query(_with(select="SELECT query_id, concat_ws(' ', split_part(text, ' ', 1) || CASE WHEN contains(text, ' ') THEN ' ' || split_part(text, ' ', 2) ELSE '' END, CASE WHEN query_id::BIGINT % 3 = 0 THEN NULL ELSE query_id END) AS text FROM queries"))
+def query_formulations(spark, sf_dir):
+    """Queries put together from dotted fields of their records."""
+    path = f"{_dataset(spark, sf_dir, 'made')}/made/queries.jsonl"
+    return datasets.formulated_queries(spark, path, ["metadata.query", "metadata.nothing", "metadata.narrative"])
+
+
+@_query(_with(select="SELECT id, len(generations) AS n, md5(array_to_string(generations, '|')) AS generations FROM expansions"))
+def stored_expansions(spark, sf_dir):
+    """Expansions written beside their settings and read again."""
+    path = f"{physical.shared_folder(spark, 'expansions')}/made"
+    datasets.write_expansions(X.expansions(spark, sf_dir), path, {"model": "none"})
+    rows = datasets.read_expansions(spark, path)
+    return _ints(rows.select("id", F.size("generations").alias("n"), F.md5(F.array_join("generations", "|").cast("binary")).alias("generations")))
+
+
+@_query(_with(_lex(), _scored("r", k=100), _dcg("exponential"), select="SELECT query_id, round(value, 6) AS value FROM pq WHERE metric = 'recall@100'"))
+def stored_results(spark, sf_dir):
+    """A run's values written with its summary, and one metric read by the summary's pointer."""
+    values = metrics.evaluate_per_query(_run(spark, sf_dir, 100), X.qrels(spark, sf_dir))
+    folder = f"{physical.shared_folder(spark, 'results')}/made"
+    datasets.write_results(metrics.macro_mean(values), values, folder, "bm25")
+    return _ints(datasets.read_per_query(spark, folder, "bm25", "recall@100"))
+
+
+# ---- retrievers over a model's vectors, from texts to runs ------------------------------------------
+
+_VOCABULARY = ("the", "of", "and", "in", "that", "with", "der", "und", "die", "que", "la", "les")
+_VOCABULARY_LIST = "[" + ", ".join(f"'{w}'" for w in _VOCABULARY) + "]"
+_MODEL = f"""dw AS (SELECT doc_id, list_filter(string_split_regex(trim(title || ' ' || text), '\\s+'), lambda x: x <> '') AS w FROM corpus),
+ch AS (SELECT doc_id, lower(array_to_string(w[i * 40 + 1 : i * 40 + 50], ' ')) AS t FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 50 THEN 1 ELSE (len(w) - 1) // 40 + 1 END)) AS i FROM dw)),
+cv AS (SELECT doc_id, list_transform({_VOCABULARY_LIST}, lambda v: len(list_filter(string_split_regex(t, '\\s+'), lambda x: x = v))::DOUBLE) AS v FROM ch),
+qv AS (SELECT query_id, list_transform({_VOCABULARY_LIST}, lambda v: len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x = v))::DOUBLE) AS v FROM queries),
+ds AS (SELECT query_id, doc_id, round(max(CASE WHEN list_sum(qv.v) = 0 OR list_sum(cv.v) = 0 THEN 0 ELSE list_cosine_similarity(qv.v, cv.v) END), 6) AS score FROM qv, cv GROUP BY ALL),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds),
+dt AS (SELECT doc_id, unnest(string_split_regex(lower(title || ' ' || text), '\\s+')) AS term FROM corpus), dk AS (SELECT * FROM dt WHERE list_contains({_VOCABULARY_LIST}, term)),
+kt AS (SELECT query_id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM queries), qk AS (SELECT * FROM kt WHERE list_contains({_VOCABULARY_LIST}, term))"""
+
+
+def _encoder() -> vectors.VocabularyEncoder:
+    return vectors.VocabularyEncoder(_VOCABULARY)
+
+
+@_query(_with(_MODEL, select=_RUN + "dr WHERE rank <= 10"))
+def retriever_dense(spark, sf_dir):
+    """Chunks, vectors, the best chunk of every document: a dense retriever with a stand-in model."""
+    made = retrievers.DenseRetriever(_encoder(), 50, 10).index(X.corpus(spark, sf_dir))
+    return _ints(made.retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query(_with(_MODEL, select="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(count(*) * 0.693147::DOUBLE * 0.693147::DOUBLE, 6) AS score FROM (SELECT DISTINCT * FROM qk) JOIN (SELECT DISTINCT * FROM dk) USING (term) GROUP BY ALL) QUALIFY rank <= 10"""))
+def retriever_sparse(spark, sf_dir):
+    """A learned-sparse retriever with a stand-in model: a word's weight is log 2 wherever it occurs."""
+    return _ints(retrievers.SparseRetriever(_encoder()).index(X.corpus(spark, sf_dir)).retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query(_with(_MODEL, "td AS (SELECT DISTINCT doc_id, term FROM dk), asks AS (SELECT DISTINCT query_id FROM qk)", select="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, (SELECT count(*) FROM qk JOIN td USING (term) WHERE qk.query_id = a.query_id AND td.doc_id = d.doc_id)::DOUBLE AS score FROM asks a, (SELECT DISTINCT doc_id FROM td) d) QUALIFY rank <= 10"""))
+def retriever_late(spark, sf_dir):
+    """Late interaction with a stand-in model, over the documents that have a token of it."""
+    has = F.exists(F.split(F.lower(F.concat_ws(" ", "title", "text")), r"\s+"), lambda w: w.isin(*_VOCABULARY))
+    made = retrievers.LateInteractionRetriever(_encoder()).index(X.corpus(spark, sf_dir).where(has))
+    return _ints(made.retrieve(X.queries(spark, sf_dir), 10))
+
+
+@_query(_with(_MODEL, _lex(), _scored("a", k=100), "b AS (SELECT * FROM dr WHERE rank <= 100)", _fused(5, 1, 1), select=_ROUNDED_RUN + "f"))
+def retriever_fused(spark, sf_dir):
+    """BM25 and the dense retriever, fused by ranks."""
+    dense = retrievers.DenseRetriever(_encoder(), 50, 10).index(X.corpus(spark, sf_dir))
+    return _ints(retrievers.FusedRetriever((_bm25(spark, sf_dir), dense), k=5).retrieve(X.queries(spark, sf_dir), 10))
