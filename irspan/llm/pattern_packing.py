@@ -4,10 +4,10 @@ Texts become token ids, a separator behind each document; documents longer than
 into full pieces, the remainder first.  Lengths alone decide the packing: their histogram (one count
 for each length, however large the corpus) goes to the driver.  Patterns of up to three length bins
 that fill a sequence are enumerated, and longer ones added by what the histogram has left; their repeat
-counts are fitted to the binned histogram by non-negative least squares and rounded down; each pattern
-takes exact lengths, the last one the best fit; what is left is packed best fit, longest first.  Plain
-best fit is among the plans compared, so none takes more sequences.  The plan is a few thousand entries
-(lengths, repeats).  Pieces take their places by rank among those of their length; ranks come from
+counts are fitted to the binned histogram by non-negative least squares and rounded down; a pattern
+is used as often as exact lengths of its bins fill a sequence, and what is left is packed best fit, longest
+first.  Leaving the shortest documents to that rest is tried too, and the plan of fewest sequences taken;
+plain best fit is compared last, so none takes more.  The plan is a few thousand entries (lengths, repeats).  Pieces take their places by rank among those of their length; ranks come from
 buckets of bounded size, so no length is gathered in one task.
 
 Defined cases: a null or empty text is the separator alone; rows that repeat, and rows with equal or null
@@ -38,8 +38,8 @@ SEQUENCE, SEPARATOR = 2048, 0
 #: Width of the length bins that patterns are made of, documents in the patterns that are enumerated,
 #: and how often patterns of any number of documents are added by what is left of the histogram.
 BIN, PATTERN_DOCS, ROUNDS = 16, 3, 8
-#: Shares of the fitted repeats that are tried; 0 is plain best fit.
-SHARES = (1.0, 0.95, 0.8, 0.5, 0.0)
+#: Documents of up to so many bins are left out of patterns, for the rest to be filled up with; each is tried.
+LEAST_BINS = (0, 8, 16, 32)
 #: Pieces of a length are ranked in buckets of about so many, and in so many buckets at most over all.
 BUCKET_ROWS, MOST_BUCKETS = 256, 20_000
 #: Words that a worker remembers the ids of.
@@ -261,64 +261,62 @@ def fitted_patterns(binned: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def _packed(counts: np.ndarray, patterns: list[tuple[tuple[int, ...], int]], sequence: int, width: int) -> Plan:
-    """Use the patterns as often as the lengths allow, then pack the rest best fit, longest first."""
+    """Use the patterns as often as exact lengths fill a sequence, then pack the rest best fit, longest first."""
     counts = counts.copy()
     entries: list[tuple[tuple[int, ...], int]] = []
-    if counts[sequence]:
-        entries.append(((sequence,), int(counts[sequence])))
-        counts[sequence] = 0
-
-    def largest(most: int, least: int = 1, taken: list[int] = ()) -> int:
-        """The largest length from least to most of which one is left beside those taken; 0 if none."""
-        for x in np.flatnonzero(counts[least : min(most, sequence) + 1])[::-1].tolist():
-            if not taken or counts[x + least] > taken.count(x + least):
-                return x + least
-        return 0
-
-    def fill(first: list[int], repeats: int | None) -> int:
-        """Add best fits to the lengths taken, then enter as many sequences as the counts allow."""
-        room = sequence - sum(first)
-        while room > 0 and (x := largest(room, 1, first)):
-            first.append(x)
-            room -= x
-        n = _take(counts, first)
-        n = n if repeats is None else min(n, repeats)
-        for x in first:
+
+    def enter(lengths: list[int], most: int | None = None) -> int:
+        """Enter as many sequences of these lengths as the counts allow."""
+        n = _take(counts, lengths)
+        n = n if most is None else min(n, most)
+        for x in lengths:
             counts[x] -= n
-        entries.append((tuple(first), n))
+        entries.append((tuple(lengths), n))
         return n
 
+    def exact(bins: list[int], taken: list[int]) -> list[int] | None:
+        """Lengths of the bins, the last of which fills the sequence; only the last three are varied."""
+        if len(taken) == len(bins) - 1:
+            rest = sequence - sum(taken)
+            return [*taken, rest] if rest > 0 and counts[rest] > taken.count(rest) else None
+        low = (bins[len(taken)] - 1) * width + 1
+        found = (np.flatnonzero(counts[low : low + width]) + low)[::-1].tolist()
+        for x in found if len(taken) >= len(bins) - 3 else found[:1]:
+            if counts[x] > taken.count(x) and (out := exact(bins, [*taken, x])):
+                return out
+        return None
+
+    if counts[sequence]:
+        enter([sequence])
     for pattern, left in sorted(patterns, key=lambda x: (-x[1], x[0])):
-        while left > 0:
-            first: list[int] = []
-            for i in sorted(pattern, reverse=True)[:-1] or pattern:
-                x = largest(i * width, (i - 1) * width + 1, first)
-                if not x:
-                    break
-                first.append(x)
-            else:
-                left -= fill(first, left)
-                continue
-            break
-    while x := largest(sequence):
-        fill([x], None)
+        bins = sorted(pattern, reverse=True)
+        while left > 0 and (lengths := exact(bins, [])):
+            left -= enter(lengths, left)
+    while len(some := np.flatnonzero(counts)):
+        lengths, room = [int(some[-1])], sequence - int(some[-1])
+        while room > 0 and (x := next((x for x in some[: np.searchsorted(some, room, side="right")][::-1].tolist() if counts[x] > lengths.count(x)), 0)):
+            lengths.append(x)
+            room -= x
+        enter(lengths)
     return Plan(entries)
 
 
 def make_plan(histogram: dict[int, int], sequence: int = SEQUENCE, width: int = BIN) -> Plan:
-    """Pack a histogram of lengths: the patterns as often as fitted, or a smaller share of them where
-    that takes fewer sequences (more is then left for the exact lengths to decide)."""
+    """Pack a histogram of lengths: of the plans that :data:`LEAST_BINS` give, and plain best fit, the first of
+    those with the fewest sequences."""
     counts = np.zeros(sequence + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     bins = -(-sequence // width)
-    short = counts[:sequence]
-    binned = np.bincount((np.arange(sequence) + width - 1) // width, short, minlength=bins + 1)[1 : bins + 1].astype(float)
-    patterns = fitted_patterns(binned)
+    bin_of = (np.arange(sequence) + width - 1) // width
     fewest = -(-int((counts * np.arange(sequence + 1)).sum()) // sequence)
     best: Plan | None = None
-    for share in SHARES:
-        plan = _packed(counts, [(p, int(n * share)) for p, n in patterns if int(n * share)], sequence, width)
+    for least in (*LEAST_BINS, None):
+        patterns = []
+        if least is not None:
+            binned = np.bincount(bin_of, np.where(bin_of > least, counts[:sequence], 0), minlength=bins + 1)[1 : bins + 1]
+            patterns = fitted_patterns(binned.astype(float))
+        plan = _packed(counts, patterns, sequence, width)
         if best is None or plan.sequences < best.sequences:
             best = plan
         if best.sequences == fewest:

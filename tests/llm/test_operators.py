@@ -565,9 +565,11 @@ def test_plans_are_tight(name, monkeypatch):
         assert sum(entry) <= 2048 and n > 0
         used.update({x: n * c for x, c in Counter(entry).items()})
     assert used == Counter(lengths.tolist())
-    monkeypatch.setattr(pattern_packing, "SHARES", (0.0,))
+    monkeypatch.setattr(pattern_packing, "LEAST_BINS", ())
     plain = pattern_packing.make_plan(histogram)
     assert plan.sequences <= plain.sequences
+    if name in ("short", "few short", "thirds"):
+        assert plan.entries != plain.entries
     if name in ("short", "mixed", "tiny", "full"):
         assert plan.sequences <= 1.005 * lengths.sum() / 2048 + 1
     if name in ("few short", "thirds"):
