@@ -1,8 +1,11 @@
 """Connected components of an edge list, as DataFrame iterations.
 
 Large-star and small-star steps in turn (Kiveris et al., "Connected Components in MapReduce and
-Beyond"): every step is an aggregate by node and a join, so a hub's edges are never gathered in one
-task, and the number of edges does not grow.  Each round is cut by ``checkpoint()``.
+Beyond"): every step is an aggregate by node, which is combined before it is moved, and a join with one row
+a node, so that Spark can split a hub's edges over tasks (adaptive skew join).  The number of edges does
+not grow.  Each round is cut by ``checkpoint()``.
+
+Defined cases: repeated pairs and pairs of a node with itself change nothing; without pairs there are no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ fingerprints is the share of common values among the smallest :data:`SIZE` of th
 estimate of the Jaccard similarity of the phrase sets (exact when the sets are smaller).
 
 Defined cases: a null text counts as empty; the empty text has the empty fingerprint, which is like
-itself (1.0) and unlike any other (0.0).  Equal texts have equal fingerprints.  Columns beyond the
-id and the text are not looked at.  A worker holds one document's dictionary at a time.
+itself (1.0) and unlike any other (0.0).  Equal texts have equal fingerprints, and rows that repeat are
+rows of their own.  An empty table gives no rows; a single row is the next one to itself.  A very long
+text is parsed whole by one task, which holds one document's dictionary at a time.  Columns beyond the id
+and the text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -155,7 +157,7 @@ def with_edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     The edited text has its last third (rounded down) replaced by as many first code points of the
     next text, or all of it; after the last row comes the first.  Rows with equal ids follow each
-    other by text; a null id comes last.  Columns: id, n_chars, edited_sha256, fingerprint,
+    other by text, in one task; a null id comes last.  Columns: id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
     Rows are dealt out by runs of neighbouring ids, each run with a copy of the first row of the
