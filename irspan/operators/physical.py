@@ -4,6 +4,7 @@ numbering rows without a single task."""
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -56,8 +57,9 @@ def _clean() -> None:
     for spark, path in reversed(_made):
         try:
             drop(spark, path)
-        except Exception:  # the session has ended; files are then left to the folder's owner
-            return
+        except Exception:  # the session has ended: files in a cluster's folder are then left to its owner
+            if path in _local.values():
+                shutil.rmtree(path, ignore_errors=True)
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
