@@ -221,7 +221,8 @@ def analyse(r: Run) -> dict:
     stats = r.statistics(r.data())
     pairs = significance.aligned(r.values(o.lexical), r.values(o.semantic))
     advantage = written(pairs.select("query_id", (F.col("a") - F.col("b")).alias("advantage")), "advantage")
-    tests = [x.asDict() for x in significance.query_dependence(stats, advantage, o.permutations, o.seed).collect()]
+    order = (significance.PRIMARY, *significance.SECONDARY)
+    tests = sorted((x.asDict() for x in significance.query_dependence(stats, advantage, o.permutations, o.seed).collect()), key=lambda t: order.index(t["predictor"]))
     thirds = significance.terciles(stats.select("query_id", F.col(significance.PRIMARY).alias("predictor")).join(advantage, "query_id"))
     return r.record({"dataset": o.dataset, "metric": o.metric, "tests": tests, "terciles": [x.asDict() for x in thirds.orderBy("tercile").collect()]}, "query-analysis")
 
@@ -231,7 +232,7 @@ def combine_analyses(r: Run) -> dict:
     rows = []
     for path in r.o.analysis:
         record = datasets.read_record(r.spark, path)
-        first = record["tests"][0]
+        first = next(t for t in record["tests"] if t["predictor"] == significance.PRIMARY)
         rows.append((len(rows), record["dataset"], first["predictor"], float(first["rho"]), float(first["p_value"])))
     tests = r.spark.createDataFrame(rows, "position long, dataset string, predictor string, rho double, p double")
     family = significance.family_summary(tests).first().asDict()
