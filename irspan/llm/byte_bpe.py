@@ -28,7 +28,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
@@ -232,17 +231,17 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_column: str, text_colu
         found = [result(encode_chunked(t, path, pattern, cutting.chunk, cutting.overlap)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], names)
 
-    def joined(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n")
-        if part["whole"].iloc[0]:
+    def joined(part: pa.Table) -> pa.Table:
+        part = part.sort_by("n").to_pydict()
+        if part["whole"][0]:
             ids = encode_chunked("".join(part["piece"]), path, pattern, cutting.chunk, cutting.overlap)
         else:
             ids = np.concatenate([np.frombuffer(x, "<u4") for x in part["ids"]]).tolist()
-        return pd.DataFrame([(part["id"].iloc[0], *result(ids))], columns=names)
+        return pa.table([pa.array([x], t) for x, t in zip((part["id"][0], *result(ids)), (pa.int64(), *types), strict=True)], names)
 
     short = common.map_arrow(rows.where(F.length("text") <= cutting.task), in_task, f"id long, {columns}")
     pieces = cut_parts(rows.where(F.length("text") > cutting.task), path, pattern, cutting)
-    long = pieces.groupBy("key").applyInPandas(joined, f"id long, {columns}")  # a group is one document
+    long = pieces.groupBy("key").applyInArrow(joined, f"id long, {columns}")  # a group is one document
     return short.unionByName(long).withColumnRenamed("id", id_column)
 
 

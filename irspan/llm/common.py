@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch that reaches a Python worker; with whole texts a batch must stay small.
 BATCH_ROWS = 1000
 #: Text bytes that a worker handles at a time within a batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: An input below this estimate may lie in a single row group, and is dealt out to the cores.
 SPREAD_BYTES = 64 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -94,8 +96,9 @@ def _clean() -> None:
     for spark, path in reversed(_made):
         try:
             drop(spark, path)
-        except Exception:  # the session has ended; files are then left to the folder's owner
-            return
+        except Exception:  # the session has ended: files in a cluster's folder are then left to its owner
+            if path in _local.values():
+                shutil.rmtree(path, ignore_errors=True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -143,6 +146,15 @@ def slices(batch: pa.RecordBatch, text_column: int, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
+def trim() -> None:
+    """Give a worker's freed memory back: it may live on for tasks of another kind."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text_column: str = "text") -> DataFrame:
     """``fn`` on slices of the Arrow batches of ``df``; ``fn`` is called once for each slice."""
     small_batches(df.sparkSession)
@@ -154,6 +166,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 out = fn(part)
                 if out.num_rows:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -167,6 +180,7 @@ def filter_arrow(df: DataFrame, accept: Callable[[list], list], text_column: str
         for batch in batches:
             for part in slices(batch, at):
                 yield part.filter(pa.array(accept(part.column(at).to_pylist()), pa.bool_()))
+        trim()
 
     return df.mapInArrow(run, df.schema)
 

@@ -35,7 +35,7 @@ TERMS, RANK, NEIGHBOURS, POWER = 4096, 64, 25, 8
 #: What shapes, and one repeated window, count for, against one string of characters.
 SHAPE_WEIGHT, REPEAT_WEIGHT = 2, 4
 #: Documents, and characters of them, that are looked at together.
-BLOCK_DOCS, PART = 256, 1 << 18
+BLOCK_DOCS, PART = 128, 1 << 18
 DECIMALS = 9
 
 

@@ -43,7 +43,7 @@ LEAST_BINS = (0, 8, 16, 32)
 #: Pieces of a length are ranked in buckets of about so many, and in so many buckets at most over all.
 BUCKET_ROWS, MOST_BUCKETS = 256, 20_000
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 _ODD_SPACE = re.compile(r" \s| \Z")
 #: Characters beyond these go to the tokenizers library itself, whose character classes are its own.

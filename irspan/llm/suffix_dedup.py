@@ -43,9 +43,9 @@ from irspan.llm import common
 MATCH, GRAM = 100, 32
 _WINDOW = MATCH - GRAM + 1
 #: Bytes of text hashed at a time; longer texts are cut, with an overlap of MATCH - 1.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Anchors, and strings, that a task holds to reduce before it sends them on.
-HELD_ROWS, HELD_STRINGS = 400_000, 60_000
+HELD_ROWS, HELD_STRINGS = 200_000, 40_000
 #: Contexts of an anchor that meet in one place.
 MOST_CONTEXTS = 1000
 
@@ -199,6 +199,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 size = 0
     if held:
         yield give()
+    common.trim()
 
 
 _RANGE = "id long, tie long, begin long, end long, at long, key long"
@@ -380,6 +381,7 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield give_cold()
     if hot:
         yield give_hot()
+    common.trim()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,6 +428,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = match(held)
         if out.num_rows:
             yield out
+    common.trim()
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
