@@ -276,7 +276,7 @@ def macro_mean(spark, sf_dir):
 
 
 @_query(_with(*_EVALUATED, select="""SELECT metric, round(avg(value) FILTER (WHERE gain = 'exponential'), 6) AS exponential, round(avg(value) FILTER (WHERE gain = 'linear'), 6) AS linear,
-  round(avg(value) FILTER (WHERE gain = 'exponential') - avg(value) FILTER (WHERE gain = 'linear'), 6) AS difference FROM pq GROUP BY 1"""))
+  round(avg(value) FILTER (WHERE gain = 'exponential') - avg(value) FILTER (WHERE gain = 'linear'), 6) + 0.0::DOUBLE AS difference FROM pq GROUP BY 1"""))
 def gain_difference(spark, sf_dir):
     return _ints(metrics.gain_difference(_per_query(spark, sf_dir)))
 
