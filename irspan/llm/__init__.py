@@ -19,6 +19,9 @@ MODULES = (
     "suffix_dedup",
     "warc",
     "knn_quality",
+    "source_divergence",
+    "line_dedup",
+    "embedding_whitening",
 )
 
 
