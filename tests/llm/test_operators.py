@@ -215,9 +215,55 @@ def test_pages_of_known_text(spark):
     assert got == {i: t for i, (_, t) in enumerate(made)}
 
 
+def test_class_words_are_evidence_only():
+    """Layouts carry words of boilerplate on the elements that hold the article; those that are it go."""
+    text = [f"{LONG} Part {i}, and so on." for i in range(4)]
+    body, want = "".join(f"<p>{t}</p>" for t in text), "\n\n".join(text)
+    reader = f"<p>I said: {LONG}</p>"
+    junk = f'<div class="sidebar"><p>{LONG}</p></div><div id="cookie-notice"><p>{LONG}</p></div><form action="/s"><p>{LONG}</p></form><div class="comments-area">{reader * 9}</div>'
+    for before, after in (
+        ('<div class="wrap has-sidebar"><article>', "</article></div>"),
+        ('<div class="post comments-open">', "</div>"),
+        ('<main><div class="notice-board">', "</div></main>"),
+        ('<form id="aspnetForm"><div id="content">', "</div></form>"),
+        ('<div class="overflow-hidden"><div class="no-sidebar container">', "</div></div>"),
+        ('<div class="sidebar-right">', "</div>"),
+        ('<div class="ad-free"><form><article class="story share-open">', "</article></form></div>"),
+    ):
+        for extra in ("", junk):
+            for page in (f"<body>{before}{body}{after}{extra}</body>", f"<body>{extra}{before}{body}{after}</body>", f"<body>{before}{body}{extra}{after}</body>"):
+                assert html_extract.main_text(page) == want, page
+    assert html_extract.main_text(f"<body><p>Short.</p><div class='comments'>{reader * 20}</div></body>") in ("", "Short.")
+
+
+def unmarked_page(r, style):
+    """A page without ``article`` or ``main`` in one of four styles of mark-up, and its text."""
+    sentence = lambda: " ".join(r.choice(WORDS) for _ in range(r.randrange(14, 60))) + "."
+    title, texts = " ".join(r.choice(WORDS) for _ in range(5)), [sentence() for _ in range(r.randrange(3, 9))]
+    links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in r.sample(WORDS, 5))
+    remark = f"<p>{sentence()}</p>" * r.randrange(3)
+    if style == "blog":
+        body = f'<div id="page" class="site has-sidebar"><div class="entry-content"><h1>{title}</h1>{"".join(f"<p>{t}</p>" for t in texts)}</div><div class="sidebar"><ul>{links}</ul><p>{sentence()}</p></div><div id="comments">{remark}</div></div>'
+    elif style == "table":
+        body = f'<table><tr><td class="menu"><ul>{links}</ul></td><td><h2>{title}</h2>{"".join(f"<p>{t}" for t in texts)}</td></tr></table>'
+    elif style == "form":
+        body = f'<form id="aspnetForm"><div class="navbar"><ul>{links}</ul></div><div class="body"><h1>{title}</h1>{"".join(f"<div>{t}</div>" for t in texts)}</div></form>'
+    else:
+        body = f'<ul>{links}</ul><div><div class="notice-board layout"><h1>{title}</h1>{"".join(f"<section><p>{t}</p></section>" for t in texts)}</div></div><div class="related"><ul>{links}</ul></div>'
+    return f"<html><body><header><p>The name of the site</header>{body}<footer>the end of it</footer></body></html>", "\n\n".join([title, *texts])
+
+
+@pytest.mark.parametrize("style", ["blog", "table", "form", "plain"])
+def test_unmarked_pages_of_known_text(style):
+    r = random.Random(style)
+    for _ in range(100):
+        page, want = unmarked_page(r, style)
+        assert html_extract.main_text(page) == want, page
+
+
 def test_long_pages_take_seconds():
     start = time.time()
-    for page in ("<div>" * 50_000 + "</section>" * 50_000, "<p><b>" * 100_000, "<a>" * 50_000 + "<div>" + "</a>" * 50_000, "<li><i>" * 100_000, "<" * 1_000_000, '<a "' * 200_000, f"<article>{f'<p>{LONG}</p>' * 50_000}"):
+    for page in ("<div>" * 50_000 + "</section>" * 50_000, "<p><b>" * 100_000, "<a>" * 50_000 + "<div>" + "</a>" * 50_000, "<li><i>" * 100_000, "<" * 1_000_000, "<div class=sidebar>" * 50_000 + LONG, f"<div class='ad wrap'><p>{LONG}</p>" * 20_000, '<a "' * 200_000, f"<article>{f'<p>{LONG}</p>' * 50_000}"):
         html_extract.main_text(page)
     assert time.time() - start < 60
 
