@@ -1,9 +1,10 @@
 """BM25 over one field or several, for batches of queries.
 
-An index is written once, as Parquet in the shared folder: postings with their document's length, in buckets
-by term; df and idf of each term; lengths; statistics of each field (each has its own document count,
-document frequencies, lengths and average length).  All queries are scored by one join of their terms
-with the postings of those terms; postings of other terms are never grouped or moved.
+An index is written once, as Parquet in the shared folder: postings in blocks by document shard and term
+(see :mod:`impacts`), the terms of each document, df and idf of each term, lengths, and statistics of each field
+(each has its own document count, document frequencies, lengths and average length).  The best documents of
+all queries come from one pass over the blocks of their terms, in which shards leave out what cannot be among
+the best; all scores, where they are asked for, from one join with those blocks.
 """
 
 from __future__ import annotations
@@ -11,23 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irspan.functions.porter2 import stem
 from irspan.functions.text import Tokenizer
-from irspan.operators.physical import drop, shared_folder, small, spread, written
+from irspan.operators.impacts import Impact, ImpactIndex
+from irspan.operators.physical import drop, scratch, shared_folder, small, spread, temporary
 from irspan.operators.ranking import top_k
 
 CONTENTS = "contents"
-#: Buckets of terms that postings are written in, and parts of a bucket by document: a frequent term's
-#: postings are in as many tasks.
-BUCKETS, PARTS = 16, 8
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def _stems(vocabulary: DataFrame) -> DataFrame:
@@ -40,65 +36,78 @@ def _stems(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("term").mapInArrow(run, "term string, stem string")
 
 
+def _unstemmed(tokenizer: Tokenizer) -> Tokenizer:
+    """What goes before stemming: short stems are dropped after it."""
+    return replace(tokenizer, stem=False, min_length=1) if tokenizer.stem else tokenizer
+
+
+def _stemmed(counts: DataFrame, tokenizer: Tokenizer, count: str) -> DataFrame:
+    """``counts`` with the column term stemmed by a dictionary of its distinct terms, rows of one stem added up;
+    short stems become null."""
+    stems = temporary(_stems(counts.where("term is not null").select("term").distinct()), "stems")
+    known = F.when(F.length("stem") >= tokenizer.min_length, F.col("stem"))
+    keys = [c for c in counts.columns if c not in ("term", count)]
+    return counts.join(small(stems, stems.count()), "term", "left").groupBy(*keys, known.alias("term")).agg(F.sum(count).alias(count))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """A written index: ``lengths`` (field, doc_id, dl), ``fields`` (field, n, avgdl), ``terms`` (field,
-    term, df, idf) and ``posted`` (field, term, doc_id, tf, dl, bucket)."""
+    term, df, idf), ``forward`` (field, doc_id, dl, term, tf) and the ``impacts`` of x = tf and y = dl."""
 
     folder: str
     lengths: DataFrame
     fields: DataFrame
     terms: DataFrame
-    posted: DataFrame
+    forward: DataFrame
+    impacts: ImpactIndex
+    averages: tuple[tuple[str, float], ...]
 
     @classmethod
     def build(cls, corpus: DataFrame, tokenizer: Tokenizer, fields: tuple[str, ...] | None = None, folder: str | None = None) -> LexicalIndex:
         """Index ``corpus`` (doc_id, title, text): title and text as one, or each of ``fields`` apart.
-        An empty corpus is an error.
-
-        Terms are stemmed as a vocabulary, not token by token (a tokenizer that drops short stems has
-        to stem first, and does it in the text).
-        """
+        An empty corpus is an error.  Terms are stemmed as a vocabulary, not token by token."""
         if fields is not None and not fields:
             raise ValueError("there must be a field")
         spark = corpus.sparkSession
         folder = folder or shared_folder(spark, "index")
         texts = [(f, F.col(f)) for f in fields] if fields else [(CONTENTS, F.concat_ws(" ", "title", "text"))]  # white space at the ends holds no token
-        late = tokenizer.stem and tokenizer.min_length <= 1
-        plain = replace(tokenizer, stem=False) if late else tokenizer
+        plain = _unstemmed(tokenizer)
         entries = F.array(*(F.struct(F.lit(f).alias("field"), plain(t).alias("tokens")) for f, t in texts))
         rows = spread(corpus, "doc_id").select("doc_id", F.explode(entries).alias("e")).select("e.field", "doc_id", F.size("e.tokens").alias("dl"), F.explode_outer("e.tokens").alias("term"))
-        counts = written(rows.groupBy("field", "doc_id", "dl", "term").agg(F.count("term").alias("tf")), "counts")  # a row without a term for an empty text
-        counts.groupBy("field", "doc_id").agg(F.max("dl").alias("dl")).write.parquet(f"{folder}/lengths")
+        counts = rows.groupBy("field", "doc_id", "dl", "term").agg(F.count("term").alias("tf"))  # a row without a term for an empty text
+        with scratch():
+            if tokenizer.stem:
+                counts = temporary(_stemmed(temporary(counts, "counts"), tokenizer, "tf"), "counts")
+                if tokenizer.min_length > 1:
+                    left = counts.groupBy("field", "doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).cast("int").alias("dl"))
+                    counts = counts.drop("dl").join(left, ["field", "doc_id"]).select("field", "doc_id", "dl", "term", "tf")
+            counts.write.parquet(f"{folder}/forward")
+        forward = spark.read.schema(_FORWARD).parquet(f"{folder}/forward")
+        forward.groupBy("field", "doc_id").agg(F.max("dl").alias("dl")).write.parquet(f"{folder}/lengths")
         lengths = spark.read.parquet(f"{folder}/lengths")
         stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).collect()  # a row a field
         if not stats:
             raise ValueError("the corpus is empty")
         spark.createDataFrame(stats, "field string, n long, avgdl double").coalesce(1).write.parquet(f"{folder}/fields")
-        kept = counts.where("term is not null")
-        if late:
-            stems = written(_stems(kept.select("term").distinct()), "stems")
-            kept = kept.join(small(stems, stems.count()), "term").groupBy("field", "doc_id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-        dealt = kept.select("field", "term", "doc_id", "tf", "dl", _bucket(F.col("term")).alias("bucket"))
-        dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
-        dealt.write.partitionBy("bucket").parquet(f"{folder}/posted")
-        posted = spark.read.schema("field string, term string, doc_id string, tf long, dl int, bucket int").parquet(f"{folder}/posted")
+        kept = forward.where("term is not null")
+        impacts = ImpactIndex.build(kept.select("field", "term", "doc_id", F.col("tf").alias("x"), F.col("dl").alias("y")), folder, kept.count())
         fields_ = F.broadcast(spark.read.parquet(f"{folder}/fields"))  # a row a field
-        df = posted.groupBy("field", "term").agg(F.count("*").alias("df")).join(fields_, "field")
+        df = impacts.document_frequencies().join(fields_, "field")
         df.select("field", "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).write.parquet(f"{folder}/terms")
-        return cls.open(spark, folder)
+        return cls._of(spark, folder, impacts)
+
+    @classmethod
+    def _of(cls, spark: SparkSession, folder: str, impacts: ImpactIndex) -> LexicalIndex:
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
+        fields = read("fields", "field string, n long, avgdl double")
+        averages = tuple((r.field, r.avgdl) for r in fields.select("field", "avgdl").collect())  # a row a field
+        return cls(folder, read("lengths", "field string, doc_id string, dl int"), fields, read("terms", "field string, term string, df long, idf double"), read("forward", _FORWARD), impacts, averages)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> LexicalIndex:
         """The index that was written to ``folder``."""
-        read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
-        return cls(
-            folder,
-            read("lengths", "field string, doc_id string, dl int"),
-            read("fields", "field string, n long, avgdl double"),
-            read("terms", "field string, term string, df long, idf double"),
-            read("posted", "field string, term string, doc_id string, tf long, dl int, bucket int"),
-        )
+        return cls._of(spark, folder, ImpactIndex.open(spark, folder))
 
     def there(self) -> bool:
         """Whether the files still are."""
@@ -107,6 +116,7 @@ class LexicalIndex:
         return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def drop(self) -> None:
+        self.impacts.drop()
         drop(self.fields.sparkSession, self.folder)
 
     def field_stats(self) -> DataFrame:
@@ -119,12 +129,16 @@ class LexicalIndex:
 
     def postings(self) -> DataFrame:
         """field, doc_id, dl, term and tf."""
-        return self.posted.select("field", "doc_id", "dl", "term", "tf")
+        return self.forward.where("term is not null")
+
+
+_FORWARD = "field string, doc_id string, dl int, term string, tf long"
 
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """query_id, term and weight: how often the query has the term."""
-    return queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    counts = queries.select("query_id", F.explode(_unstemmed(tokenizer)(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    return _stemmed(counts, tokenizer, "weight").where("term is not null").select("query_id", "term", "weight") if tokenizer.stem else counts
 
 
 @dataclass(frozen=True)
@@ -164,38 +178,67 @@ class BM25Retriever:
         names = self.fields or (CONTENTS,)
         return dict(zip(names, self.weights or (1.0,) * len(names), strict=True))
 
+    def _known(self, terms: DataFrame) -> DataFrame:
+        """Query terms that the index has: query_id, field, term, weight, idf, avgdl."""
+        index = self._need_index()
+        weights = [(f, float(w)) for f, w in self._field_weights().items() if w]
+        stats = index.fields.join(F.broadcast(terms.sparkSession.createDataFrame(weights, "field string, field_weight double")), "field")  # a row a field
+        known = index.terms.join(terms.where("weight <> 0"), "term").join(F.broadcast(stats), "field")
+        return known.select("query_id", "field", "term", (F.col("weight") * F.col("field_weight")).alias("weight"), "idf", "avgdl")
+
     def matches(self, terms: DataFrame) -> DataFrame:
         """Query terms with the postings they meet: query_id, doc_id, field, term, weight, idf, tf, dl, avgdl.
         Nothing here depends on k1 or b.
 
-        The terms, which may come from a first pass, meet the table of known terms and are written; their
-        number decides whether they are broadcast to the postings, and only their buckets are read.
+        The terms, which may come from a first pass, are written; their number decides whether they are
+        broadcast to the blocks of postings, which are opened after the join.
         """
-        index = self._need_index()
-        spark = terms.sparkSession
-        weights = [(f, float(w)) for f, w in self._field_weights().items() if w]
-        stats = index.fields.join(F.broadcast(spark.createDataFrame(weights, "field string, field_weight double")), "field")  # a row a field
-        known = index.terms.join(terms.where("weight <> 0"), "term").join(F.broadcast(stats), "field")
-        known = written(known.select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("field_weight")).alias("weight"), "idf", _bucket(F.col("term")).alias("bucket")), "terms")
-        n, *_ = sizes = known.agg(F.count("*"), F.collect_set("bucket")).first()  # BUCKETS at most
-        posted = index.posted.where(F.col("bucket").isin(sizes[1])) if sizes[1] else index.posted.where("false")
-        return posted.join(small(known.drop("bucket"), n), ["field", "term"]).select("query_id", "doc_id", "field", "term", "weight", "idf", "tf", "dl", "avgdl")
+        known = temporary(self._known(terms), "terms")
+        met = self._need_index().impacts.blocks.join(small(known, known.count()), ["field", "term"])
+        rows = met.select("query_id", "field", "term", "weight", "idf", "avgdl", F.inline("entries"))
+        return rows.select("query_id", F.col("doc").alias("doc_id"), "field", "term", "weight", "idf", F.col("x").alias("tf"), F.col("y").cast("int").alias("dl"), "avgdl")
 
     def score_weighted_terms(self, terms: DataFrame) -> DataFrame:
-        """Scores (query_id, doc_id, score) of weighted query terms."""
+        """Scores (query_id, doc_id, score) of weighted query terms, of all documents with one of them."""
         return self.matches(terms).groupBy("query_id", "doc_id").agg(F.sum(contribution(F.lit(self.k1), F.lit(self.b))).alias("score"))
 
+    def _impact(self) -> Impact:
+        """:func:`contribution` of arrays, to a weight of 1: it rises with tf and falls with dl."""
+        k1, b, averages = self.k1, self.b, dict(self._need_index().averages)
+
+        def impact(field: str, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / averages[field]))  # a field with a posting has a length
+
+        return impact
+
+    def best(self, terms: DataFrame, k: int) -> DataFrame:
+        """The run of the ``k`` best documents of weighted query terms (query_id, term, weight).  The terms are
+        looked up at once; nothing of them is left behind."""
+        with scratch():
+            known = temporary(self._known(terms).select("query_id", "field", "term", (F.col("weight") * F.col("idf")).alias("weight")), "terms")
+            return top_k(self._need_index().impacts.best(known, self._impact(), k), k)
+
+    def effort(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """By shard: queries that meet it, postings of their terms there, and those that had to be scored."""
+        with scratch():
+            known = self._known(query_terms(queries, self.tokenizer)).select("query_id", "field", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+            return self._need_index().impacts.effort(temporary(known, "terms"), self._impact(), k)
+
     def retrieve(self, queries: DataFrame, top_k_: int = 100) -> DataFrame:
         """The run of the best documents of each of ``queries`` (query_id, text)."""
-        return top_k(self.score_weighted_terms(query_terms(queries, self.tokenizer)), top_k_)
+        if top_k_ <= 0:
+            raise ValueError("top_k must be positive")
+        with scratch():
+            return self.best(query_terms(queries, self.tokenizer), top_k_)
 
     def query_statistics(self, queries: DataFrame) -> DataFrame:
         """Predictors of each query, over its token occurrences; for an index of one field."""
         if self.fields is not None and len(self.fields) > 1:
             raise ValueError("query statistics need an index of one field")
-        tokens = queries.select("query_id", F.explode(self.tokenizer(F.col("text"))).alias("term"))
+        counts = query_terms(queries, self.tokenizer)
         idf = self._need_index().terms.select("term", "idf")
-        found = tokens.join(idf, "term", "left").groupBy("query_id").agg(F.max("idf").alias("max_idf"), F.avg("idf").alias("mean_idf"), F.count("*").alias("num_terms"), F.count("idf").alias("num_in_vocabulary"))
+        there = F.sum(F.when(F.col("idf").isNotNull(), F.col("weight"))).cast("long")
+        found = counts.join(idf, "term", "left").groupBy("query_id").agg(F.max("idf").alias("max_idf"), F.try_divide(F.sum(F.col("idf") * F.col("weight")), there).alias("mean_idf"), F.sum("weight").cast("long").alias("num_terms"), there.alias("num_in_vocabulary"))
         zero = lambda c: F.coalesce(c, F.lit(0))
         rate = F.coalesce(F.try_divide(F.col("num_terms") - F.col("num_in_vocabulary"), F.col("num_terms")), F.lit(0.0))
         rows = queries.select("query_id").join(found, "query_id", "left")

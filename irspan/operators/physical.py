@@ -7,6 +7,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,6 @@ SPREAD_BYTES = 256 << 20
 BROADCAST_ROWS = 100_000
 
 _local: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -29,8 +30,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder in the one that ``spark.checkpoint.dir`` names; it goes when the driver ends.
 
-    Only a local master may do without the setting, as in tests: a cluster's executors do not see each
-    other's files.
+    The file system of the driver's JVM is told to delete it on exit, which also happens when the session has been
+    stopped before.  Only a local master may do without the setting, as in tests: a cluster's executors do
+    not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
@@ -39,27 +41,28 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="irspan-")
-            _made.append((spark, _local[app]))
         base = _local[app]
     path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
     return path
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder whose rows are no longer needed."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _files(spark, path)
+    files.delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in reversed(_made):
-        try:
-            drop(spark, path)
-        except Exception:  # the session has ended: files in a cluster's folder are then left to its owner
-            if path in _local.values():
-                shutil.rmtree(path, ignore_errors=True)
+    for path in _local.values():
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
@@ -70,6 +73,35 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is :func:`temporary` inside goes at the end: it must have been read by then.  Inner ones leave it to
+    the outermost."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        made = _open.pop()
+        if _open:
+            _open[-1].extend(made)
+        else:
+            for spark, path in made:
+                drop(spark, path)
+
+
+def temporary(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as :func:`written`, until the end of the :func:`scratch` around; without one, of the driver."""
+    spark = df.sparkSession
+    path = shared_folder(spark, kind)
+    if _open:
+        _open[-1].append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if ``rows``, its size, is within :data:`BROADCAST_ROWS`."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from irspan.functions.text import Tokenizer
 from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
-from irspan.operators.physical import small, written
-from irspan.operators.ranking import top_k
+from irspan.operators.physical import scratch, small, temporary
 
 #: Decimals of a term's weight when terms are ranked.
 DECIMALS = 10
@@ -72,15 +71,16 @@ class RM3Retriever:
         if not self.alpha or not self.fb_docs or not self.fb_terms:
             return own
         # The first pass and its model are small (fb_docs and fb_terms rows a query) and read several times.
-        feedback = written(top_k(self.scorer.score_weighted_terms(terms), self.fb_docs), "feedback")
-        model = written(self.relevance_model(feedback), "model")
+        feedback = temporary(self.scorer.best(terms, self.fb_docs), "feedback")
+        model = temporary(self.relevance_model(feedback), "model")
         has = model.select("query_id").distinct().withColumn("has", F.lit(True))
         scaled = own.join(has, "query_id", "left").select("query_id", "term", F.when(F.col("has"), (1 - self.alpha) * F.col("weight")).otherwise(F.col("weight")).alias("weight"))
         mixed = scaled.unionByName(model.select("query_id", "term", (self.alpha * F.col("weight")).alias("weight")))
         return mixed.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
 
     def retrieve(self, queries: DataFrame, top_k_: int = 100) -> DataFrame:
-        return top_k(self._need_index().scorer.score_weighted_terms(self.expanded_queries(queries)), top_k_)
+        with scratch():
+            return self._need_index().scorer.best(self.expanded_queries(queries), top_k_)
 
     def describe(self) -> dict:
         return {"model": "rm3", "fb_docs": self.fb_docs, "fb_terms": self.fb_terms, "alpha": self.alpha, "k1": self.k1, "b": self.b, "multi_field": self.multi_field, "tokenizer": self.tokenizer.describe()}

@@ -209,7 +209,7 @@ def sweep_rm3(retriever: RM3Retriever, queries: DataFrame, qrels: DataFrame, gri
     docs, terms_ = (spark.createDataFrame([(x,) for x in sorted({c[i] for c in grid})], f"{n} int") for i, n in ((0, "fb_docs"), (1, "fb_terms")))
     terms = query_terms(queries, retriever.tokenizer)
     own = terms.select("query_id", "term", (F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).alias("own"))
-    first = written(top_k(retriever.scorer.score_weighted_terms(terms), max(c[0] for c in grid)), "feedback")
+    first = written(retriever.scorer.best(terms, max(c[0] for c in grid)), "feedback")
     # A number of feedback documents makes a query of its own: "5 q1" is q1 with five of them.
     feedback = first.crossJoin(F.broadcast(docs)).where(F.col("rank") <= F.col("fb_docs")).withColumn("query_id", F.concat_ws(" ", F.col("fb_docs").cast("string"), "query_id"))
     model = retriever.feedback_terms(written(feedback.select("query_id", "doc_id", "score"), "feedback"))
