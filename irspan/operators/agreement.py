@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Protocol
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,27 +9,12 @@ from irspan.functions.text import verdict
 from irspan.operators.physical import cumulative, written
 from irspan.operators.ranking import reranked
 
-#: Labels of a confusion matrix at most: grades and verdicts are few.
-MOST_LABELS = 1_000
-
-
-class Judge(Protocol):
-    """A model that answers whether a document is relevant: pairs (query_id, doc_id, query_text, title,
-    text) to the same rows with a column ``answer``."""
-
-    def judge(self, pairs: DataFrame) -> DataFrame: ...
-
-
 def confusion(pairs: DataFrame) -> DataFrame:
-    """first, second and n for every pair of the labels that either column uses (:data:`MOST_LABELS` at most)."""
+    """first, second and n for every pair of the labels that either column uses."""
     cells = written(pairs.groupBy("first", "second").agg(F.count("*").alias("n")), "cells")
-    labels = cells.select(F.explode(F.array("first", "second")).alias("label")).distinct()
-    found = [r[0] for r in labels.limit(MOST_LABELS + 1).collect()]
-    if len(found) > MOST_LABELS:
-        raise ValueError(f"a confusion matrix is of at most {MOST_LABELS} labels")
-    kind = labels.schema["label"].dataType.simpleString()
-    one = cells.sparkSession.createDataFrame([(a, b) for a in found for b in found], f"first {kind}, second {kind}")
-    return one.join(cells, ["first", "second"], "left").select("first", "second", F.coalesce("n", F.lit(0)).alias("n"))
+    labels = cells.select(F.explode(F.array("first", "second")).alias("label")).agg(F.collect_set("label").alias("labels"))  # a row of labels
+    square = labels.select("labels", F.explode("labels").alias("first")).select("first", F.explode("labels").alias("second"))
+    return square.join(cells, ["first", "second"], "left").select("first", "second", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def kappa(pairs: DataFrame, validate: bool = True) -> DataFrame:

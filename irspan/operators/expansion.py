@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Protocol
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from irspan.functions.text import NO_STEM, Tokenizer, expanded_document, expanded_query, strip, words
 
 
-class Generator(Protocol):
-    """A text model: rows (id, text) to expansions (id, generations)."""
-
-    def generate(self, texts: DataFrame) -> DataFrame: ...
-
-
 def expand_queries(queries: DataFrame, expansions: DataFrame, weight: int = 1) -> DataFrame:
     """``queries`` with their first generation appended; ``expansions``: id and generations."""
     passages = expansions.select(F.col("id").alias("query_id"), F.get("generations", F.lit(0)).alias("passage"))

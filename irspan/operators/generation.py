@@ -6,8 +6,9 @@ prompt.  None is shipped; what is here is the batching, the prompts and the reco
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from irspan.functions.text import citations, invalid_citations, valid_citations
 
 #: How the questions are put to a model; the placeholders are filled in.
-JUDGE_PROMPT = "Is the document relevant to the query? Answer yes or no.\n\nQuery: {query}\n\nDocument: {document}\n\nAnswer:"
+JUDGE_PROMPT = "Someone searched for: {query}\nA search engine returned this text:\n{document}\nWould it help them? Say yes or no:"
 ANSWER_PROMPT = "{sources}\n\nAnswer the question from these sources alone, with their numbers in brackets like [1].\nQuestion: {query}\nAnswer:"
 
 
@@ -41,20 +42,26 @@ class Settings:
         return {"method": kind, **asdict(self)}
 
 
+def _seed(seed: int, ids: list[str]) -> int:
+    return zlib.crc32("\n".join([str(seed), *map(str, ids)]).encode())
+
+
 Model = Callable[[list[str], Settings], list[list[str]]]
 
 
 def _generated(prompts: DataFrame, model: Model, settings: Settings) -> DataFrame:
     """id and generations for rows of id and prompt.
 
-    Rows are dealt out and sorted by id, so a batch holds the same prompts each time that it is made.
+    Rows are dealt out and sorted by id.  A sampling model gets a seed of its own for each batch, made of the
+    settings' seed and the batch's ids: batches differ, and the same batch is made alike again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, settings.batch_size):
                 part = batch.slice(at, settings.batch_size)
-                texts = model(part.column(1).to_pylist(), settings)
+                own = replace(settings, seed=_seed(settings.seed, part.column(0).to_pylist())) if settings.sample else settings
+                texts = model(part.column(1).to_pylist(), own)
                 if len(texts) != part.num_rows or any(len(t) != settings.generations for t in texts):
                     raise ValueError("the model must give the asked number of texts for every prompt")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[x.strip() for x in t] for t in texts], pa.list_(pa.string()))], ["id", "generations"])

@@ -127,6 +127,10 @@ class ImpactIndex:
         """field, term and df."""
         return self.blocks.groupBy("field", "term").agg(F.sum("n").alias("df"))
 
+    def _met(self, wanted: DataFrame) -> DataFrame:
+        """The blocks of terms (field, term), a row a block, those of a shard to be grouped by it."""
+        return self.blocks.join(wanted, ["field", "term"], "left_semi")
+
     def _parts(self, terms: DataFrame) -> list[DataFrame]:
         """Weighted query terms (query_id, field, term, weight) in parts that may be broadcast."""
         n = max(1, -(-terms.count() // BROADCAST_ROWS))
@@ -141,10 +145,11 @@ class ImpactIndex:
         for part in parts:
             asked = part.select("query_id", "field", "term", "weight").toArrow()  # BROADCAST_ROWS, about
             shared = spark.sparkContext.broadcast(_by_query(asked))
-            wanted = spark.createDataFrame(asked.select(["field", "term"]).group_by(["field", "term"]).aggregate([]))
-            met = self.blocks.join(F.broadcast(wanted), ["field", "term"], "left_semi")
-            found = met.groupBy("shard").applyInArrow(run(shared), schema)
+            wanted = F.broadcast(spark.createDataFrame(asked.select(["field", "term"]).group_by(["field", "term"]).aggregate([])))
+            found = self._met(wanted).groupBy("shard").applyInArrow(run(shared), schema)
             done.append(found if len(parts) == 1 else written(found, "best"))
+            if len(parts) > 1:
+                shared.unpersist()
         return reduce(DataFrame.unionByName, done)
 
     def best(self, terms: DataFrame, impact: Impact, k: int) -> DataFrame:
@@ -179,6 +184,29 @@ class ImpactIndex:
         return self._shards(terms, run, _COUNTS)
 
 
+class ImpactFrame(ImpactIndex):
+    """Postings (field, term, doc_id, x, y) that are not indexed, searched once: those of the terms are moved to
+    their document's shard, and put together as blocks there."""
+
+    def __init__(self, postings: DataFrame):
+        spark = postings.sparkSession
+        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        super().__init__("", "", n, postings)
+
+    def _met(self, wanted: DataFrame) -> DataFrame:
+        rows = self.blocks.join(wanted, ["field", "term"], "left_semi")
+        shard = F.pmod(F.xxhash64("doc_id"), F.lit(self.shards)).cast("int")
+        return rows.select(shard.alias("shard"), "field", "term", F.col("doc_id").alias("doc"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def _as_blocks(table: pa.Table) -> pa.Table:
+    """A shard's blocks; of an :class:`ImpactFrame`, they are made of its postings."""
+    if "entries" in table.column_names:
+        return table
+    rows = table.sort_by([("field", "ascending"), ("term", "ascending")]).combine_chunks()
+    return pa.Table.from_batches(_gathered(iter(rows.to_batches())))
+
+
 def _by_query(asked: pa.Table) -> list[tuple[str, list[tuple[tuple[str, str], float]]]]:
     """Query terms by query: ((field, term), weight)."""
     out: dict[str, list] = {}
@@ -191,6 +219,7 @@ class _Shard:
     """The blocks of one shard: postings as numbers of documents and, once a query needs them, their impacts."""
 
     def __init__(self, table: pa.Table, impact: Impact):
+        table = _as_blocks(table)
         entries = table.column("entries").combine_chunks()
         flat = entries.flatten()
         codes = flat.field("doc").dictionary_encode()

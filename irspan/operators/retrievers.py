@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from irspan.functions.text import chunks, document_text, truncation_rate
 from irspan.operators import combine, expansion, vectors
+from irspan.operators.impacts import ImpactIndex
 from irspan.operators.physical import written
 
 
@@ -33,7 +34,7 @@ def _texts(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", document_text(F.col("title"), F.col("text")).alias("text"))
 
 
-def _indexed(table: DataFrame | None) -> DataFrame:
+def _indexed(table):
     if table is None:
         raise RuntimeError("index() comes first")
     return table
@@ -84,14 +85,16 @@ class SparseRetriever:
     top_terms: int | None = None
     model: str = "plug-in"
     postings: DataFrame | None = None
+    indexed: ImpactIndex | None = None
 
     def index(self, corpus: DataFrame) -> SparseRetriever:
         logits = self.encoder.encode_tokens(_texts(_some(corpus)))
-        return replace(self, postings=written(vectors.sparse_encode(logits, self.top_terms), "postings"))
+        postings = written(vectors.sparse_encode(logits, self.top_terms), "postings")
+        return replace(self, postings=postings, indexed=vectors.sparse_index(postings))
 
     def retrieve(self, queries: DataFrame, top_k_: int = 100) -> DataFrame:
         logits = self.encoder.encode_tokens(queries.select("query_id", "text"), is_query=True)
-        return vectors.sparse_retrieve(vectors.sparse_encode(logits, self.top_terms, key="query_id"), _indexed(self.postings), top_k_)
+        return vectors.sparse_retrieve(vectors.sparse_encode(logits, self.top_terms, key="query_id"), _indexed(self.indexed), top_k_)
 
     def describe(self) -> dict:
         out = {"method": "learned-sparse", "model": self.model, "top_terms": self.top_terms}

@@ -3,7 +3,9 @@
 Models are plug-ins that give vectors (see :class:`Encoder`); the operators work on frames of vectors.
 Queries are a stated set: their vectors are broadcast, and each task compares its rows of the corpus with
 them in blocks of matrix products and sends on the best documents of each query only, so neither pairs nor
-scores are moved.  One scan of the corpus serves up to :data:`PASS_BYTES` of query vectors.
+scores are moved.  One scan of the corpus serves up to :data:`PASS_BYTES` of query vectors; of more, a part is
+compared and its best written before the next one comes to the driver, which so never holds two.
+Term weights are searched by document shards with bounds (see :mod:`impacts`).
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from irspan.operators.impacts import ImpactFrame, ImpactIndex
+from irspan.operators.physical import scratch, shared_folder, temporary, written
 from irspan.operators.ranking import DECIMALS, top_k
 
 #: Bytes of query vectors that one scan of the corpus is compared with, and that one product takes.
@@ -78,11 +82,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _passes(vectors: DataFrame) -> list[DataFrame]:
-    """Query vectors (query_id, embedding and others), those of a query together, in parts of about PASS_BYTES."""
-    size = vectors.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
-    n = max(1, -(-int(size) // PASS_BYTES))
-    return [vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [vectors]
+def _passes(vectors: DataFrame) -> Iterator[tuple[pa.Table, bool]]:
+    """Query vectors (query_id, embedding and others), those of a query together, in tables of about PASS_BYTES;
+    and whether there are more than one."""
+    with scratch():
+        kept = temporary(vectors, "query_vectors")
+        size = kept.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
+        n = max(1, -(-int(size) // PASS_BYTES))
+        for i in range(n):
+            yield (kept.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else kept).toArrow(), n > 1
 
 
 def _best(scores: np.ndarray, docs: list, queries: list, k: int) -> pa.RecordBatch:
@@ -96,10 +104,18 @@ def _best(scores: np.ndarray, docs: list, queries: list, k: int) -> pa.RecordBat
 _SCORES = "query_id string, doc_id string, score double"
 
 
-def _scanned(rows: DataFrame, shared: list, run: Callable) -> DataFrame:
-    """The union of ``run`` over ``rows`` for each of the ``shared`` query parts: one scan a part."""
+def _scanned(rows: DataFrame, queries: DataFrame, prepare: Callable[[pa.Table], tuple], run: Callable) -> DataFrame:
+    """The union of ``run`` over ``rows`` for each part of the query vectors, as ``prepare`` makes it: one scan a part."""
     spark = rows.sparkSession
-    parts = [rows.mapInArrow(run(spark.sparkContext.broadcast(x)), _SCORES) for x in shared]
+    parts = []
+    for table, more in _passes(queries):
+        if not table.num_rows:
+            continue
+        held = spark.sparkContext.broadcast(prepare(table))
+        found = rows.mapInArrow(run(held), _SCORES)
+        parts.append(written(found, "best") if more else found)
+        if more:
+            held.unpersist()
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _SCORES)
 
 
@@ -111,11 +127,9 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 100) -> Da
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    shared = []
-    for part in _passes(queries.select("query_id", "embedding")):
-        table = part.toArrow()  # PASS_BYTES, about
-        if table.num_rows:
-            shared.append((table.column(0).to_pylist(), _unit(_matrix(table.column(1).combine_chunks()))))
+
+    def prepare(table: pa.Table) -> tuple:
+        return table.column(0).to_pylist(), _unit(_matrix(table.column(1).combine_chunks()))
 
     def run(held) -> Callable:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +148,7 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 100) -> Da
 
         return compare
 
-    best = _scanned(documents.select(F.col("doc_id").cast("string"), "embedding"), shared, run)
+    best = _scanned(documents.select(F.col("doc_id").cast("string"), "embedding"), queries.select("query_id", "embedding"), prepare, run)
     return top_k(best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k, drop_zero=False)
 
 
@@ -153,10 +167,28 @@ def mean_terms(postings: DataFrame, key: str = "doc_id") -> DataFrame:
     return postings.groupBy(key).agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean_terms"))
 
 
-def sparse_retrieve(queries: DataFrame, postings: DataFrame, k: int = 100) -> DataFrame:
-    """Dot products of term weights: ``queries`` query_id, term_id, weight; ``postings`` doc_id, term_id, weight."""
-    pairs = postings.join(queries.select("query_id", "term_id", F.col("weight").alias("q")), "term_id")
-    return top_k(pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")), k)
+def _as_postings(postings: DataFrame) -> DataFrame:
+    return postings.select(F.lit("").alias("field"), F.col("term_id").cast("string").alias("term"), F.col("doc_id").cast("string").alias("doc_id"), F.col("weight").cast("double").alias("x"), F.lit(0.0).alias("y"))
+
+
+def sparse_index(postings: DataFrame) -> ImpactIndex:
+    """``postings`` (doc_id, term_id, weight, not negative) written by document shards, for many searches."""
+    return ImpactIndex.build(_as_postings(postings), shared_folder(postings.sparkSession, "sparse"))
+
+
+def sparse_retrieve(queries: DataFrame, postings: DataFrame | ImpactIndex, k: int = 100) -> DataFrame:
+    """Dot products of term weights: ``queries`` query_id, term_id, weight; ``postings`` doc_id, term_id, weight, or
+    an index of them.  A term of every document is a block in each shard, never one task."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    with scratch():
+        terms = temporary(queries.select("query_id", F.lit("").alias("field"), F.col("term_id").cast("string").alias("term"), F.col("weight").cast("double").alias("weight")).where("weight <> 0"), "terms")
+        found = postings if isinstance(postings, ImpactIndex) else ImpactFrame(_as_postings(postings))
+        return top_k(found.best(terms, _own_weight, k), k)
+
+
+def _own_weight(field: str, weight: np.ndarray, _: np.ndarray) -> np.ndarray:
+    return weight
 
 
 def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> DataFrame:
@@ -169,13 +201,13 @@ def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> Data
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    shared = []
-    for part in _passes(queries.select("query_id", "embedding", "pos")):
-        table = part.toArrow().sort_by([("query_id", "ascending"), ("pos", "ascending")])  # PASS_BYTES, about
-        if table.num_rows:
-            names = np.array(table.column(0).to_pylist(), object)
-            starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-            shared.append((names[starts].tolist(), starts, _matrix(table.column(1).combine_chunks())))
+
+    def prepare(table: pa.Table) -> tuple:
+        table = table.sort_by([("query_id", "ascending"), ("pos", "ascending")])
+        names = np.array(table.column(0).to_pylist(), object)
+        starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        return names[starts].tolist(), starts, _matrix(table.column(1).combine_chunks())
+
     empty = F.raise_error(F.concat(F.lit("no token is left of document "), F.col("doc_id").cast("string"))).cast("array<double>")
     rows = tokens.select("doc_id", "pos", F.when(F.col("embedding").isNull(), empty).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))
     gathered = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "embedding"))), lambda t: t["embedding"]).alias("vectors"))  # of one document
@@ -203,4 +235,4 @@ def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> Data
 
         return compare
 
-    return top_k(_scanned(gathered, shared, run), k, drop_zero=False)
+    return top_k(_scanned(gathered, queries.select("query_id", "embedding", "pos"), prepare, run), k, drop_zero=False)

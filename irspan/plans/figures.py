@@ -1,41 +1,29 @@
-"""A dot plot of methods as SVG text: deterministic, without a plotting library; and labels of runs."""
+"""A picture of methods by panel as SVG, drawn as a tree of elements; and labels of runs."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from html import escape
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+from xml.etree import ElementTree as ET
 
-#: Colours of groups on a light and on a dark ground, and of the grounds and inks themselves.
-COLOURS = (("#1b6ca8", "#5aa9e6"), ("#b3541e", "#f0935f"), ("#3c7a3c", "#7cc47c"), ("#7a3c7a", "#c48bc4"), ("#555555", "#aaaaaa"))
-_GROUND, _INK, _FAINT = ("#ffffff", "#15181c"), ("#1c1e21", "#e8e8e6"), ("#d6d6d2", "#3c4046")
-
-_LEFT, _PANEL, _GAP, _LINE, _TOP, _FOOT = 230, 230, 34, 24, 110, 70
+#: Marks of groups, as paths around their middle: a square, a diamond, two triangles, a cross.
+MARKS = ("M-4,-4h8v8h-8z", "M0,-6l6,6l-6,6l-6,-6z", "M0,-6l6,10h-12z", "M0,6l6,-10h-12z", "M-5,-2h3v-3h4v3h3v4h-3v3h-4v-3h-3z")
+_NAMES, _VALUES, _WIDTH, _ROW = 190, 70, 640, 20
 
 
 def nice_ticks(low: float, high: float, most: int = 7) -> list[float]:
-    """At most ``most`` even, round values, the first not above ``low`` and the last not below ``high``.
-
-    Steps of 1, 2, 2.5 and 5 times a power of ten are tried from small to large.
-    """
-    if not high > low:
+    """At most ``most`` multiples of one step from ``low`` or below to ``high`` or above; the step is the least
+    one with a single digit 1, 2 or 5 that needs no more.  Reckoned in decimals, as the values are written."""
+    a, b = Decimal(repr(float(low))), Decimal(repr(float(high)))
+    if not (a.is_finite() and b.is_finite() and a < b):
         raise ValueError(f"there is no range from {low} to {high}")
     if most < 3:
         raise ValueError("there must be three ticks")
-    power = math.floor(math.log10((high - low) / most)) - 1
-    while True:
-        for lead in (1, 2, 2.5, 5):
-            step = lead * 10.0**power
-            first, last = math.floor(low / step + 1e-9), math.ceil(high / step - 1e-9)
-            if last - first < most:
-                return [round(i * step, 10) for i in range(first, last + 1)]
-        power += 1
-
-
-def axis(domain: tuple[float, float], start: float, length: float) -> Callable[[float], float]:
-    """Places along an axis that begins at ``start``: the domain's ends are its ends."""
-    per_unit = length / (domain[1] - domain[0])
-    return lambda value: start + per_unit * (value - domain[0])
+    size = ((b - a) / most).adjusted()
+    for step in (Decimal(digit).scaleb(size + e) for e in range(4) for digit in (1, 2, 5)):
+        first, last = (int((x / step).to_integral_value(r)) for x, r in ((a, ROUND_FLOOR), (b, ROUND_CEILING)))
+        if last - first < most:
+            return [float(step * i) for i in range(first, last + 1)]
+    raise AssertionError("a step of a hundred times the range needs two ticks")
 
 
 def by_gain(rows: list[dict], reference: dict) -> list[dict]:
@@ -44,59 +32,66 @@ def by_gain(rows: list[dict], reference: dict) -> list[dict]:
     return sorted(rows, key=lambda r: (-gain(r), r["name"]))
 
 
-def _style(groups: list[str]) -> str:
-    def rules(dark: int) -> str:
-        own = "".join(f".c{i}{{fill:{COLOURS[i % len(COLOURS)][dark]}}}" for i in range(len(groups)))
-        return f".ground{{fill:{_GROUND[dark]}}}text{{fill:{_INK[dark]}}}.grid{{stroke:{_FAINT[dark]}}}.line{{stroke:{_INK[dark]};stroke-dasharray:4 3}}.mark{{fill:{_INK[dark]}}}{own}"
-
-    return f"<style>text{{font:12px sans-serif}}.head{{font-size:16px}}.bold{{font-weight:bold}}{rules(0)}@media (prefers-color-scheme:dark){{{rules(1)}}}</style>"
-
-
-def dot_plot_svg(rows: list[dict], panels: list[str], title: str, reference: str, subtitle: str = "", caption: str = "", groups: list[str] | None = None) -> str:
-    """One line of dots a method and one panel a dataset; ``rows``: name, group, and values by panel.
-
-    The row named ``reference`` is drawn as a line through every panel.  A row without a value for a panel,
-    a group that isn't among ``groups``, or a reference that isn't a row, is an error.
-    """
-    groups = groups or list(dict.fromkeys(r["group"] for r in rows))
+def _checked(rows: list[dict], panels: list[str], groups: list[str], reference: str) -> dict:
+    """The reference row; errors for rows without a value or of another group, and for a lost reference."""
     for r in rows:
         if lost := [p for p in panels if r["values"].get(p) is None]:
             raise ValueError(f"{r['name']} has no value for {', '.join(lost)}")
         if r["group"] not in groups:
             raise ValueError(f"{r['name']} is of an unknown group {r['group']}")
-    base = next((r for r in rows if r["name"] == reference), None)
-    if base is None:
+    found = [r for r in rows if r["name"] == reference]
+    if not found:
         raise ValueError(f"there is no row {reference}")
-    bottom = _TOP + _LINE * len(rows)
-    width, height = _LEFT + len(panels) * (_PANEL + _GAP), bottom + _FOOT
-    out = [
-        f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}" role="img" aria-labelledby="plot-title plot-desc">',
-        f'<title id="plot-title">{escape(title)}</title><desc id="plot-desc">{escape(subtitle or title)}</desc>',
-        _style(groups),
-        f'<rect class="ground" width="{width}" height="{height}"/><text class="head" x="12" y="28">{escape(title)}</text><text x="12" y="48">{escape(subtitle)}</text>',
-    ]
-    for g, name in enumerate(groups):
-        out.append(f'<circle class="c{g}" cx="{18 + g * 170}" cy="70" r="5"/><text x="{30 + g * 170}" y="74">{escape(name)}</text>')
-    line = lambda i: _TOP + _LINE * i + _LINE / 2
-    for i, r in enumerate(rows):
-        out.append(f'<text class="{"bold" if r is base else "name"}" x="{_LEFT - 14}" y="{line(i) + 4:.0f}" text-anchor="end">{escape(r["name"])}</text>')
-    for p, panel in enumerate(panels):
-        start = _LEFT + p * (_PANEL + _GAP)
-        values = [r["values"][panel] for r in rows]
-        low, high = min(values), max(values)
-        ticks = nice_ticks(low, high) if high > low else [round(low - 0.05, 10), round(low + 0.05, 10)]
-        place = axis((ticks[0], ticks[-1]), start, _PANEL)
-        out.append(f'<text class="bold" x="{start}" y="{_TOP - 8}">{escape(panel)}</text>')
-        for t in ticks:
-            out.append(f'<line class="grid" x1="{place(t):.1f}" x2="{place(t):.1f}" y1="{_TOP}" y2="{bottom}"/><text x="{place(t):.1f}" y="{bottom + 16}" text-anchor="middle">{t:g}</text>')
-        x = place(base["values"][panel])
-        out.append(f'<line class="line" x1="{x:.1f}" x2="{x:.1f}" y1="{_TOP}" y2="{bottom}"/>')
-        for i, r in enumerate(rows):
-            css = "mark" if r is base else f"c{groups.index(r['group'])}"
-            v = r["values"][panel]
-            out.append(f'<circle class="{css}" cx="{place(v):.1f}" cy="{line(i):.1f}" r="5"><title>{escape(r["name"])}, {escape(panel)}: {v:.4f}</title></circle>')
-    out.append(f'<text x="12" y="{height - 10}">{escape(caption)}</text></svg>')
-    return "\n".join(out)
+    return found[0]
+
+
+def _text(parent: ET.Element, x: float, y: float, words: str, **more: str) -> None:
+    ET.SubElement(parent, "text", {"x": f"{x:g}", "y": f"{y:g}", **more}).text = words
+
+
+def _panel(rows: list[dict], panel: str, groups: list[str], base: dict) -> ET.Element:
+    """One panel: for each method a stem from the reference's value to its own, and the value in figures."""
+    zero, values = base["values"][panel], [r["values"][panel] for r in rows]
+    spread = max(abs(v - zero) for v in values) or 0.05
+    ticks = nice_ticks(zero - spread, zero + spread, 6)
+    span = _WIDTH - _NAMES - _VALUES
+    x = lambda v: round(_NAMES + span * (v - ticks[0]) / (ticks[-1] - ticks[0]), 1)
+    g = ET.Element("g", {"class": "panel"})
+    _text(g, 0, 14, panel, **{"font-weight": "600"})
+    ET.SubElement(g, "path", {"class": "reference", "d": f"M{x(zero)},20v{_ROW * len(rows)}"})
+    for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+        y = 20 + _ROW * i + _ROW / 2
+        _text(g, 0, y + 4, r["name"])
+        ET.SubElement(g, "path", {"class": "stem", "d": f"M{x(zero)},{y:g}H{x(v)}"})
+        ET.SubElement(g, "path", {"class": "mark", "d": MARKS[groups.index(r["group"]) % len(MARKS)], "transform": f"translate({x(v)},{y:g})"})
+        _text(g, _WIDTH - _VALUES + 8, y + 4, f"{v:.4f}" if r is base else f"{v:.4f} ({v - zero:+.4f})")
+    foot = 20 + _ROW * len(rows)
+    ET.SubElement(g, "path", {"class": "scale", "d": "".join(f"M{x(t)},{foot}v5" for t in ticks)})
+    for t in ticks:
+        _text(g, x(t), foot + 18, f"{t:g}", **{"text-anchor": "middle"})
+    return g
+
+
+def dot_plot_svg(rows: list[dict], panels: list[str], title: str, reference: str, subtitle: str = "", caption: str = "", groups: list[str] | None = None) -> str:
+    """Panels below each other, a line a method with its gain over the row named ``reference``; ``rows``: name,
+    group (a shape of the mark), and values by panel.  One ink: the page's own, so it suits any ground."""
+    groups = groups or list(dict.fromkeys(r["group"] for r in rows))
+    base = _checked(rows, panels, groups, reference)
+    each = 20 + _ROW * len(rows) + 40
+    height = 66 + 18 * len(groups) + each * len(panels)
+    svg = ET.Element("svg", {"xmlns": "http://www.w3.org/2000/svg", "viewBox": f"-10 0 {_WIDTH + 90} {height}", "fill": "currentColor", "stroke-width": "1.5", "font-family": "system-ui, sans-serif", "font-size": "12"})
+    ET.SubElement(svg, "style").text = ".stem,.reference,.scale{stroke:currentColor;fill:none}.reference{opacity:.4}"
+    _text(svg, 0, 20, title, **{"font-size": "15"})
+    _text(svg, 0, 38, subtitle)
+    for i, name in enumerate(groups):
+        ET.SubElement(svg, "path", {"class": "key", "d": MARKS[i % len(MARKS)], "transform": f"translate(6,{54 + 18 * i})"})
+        _text(svg, 18, 58 + 18 * i, name)
+    for i, panel in enumerate(panels):
+        g = _panel(rows, panel, groups, base)
+        g.set("transform", f"translate(0,{54 + 18 * len(groups) + each * i})")
+        svg.append(g)
+    _text(svg, 0, height - 4, caption)
+    return ET.tostring(svg, encoding="unicode")
 
 
 #: Settings that tell runs of a method apart.

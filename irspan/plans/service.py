@@ -16,7 +16,7 @@ from irspan.operators.ranking import reranked
 from irspan.operators.retrievers import DenseRetriever
 from irspan.operators.vectors import Encoder
 
-#: Documents that either model gives to the fusion, and its constant.
+#: Documents that either model gives to the fusion (more where more results are asked for), and its constant.
 DEPTH, FUSION_K = 100, 5
 SNIPPET_CHARS = 600
 CAVEAT = "Only scores of judged queries with these settings are benchmark results: a query that was made up has no judgements."
@@ -73,16 +73,17 @@ class SearchService:
             raise RuntimeError("there is no encoder")
         found = {}
         if method != "dense":
-            found["bm25"] = self.bm25.retrieve(queries, DEPTH)
+            found["bm25"] = self.bm25.retrieve(queries, max(k, DEPTH))
         if method != "bm25" and self.dense is not None:
-            found["dense"] = self.dense.retrieve(queries, DEPTH)
+            found["dense"] = self.dense.retrieve(queries, max(k, DEPTH))
         run = next(iter(found.values())).where(F.col("rank") <= k) if len(found) == 1 else reciprocal_rank_fusion(list(found.values()), FUSION_K, k)
         return run, list(found)
 
     def search(self, query: str, top_k: int = 10, method: str = "hybrid") -> dict:
         run, used = self.runs(self._queries(query), method, top_k)
         rows = result_rows(run, self.corpus).orderBy("rank").collect()
-        return {"query": query, "methods": used, "results": [{"doc_id": r.doc_id, "score": r.score, "title": r.title, "snippet": r.snippet} for r in rows]}
+        notes = [] if self.encoder is not None or method == "bm25" else ["there is no encoder: lexical search only"]
+        return {"query": query, "dataset": self.name, "methods": used, "rrf_k": FUSION_K if len(used) > 1 else None, "depth": max(top_k, DEPTH), "notes": notes, "results": [{"doc_id": r.doc_id, "score": r.score, "title": r.title, "snippet": r.snippet} for r in rows]}
 
     def compare_methods(self, query: str, top_k: int = 5) -> dict:
         q = self._queries(query)

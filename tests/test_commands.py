@@ -231,7 +231,7 @@ def test_asking_commands(call, capsys, folder):
     assert len(call("search", "heron", "teal", "--results-wanted", "2")["results"]) == 2
     assert call("describe")["documents"] == 30
     found = call("fields")
-    assert {m["formulation"] for m in found["means"]} == {"text", "query", "query+text"} and found["spread"] >= 0
+    assert {m["formulation"] for m in found["means"]} == {"text", "metadata.query", "query+text"} and found["spread"] >= 0
     assert cli.main(["describe", "--data", str(folder), "--dataset", "fen"]) == 0
     assert json.loads(capsys.readouterr().out)["dataset"] == "fen"
     with pytest.raises(ValueError, match="module:attribute"):
