@@ -82,7 +82,13 @@ class LexicalIndex:
                 if tokenizer.min_length > 1:
                     left = counts.groupBy("field", "doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).cast("int").alias("dl"))
                     counts = counts.drop("dl").join(left, ["field", "doc_id"]).select("field", "doc_id", "dl", "term", "tf")
-            counts.write.parquet(f"{folder}/forward")
+            return cls.write(counts, folder)
+
+    @classmethod
+    def write(cls, counts: DataFrame, folder: str) -> LexicalIndex:
+        """The index of counted terms (field, doc_id, dl, term, tf; a row without a term for a field without any)."""
+        spark = counts.sparkSession
+        counts.write.parquet(f"{folder}/forward")
         forward = spark.read.schema(_FORWARD).parquet(f"{folder}/forward")
         forward.groupBy("field", "doc_id").agg(F.max("dl").alias("dl")).write.parquet(f"{folder}/lengths")
         lengths = spark.read.parquet(f"{folder}/lengths")
@@ -178,13 +184,13 @@ class BM25Retriever:
         names = self.fields or (CONTENTS,)
         return dict(zip(names, self.weights or (1.0,) * len(names), strict=True))
 
-    def _known(self, terms: DataFrame) -> DataFrame:
-        """Query terms that the index has: query_id, field, term, weight, idf, avgdl."""
+    def known_terms(self, terms: DataFrame, *more: str) -> DataFrame:
+        """Query terms that the index has: query_id, field, term, weight, idf, avgdl, and the columns ``more``."""
         index = self._need_index()
         weights = [(f, float(w)) for f, w in self._field_weights().items() if w]
         stats = index.fields.join(F.broadcast(terms.sparkSession.createDataFrame(weights, "field string, field_weight double")), "field")  # a row a field
         known = index.terms.join(terms.where("weight <> 0"), "term").join(F.broadcast(stats), "field")
-        return known.select("query_id", "field", "term", (F.col("weight") * F.col("field_weight")).alias("weight"), "idf", "avgdl")
+        return known.select("query_id", "field", "term", (F.col("weight") * F.col("field_weight")).alias("weight"), "idf", "avgdl", *more)
 
     def matches(self, terms: DataFrame) -> DataFrame:
         """Query terms with the postings they meet: query_id, doc_id, field, term, weight, idf, tf, dl, avgdl.
@@ -193,7 +199,7 @@ class BM25Retriever:
         The terms, which may come from a first pass, are written; their number decides whether they are
         broadcast to the blocks of postings, which are opened after the join.
         """
-        known = temporary(self._known(terms), "terms")
+        known = temporary(self.known_terms(terms), "terms")
         met = self._need_index().impacts.blocks.join(small(known, known.count()), ["field", "term"])
         rows = met.select("query_id", "field", "term", "weight", "idf", "avgdl", F.inline("entries"))
         return rows.select("query_id", F.col("doc").alias("doc_id"), "field", "term", "weight", "idf", F.col("x").alias("tf"), F.col("y").cast("int").alias("dl"), "avgdl")
@@ -202,7 +208,7 @@ class BM25Retriever:
         """Scores (query_id, doc_id, score) of weighted query terms, of all documents with one of them."""
         return self.matches(terms).groupBy("query_id", "doc_id").agg(F.sum(contribution(F.lit(self.k1), F.lit(self.b))).alias("score"))
 
-    def _impact(self) -> Impact:
+    def impact(self) -> Impact:
         """:func:`contribution` of arrays, to a weight of 1: it rises with tf and falls with dl."""
         k1, b, averages = self.k1, self.b, dict(self._need_index().averages)
 
@@ -215,14 +221,14 @@ class BM25Retriever:
         """The run of the ``k`` best documents of weighted query terms (query_id, term, weight).  The terms are
         looked up at once; nothing of them is left behind."""
         with scratch():
-            known = temporary(self._known(terms).select("query_id", "field", "term", (F.col("weight") * F.col("idf")).alias("weight")), "terms")
-            return top_k(self._need_index().impacts.best(known, self._impact(), k), k)
+            known = temporary(self.known_terms(terms).select("query_id", "field", "term", (F.col("weight") * F.col("idf")).alias("weight")), "terms")
+            return top_k(self._need_index().impacts.best(known, self.impact(), k), k)
 
     def effort(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """By shard: queries that meet it, postings of their terms there, and those that had to be scored."""
         with scratch():
-            known = self._known(query_terms(queries, self.tokenizer)).select("query_id", "field", "term", (F.col("weight") * F.col("idf")).alias("weight"))
-            return self._need_index().impacts.effort(temporary(known, "terms"), self._impact(), k)
+            known = self.known_terms(query_terms(queries, self.tokenizer)).select("query_id", "field", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+            return self._need_index().impacts.effort(temporary(known, "terms"), self.impact(), k)
 
     def retrieve(self, queries: DataFrame, top_k_: int = 100) -> DataFrame:
         """The run of the best documents of each of ``queries`` (query_id, text)."""

@@ -29,6 +29,8 @@ from irspan.operators.ranking import DECIMALS
 
 #: Postings of a shard, about.
 SHARD_POSTINGS = 8_000_000
+#: Weights (query terms by cells) that are broadcast at a time, and products that a task makes at a time.
+CELL_WEIGHTS, PRODUCTS = 2_000_000, 1 << 21
 #: What rounding may hide of a score.
 SLACK = 2 * 10.0**-DECIMALS
 
@@ -131,20 +133,20 @@ class ImpactIndex:
         """The blocks of terms (field, term), a row a block, those of a shard to be grouped by it."""
         return self.blocks.join(wanted, ["field", "term"], "left_semi")
 
-    def _parts(self, terms: DataFrame) -> list[DataFrame]:
-        """Weighted query terms (query_id, field, term, weight) in parts that may be broadcast."""
-        n = max(1, -(-terms.count() // BROADCAST_ROWS))
+    def _parts(self, terms: DataFrame, rows: int) -> list[DataFrame]:
+        """Query terms in parts of about ``rows``, those of a query together."""
+        n = max(1, -(-terms.count() // rows))
         return [terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [terms]
 
-    def _shards(self, terms: DataFrame, run: Callable, schema: str) -> DataFrame:
+    def _shards(self, terms: DataFrame, run: Callable, schema: str, prepare: Callable[[pa.Table], object] | None = None, rows: int | None = None, weight: str = "weight") -> DataFrame:
         """``run`` on the blocks of the terms, shard by shard.  A part of the queries is done and written before
         the next one comes to the driver, so what it holds does not grow with them."""
         spark = terms.sparkSession
-        parts = self._parts(terms)
+        parts = self._parts(terms, rows or BROADCAST_ROWS)
         done = []
         for part in parts:
-            asked = part.select("query_id", "field", "term", "weight").toArrow()  # BROADCAST_ROWS, about
-            shared = spark.sparkContext.broadcast(_by_query(asked))
+            asked = part.select("query_id", "field", "term", weight).toArrow()  # so many rows, about
+            shared = spark.sparkContext.broadcast((prepare or _by_query)(asked))
             wanted = F.broadcast(spark.createDataFrame(asked.select(["field", "term"]).group_by(["field", "term"]).aggregate([])))
             found = self._met(wanted).groupBy("shard").applyInArrow(run(shared), schema)
             done.append(found if len(parts) == 1 else written(found, "best"))
@@ -152,13 +154,16 @@ class ImpactIndex:
                 shared.unpersist()
         return reduce(DataFrame.unionByName, done)
 
-    def best(self, terms: DataFrame, impact: Impact, k: int) -> DataFrame:
+    def best(self, terms: DataFrame, impact: Impact, k: int, gone: frozenset[str] = frozenset()) -> DataFrame:
         """Scores (query_id, doc_id, score) of all documents that may be among a query's ``k`` best: each
-        shard's own best.  ``terms``: query_id, field, term, weight; they are read at once."""
+        shard's own best, without those in ``gone``.  ``terms``: query_id, field, term, weight; they are read at once."""
+        left_out = self.blocks.sparkSession.sparkContext.broadcast(gone) if gone else None
 
         def run(shared) -> Callable:
             def score(table: pa.Table) -> pa.Table:
                 shard = _Shard(table, impact)
+                if left_out is not None:
+                    shard.leave_out(left_out.value)
                 out = []
                 for query, wanted in shared.value:
                     docs, scores = shard.top(wanted, k)
@@ -170,6 +175,26 @@ class ImpactIndex:
 
         return self._shards(terms, run, _SCORES)
 
+    def best_of_cells(self, terms: DataFrame, impacts: Callable[[str, np.ndarray, np.ndarray], np.ndarray], cells: int, k: int) -> DataFrame:
+        """cell, query_id, doc_id and score of the ``k`` best documents of every query in each of ``cells`` cells,
+        and of all that tie with them: what parameters change is a column of a matrix, what they don't is read
+        once for all.  ``terms``: query_id, field, term and weights, an array of (cell, weight), or of one weight
+        of cell -1 that counts in all; ``impacts``: postings by cells, or by one column that holds for all."""
+
+        def run(shared) -> Callable:
+            def score(table: pa.Table) -> pa.Table:
+                shard = _Shard(table, None)
+                out = []
+                for query, wanted in shared.value[0]:
+                    cell, docs, scores = shard.top_of_cells(wanted, shared.value[1], impacts, cells, k)
+                    if len(docs):
+                        out.append(pa.table([pa.array(cell, pa.int32()), pa.array([query] * len(docs), pa.string()), shard.names.take(pa.array(docs)), pa.array(scores)], ["cell", "query_id", "doc_id", "score"]))
+                return pa.concat_tables(out) if out else _CELL_SCORES.empty_table()
+
+            return score
+
+        return self._shards(terms, run, "cell int, query_id string, doc_id string, score double", lambda t: _weights_by_query(t, cells), max(1, CELL_WEIGHTS // cells), "weights")
+
     def effort(self, terms: DataFrame, impact: Impact, k: int) -> DataFrame:
         """For each shard: queries with a posting there, postings of their terms, and how many were scored."""
 
@@ -215,10 +240,30 @@ def _by_query(asked: pa.Table) -> list[tuple[str, list[tuple[tuple[str, str], fl
     return list(out.items())
 
 
+def _weights_by_query(asked: pa.Table, cells: int) -> tuple[list, np.ndarray]:
+    """Query terms by query, ((field, term), row), and the matrix of their weights by cell."""
+    queries, fields, terms, lists = asked.combine_chunks().columns
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    cell, weight = flat.field("cell").to_numpy(), flat.field("weight").to_numpy()
+    matrix = np.zeros((len(lists), cells))
+    every = cell < 0
+    matrix[row[every]] = weight[every][:, None]
+    matrix[row[~every], cell[~every]] = weight[~every]
+    out: dict[str, list] = {}
+    for i, (query, field, term) in enumerate(zip(queries.to_pylist(), fields.to_pylist(), terms.to_pylist(), strict=True)):
+        out.setdefault(query, []).append(((field, term), i))
+    return list(out.items()), matrix
+
+
+_CELL_SCORES = pa.schema([("cell", pa.int32()), ("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
+
+
 class _Shard:
     """The blocks of one shard: postings as numbers of documents and, once a query needs them, their impacts."""
 
-    def __init__(self, table: pa.Table, impact: Impact):
+    def __init__(self, table: pa.Table, impact: Impact | None):
         table = _as_blocks(table)
         entries = table.column("entries").combine_chunks()
         flat = entries.flatten()
@@ -229,12 +274,20 @@ class _Shard:
         self.starts = self.starts - self.starts[0]
         self.fields = table.column("field").to_pylist()
         self.blocks = {key: i for i, key in enumerate(zip(self.fields, table.column("term").to_pylist(), strict=True))}
+        self.impact, self.impacts = impact, {}
+        self.met = self.scored = 0
+        self.gone: np.ndarray | None = None
+        if impact is None:
+            return
         most, least, field = table.column("most").to_numpy(), table.column("least").to_numpy(), np.array(self.fields, object)
         self.bounds = np.zeros(len(most))
         for f in set(self.fields):
             self.bounds[field == f] = impact(f, most[field == f], least[field == f])
-        self.impact, self.impacts = impact, {}
-        self.met = self.scored = 0
+
+    def leave_out(self, gone: frozenset[str]) -> None:
+        """Documents that must not be found: their scores never count."""
+        at = np.flatnonzero([name in gone for name in self.names.to_pylist()])
+        self.gone = at if len(at) else None
 
     def _impacts(self, block: int) -> np.ndarray:
         if block not in self.impacts:
@@ -264,8 +317,29 @@ class _Shard:
                 at = np.flatnonzero(able[docs])
                 scores[docs[at]] += w * self._impacts(block)[at]
                 self.scored += len(at)
+            if self.gone is not None:
+                scores[self.gone] = 0
             if not signed and k < len(scores) and i + 1 < len(found):
                 cut = max(cut, np.partition(scores, len(scores) - k)[len(scores) - k])
         cut = np.partition(scores, len(scores) - k)[len(scores) - k] if k < len(scores) else 0.0
         best = np.flatnonzero((scores > 0) & (scores >= cut - SLACK))
         return best, scores[best]
+
+    def top_of_cells(self, wanted: list[tuple[tuple[str, str], int]], weights: np.ndarray, impacts: Callable, cells: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """cell, document (number) and score of the ``k`` best of each cell with a positive score, and of ties."""
+        found = [(row, b) for key, row in wanted if (b := self.blocks.get(key)) is not None]
+        if not found:
+            return (np.empty(0, np.int64),) * 3
+        own = np.unique(np.concatenate([self.docs[self.starts[b] : self.starts[b + 1]] for _, b in found]))
+        place = np.empty(len(self.names), np.int64)
+        place[own] = np.arange(len(own))
+        scores = np.zeros((len(own), cells))
+        step = max(1, PRODUCTS // cells)
+        for row, b in found:
+            for i in range(self.starts[b], self.starts[b + 1], step):
+                j = min(i + step, self.starts[b + 1])
+                scores[place[self.docs[i:j]]] += impacts(self.fields[b], self.x[i:j], self.y[i:j]) * weights[row]
+        scores = np.round(scores, DECIMALS)
+        cut = np.partition(scores, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(cells, -np.inf)
+        at, cell = np.nonzero((scores >= cut) & (scores > 0))
+        return cell, own[at], scores[at, cell]

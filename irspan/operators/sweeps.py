@@ -1,29 +1,24 @@
 """Parameter sweeps: one plan for all cells of a grid.
 
 What no parameter touches (postings, first passes, ranks) is computed once.  Scores of all cells are
-columns of a matrix: a task reads the matches of its documents, adds up every cell's scores of a query and
-a document together, and sends on only the best documents of each cell.
+columns of a matrix: a shard of documents reads the blocks of the queries' terms, adds up every cell's scores
+of a query and a document together, and sends on only the best documents of each cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from irspan.operators.bm25 import BM25Retriever, contribution, query_terms
+from irspan.operators.bm25 import BM25Retriever, query_terms
 from irspan.operators.metrics import discount, gain
-from irspan.operators.physical import small, written
-from irspan.operators.ranking import DECIMALS, reranked, top_k
+from irspan.operators.physical import scratch, temporary, written
+from irspan.operators.ranking import reranked
 from irspan.operators.rm3 import RM3Retriever
 
-#: Rows of matches that a task looks at together, and weights (terms of queries by cells) that are broadcast.
-BATCH_ROWS, MOST_WEIGHTS = 4_000, 20_000_000
-
 # The default grids.
 RRF_K = (0, 1, 5, 10, 20, 40, 60, 100, 200)
 EXPANSION_WEIGHTS = (0, 1, 2, 3, 5, 8, 12, 20)
@@ -40,45 +35,8 @@ def bm25_grid() -> list[tuple[float, float]]:
     return [(k1, b) for k1 in sorted({*frange(0.2, 2.0, 0.2), 0.9}) for b in frange(0.0, 1.0, 0.1)]
 
 
-def _best_of_cells(rows: DataFrame, contributions: Callable[[list[np.ndarray]], np.ndarray], k: int) -> DataFrame:
-    """cell, query_id, doc_id, score and nth of the ``k`` best documents of every query in every cell.
-
-    ``rows``: query_id, doc_id and numbers, which ``contributions`` turns into a matrix (rows by cells);
-    a document's score is the sum of its rows.
-    """
-
-    def best(query: np.ndarray, doc: np.ndarray, numbers: list[np.ndarray]) -> pa.RecordBatch:
-        new = np.concatenate(([True], (query[1:] != query[:-1]) | (doc[1:] != doc[:-1])))
-        starts = np.flatnonzero(new)
-        scores = np.round(np.add.reduceat(contributions(numbers), starts, axis=0), DECIMALS)
-        query, doc = query[starts], doc[starts]
-        edges = [*np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))).tolist(), len(query)]
-        out = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            part = scores[a:b]
-            # Ties at the cut-off all stay, for the ids to decide.
-            cut = np.partition(part, b - a - k, axis=0)[b - a - k] if b - a > k else -np.inf
-            at, cell = np.nonzero((part >= cut) & (part > 0))
-            out.append((cell, at + a, part[at, cell]))
-        cell, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(query[at], pa.string()), pa.array(doc[at], pa.string()), pa.array(score)], ["cell", "query_id", "doc_id", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                now = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, BATCH_ROWS).columns]
-                now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-                last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))  # the last document may go on
-                cut = int(last[-1]) + 1 if len(last) else 0
-                if cut:
-                    yield best(now[0][:cut], now[1][:cut], [x[:cut] for x in now[2:]])
-                held = [x[cut:] for x in now]
-        if held is not None and len(held[0]):
-            yield best(held[0], held[1], held[2:])
-
-    dealt = rows.repartition("doc_id").sortWithinPartitions("query_id", "doc_id")
-    found = dealt.mapInArrow(run, "cell int, query_id string, doc_id string, score double")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """``found`` (cell, query_id, doc_id, score) with nth, to the ``k`` best of every query in every cell."""
     order = Window.partitionBy("cell", "query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
@@ -102,41 +60,35 @@ def sweep_bm25(retriever: BM25Retriever, queries: DataFrame, qrels: DataFrame, c
     """cell, k1, b and mean nDCG@k of every cell; postings are matched once for all cells."""
     grid = queries.sparkSession.createDataFrame([(i, float(k1), float(b)) for i, (k1, b) in enumerate(cells)], "cell int, k1 double, b double")
     k1, b = (np.array([c[i] for c in cells], float) for i in (0, 1))
+    averages = dict(retriever.indexed.averages)
 
-    def contributions(numbers: list[np.ndarray]) -> np.ndarray:
-        weight, tf, length = (x.astype(float)[:, None] for x in numbers)
-        return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+    def impacts(field: str, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        tf, length = tf[:, None], (dl / averages[field])[:, None]
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
 
-    matches = retriever.matches(query_terms(queries, retriever.tokenizer)).where("avgdl > 0")
-    rows = matches.select("query_id", "doc_id", (F.col("weight") * F.col("idf")).alias("w"), F.col("tf").cast("double").alias("tf"), (F.col("dl") / F.col("avgdl")).alias("length"))
-    return mean_ndcg(_best_of_cells(rows, contributions, k), qrels, grid, k)
+    with scratch():
+        known = retriever.known_terms(query_terms(queries, retriever.tokenizer))
+        weights = F.array(F.struct(F.lit(-1).alias("cell"), (F.col("weight") * F.col("idf")).alias("weight")))
+        known = temporary(known.select("query_id", "field", "term", weights.alias("weights")), "terms")
+        best = retriever.indexed.impacts.best_of_cells(known, impacts, len(cells), k)
+    return mean_ndcg(_ranked(best, k), qrels, grid, k)
 
 
 def _sweep_weights(retriever: BM25Retriever, weights: DataFrame, qrels: DataFrame, cells: DataFrame, n_cells: int, k: int) -> DataFrame:
     """``cells`` with mean nDCG@k when a cell's query terms have the ``weights`` (cell, query_id, term, weight).
 
-    A term's part of a document's score is the same in all cells but for its weight, so postings are
-    matched once.  Weights are broadcast as a matrix; a set of queries with more of them is swept in parts.
+    A term's part of a document's score is the same in all cells but for its weight, so postings are read once;
+    weights go to the shards as rows of a matrix, a part of the queries at a time.
     """
-    spark = weights.sparkSession
-    weights = written(weights, "weights")
-    terms = written(weights.select("query_id", "term").distinct(), "swept")
-    parts = max(1, -(-terms.count() * n_cells // MOST_WEIGHTS))
-    own = lambda df, p: df.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else df
-    best = []
-    for p in range(parts):
-        table = own(terms, p).toPandas()  # MOST_WEIGHTS / n_cells rows, about
-        row = {key: i for i, key in enumerate(zip(table["query_id"], table["term"], strict=True))}
-        long = own(weights, p).select("cell", "query_id", "term", "weight").toArrow()
-        matrix = np.zeros((len(row), n_cells))
-        at = np.fromiter((row[key] for key in zip(long.column(1).to_pylist(), long.column(2).to_pylist(), strict=True)), np.int64, long.num_rows)
-        matrix[at, long.column(0).to_numpy()] = long.column(3).to_numpy()
-        shared = spark.sparkContext.broadcast(matrix)
-        rows = spark.createDataFrame([(q, t, i) for (q, t), i in row.items()], "query_id string, term string, at long") if row else terms.withColumn("at", F.lit(0).cast("long"))
-        matches = retriever.matches(own(terms, p).withColumn("weight", F.lit(1.0))).join(small(rows, len(row)), ["query_id", "term"])
-        matches = matches.select("query_id", "doc_id", "at", contribution(F.lit(retriever.k1), F.lit(retriever.b)).alias("c"))
-        best.append(_best_of_cells(matches, lambda x, shared=shared: shared.value[x[0]] * x[1][:, None], k))
-    return mean_ndcg(reduce(DataFrame.unionByName, best), qrels, cells, k)
+    impact = retriever.impact()
+    with scratch():
+        entry = F.struct("cell", "weight")
+        rows = weights.groupBy("query_id", "term").agg(F.collect_list(entry).alias("by_cell")).withColumn("weight", F.lit(1.0))  # of a grid's cells
+        known = retriever.known_terms(rows, "by_cell")
+        scaled = F.transform("by_cell", lambda x: F.struct(x["cell"].alias("cell"), (x["weight"] * F.col("weight") * F.col("idf")).alias("weight")))
+        known = temporary(known.select("query_id", "field", "term", scaled.alias("weights")), "terms")
+        best = retriever.indexed.impacts.best_of_cells(known, lambda f, x, y: impact(f, x, y)[:, None], n_cells, k)
+    return mean_ndcg(_ranked(best, k), qrels, cells, k)
 
 
 def surface(cells: DataFrame, value: str = "ndcg") -> DataFrame:

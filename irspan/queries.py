@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irspan.functions import text as T
-from irspan.operators import agreement, combine, expansion, metrics, physical, retrievers, significance, sweeps, vectors
+from irspan.operators import agreement, combine, expansion, metrics, physical, retrievers, segments, significance, sweeps, vectors
 from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
 from irspan.operators.ranking import top_k
 from irspan.operators.rm3 import RM3Retriever
@@ -170,6 +170,17 @@ def bm25_top10(spark, sf_dir):
     return _ints(_run(spark, sf_dir))
 
 
+@_query(_with(_lex(), _scored("r"), select=_RUN + "r"))
+def bm25_segments_top10(spark, sf_dir):
+    """An index that changed: every document first with its first line for its text, along with the benchmark's own
+    passages; then the documents as they are, which replace those, and the passages are deleted."""
+    passages = X.queries(spark, sf_dir).select(F.concat(F.lit("passage "), "query_id").alias("doc_id"), F.lit("").alias("title"), "text")
+    stale = X.corpus(spark, sf_dir).select("doc_id", F.lit("").alias("title"), F.col("title").alias("text"))
+    first = segments.SegmentedBM25(tokenizer=T.NO_STEM).index(stale.unionByName(passages))
+    now = first.add(X.single(spark, sf_dir)).delete(passages.select("doc_id"))
+    return _ints(now.retrieve(X.queries(spark, sf_dir), 10))
+
+
 @_query(_with(_lex(), _scored("r", 1.2, 0.75), select=_RUN + "r"))
 def bm25_k12_b75(spark, sf_dir):
     return _ints(_run(spark, sf_dir, k1=1.2, b=0.75))

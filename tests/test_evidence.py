@@ -197,7 +197,7 @@ def shouting(prompts, settings):
 
 def yes_to_tide(prompts, settings):
     assert len(prompts) <= settings.batch_size
-    return [["yes" if "tide" in p.split("Document:")[1] else "no"] for p in prompts]
+    return [["yes" if "tide" in p else "no"] for p in prompts]
 
 
 def test_generation(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from irspan.functions.text import PLAIN
-from irspan.operators import combine, expansion, metrics, retrievers, sweeps, vectors
+from irspan.operators import combine, expansion, impacts, metrics, retrievers, sweeps, vectors
 from irspan.operators.bm25 import BM25Retriever
 from irspan.operators.rm3 import RM3Retriever
 
@@ -211,6 +211,20 @@ def test_measures(spark):
         metrics.oracle_recall(qrels.where("grade < 0"), 3)
 
 
+def test_contained(spark):
+    """Documents with six tenths of a query's terms, whatever is frequent."""
+    from irspan.sources import fixtures
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    docs = {f"d{i}": sorted(set(r.choices(words, weights=range(1, 41), k=r.randrange(0, 30)))) for i in range(80)}
+    asked = {f"q{i}": sorted(set(r.choices(words, weights=range(1, 41), k=r.randrange(0, 14)))) for i in range(25)}
+    asked["none"] = ["nowhere", "w1"]
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} string, terms array<string>")
+    want = {(q, d) for q, t in asked.items() for d, u in docs.items() if t and len(set(t) & set(u)) * 10 >= 6 * len(t)}
+    assert {tuple(x) for x in fixtures.contained(frame(docs, "doc_id"), frame(asked, "query_id")).collect()} == want and len(want) > 20
+
+
 def judged(spark, n=20):
     r = random.Random(4)
     return spark.createDataFrame([(q, f"w{i:02}", r.randrange(3)) for q in "abc" for i in r.sample(range(n), 9)], "query_id string, doc_id string, grade int")
@@ -221,8 +235,8 @@ def ndcg(run, qrels):
 
 
 def test_sweeps_are_single_runs(spark, monkeypatch):
-    """Every cell of every sweep equals a run with the cell's settings; matches come three rows at a time."""
-    monkeypatch.setattr(sweeps, "BATCH_ROWS", 3)
+    """Every cell of every sweep equals a run with the cell's settings; postings are multiplied a few at a time."""
+    monkeypatch.setattr(impacts, "PRODUCTS", 6)
     texts, q, qrels = woods(spark), asked(spark, a="oak cedar", b="larch birch birch", c="willow"), judged(spark)
     r = BM25Retriever(tokenizer=PLAIN).index(texts)
     for c in sweeps.sweep_bm25(r, q, qrels, [(0.9, 0.4), (2.0, 1.0), (0.2, 0.0)]).collect():
@@ -232,7 +246,7 @@ def test_sweeps_are_single_runs(spark, monkeypatch):
         assert c.ndcg == pytest.approx(ndcg(f.with_parameters(c.fb_docs, c.fb_terms, c.alpha).retrieve(q, 10), qrels), abs=1e-9)
     made = spark.createDataFrame([("a", ["maple maple oak"]), ("b", ["  "])], "id string, generations array<string>")
     passages = made.select(F.col("id").alias("query_id"), F.get("generations", F.lit(0)).alias("text"))
-    monkeypatch.setattr(sweeps, "MOST_WEIGHTS", 8)  # in parts
+    monkeypatch.setattr(impacts, "CELL_WEIGHTS", 8)  # in parts
     for c in sweeps.sweep_expansion(r, q, passages, qrels, (0, 2, 5)).collect():
         assert c.ndcg == pytest.approx(ndcg(r.retrieve(expansion.expand_queries(q, made, c.weight), 10), qrels), abs=1e-9)
     runs = [r.retrieve(q, 8), f.retrieve(q, 8)]
