@@ -7,10 +7,12 @@ engine; ``numpy_*`` give the streams of a NumPy generator instead.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from irspan.operators.physical import average_ranks, cumulative
 #: Up to so many queries all sign vectors are enumerated.
 EXACT_QUERIES = 16
 RESAMPLES = 10_000
+#: Queries whose columns of NumPy's signs one task draws, signs that it holds, and shuffles between states.
+BLOCK_QUERIES, BLOCK_SIGNS, STATE_EVERY = 4096, 1 << 20, 500
 
 
 def aligned(a: DataFrame, b: DataFrame, validate: bool = True) -> DataFrame:
@@ -66,13 +70,78 @@ def paired_test(a: DataFrame, b: DataFrame, resamples: int = RESAMPLES, seed: in
     return paired_exact(pairs) if pairs.count() <= exact_queries else paired_sampled(pairs, resamples, seed)
 
 
-def numpy_paired_test(a: list[float], b: list[float], resamples: int = RESAMPLES, seed: int = 0) -> float:
-    """Monte-Carlo p with the signs of a NumPy generator, for values on the driver."""
-    d = np.asarray(a, float) - np.asarray(b, float)
-    signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), size=(resamples, len(d)))
-    observed = abs(d.sum())
-    hits = int((np.abs(signs @ d) + 1e-12 * max(1.0, observed) >= observed).sum())
-    return min(1.0, (hits + 1) / (resamples + 1))
+def stream_signs(seed: int, start: int, count: int) -> np.ndarray:
+    """Elements ``start`` to ``start + count`` of NumPy's ``default_rng(seed).choice([-1, 1], size)``, read flat.
+
+    The generator gives 64 bits at a time and a choice of two takes the top bit of each half, the lower half first;
+    so any element is one jump away, and no other has to be drawn before it.
+    """
+    bits = np.random.PCG64(seed).advance(start // 2)
+    raw = bits.random_raw((start % 2 + count + 1) // 2)
+    both = np.stack([raw >> np.uint64(31), raw >> np.uint64(63)], axis=1) & np.uint64(1)
+    return both.ravel()[start % 2 : start % 2 + count].astype(np.float64) * 2 - 1
+
+
+def numpy_paired_test(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """Two-sided Monte-Carlo p with the signs of NumPy's generator, queries in the order of their ids; one row.
+
+    The matrix of signs (resamples by queries) is never whole: queries are dealt into blocks, whose task draws
+    its columns of every row and sends on one partial sum a resample.
+    """
+    d = pairs.select("query_id", (F.col("a") - F.col("b")).alias("d"))
+    whole = d.agg(F.sum("d").alias("observed"), F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("ties"))
+    n = pairs.count()
+    placed = cumulative(d, ["query_id"], F.lit(1), "nth").select((F.col("nth") - 1).alias("at"), "d", F.floor((F.col("nth") - 1) / BLOCK_QUERIES).alias("block"))
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("at")
+        first, values = block.column("at")[0].as_py(), block.column("d").to_numpy()
+        step = max(1, BLOCK_SIGNS // max(n, 1)) if len(values) == n else 1
+        sums = np.empty(resamples)
+        for r in range(0, resamples, step):  # whole rows lie together; columns of one block don't
+            rows = min(step, resamples - r)
+            sums[r : r + rows] = stream_signs(seed, r * n + first, rows * len(values)).reshape(rows, -1) @ values
+        return pa.table([pa.array(np.arange(resamples, dtype=np.int64)), pa.array(sums)], ["r", "s"])
+
+    sums = placed.groupBy("block").applyInArrow(run, "r long, s double").groupBy("r").agg(F.sum("s").alias("s"))
+    hits = sums.crossJoin(F.broadcast(whole)).groupBy("observed", "n", "ties").agg(F.count_if(F.abs("s") + _tolerance(F.col("observed")) >= F.abs("observed")).alias("c"))  # one row
+    return hits.select((F.col("observed") / F.col("n")).alias("delta"), F.least(F.lit(1.0), (F.col("c") + 1) / F.lit(resamples + 1.0)).alias("p_value"), "n", F.lit("monte-carlo, numpy").alias("method"), F.lit(resamples).cast("long").alias("assignments"), F.lit(seed).cast("long").alias("seed"), "ties", (F.col("n") - F.col("ties")).alias("effective_queries"))
+
+
+def numpy_correlation_test(pairs: DataFrame, permutations: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """Two-sided permutation p of the rank correlation of x and y by query_id with the shuffles of NumPy's
+    generator, queries in the order of their ids; a constant gives (0, 1).
+
+    A shuffle takes as many numbers as it happens to need, so the stream can't be jumped: the driver only runs
+    it ahead and keeps its state every :data:`STATE_EVERY` shuffles; tasks begin there and make the products.
+    The ranks, 16 bytes a query, go to the tasks.
+    """
+    spark = pairs.sparkSession
+    ranks = average_ranks(average_ranks(pairs.select("query_id", "x", "y"), "x", "rx"), "y", "ry")
+    table = ranks.select("query_id", "rx", "ry").toArrow().sort_by("query_id")  # a query set
+    x, y = (table.column(c).to_numpy() for c in ("rx", "ry"))
+    x, y = x - x.mean() if len(x) else x, y - y.mean() if len(y) else y
+    n, scale = len(x), float(np.sqrt((x @ x) * (y @ y)))
+    if not scale:
+        return spark.createDataFrame([(0.0, 1.0, n)], "rho double, p_value double, n long")
+    enough = abs(float(x @ y)) / scale - 1e-12
+    rng, places, states = np.random.default_rng(seed), np.arange(n, dtype=np.float64), []
+    for i in range(permutations):
+        if i % STATE_EVERY == 0:
+            states.append((rng.bit_generator.state, min(STATE_EVERY, permutations - i)))
+        rng.permutation(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for i in batch.column(0).to_pylist():
+                own = np.random.default_rng()
+                own.bit_generator.state, shuffles = states[i]
+                hits.append(sum(abs(float(x @ own.permutation(y))) / scale >= enough for _ in range(shuffles)))
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64())], ["hits"])
+
+    counted = spark.range(len(states)).repartition(len(states), "id").mapInArrow(run, "hits long").agg(F.sum("hits").alias("c"))
+    return counted.select(F.lit(float(x @ y) / scale).alias("rho"), ((F.col("c") + 1) / F.lit(permutations + 1.0)).alias("p_value"), F.lit(n).cast("long").alias("n"))
 
 
 def holm(p_values: DataFrame, validate: bool = True) -> DataFrame:
@@ -105,8 +174,8 @@ def _rho() -> Column:
 
 def correlation_test(pairs: DataFrame, permutations: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """Two-sided permutation p of the rank correlation of x and y by query_id; a constant gives (0, 1)."""
-    own = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-    ranks = pairs.select("query_id", own("x").alias("rx"), own("y").alias("ry")).withColumn("i", F.row_number().over(Window.orderBy("query_id")))  # a row a query
+    ranks = average_ranks(average_ranks(pairs.select("query_id", "x", "y"), "x", "rx"), "y", "ry")
+    ranks = cumulative(ranks, ["query_id"], F.lit(1), "i").select("query_id", "rx", "ry", "i")
     whole = ranks.agg(F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
     draws = ranks.select("query_id", "ry", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("r"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), "query_id").cast("binary"))

@@ -594,6 +594,18 @@ def perm_corr_portable(spark, sf_dir):
     return _ints(significance.correlation_test(_xy(spark, sf_dir)))
 
 
+@_query()
+def paired_numpy(spark, sf_dir):
+    """The paired test with the signs of NumPy's generator, as published p-values have them; SQL has no such stream."""
+    return _ints(significance.numpy_paired_test(significance.aligned(*_pairs(spark, sf_dir))))
+
+
+@_query()
+def perm_corr_numpy(spark, sf_dir):
+    """The correlation test with the shuffles of NumPy's generator."""
+    return _ints(significance.numpy_correlation_test(_xy(spark, sf_dir)))
+
+
 _ADV = "adv AS (SELECT st.query_id, max_idf AS predictor, a.value - b.value AS advantage FROM st JOIN sys a USING (query_id) JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b')"
 
 

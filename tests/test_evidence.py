@@ -4,6 +4,7 @@ import random
 from itertools import permutations, product
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,11 +33,42 @@ def test_sampled_signs(spark):
     r = random.Random(2)
     a, b = ([r.random() for _ in range(30)] for _ in range(2))
     far = significance.paired_test(values(spark, a), values(spark, b), 2000).first()
-    assert far.p_value == pytest.approx(significance.numpy_paired_test(a, b, 2000), abs=0.05)
+    assert far.p_value == pytest.approx(significance.numpy_paired_test(significance.aligned(values(spark, a), values(spark, b)), 2000).first().p_value, abs=0.05)
     with pytest.raises(Exception, match="only one system has query q002"):
         significance.aligned(values(spark, [1, 2, 3]), values(spark, [1, 2])).collect()
 
 
+@pytest.mark.parametrize(("start", "count"), [(0, 1), (0, 7), (3, 10), (8, 0), (1001, 512)])
+def test_signs_of_the_stream_anywhere(start, count):
+    whole = np.random.default_rng(11).choice(np.array([-1.0, 1.0]), size=2000)
+    assert significance.stream_signs(11, start, count).tolist() == whole[start : start + count].tolist()
+
+
+@pytest.mark.parametrize(("n", "block"), [(17, 4096), (40, 7), (200, 64)])
+def test_published_p_values(spark, monkeypatch, n, block):
+    """Both tests give what NumPy's generator gives in one process, whatever the blocks."""
+    monkeypatch.setattr(significance, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(significance, "BLOCK_SIGNS", 3000)
+    monkeypatch.setattr(significance, "STATE_EVERY", 130)
+    r = np.random.default_rng(n)
+    a, b = np.round(r.random(n), 1), np.round(r.random(n) + 0.05, 1)
+    signs = np.random.default_rng(5).choice(np.array([-1.0, 1.0]), size=(500, n))
+    d = a - b
+    hits = int((np.abs(signs @ d) + 1e-12 * max(1.0, abs(d.sum())) >= abs(d.sum())).sum())
+    row = significance.numpy_paired_test(significance.aligned(values(spark, a.tolist()), values(spark, b.tolist())), 500, 5).first()
+    assert (row.p_value, row.n, row.ties) == ((hits + 1) / 501, n, int((d == 0).sum()))
+    ranks = [np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v]) for v in (a, b)]
+    x, y = (v - v.mean() for v in ranks)
+    scale = np.sqrt((x**2).sum() * (y**2).sum())
+    observed = (x * y).sum() / scale
+    rng = np.random.default_rng(5)
+    hits = sum(abs((x * rng.permutation(y)).sum() / scale) + 1e-12 >= abs(observed) for _ in range(500))
+    pairs = spark.createDataFrame([(f"q{i:03}", float(u), float(v)) for i, (u, v) in enumerate(zip(a, b))], "query_id string, x double, y double")
+    row = significance.numpy_correlation_test(pairs, 500, 5).first()
+    assert (row.p_value, row.n) == ((hits + 1) / 501, n) and row.rho == pytest.approx(observed, abs=1e-12)
+    assert significance.numpy_correlation_test(pairs.withColumn("x", pairs.x * 0), 50).first()[:2] == (0.0, 1.0)
+
+
 def step_down(ps):
     order = sorted(range(len(ps)), key=lambda i: (ps[i], i))
     out, most = [0.0] * len(ps), 0.0
