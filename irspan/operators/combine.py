@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from irspan.functions.text import document_text
 from irspan.operators.ranking import reranked, top_k
 
 
@@ -26,16 +28,18 @@ def reciprocal_rank_fusion(runs: list[DataFrame], k: float = 60, top: int = 100,
     return top_k(fused, top, decimals=9)
 
 
-def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Column, depth: int = 100) -> DataFrame:
+def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Column | Callable[[DataFrame], DataFrame], depth: int = 100) -> DataFrame:
     """New scores for the first ``depth`` documents of each query; the rest follow in their order.
 
-    ``scorer`` is an expression over query_text, title and text: a formula, or a pandas UDF that holds a
-    model.
+    ``scorer`` is an expression over query_text, title and text, or gives a frame of those and ``document`` (both
+    in one) the column ``model_score``, as :class:`~irspan.operators.encoding.PairScorer` does.
     """
     if depth <= 0:
         raise ValueError("depth must be positive")
     ranked = reranked(run.select("query_id", "doc_id", "score"), "nth")
     texts = ranked.where(F.col("nth") <= depth).join(corpus.select("doc_id", "title", "text"), "doc_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    if not isinstance(scorer, Column):
+        texts, scorer = scorer(texts.withColumn("document", document_text(F.col("title"), F.col("text")))), F.col("model_score")
     head = texts.select("query_id", "doc_id", "nth", F.round(scorer.cast("double"), 6).alias("new"))
     rows = ranked.join(head.drop("nth"), ["query_id", "doc_id"], "left")
     floor = F.min("new").over(Window.partitionBy("query_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irspan.functions import text as T
-from irspan.operators import agreement, combine, expansion, metrics, physical, retrievers, segments, significance, sweeps, vectors
+from irspan.operators import agreement, combine, encoding, expansion, metrics, physical, retrievers, segments, significance, sweeps, vectors
 from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
 from irspan.operators.ranking import top_k
 from irspan.operators.rm3 import RM3Retriever
@@ -437,6 +437,26 @@ def colbert_prepare_ids(spark, sf_dir):
     return rows.select("doc_id", F.array_join(F.transform(query, lambda x: x.cast("string")), " ").alias("query_ids"), F.array_join(F.transform(kept, lambda k: F.when(k, "1").otherwise("0")), "").alias("kept"))
 
 
+_LENGTH = 180
+_IDS = f"""ids AS (SELECT doc_id, list_concat([1::BIGINT, 3::BIGINT], list_transform(regexp_extract_all(lower(whole), '[a-z0-9]+|[.,;]'),
+  lambda t: CASE t WHEN '.' THEN 5 WHEN ',' THEN 6 WHEN ';' THEN 7 ELSE ('0x' || substr(md5(t), 1, 6))::BIGINT % 20000 + 10 END)[1:{_LENGTH - 3}], [2::BIGINT]) AS ids FROM corpus),
+p AS (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM ids),
+v AS (SELECT doc_id, pos, {", ".join(f"{X.SeededModel.projected_sql(d)} AS x{d}" for d in range(X.SeededModel.dimensions))} FROM p WHERE id NOT IN (5, 6, 7))"""
+_NORM = "sqrt(" + " + ".join(f"x{d} * x{d}" for d in range(X.SeededModel.dimensions)) + ")"
+
+
+def _token_encoder() -> encoding.LateInteractionEncoder:
+    m = X.SeededModel
+    return encoding.LateInteractionEncoder(encoding.Spec(m, "seeded", _LENGTH), m.projection(), m.query_marker, m.document_marker, skipped=m.skipped)
+
+
+@_query(_with(_IDS, select=f"SELECT doc_id, pos, {', '.join(f'round(x{d} / {_NORM}, 6) AS v{d}' for d in range(X.SeededModel.dimensions))} FROM v"))
+def token_vectors(spark, sf_dir):
+    """Projected unit vectors of the positions of every document: marker, tokens to the model's length, no punctuation."""
+    rows = _token_encoder().encode_tokens(X.corpus(spark, sf_dir).select("doc_id", F.col("whole").alias("text")))
+    return _ints(rows.select("doc_id", F.col("pos").cast("long"), *(F.get("embedding", d).alias(f"v{d}") for d in range(X.SeededModel.dimensions))))
+
+
 # ---- fusion, reranking, routing -------------------------------------------------------------------
 
 _TWO = (_lex(), _scored("a", k=50), _scored("b", 1.5, 0.9, k=50))
