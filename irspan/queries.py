@@ -11,7 +11,7 @@ from irspan.operators.bm25 import BM25Retriever, LexicalIndex, query_terms
 from irspan.operators.ranking import top_k
 from irspan.operators.rm3 import RM3Retriever
 from irspan.plans.service import describe_benchmark
-from irspan.sources import datasets
+from irspan.sources import datasets, embeddings
 from irspan.sources import fixtures as X
 
 _QUERIES: dict = {}
@@ -457,6 +457,24 @@ def token_vectors(spark, sf_dir):
     return _ints(rows.select("doc_id", F.col("pos").cast("long"), *(F.get("embedding", d).alias(f"v{d}") for d in range(X.SeededModel.dimensions))))
 
 
+_HIDDEN = [f"((id * {j + 1} * 7919 + {(j + 1) * 104729}) % 1009) / 1009.0::DOUBLE - 0.5" for j in range(X.SeededModel.width)]
+_MEANS = _IDS.split("p AS")[0].replace("[1::BIGINT, 3::BIGINT]", "[1::BIGINT]").replace(f"{_LENGTH - 3}]", f"{_LENGTH - 2}]") + f"""p AS (SELECT doc_id, unnest(ids) AS id FROM ids),
+m AS (SELECT doc_id, {", ".join(f"avg({h}) AS x{j}" for j, h in enumerate(_HIDDEN))} FROM p GROUP BY 1)"""
+
+
+@_query(_with(_MEANS, select=f"SELECT doc_id, {', '.join(f'round(x{j} / sqrt(' + ' + '.join(f'x{i} * x{i}' for i in range(8)) + f'), 6) AS v{j}' for j in range(8))}, CASE WHEN doc_id::BIGINT % 100 = 0 THEN 2 ELSE 1 END AS version FROM m"))
+def incremental_embeddings(spark, sf_dir):
+    """Embeddings of all documents from a store that had them when a hundredth of them had another text: the second
+    update encodes those only."""
+    now = X.corpus(spark, sf_dir).select("doc_id", F.col("whole").alias("text"))
+    changed = F.col("doc_id").cast("long") % X.EVERY == 0
+    store = embeddings.EmbeddingStore(spark, physical.shared_folder(spark, "embeddings"), {"model": "seeded", "max_tokens": _LENGTH})
+    encoder = encoding.MeanEncoder(encoding.Spec(X.SeededModel, "seeded", _LENGTH))
+    store.update(now.withColumn("text", F.when(changed, F.concat(F.lit("before. "), "text")).otherwise(F.col("text"))), encoder)
+    rows = store.update(now, encoder)
+    return _ints(rows.select("doc_id", *(F.get("embedding", j).alias(f"v{j}") for j in range(X.SeededModel.width)), "version"))
+
+
 # ---- fusion, reranking, routing -------------------------------------------------------------------
 
 _TWO = (_lex(), _scored("a", k=50), _scored("b", 1.5, 0.9, k=50))
