@@ -425,18 +425,6 @@ def maxsim_top10(spark, sf_dir):
     return _ints(vectors.maxsim_retrieve(X.vec_query_groups(spark, sf_dir), X.vec_groups(spark, sf_dir), 10))
 
 
-@_query(_with("i AS (SELECT doc_id, list_transform(range(1, 9), lambda x: (doc_id::BIGINT * x) % 11) AS ids FROM corpus)", select="""SELECT doc_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i = 2 THEN 1 WHEN x = 0 THEN 103 ELSE x END), ' ') AS query_ids,
-  array_to_string(list_transform(range(1, 9), lambda i: CASE WHEN (i = 2 OR ids[i] <> 0) AND NOT ((CASE WHEN i = 2 THEN 1 ELSE ids[i] END) = 5) THEN '1' ELSE '0' END), '') AS kept FROM i"""))
-def colbert_prepare_ids(spark, sf_dir):
-    """Marker, mask tokens and kept positions; 0 is padding and 5 is skipped."""
-    d = F.col("doc_id").cast("long")
-    rows = X.corpus(spark, sf_dir).select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda x: ((d * x) % 11).cast("int")).alias("ids"))
-    rows = rows.withColumn("mask", F.transform("ids", lambda x, i: F.when((x == 0) & (i != 1), 0).otherwise(1)))
-    query, _ = T.prepared_ids(F.col("ids"), F.col("mask"), 1, 0, 103, True)
-    _, kept = T.prepared_ids(F.col("ids"), F.col("mask"), 1, 0, 103, False, (5,))
-    return rows.select("doc_id", F.array_join(F.transform(query, lambda x: x.cast("string")), " ").alias("query_ids"), F.array_join(F.transform(kept, lambda k: F.when(k, "1").otherwise("0")), "").alias("kept"))
-
-
 _LENGTH = 180
 _IDS = f"""ids AS (SELECT doc_id, list_concat([1::BIGINT, 3::BIGINT], list_transform(regexp_extract_all(lower(whole), '[a-z0-9]+|[.,;]'),
   lambda t: CASE t WHEN '.' THEN 5 WHEN ',' THEN 6 WHEN ';' THEN 7 ELSE ('0x' || substr(md5(t), 1, 6))::BIGINT % 20000 + 10 END)[1:{_LENGTH - 3}], [2::BIGINT]) AS ids FROM corpus),
@@ -445,6 +433,27 @@ v AS (SELECT doc_id, pos, {", ".join(f"{X.SeededModel.projected_sql(d)} AS x{d}"
 _NORM = "sqrt(" + " + ".join(f"x{d} * x{d}" for d in range(X.SeededModel.dimensions)) + ")"
 
 
+_ASKED = 32
+
+
+@_query(_with(_IDS.split("p AS")[0].replace("3::BIGINT", "9::BIGINT").replace(f"[1:{_LENGTH - 3}]", f"[1:{_ASKED - 3}]") + f"f AS (SELECT doc_id, list_resize(ids, {_ASKED}, 0) AS ids FROM ids)",
+  select="""SELECT doc_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i = 2 THEN 8 WHEN x = 0 THEN 4 ELSE x END), ' ') AS query_ids,
+  array_to_string(list_transform(ids, lambda x: CASE WHEN x IN (0, 5, 6, 7) THEN '0' ELSE '1' END), '') AS kept FROM f"""))
+def colbert_prepare_ids(spark, sf_dir):
+    """Every document's first tokens prepared as a query's, with a marker and mask tokens, and which of them count in a
+    document: neither padding nor punctuation."""
+    m = X.SeededModel
+    words = F.slice(F.regexp_extract_all(F.lower("whole"), F.lit("[a-z0-9]+|[.,;]"), F.lit(0)), 1, _ASKED - 3)
+    number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 6), 16, 10).cast("int") % 20000 + 10
+    tokens = F.transform(words, lambda w: F.when(w == ".", 5).when(w == ",", 6).when(w == ";", 7).otherwise(number(w)))
+    ids = F.concat(F.array(F.lit(m.cls), F.lit(9)), tokens, F.array(F.lit(m.sep)))
+    rows = X.corpus(spark, sf_dir).select("doc_id", F.concat(ids, F.array_repeat(F.lit(m.pad), _ASKED - F.size(ids))).alias("ids"))
+    rows = rows.withColumn("mask", F.transform("ids", lambda x: (x != m.pad).cast("int")))
+    query, _ = T.prepared_ids(F.col("ids"), F.col("mask"), m.query_marker, m.pad, m.mask, True)
+    _, kept = T.prepared_ids(F.col("ids"), F.col("mask"), m.document_marker, m.pad, m.mask, False, m.skipped)
+    return rows.select("doc_id", F.array_join(F.transform(query, lambda x: x.cast("string")), " ").alias("query_ids"), F.array_join(F.transform(kept, lambda k: F.when(k, "1").otherwise("0")), "").alias("kept"))
+
+
 def _token_encoder() -> encoding.LateInteractionEncoder:
     m = X.SeededModel
     return encoding.LateInteractionEncoder(encoding.Spec(m, "seeded", _LENGTH), m.projection(), m.query_marker, m.document_marker, skipped=m.skipped)
@@ -598,14 +607,6 @@ def paired_test(spark, sf_dir):
     return _ints(significance.paired_test(*_pairs(spark, sf_dir)))
 
 
-@_query(_with("p AS (SELECT item_id AS position, ((item_id * 37) % 101) / 1000.0::DOUBLE AS p FROM benchmark)", select="""SELECT position, round(p, 6) AS p, round(least(1, max(step) OVER (ORDER BY p, position ROWS UNBOUNDED PRECEDING)), 6) AS adjusted
-FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, position) + 1) * p AS step FROM p)"""))
-def holm(spark, sf_dir):
-    """Holm's correction of a family of made-up p-values."""
-    p = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("position"), ((F.col("item_id") * 37 % 101) / 1000.0).alias("p"))
-    return _ints(significance.holm(p))
-
-
 @_query(_with("st AS (SELECT doc_id, length(title) AS x FROM corpus)", select="SELECT doc_id, round(rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0, 6)::DOUBLE AS avg_rank FROM st"))
 def average_ranks(spark, sf_dir):
     rows = X.corpus(spark, sf_dir).select("doc_id", F.length("title").alias("x"))
@@ -654,12 +655,6 @@ def terciles(spark, sf_dir):
     return _ints(significance.terciles(rows))
 
 
-@_query(_with("f AS (SELECT ((item_id * 7) % 13) / 13.0::DOUBLE AS rho, ((item_id * 37) % 101) / 1000.0::DOUBLE AS p FROM benchmark)", select="SELECT bool_and(rho > 0) AS all_positive, count(*) FILTER (WHERE p < 0.05) AS significant, round(min(rho), 6) AS min_rho, round(max(rho), 6) AS max_rho, round(quantile_cont(rho, 0.5), 6) AS median_rho FROM f"))
-def family_summary(spark, sf_dir):
-    i = F.col("item_id")
-    return _ints(significance.family_summary(X.table(spark, sf_dir, "benchmark").select(((i * 7 % 13) / 13.0).alias("rho"), ((i * 37 % 101) / 1000.0).alias("p"))))
-
-
 def _pair_sql(i: int, x: str, y: str) -> str:
     return f"""d{i} AS (SELECT a.query_id, a.value - b.value AS d FROM sys a JOIN sys b USING (query_id) WHERE a.system = '{x}' AND b.system = '{y}'),
 o{i} AS (SELECT sum(d) AS o, count(*) AS n FROM d{i}),
@@ -670,34 +665,63 @@ t{i} AS (SELECT {i} AS position, '{x}' AS first, '{y}' AS second, any_value(o) /
 _THREE = (*_TWO, _scored("c", 0.6, 0.1, k=50), f"sys AS ({_ndcg_of('a')}\nUNION ALL {_ndcg_of('b')}\nUNION ALL {_ndcg_of('c')})")
 
 
-@_query(_with(*_THREE, *(_pair_sql(i, x, y) for i, (x, y) in enumerate((("a", "b"), ("a", "c"), ("b", "c")))), "tt AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)", select="""SELECT first, second, round(delta, 6) AS delta, round(p, 6) AS p_value, round(least(1, max(step) OVER (ORDER BY p, position ROWS UNBOUNDED PRECEDING)), 6) AS adjusted
-FROM (SELECT *, (3 - row_number() OVER (ORDER BY p, position) + 1) * p AS step FROM tt)"""))
-def compare_runs(spark, sf_dir):
-    """Three systems, every pair of them, corrected together."""
+_COMPARED = (*_THREE, *(_pair_sql(i, x, y) for i, (x, y) in enumerate((("a", "b"), ("a", "c"), ("b", "c")))), "tt AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)")
+_STEPPED = "round(least(1, max(step) OVER (ORDER BY p, position ROWS UNBOUNDED PRECEDING)), 6) AS adjusted\nFROM (SELECT *, (3 - row_number() OVER (ORDER BY p, position) + 1) * p AS step FROM tt)"
+
+
+def _compared(spark, sf_dir) -> DataFrame:
     r, q, judged = _bm25(spark, sf_dir), X.queries(spark, sf_dir), X.qrels(spark, sf_dir)
     values = {s: metrics.evaluate_per_query(r.with_parameters(*p).retrieve(q, 50), judged, (10,)).where("metric = 'ndcg@10'").select("query_id", F.round("value", 6).alias("value")).cache() for s, p in (("a", (0.9, 0.4)), ("b", (1.5, 0.9)), ("c", (0.6, 0.1)))}
-    return _ints(significance.compare_family(values))
+    return significance.compare_family(values)
+
+
+@_query(_with(*_COMPARED, select=f"SELECT first, second, round(delta, 6) AS delta, round(p, 6) AS p_value, {_STEPPED}"))
+def compare_runs(spark, sf_dir):
+    """Three systems, every pair of them, corrected together."""
+    return _ints(_compared(spark, sf_dir))
+
+
+@_query(_with(*_COMPARED, select=f"SELECT first || second AS position, round(p, 6) AS p, {_STEPPED}"))
+def holm(spark, sf_dir):
+    """Holm's correction of the p-values of three systems' comparisons."""
+    p = physical.written(_compared(spark, sf_dir).select(F.concat("first", "second").alias("position"), F.col("p_value").alias("p")), "tests")
+    return _ints(significance.holm(p))
 
 
 _FULL_STATS = f"""st AS (SELECT q.query_id, coalesce(max(idf), 0) AS max_idf, coalesce(avg(idf), 0) AS mean_idf, count(s.term)::DOUBLE AS num_terms, coalesce((count(s.term) - count(idf)) / nullif(count(s.term), 0), 0) AS out_of_vocabulary_rate
   FROM queries q LEFT JOIN (SELECT * FROM qtok WHERE term NOT IN {STOP}) s USING (query_id) LEFT JOIN idf USING (term) GROUP BY 1)"""
 
 
-def _dependence_sql(i: int, c: str) -> str:
+def _dependence_sql(i: int, c: str, n: int = 20_000) -> str:
     return f"""rk{i} AS (SELECT query_id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY advantage) + (count(*) OVER (PARTITION BY advantage) - 1) / 2.0 AS ry, row_number() OVER (ORDER BY query_id) AS i FROM (SELECT query_id, round({c}, 6) AS x, advantage FROM st JOIN adv USING (query_id))),
 w{i} AS (SELECT count(*) AS n, count(DISTINCT rx) = 1 OR count(DISTINCT ry) = 1 AS flat, {_RHO} AS rho, sum(rx) * sum(ry) / count(*) AS centre, sum(rx * ry) AS sxy FROM rk{i}),
-m{i} AS (SELECT r, sum(k.rx * s.ry) AS s FROM (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk{i}, range(0, 20000) AS g(r)) s JOIN rk{i} k USING (i) GROUP BY 1),
-c{i} AS (SELECT {i} AS position, '{c}' AS predictor, any_value(rho) AS rho, CASE WHEN any_value(flat) THEN 1 ELSE (count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / 20001.0 END AS p FROM m{i}, w{i})"""
+m{i} AS (SELECT r, sum(k.rx * s.ry) AS s FROM (SELECT r, ry, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || query_id), query_id) AS i FROM rk{i}, range(0, {n}) AS g(r)) s JOIN rk{i} k USING (i) GROUP BY 1),
+c{i} AS (SELECT {i} AS position, '{c}' AS predictor, any_value(rho) AS rho, CASE WHEN any_value(flat) THEN 1 ELSE (count(*) FILTER (WHERE abs(s - centre) + 1e-9 >= abs(sxy - centre)) + 1) / ({n} + 1.0) END AS p FROM m{i}, w{i})"""
 
 
-@_query(_with(*_TWO, _FULL_STATS, _SYSTEMS, "adv AS (SELECT a.query_id, round(a.value - b.value, 6) AS advantage FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b')", *(_dependence_sql(i, c) for i, c in enumerate((significance.PRIMARY, *significance.SECONDARY))), "tt AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)", select="""SELECT predictor, round(rho, 6) AS rho, round(p, 6) AS p_value, round(CASE position WHEN 0 THEN p ELSE least(1, max(step) OVER (PARTITION BY position > 0 ORDER BY p, position ROWS UNBOUNDED PRECEDING)) END, 6) AS adjusted
-FROM (SELECT *, (3 - row_number() OVER (PARTITION BY position > 0 ORDER BY p, position) + 1) * p AS step FROM tt)"""))
-def query_dependence(spark, sf_dir):
-    """How a system's advantage goes with predictors of the query."""
+def _dependence(n: int) -> tuple[str, ...]:
+    parts = (_dependence_sql(i, c, n) for i, c in enumerate((significance.PRIMARY, *significance.SECONDARY)))
+    return *_TWO, _FULL_STATS, _SYSTEMS, "adv AS (SELECT a.query_id, round(a.value - b.value, 6) AS advantage FROM sys a JOIN sys b USING (query_id) WHERE a.system = 'a' AND b.system = 'b')", *parts, "tt AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)"
+
+
+def _dependent(spark, sf_dir, n: int) -> DataFrame:
     stats = _bm25(spark, sf_dir).query_statistics(X.queries(spark, sf_dir))
     stats = stats.cache().select("query_id", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in (significance.PRIMARY, *significance.SECONDARY)))
     advantage = significance.aligned(*_pairs(spark, sf_dir)).select("query_id", F.round(F.col("a") - F.col("b"), 6).alias("advantage"))
-    return _ints(significance.query_dependence(stats, advantage, 20_000))
+    return significance.query_dependence(stats, physical.written(advantage, "advantage"), n)
+
+
+@_query(_with(*_dependence(20_000), select="""SELECT predictor, round(rho, 6) AS rho, round(p, 6) AS p_value, round(CASE position WHEN 0 THEN p ELSE least(1, max(step) OVER (PARTITION BY position > 0 ORDER BY p, position ROWS UNBOUNDED PRECEDING)) END, 6) AS adjusted
+FROM (SELECT *, (3 - row_number() OVER (PARTITION BY position > 0 ORDER BY p, position) + 1) * p AS step FROM tt)"""))
+def query_dependence(spark, sf_dir):
+    """How a system's advantage goes with predictors of the query."""
+    return _ints(_dependent(spark, sf_dir, 20_000))
+
+
+@_query(_with(*_dependence(1_000), select="SELECT bool_and(rho > 0) AS all_positive, count(*) FILTER (WHERE p < 0.05) AS significant, round(min(rho), 6) AS min_rho, round(max(rho), 6) AS max_rho, round(quantile_cont(rho, 0.5), 6) AS median_rho FROM tt"))
+def family_summary(spark, sf_dir):
+    """The tests of :func:`query_dependence`, of fewer shuffles, as one family."""
+    return _ints(significance.family_summary(_dependent(spark, sf_dir, 1_000).select("rho", F.col("p_value").alias("p"))))
 
 
 # ---- expansion ------------------------------------------------------------------------------------
