@@ -78,8 +78,9 @@ class LexicalIndex:
         counts = rows.groupBy("field", "doc_id", "dl", "term").agg(F.count("term").alias("tf"))  # a row without a term for an empty text
         with scratch():
             if tokenizer.stem:
-                counts = temporary(_stemmed(temporary(counts, "counts"), tokenizer, "tf"), "counts")
+                counts = _stemmed(temporary(counts, "counts"), tokenizer, "tf")
                 if tokenizer.min_length > 1:
+                    counts = temporary(counts, "counts")
                     left = counts.groupBy("field", "doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).cast("int").alias("dl"))
                     counts = counts.drop("dl").join(left, ["field", "doc_id"]).select("field", "doc_id", "dl", "term", "tf")
             return cls.write(counts, folder)
