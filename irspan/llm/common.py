@@ -59,53 +59,62 @@ def batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.  Only a local master may do without: all its threads
-    are on one machine; a cluster's executors would not see each other's files."""
+    """A folder of this application in that of ``spark.checkpoint.dir``.  The file system of the driver's JVM is
+    told to delete it on exit, which also happens when the session has been stopped before.  Only a local
+    master may do without the setting: all its threads are on one machine; a cluster's executors would
+    not see each other's files."""
+    app = spark.sparkContext.applicationId
+    if app in _folders:
+        return _folders[app]
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="irspan-")
-            _made.append((spark, _local[app]))
-        base = _local[app]
-    return base.rstrip("/")
+        base = tempfile.mkdtemp(prefix="irspan-")
+        _local.append(base)
+    path = f"{base.rstrip('/')}/irspan-{app}-{uuid.uuid4().hex}"
+    where, files = _files(spark, path)
+    files.mkdirs(where)  # only what is there can be marked
+    files.deleteOnExit(where)
+    _folders[app] = path
+    return path
+
 
+_folders: dict[str, str] = {}
+_local: list[str] = []
 
-_local: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """URI of a new folder for files that all executors and the driver see; gone when the driver ends."""
-    path = f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
+    return f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder whose rows are no longer needed."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _files(spark, path)
+    files.delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in reversed(_made):
-        try:
-            drop(spark, path)
-        except Exception:  # the session has ended: files in a cluster's folder are then left to its owner
-            if path in _local.values():
-                shutil.rmtree(path, ignore_errors=True)
+    for path in _local:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by files in the shared folder of ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(_shared(df.sparkSession))
+    """``df`` cut from its lineage by files in the shared folder of ``spark.checkpoint.dir``; the application's
+    checkpoints, which no other one can read, go when the driver's JVM ends."""
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(_shared(spark))
+    where, files = _files(spark, context.getCheckpointDir().get())
+    files.deleteOnExit(where)
     return df.checkpoint()
 
 

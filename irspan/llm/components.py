@@ -3,7 +3,7 @@
 Large-star and small-star steps in turn (Kiveris et al., "Connected Components in MapReduce and
 Beyond"): every step is an aggregate by node, which is combined before it is moved, and a join with one row
 a node, so that Spark can split a hub's edges over tasks (adaptive skew join).  The number of edges does
-not grow.  Each round is cut by ``checkpoint()``.
+not grow.  Each round is cut by a written table; that of the round before goes.
 
 Defined cases: repeated pairs and pairs of a node with itself change nothing; without pairs there are no rows.
 """
@@ -36,11 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     Only nodes with an edge are returned, and those that aren't the least themselves.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = common.checkpointed(now)
-    before = None
+    now, before = common.Table(now, "edges"), None
     while True:
-        now = common.checkpointed(_small_star(_large_star(now)))
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        last, now = now, common.Table(_small_star(_large_star(now.rows)), "edges")
+        last.drop()
+        state = now.rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return now.rows.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state

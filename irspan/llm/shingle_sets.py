@@ -21,8 +21,10 @@ from irspan.llm import common
 SHINGLE, SEED = 5, 42
 #: The least similarity of a link, as a fraction.
 PART, WHOLE = 4, 5
-#: Documents in the sample that orders shingles (about), and in how many of them a shingle is frequent.
-SAMPLE_ROWS, FREQUENT = 20_000, 4
+#: Classes of shingles whose documents are counted together (a power of two), to put rare shingles first.
+SLOTS = 1 << 19
+#: A list may have as many entries as its shingle's class has; with more it is hot.
+HOT = 1 << 20
 #: Wanted documents up to which a join with the texts broadcasts them.
 BROADCAST_ROWS = 200_000
 
@@ -56,16 +58,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
-def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles that a set is posted under; ``found`` and ``frequent`` are in order.
+def _prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles that a set is posted under: the first of ``found`` by the documents of their class
+    (``counts``), then by hash.
 
     In any fixed order of all shingles two linked sets share one of their first n - ceil(0.8 n) + 1.
-    Shingles that are frequent in a sample come last: that decides how long lists are, not what they find.
+    The counts decide how long lists are, not what they find.
     """
-    if len(frequent):
-        last = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-        found = np.concatenate((found[~last], found[last]))
-    return found[: len(found) - -(-PART * len(found) // WHOLE) + 1]
+    order = np.lexsort((found, counts[found & np.uint64(SLOTS - 1)]))
+    return found[order[: len(found) - -(-PART * len(found) // WHOLE) + 1]]
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -74,24 +75,37 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
-def _frequent(rows: DataFrame) -> np.ndarray:
-    """Shingles of many documents, from a sample by a hash of the text."""
-    part = max(1, rows.count() // SAMPLE_ROWS)
+def class_counts(rows: DataFrame) -> np.ndarray:
+    """Of each class of shingles, how many documents of ``rows`` have one, counted once a shingle.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+    All documents are counted.  A task sends on a number a class, and so many reach the driver, whatever
+    the size of the input.  A class counts at least as many documents as each of its shingles is in.
+    """
 
-    sample = rows.where(F.pmod("tie", F.lit(part)) == 0).select("text")
-    counted = common.map_arrow(sample, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    found = counted.select("key").toArrow().column(0).to_numpy()  # of the sample alone
-    return np.sort(found.view(np.uint64))
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in common.slices(batch, 0):
+                found = np.concatenate([shingles(t) for t in part.column(0).to_pylist()])
+                counts += np.bincount((found & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "n"])
+        common.trim()
+
+    common.small_batches(rows.sparkSession)
+    counted = rows.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return out
 
 
 def sketches(rows: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> common.Table:
     """Of every row: id, tie, node (hash of its set), the set's size and the parities of its shingles in
-    256 classes, the fingerprint of its shingles (fp), and the keys that it is posted under."""
-    shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+    256 classes, the fingerprint of its shingles (fp), and the keys that it is posted under, those of
+    hot classes apart."""
+    shared = rows.sparkSession.sparkContext.broadcast(class_counts(rows))  # SLOTS numbers
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         whole = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
@@ -101,11 +115,14 @@ def sketches(rows: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> commo
         sizes = np.array([len(s) for s in found], np.int64)
         odd = np.array([np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1 for s in found], np.uint8)
         parities = np.packbits(odd, axis=1).view(np.int64)
-        keys = [_prefix(s, shared.value).view(np.int64) for s in found]
-        columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), *(pa.array(np.ascontiguousarray(parities[:, i])) for i in range(4)), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["id", "tie", *ENTRY, "fp", "keys"])
-
-    schema = ", ".join(["id long, tie long", *(f"{c} long" for c in ENTRY), "fp long, keys array<long>"])
+        prefixes = [_prefix(s, shared.value) for s in found]
+        many = [shared.value[s & np.uint64(SLOTS - 1)] > HOT for s in prefixes]
+        keys = [s[~hot].view(np.int64) for s, hot in zip(prefixes, many, strict=True)]
+        hot_keys = [s[hot].view(np.int64) for s, hot in zip(prefixes, many, strict=True)]
+        columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), *(pa.array(np.ascontiguousarray(parities[:, i])) for i in range(4)), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(hot_keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "tie", *ENTRY, "fp", "keys", "hot_keys"])
+
+    schema = ", ".join(["id long, tie long", *(f"{c} long" for c in ENTRY), "fp long, keys array<long>, hot_keys array<long>"])
     return common.Table(common.map_arrow(rows, run, schema), "sketches")
 
 
@@ -117,6 +134,59 @@ def possible(a: str, b: str) -> Column:
     return (WHOLE * F.least(*sizes) >= PART * F.greatest(*sizes)) & ((PART + WHOLE) * differ <= (WHOLE - PART) * (sizes[0] + sizes[1]))
 
 
+def crossed(apart: DataFrame, block: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of nodes that sizes and parities allow, among the entries of a list (columns key,
+    ``e``, ``c``: its component, ``main``: whether that is the list's largest) that are in different components.
+
+    A list of n entries is dealt out as pairs of its ceil(n / block) blocks, so no task holds more than two
+    blocks of it; entries meet in the order of their sizes, each only those up to 5/4 of its own.
+    """
+    sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = apart.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("e.node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("e.size").alias("size"), "block", F.col("e.node").alias("node"), "c", "main", *(F.col(f"e.{x}").alias(x) for x in _PARITIES))
+    ordered = dealt.repartition(common.shuffle_width(apart.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two", "size", "node")
+
+    def pairs(run: list[np.ndarray]) -> pa.RecordBatch | None:
+        one, two, size, place, node, c, main = run[1:8]
+        bits = np.stack([x.view(np.uint64) for x in run[8:]], axis=1)
+        apart_blocks = one[0] != two[0]
+        ends = np.searchsorted(size, size * WHOLE // PART, side="right")
+        a_out, b_out = [], []
+        for i in range(len(node) - 1):
+            later = slice(i + 1, ends[i])
+            at = (c[later] != c[i]) & ~(main[later] & main[i])
+            if apart_blocks:
+                at &= place[later] != place[i]
+            at = np.flatnonzero(at) + i + 1
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            at = at[(PART + WHOLE) * differ <= (WHOLE - PART) * (size[at] + size[i])]
+            if len(at):
+                a_out.append(np.minimum(node[at], node[i]))
+                b_out.append(np.maximum(node[at], node[i]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"]) if a_out else None
+
+    def compare(batches):
+        held: list[list[np.ndarray]] = []  # parts of the run that may go on
+        for batch in batches:
+            cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cols[0])], strict=True):
+                part = [x[start:end] for x in cols]
+                if held and any(held[-1][k][0] != part[k][0] for k in range(3)):
+                    out = pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+                    held = []
+                    if out is not None:
+                        yield out
+                held.append(part)
+        if held:
+            out = pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+            if out is not None:
+                yield out
+
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
 def _wide(found: np.ndarray) -> bytes:
     """A set's size and the parities of its shingles in 4096 classes."""
     odd = np.bincount((found & np.uint64(4095)).astype(np.int64), minlength=4096) & 1

@@ -240,24 +240,28 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     groups = components(edges(near))
 
     # 2. Lists of rare shingles, for pairs that aren't connected yet.
-    posted = sketches.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    several = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "n")
-    lists = common.Table(several, "lists")
+    sets = sketches.dropDuplicates(["node"])
+    posted = sets.select("node", F.explode("keys").alias("key"))
+    several = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "n")  # HOT entries at most
+    hot = sets.select("node", F.explode("hot_keys").alias("key"))
+    counted = hot.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    lists = common.Table(several.unionByName(hot.join(counted, "key").select("key", "node", "n")), "lists")
     common.release(spark)
     known = sketches.select("node", F.struct(*shingle_sets.ENTRY).alias("e")).join(lists.rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    known = known.join(groups, "node", "left").select("node", "e", F.coalesce("component", "node").alias("c"))
-    named = lists.rows.join(known, "node")
+    known = common.Table(known.join(groups, "node", "left").select("node", "e", F.coalesce("component", "node").alias("c")), "known")
     # A list all of whose entries are connected has nothing to find.
-    mixed = F.min("c").over(Window.partitionBy("key")) != F.max("c").over(Window.partitionBy("key"))
-    entries = common.Table(named.withColumn("mixed", mixed).where("mixed").select("key", "node", "n", "e", "c"), "entries")
+    mixed = lists.rows.join(known.rows.select("node", "c"), "node").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    entries = common.Table(lists.rows.join(mixed, "key").join(known.rows, "node").select("key", "node", "n", "e", "c"), "entries")
     lists.drop()
+    known.drop()
     common.release(spark)
 
     # All pairs of short lists, and of long ones each against one.
     short, long = entries.rows.where(F.col("n") <= SHORT), entries.rows.where(F.col("n") > SHORT)
     left, right = short.select("key", F.col("e").alias("l"), F.col("c").alias("lc")), short.select("key", F.col("e").alias("r"), F.col("c").alias("rc"))
     paired = left.join(right, "key").where((F.col("l.node") < F.col("r.node")) & (F.col("lc") != F.col("rc")) & shingle_sets.possible("l", "r"))
-    met = long.withColumn("r", F.min(F.struct("e", "c")).over(Window.partitionBy("key"))).select("e", "c", F.col("r.e").alias("r"), F.col("r.c").alias("rc"))
+    least = long.groupBy("key").agg(F.min(F.struct("e", "c")).alias("r"))
+    met = long.join(least, "key").select("e", "c", F.col("r.e").alias("r"), F.col("r.c").alias("rc"))
     met = met.where((F.col("c") != F.col("rc")) & shingle_sets.possible("r", "e"))
     candidates = paired.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().unionByName(met.select(F.col("r.node").alias("a"), F.col("e.node").alias("b")))
     found = shingle_sets.verified(candidates, firsts, rows).rows
@@ -270,10 +274,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     counted = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     apart = common.Table(named.join(counted, "key").select("key", "e", "c", (F.col("c") == F.col("most.c")).alias("main")), "apart")
     entries.drop()
-    left = apart.rows.where("not main").select("key", F.col("e").alias("l"), F.col("c").alias("lc"))
-    right = apart.rows.select("key", F.col("e").alias("r"), F.col("c").alias("rc"), "main")
-    crossed = left.join(right, "key").where((F.col("main") | (F.col("lc") < F.col("rc"))) & shingle_sets.possible("l", "r"))
-    more = shingle_sets.verified(crossed.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")), firsts, rows).rows
+    more = shingle_sets.verified(shingle_sets.crossed(apart.rows, BLOCK), firsts, rows).rows
     apart.drop()
     common.release(spark)
     if more.limit(1).count():
