@@ -18,7 +18,8 @@ SPREAD_BYTES = 256 << 20
 #: Rows of query terms that are broadcast; beyond, Spark joins by its own estimate.
 BROADCAST_ROWS = 100_000
 
-_local: dict[str, str] = {}
+_folders: dict[str, str] = {}
+_local: list[str] = []
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -27,25 +28,32 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SPREAD_BYTES else df
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder in the one that ``spark.checkpoint.dir`` names; it goes when the driver ends.
+def _shared(spark: SparkSession) -> str:
+    """A folder of this application in the one that ``spark.checkpoint.dir`` names.
 
     The file system of the driver's JVM is told to delete it on exit, which also happens when the session has been
     stopped before.  Only a local master may do without the setting, as in tests: a cluster's executors do
     not see each other's files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="irspan-")
-        base = _local[app]
-    path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    where, files = _files(spark, path)
-    files.deleteOnExit(where)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="irspan-")
+            _local.append(base)
+        path = f"{base.rstrip('/')}/irspan-{app}-{uuid.uuid4().hex}"
+        where, files = _files(spark, path)
+        files.mkdirs(where)  # only what is there can be marked
+        files.deleteOnExit(where)
+        _folders[app] = path
+    return _folders[app]
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the application's shared folder that nothing has yet; it goes when the driver ends."""
+    return f"{_shared(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -61,7 +69,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for path in _local.values():
+    for path in _local:
         shutil.rmtree(path, ignore_errors=True)
 
 
