@@ -107,24 +107,24 @@ class LateInteractionRetriever:
 
     encoder: vectors.TokenEncoder
     model: str = "plug-in"
-    tokens: DataFrame | None = None
+    documents: DataFrame | None = None
 
     def index(self, corpus: DataFrame) -> LateInteractionRetriever:
-        """Encode every token once; a document of which none is left is an error."""
+        """Encode every token once, a document's vectors in a row; a document of which none is left is an error."""
         texts = _texts(_some(corpus))
-        tokens = written(self.encoder.encode_tokens(texts), "tokens")
-        lost = texts.select("doc_id").join(tokens.select("doc_id").distinct(), "doc_id", "left_anti").limit(1).collect()
+        documents = vectors.by_document(self.encoder.encode_tokens(texts))
+        lost = texts.select("doc_id").join(documents.select("doc_id"), "doc_id", "left_anti").limit(1).collect()
         if lost:
             raise ValueError(f"no token is left of document {lost[0][0]}")
-        return replace(self, tokens=tokens)
+        return replace(self, documents=documents)
 
     def retrieve(self, queries: DataFrame, top_k_: int = 100) -> DataFrame:
         asked = self.encoder.encode_tokens(queries.select("query_id", "text"), is_query=True).select("query_id", "pos", "embedding")
-        return vectors.maxsim_retrieve(asked, _indexed(self.tokens).select("doc_id", "pos", "embedding"), top_k_)
+        return vectors.maxsim_retrieve(asked, _indexed(self.documents), top_k_)
 
     def describe(self) -> dict:
         out = {"method": "late-interaction", "model": self.model, "similarity": "maxsim"}
-        return out if self.tokens is None else {**out, "num_tokens": self.tokens.count()}
+        return out if self.documents is None else {**out, "num_tokens": self.documents.agg(F.sum("n").alias("n")).first().n}
 
 
 @dataclass(frozen=True)

@@ -16,15 +16,19 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from irspan.operators.impacts import ImpactFrame, ImpactIndex
 from irspan.operators.physical import scratch, shared_folder, temporary, written
 from irspan.operators.ranking import DECIMALS, top_k
 
-#: Bytes of query vectors that one scan of the corpus is compared with, and that one product takes.
+#: Bytes of query vectors that one scan of the corpus is compared with, and that one product takes of them.
 PASS_BYTES, BLOCK_BYTES = 128 << 20, 4 << 20
+#: Scores (numbers of a product) that a task holds at a time.
+BLOCK_SCORES = 1 << 21
 
 
 class Encoder(Protocol):
@@ -55,12 +59,22 @@ class VocabularyEncoder:
         self.vocabulary = vocabulary
 
     def encode(self, texts: DataFrame, text_column: str = "text") -> DataFrame:
-        words, counts, norm = (f"{text_column}_{c}" for c in ("words", "counts", "norm"))
-        rows = texts.withColumn(words, _words(text_column))  # columns of their own: each is computed once
-        rows = rows.withColumn(counts, F.transform(F.array(*(F.lit(v) for v in self.vocabulary)), lambda v: F.size(F.filter(words, lambda w: w == v)).cast("double")))
-        rows = rows.withColumn(norm, F.sqrt(dot(F.col(counts), F.col(counts))))
-        unit = F.transform(counts, lambda x: F.coalesce(F.try_divide(x, F.col(norm)), F.lit(0.0)))
-        return rows.withColumn("embedding", unit).select(*texts.columns, "embedding")
+        known, size = pa.array(self.vocabulary, pa.string()), len(self.vocabulary)
+        lowered, names = F.lower(F.coalesce(F.col(text_column), F.lit(""))), [*texts.columns, "embedding"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = pc.split_pattern_regex(batch.column(batch.num_columns - 1), "[ \\t\\n\\x0b\\f\\r]+")
+                at = pc.index_in(words.flatten(), known)
+                row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+                there = np.asarray(at.is_valid())
+                cells = row[there] * size + at.drop_null().to_numpy().astype(np.int64)
+                counts = np.bincount(cells, minlength=len(words) * size).reshape(len(words), size)
+                unit = _unit(counts)
+                vectors = pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * size, unit.ravel())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=names)
+
+        return texts.select("*", lowered.alias("lowered")).mapInArrow(run, StructType([*texts.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
 
     def encode_tokens(self, texts: DataFrame, text_column: str = "text", is_query: bool = False) -> DataFrame:
         known = F.filter(_words(text_column), lambda w: w.isin(*self.vocabulary))
@@ -94,11 +108,38 @@ def _passes(vectors: DataFrame) -> Iterator[tuple[pa.Table, bool]]:
 
 
 def _best(scores: np.ndarray, docs: list, queries: list, k: int) -> pa.RecordBatch:
-    """The best documents (columns) of each query (rows); ties at the cut-off all stay, for the ids to decide."""
+    """The ``k`` best documents (columns, by rising id) of each query (rows); of ties at the cut-off the least ids,
+    as ranks have it: scores are rounded already, so no other one of these can be among a query's best."""
     n = min(k, len(docs))
-    cut = np.partition(scores, len(docs) - n, axis=1)[:, len(docs) - n]
-    r, c = np.nonzero(scores >= cut[:, None])
-    return pa.RecordBatch.from_arrays([pa.array([queries[i] for i in r], pa.string()), pa.array([docs[i] for i in c], pa.string()), pa.array(scores[r, c])], ["query_id", "doc_id", "score"])
+    cut = np.partition(scores, len(docs) - n, axis=1)[:, len(docs) - n, None]
+    over, tie = scores > cut, scores == cut
+    r, c = np.nonzero(over | (tie & (np.cumsum(tie, axis=1) <= n - over.sum(axis=1, keepdims=True))))
+    return pa.RecordBatch.from_arrays([pa.array(queries, pa.string()).take(pa.array(r)), pa.array(docs, pa.string()).take(pa.array(c)), pa.array(scores[r, c])], ["query_id", "doc_id", "score"])
+
+
+def _spans(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring items whose lengths add up to ``most``; a longer item is a run of its own."""
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def _most(q: np.ndarray, d: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each row of ``q`` the largest dot product with each document's rows of ``d``.  A document that is too
+    long for one product is taken in pieces."""
+    size = max(1, BLOCK_SCORES // len(q))
+    if len(d) <= size:
+        return np.maximum.reduceat(q @ d.T, np.cumsum(lengths) - lengths, axis=1)
+    if len(lengths) > 1:
+        ends = np.cumsum(lengths)
+        return np.concatenate([_most(q, d[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b]) for a, b in _spans(lengths, size)], axis=1)
+    best = np.full((len(q), 1), -np.inf)
+    for i in range(0, len(d), size):
+        np.maximum(best, (q @ d[i : i + size].T).max(axis=1, keepdims=True), out=best)
+    return best
 
 
 _SCORES = "query_id string, doc_id string, score double"
@@ -134,17 +175,23 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 100) -> Da
     def run(held) -> Callable:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            step = max(1, BLOCK_BYTES // (8 * q.shape[1]))
+            step = max(1, min(BLOCK_BYTES // (8 * q.shape[1]), BLOCK_SCORES >> 8))
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                d = _unit(_matrix(batch.column(1)))
-                docs, at = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+                codes = batch.column(0).dictionary_encode()
+                docs = sorted(codes.dictionary.to_pylist())
+                place = np.empty(len(docs), np.int64)
+                place[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(docs))
+                at = place[codes.indices.to_numpy()]
+                order = np.argsort(at, kind="stable")  # a document's chunks side by side
+                d, lengths = _unit(_matrix(batch.column(1)))[order], np.bincount(at)
+                ends = np.cumsum(lengths)
                 for i in range(0, len(ids), step):
-                    scores = np.round(q[i : i + step] @ d.T, DECIMALS)
-                    most = np.full((len(scores), len(docs)), -np.inf)
-                    np.maximum.at(most.T, at, scores.T)
-                    yield _best(most, docs.tolist(), ids[i : i + step], k)
+                    some = q[i : i + step]
+                    for a, b in _spans(lengths, max(1, BLOCK_SCORES // len(some))):
+                        most = np.round(_most(some, d[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b]), DECIMALS)
+                        yield _best(most, docs[a:b], ids[i : i + step], k)
 
         return compare
 
@@ -191,12 +238,55 @@ def _own_weight(field: str, weight: np.ndarray, _: np.ndarray) -> np.ndarray:
     return weight
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows (doc_id, flat, n) of one document as one row; it may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+
+    def rows(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column(1)
+        offsets = lists.offsets.to_numpy()
+        cuts = (offsets - offsets[0])[np.append(starts, len(lists))].astype(np.int32)
+        n = np.add.reduceat(batch.column(2).to_numpy(zero_copy_only=False), starts).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), pa.ListArray.from_arrays(cuts, lists.flatten()), pa.array(n)], ["doc_id", "flat", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[0].column(0)[0] == batch.column(0)[0] == batch.column(0)[batch.num_rows - 1]:
+            held.append(batch)
+            continue
+        batch = pa.concat_batches([*held, batch])
+        ids = batch.column(0)
+        starts = np.flatnonzero(np.append(True, np.asarray(pc.not_equal(ids[1:], ids[:-1]))))
+        if len(starts) > 1:
+            yield rows(batch.slice(0, starts[-1]), starts[:-1])
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield rows(pa.concat_batches(held), np.zeros(1, np.int64))
+
+
+_DOCUMENTS = "doc_id string, flat array<double>, n int"
+
+
+def by_document(tokens: DataFrame) -> DataFrame:
+    """doc_id, its vectors end to end (flat) and their number n, from ``tokens`` (doc_id, pos, embedding), written.
+
+    Encoders give a document's tokens one after the other, so they are put together where they are; documents
+    are moved only if one came in several parts.
+    """
+    empty = F.raise_error(F.concat(F.lit("no token is left of document "), F.col("doc_id").cast("string"))).cast("array<double>")
+    vector = F.when(F.col("embedding").isNull(), empty).otherwise(F.col("embedding").cast("array<double>"))
+    parts = temporary(tokens.select(F.col("doc_id").cast("string").alias("doc_id"), vector.alias("flat"), F.lit(1).alias("n")).mapInArrow(_joined, _DOCUMENTS), "documents")
+    if parts.count() == parts.select("doc_id").distinct().count():
+        return parts
+    return temporary(parts.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_joined, _DOCUMENTS), "documents")
+
+
 def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> DataFrame:
     """Late interaction: over a query's tokens, the sum of the best dot product in a document.
 
-    ``queries``: query_id, pos, embedding; ``tokens``: doc_id, pos, embedding.  A document's tokens are
-    brought together as one row, then compared in blocks; a task sends on the best documents of each query.
-    No score is dropped.  A document without a token (a row whose embedding is null) is an error: it
+    ``queries``: query_id, pos, embedding; ``tokens``: doc_id, pos, embedding, or what :func:`by_document` made
+    of them.  Documents are compared in blocks; a task sends on the best documents of each query.  No score is dropped.  A document without a token (a row whose embedding is null) is an error: it
     would have no score.
     """
     if k <= 0:
@@ -208,30 +298,27 @@ def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> Data
         starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
         return names[starts].tolist(), starts, _matrix(table.column(1).combine_chunks())
 
-    empty = F.raise_error(F.concat(F.lit("no token is left of document "), F.col("doc_id").cast("string"))).cast("array<double>")
-    rows = tokens.select("doc_id", "pos", F.when(F.col("embedding").isNull(), empty).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))
-    gathered = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "embedding"))), lambda t: t["embedding"]).alias("vectors"))  # of one document
-    gathered = gathered.select(F.col("doc_id").cast("string"), F.flatten("vectors").alias("flat"), F.size("vectors").alias("n"))
+    gathered = tokens if "flat" in tokens.columns else by_document(tokens)
 
     def run(held) -> Callable:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, starts, q = held.value
-            ends = [*starts[1:].tolist(), len(q)]
-            most = max(1, BLOCK_BYTES // (8 * q.shape[1]))
+            sizes = np.diff(np.append(starts, len(q)))
+            most = max(1, min(BLOCK_BYTES // (8 * q.shape[1]), BLOCK_SCORES >> 8))
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                order = pc.sort_indices(batch.column(0))
+                batch = batch.take(order)
                 docs = batch.column(0).to_pylist()
                 lengths = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
                 d = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
-                a = 0
-                while a < len(ids):  # runs of whole queries of about BLOCK_BYTES
-                    b = a + 1
-                    while b < len(ids) and ends[b] - starts[a] <= most:
-                        b += 1
-                    best = np.maximum.reduceat(q[starts[a] : ends[b - 1]] @ d.T, np.cumsum(lengths) - lengths, axis=1)
-                    yield _best(np.round(np.add.reduceat(best, starts[a:b] - starts[a], axis=0), DECIMALS), docs, ids[a:b], k)
-                    a = b
+                ends = np.cumsum(lengths)
+                for i, j in _spans(sizes, most):  # whole queries
+                    some = q[starts[i] : starts[j - 1] + sizes[j - 1]]
+                    for a, b in _spans(lengths, max(1, BLOCK_SCORES // len(some))):
+                        best = _most(some, d[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b])
+                        yield _best(np.round(np.add.reduceat(best, starts[i:j] - starts[i], axis=0), DECIMALS), docs[a:b], ids[i:j], k)
 
         return compare
 

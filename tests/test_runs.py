@@ -263,3 +263,23 @@ def test_grids_and_their_summaries(spark):
     assert (s.best, s.worst, s.span, s.cells, s.within_005, s.within_010) == (0.42, 0.3, pytest.approx(0.12), 4, 2, 3)
     shape = lambda *v: tuple(sweeps.shape(spark.createDataFrame(list(enumerate(v)), "x int, value double")).first())
     assert shape(0.1, 0.2, 0.3) == (2, True, "increasing") and shape(0.1, 0.4, 0.2) == (1, False, "neither") and shape(0.5, 0.4) == (0, True, "decreasing")
+
+
+def test_ties_and_long_documents_are_compared_in_bounds(spark, monkeypatch):
+    """Of documents that tie, a batch sends on no more than are wanted; no product is larger than its bound."""
+    monkeypatch.setattr(vectors, "BLOCK_SCORES", 512)
+    largest, most = [], vectors._most
+    ids = [f"d{i:03}" for i in range(200)]
+    found = vectors._best(np.round(np.ones((3, 200)), 6), ids, ["a", "b", "c"], 4)
+    assert found.num_rows == 12 and set(found.column(1).to_pylist()) == set(ids[:4])
+    r = np.random.default_rng(5)
+    q, d, lengths = r.standard_normal((4, 3)), r.standard_normal((900, 3)), np.array([1, 600, 2, 97, 200])
+    want = np.maximum.reduceat(q @ d.T, np.cumsum(lengths) - lengths, axis=1)
+    monkeypatch.setattr(vectors, "_most", lambda a, b, n: largest.append(len(a) * len(b)) or most(a, b, n))
+    np.testing.assert_allclose(vectors._most(q, d, lengths), want)
+    assert min(largest) <= 512
+    rows = spark.createDataFrame([(i, p, [1.0, 0.0]) for i in ids for p in range(3)], "doc_id string, pos int, embedding array<double>")
+    asked = spark.createDataFrame([("q", 0, [1.0, 0.0]), ("q", 1, [2.0, 0.0])], "query_id string, pos int, embedding array<double>")
+    for made in (rows, rows.repartition(4, "pos")):  # together, and a document in several parts
+        got = vectors.maxsim_retrieve(asked, made, 5)
+        assert [(x.doc_id, x.score) for x in got.orderBy("rank").collect()] == [(i, 3.0) for i in ids[:5]]
