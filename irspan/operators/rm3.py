@@ -55,8 +55,9 @@ class RM3Retriever:
         """query_id, term and weight of all terms of the feedback documents."""
         query = Window.partitionBy("query_id")
         shares = feedback.withColumn("share", F.try_divide("score", F.sum("score").over(query))).select("query_id", "doc_id", "share")
-        tf = self._need_index().harvested.postings()
-        return tf.join(small(shares, feedback.count()), "doc_id").groupBy("query_id", "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("dl")), DECIMALS).alias("weight")).where("weight > 0")
+        index = self._need_index().harvested
+        found = index.documents.join(small(shares, feedback.count()), "doc_id")  # whole documents: few are opened
+        return index.postings(found).groupBy("query_id", "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("dl")), DECIMALS).alias("weight")).where("weight > 0")
 
     def best_terms(self, model: DataFrame) -> DataFrame:
         """The ``fb_terms`` heaviest terms of each query, their weights summing to 1."""

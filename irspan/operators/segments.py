@@ -59,7 +59,7 @@ class Segment:
         return after if n <= MOST_STRUCK else after.rewritten()
 
     def rewritten(self) -> Segment:
-        return Segment(LexicalIndex.write(self.live(self.index.forward), shared_folder(self.index.forward.sparkSession, "index")))
+        return Segment(LexicalIndex.write(self.live(self.index.documents), shared_folder(self.index.documents.sparkSession, "index")))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -96,8 +96,8 @@ class SegmentedBM25:
 
     def compact(self) -> SegmentedBM25:
         """One segment of what is left, from the counted terms: no text is read."""
-        spark = self.segments[0].index.forward.sparkSession
-        live = _union([s.live(s.index.forward) for s in self.segments])
+        spark = self.segments[0].index.documents.sparkSession
+        live = _union([s.live(s.index.documents) for s in self.segments])
         return replace(self, segments=(Segment(LexicalIndex.write(live, shared_folder(spark, "index"))),))._counted()
 
     def _counted(self) -> SegmentedBM25:
@@ -107,7 +107,7 @@ class SegmentedBM25:
         if not fields.count():  # a row a field
             raise ValueError("nothing is left in the index")
         had = [s.index.terms.select("field", "term", "df") for s in self.segments]
-        less = [s.lost(s.index.postings()).groupBy("field", "term").agg((-F.count("*")).alias("df")) for s in self.segments if s.struck is not None]
+        less = [s.index.postings(s.lost(s.index.documents)).groupBy("field", "term").agg((-F.count("*")).alias("df")) for s in self.segments if s.struck is not None]
         df = _union(had + less).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
         return replace(self, statistics=(fields, written(df.join(F.broadcast(fields), "field").select("field", "term", "df", idf), "terms")))

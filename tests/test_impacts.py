@@ -108,3 +108,27 @@ def test_searches_leave_nothing_behind(spark):
     effort = found.effort(queries, 3).collect()
     assert sum(r.postings for r in effort) == 30 + sum(i % 3 == 1 or i % 5 == 1 for i in range(30)) and all(r.scored <= r.postings for r in effort)
     np.testing.assert_array_equal(sorted(r.queries for r in effort) != [], True)
+
+
+def test_documents_are_moved_whole(spark, monkeypatch, tmp_path):
+    """An index keeps a row a field of a document; postings come from the shards that batches and blocks cut through."""
+    monkeypatch.setattr(impacts, "WRITTEN", 5)
+    monkeypatch.setattr(impacts, "SHARD_POSTINGS", 20)
+    texts = {f"d{i:02}": " ".join(f"w{j}" for j in range(i % 7) for _ in range(1 + (i + j) % 3)) for i in range(40)}
+    corpus = spark.createDataFrame([(d, "", t) for d, t in texts.items()], "doc_id string, title string, text string")
+    index = LexicalIndex.build(corpus, PLAIN, folder=str(tmp_path / "index"))
+    assert index.documents.count() == 40 and index.impacts.shards > 4
+    want = {("contents", d, len(t.split()), w, t.split().count(w)) for d, t in texts.items() for w in t.split()}
+    assert {tuple(r) for r in index.postings().collect()} == want
+    assert {tuple(r) for r in index.impacts.postings().collect()} == {(f, w, d, float(tf), float(dl)) for f, d, dl, w, tf in want}
+
+
+def test_of_equal_scores_a_shard_sends_the_least_ids(spark):
+    rows = [("f", "t", f"d{i:04}", 1, 0) for i in range(500)]
+    here = impacts._Shard(shard(rows[::-1]), weight)
+    docs, scores = here.top([(("f", "t"), 1.0)], 3)
+    assert len(docs) == 500
+    assert sorted(here.names.take(docs[here.first(docs, scores, 3)]).to_pylist()) == ["d0000", "d0001", "d0002"]
+    cells = (np.arange(500) % 2)[np.argsort(docs)]
+    kept = here.first(docs, scores, 3, cells)
+    assert len(kept) == 6 and sorted(cells[kept].tolist()) == [0, 0, 0, 1, 1, 1]
