@@ -283,3 +283,20 @@ def test_ties_and_long_documents_are_compared_in_bounds(spark, monkeypatch):
     for made in (rows, rows.repartition(4, "pos")):  # together, and a document in several parts
         got = vectors.maxsim_retrieve(asked, made, 5)
         assert [(x.doc_id, x.score) for x in got.orderBy("rank").collect()] == [(i, 3.0) for i in ids[:5]]
+
+
+def test_judgements_compare_documents_where_they_are(spark, monkeypatch):
+    """No meeting of a document and a query is moved, whatever the parts of the queries and the bound of a task."""
+    from irspan.sources import fixtures
+
+    docs = {f"{i}": " ".join(f"w{j}" for j in range(i % 9)) for i in range(60)}
+    asked = {f"{i}": " ".join(f"w{j}" for j in range(i)) for i in range(8)}
+    texts = spark.createDataFrame(list(docs.items()), "doc_id string, text string")
+    words = spark.createDataFrame([(q, t.split(), t) for q, t in asked.items()], "query_id string, terms array<string>, text string")
+    want = {(q, d, t in b) for q, t in asked.items() for d, b in docs.items() if t and len(set(t.split()) & set(b.split())) * 10 >= 6 * len(t.split())}
+    for part, meetings in ((100_000, 1 << 21), (6, 4)):
+        monkeypatch.setattr(fixtures, "BROADCAST_ROWS", part)
+        monkeypatch.setattr(fixtures, "MEETINGS", meetings)
+        found = fixtures._close(texts.select("doc_id", texts.text.alias("terms"), "text"), words)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == want and len(want) > 100
