@@ -29,6 +29,8 @@ from irspan.operators.ranking import DECIMALS, top_k
 PASS_BYTES, BLOCK_BYTES = 128 << 20, 4 << 20
 #: Scores (numbers of a product) that a task holds at a time.
 BLOCK_SCORES = 1 << 21
+#: Best documents (of all queries) that a task may keep until its end, and those that wait to be compared with them.
+KEPT_ROWS, WAITING_ROWS = 1 << 20, 1 << 16
 
 
 class Encoder(Protocol):
@@ -107,14 +109,60 @@ def _passes(vectors: DataFrame) -> Iterator[tuple[pa.Table, bool]]:
             yield (kept.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else kept).toArrow(), n > 1
 
 
-def _best(scores: np.ndarray, docs: list, queries: list, k: int) -> pa.RecordBatch:
-    """The ``k`` best documents (columns, by rising id) of each query (rows); of ties at the cut-off the least ids,
-    as ranks have it: scores are rounded already, so no other one of these can be among a query's best."""
+def _best(scores: np.ndarray, docs: list, queries: list | np.ndarray, k: int, floor: np.ndarray | None = None) -> pa.RecordBatch:
+    """The ``k`` best documents (columns, by rising id) of each query (rows) that reach its ``floor``; of ties at the
+    cut-off the least ids, as ranks have it: scores are rounded already, so no other one of these can be among a query's best."""
     n = min(k, len(docs))
     cut = np.partition(scores, len(docs) - n, axis=1)[:, len(docs) - n, None]
     over, tie = scores > cut, scores == cut
-    r, c = np.nonzero(over | (tie & (np.cumsum(tie, axis=1) <= n - over.sum(axis=1, keepdims=True))))
-    return pa.RecordBatch.from_arrays([pa.array(queries, pa.string()).take(pa.array(r)), pa.array(docs, pa.string()).take(pa.array(c)), pa.array(scores[r, c])], ["query_id", "doc_id", "score"])
+    wanted = over | (tie & (np.cumsum(tie, axis=1) <= n - over.sum(axis=1, keepdims=True)))
+    r, c = np.nonzero(wanted if floor is None else wanted & (scores >= floor[:, None]))
+    return pa.RecordBatch.from_arrays([pa.array(queries).take(pa.array(r)), pa.array(docs, pa.string()).take(pa.array(c)), pa.array(scores[r, c])], ["query_id", "doc_id", "score"])
+
+
+class _Best:
+    """The ``k`` best documents of each of a task's queries.
+
+    They are kept until the task's end, so that it sends on ``k`` rows a query however many blocks it compares; of more
+    than :data:`KEPT_ROWS`, those of each block are sent on.  A document's chunks may come in several blocks.
+    """
+
+    def __init__(self, ids: list, k: int):
+        self.ids, self.k, self.most = pa.array(ids, pa.string()), k, len(ids) * k
+        self.floor = np.full(len(ids), -np.inf)  # what a score must reach
+        self.held: list[pa.Table] = []
+        self.rows = 0
+
+    def add(self, scores: np.ndarray, docs: list, first: int) -> Iterator[pa.RecordBatch]:
+        """Rounded scores of documents (columns, by rising id) for queries (rows, from number ``first``)."""
+        numbers = np.arange(first, first + len(scores))
+        found = pa.Table.from_batches([_best(scores, docs, numbers, self.k, self.floor[numbers])])
+        if self.most > KEPT_ROWS:
+            yield from self._rows(found)
+            return
+        self.held.append(found)
+        self.rows += found.num_rows
+        if self.rows > 2 * self.most + WAITING_ROWS:
+            self._cut()
+
+    def _cut(self) -> None:
+        best = pa.concat_tables(self.held).group_by(["query_id", "doc_id"]).aggregate([("score", "max")]).rename_columns({"score_max": "score"}).select(["query_id", "doc_id", "score"])
+        best = best.sort_by([("query_id", "ascending"), ("score", "descending"), ("doc_id", "ascending")]).combine_chunks()
+        query = best.column("query_id").to_numpy()
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        last = np.flatnonzero(nth == self.k - 1)
+        self.floor[query[last]] = best.column("score").to_numpy()[last]
+        self.held = [best.filter(pa.array(nth < self.k))]
+        self.rows = self.held[0].num_rows
+
+    def _rows(self, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = self.ids.take(found.column("query_id").combine_chunks())
+        yield from pa.table([names, found.column("doc_id"), found.column("score")], ["query_id", "doc_id", "score"]).combine_chunks().to_batches()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._cut()
+            yield from self._rows(self.held[0])
 
 
 def _spans(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -176,6 +224,7 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 100) -> Da
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
             step = max(1, min(BLOCK_BYTES // (8 * q.shape[1]), BLOCK_SCORES >> 8))
+            best = _Best(ids, k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -191,7 +240,8 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 100) -> Da
                     some = q[i : i + step]
                     for a, b in _spans(lengths, max(1, BLOCK_SCORES // len(some))):
                         most = np.round(_most(some, d[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b]), DECIMALS)
-                        yield _best(most, docs[a:b], ids[i : i + step], k)
+                        yield from best.add(most, docs[a:b], i)
+            yield from best.rest()
 
         return compare
 
@@ -305,6 +355,7 @@ def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> Data
             ids, starts, q = held.value
             sizes = np.diff(np.append(starts, len(q)))
             most = max(1, min(BLOCK_BYTES // (8 * q.shape[1]), BLOCK_SCORES >> 8))
+            found = _Best(ids, k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -318,7 +369,8 @@ def maxsim_retrieve(queries: DataFrame, tokens: DataFrame, k: int = 100) -> Data
                     some = q[starts[i] : starts[j - 1] + sizes[j - 1]]
                     for a, b in _spans(lengths, max(1, BLOCK_SCORES // len(some))):
                         best = _most(some, d[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b])
-                        yield _best(np.round(np.add.reduceat(best, starts[i:j] - starts[i], axis=0), DECIMALS), docs[a:b], ids[i:j], k)
+                        yield from found.add(np.round(np.add.reduceat(best, starts[i:j] - starts[i], axis=0), DECIMALS), docs[a:b], i)
+            yield from found.rest()
 
         return compare
 

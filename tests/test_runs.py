@@ -300,3 +300,31 @@ def test_judgements_compare_documents_where_they_are(spark, monkeypatch):
         found = fixtures._close(texts.select("doc_id", texts.text.alias("terms"), "text"), words)
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
         assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+
+
+def test_a_task_sends_on_as_many_documents_as_are_asked_for(spark, monkeypatch):
+    """However many batches a task compares; chunks of a document in different batches count once, with the best one."""
+    r = np.random.default_rng(8)
+    rows = [(f"d{i // 3:04}", r.standard_normal(4).round(1).tolist()) for i in range(3000)]
+    asked = [(f"q{i}", r.standard_normal(4).tolist()) for i in range(5)]
+    best = vectors._Best([q for q, _ in asked], 7)
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    scores = {q: {} for q, _ in asked}
+    for (d, v), (q, w) in ((x, y) for x in rows for y in asked):
+        scores[q][d] = max(scores[q].get(d, -2), round(float(unit(v) @ unit(w)), 6))
+    monkeypatch.setattr(vectors, "WAITING_ROWS", 0)  # cut often
+    out = []
+    for a in range(0, 3000, 100):  # batches that cut documents
+        docs = sorted({d for d, _ in rows[a : a + 100]})
+        block = np.array([[max(round(float(unit(v) @ unit(w)), 6) for e, v in rows[a : a + 100] if e == d) for d in docs] for _, w in asked])
+        out += list(best.add(block, docs, 0))
+        assert not out and best.rows <= 3 * 5 * 7
+    out += list(best.rest())
+    found = sorted((x["query_id"], -x["score"], x["doc_id"]) for b in out for x in b.to_pylist())
+    assert found == sorted((q, -s, d) for q, of in scores.items() for s, d in [(-x, d) for x, d in sorted((-s, d) for d, s in of.items())[:7]])
+    frame = spark.createDataFrame(rows, "doc_id string, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    want = vectors.dense_retrieve(queries, frame, 7).collect()
+    assert sorted((x.query_id, -x.score, x.doc_id) for x in want) == found
+    monkeypatch.setattr(vectors, "KEPT_ROWS", 0)  # blocks are sent on as they come
+    assert sorted(map(tuple, vectors.dense_retrieve(queries, frame, 7).collect())) == sorted(map(tuple, want))

@@ -74,3 +74,16 @@ def test_truncation(spark):
     rows = spark.createDataFrame([(["a"] * n,) for n in (1, 3, 4, 9)], "t array<string>")
     assert rows.agg(T.truncation_rate(F.col("t"), 4)).first()[0] == 0.5
     assert rows.where("size(t) > 99").agg(T.truncation_rate(F.col("t"), 4)).first()[0] == 0.0
+
+
+def test_words_are_split_once_for_all_windows(spark):
+    """A long text's windows take time in proportion to it: its words are not split again for each of them."""
+    import time
+
+    from irspan.functions.text import chunks
+
+    text = " ".join(f"w{i}" for i in range(60_000))
+    frame = spark.createDataFrame([(text,)], "text string")
+    start = time.time()
+    found = frame.select(F.explode(chunks(F.col("text"), 10, 2)).alias("c")).agg(F.count("*"), F.min("c"), F.max("c")).first()
+    assert found[0] == 7500 and time.time() - start < 30
