@@ -8,12 +8,11 @@ whole.  Sets, and texts, are told apart by 64 bits of hash.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from irspan.llm import common
@@ -126,47 +125,23 @@ def sketches(rows: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> commo
     return common.Table(common.map_arrow(rows, run, schema), "sketches")
 
 
-def possible(a: str, b: str) -> Column:
-    """Whether sizes and parities of two entries allow a link: a shingle that one set alone has turns
-    one parity, and linked sets of n and m have at most (n + m) / 9 such."""
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _PARITIES])
-    sizes = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return (WHOLE * F.least(*sizes) >= PART * F.greatest(*sizes)) & ((PART + WHOLE) * differ <= (WHOLE - PART) * (sizes[0] + sizes[1]))
-
-
-def crossed(apart: DataFrame, block: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes that sizes and parities allow, among the entries of a list (columns key,
-    ``e``, ``c``: its component, ``main``: whether that is the list's largest) that are in different components.
-
-    A list of n entries is dealt out as pairs of its ceil(n / block) blocks, so no task holds more than two
-    blocks of it; entries meet in the order of their sizes, each only those up to 5/4 of its own.
-    """
+def _dealt(apart: DataFrame, block: int) -> DataFrame:
+    """Entries of lists (columns key, ``e``, ``c`` and others) as key, one, two, size, block, node, c, main, parities and
+    wide: a list of n entries is dealt out as pairs of its ceil(n / block) blocks, so no task holds more than two blocks
+    of it; those of a pair are together, in the order of their sizes."""
     sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = apart.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("e.node"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("e.size").alias("size"), "block", F.col("e.node").alias("node"), "c", "main", *(F.col(f"e.{x}").alias(x) for x in _PARITIES))
-    ordered = dealt.repartition(common.shuffle_width(apart.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two", "size", "node")
+    main = F.col("main") if "main" in apart.columns else F.lit(False).alias("main")
+    wide = F.col("wide") if "wide" in apart.columns else F.lit(None).cast("binary").alias("wide")
+    dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("e.size").alias("size"), "block", F.col("e.node").alias("node"), "c", main, *(F.col(f"e.{x}").alias(x) for x in _PARITIES), wide)
+    return dealt.repartition(common.shuffle_width(apart.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two", "size", "node")
 
-    def pairs(run: list[np.ndarray]) -> pa.RecordBatch | None:
-        one, two, size, place, node, c, main = run[1:8]
-        bits = np.stack([x.view(np.uint64) for x in run[8:]], axis=1)
-        apart_blocks = one[0] != two[0]
-        ends = np.searchsorted(size, size * WHOLE // PART, side="right")
-        a_out, b_out = [], []
-        for i in range(len(node) - 1):
-            later = slice(i + 1, ends[i])
-            at = (c[later] != c[i]) & ~(main[later] & main[i])
-            if apart_blocks:
-                at &= place[later] != place[i]
-            at = np.flatnonzero(at) + i + 1
-            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            at = at[(PART + WHOLE) * differ <= (WHOLE - PART) * (size[at] + size[i])]
-            if len(at):
-                a_out.append(np.minimum(node[at], node[i]))
-                b_out.append(np.maximum(node[at], node[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"]) if a_out else None
 
-    def compare(batches):
+def _by_run(compare: Callable[[list[np.ndarray]], pa.RecordBatch | None]) -> Callable:
+    """``compare`` on the columns of each pair of blocks that :func:`_dealt` made."""
+
+    def run(batches):
         held: list[list[np.ndarray]] = []  # parts of the run that may go on
         for batch in batches:
             cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -174,53 +149,125 @@ def crossed(apart: DataFrame, block: int) -> DataFrame:
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cols[0])], strict=True):
                 part = [x[start:end] for x in cols]
                 if held and any(held[-1][k][0] != part[k][0] for k in range(3)):
-                    out = pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+                    out = compare([np.concatenate(x) for x in zip(*held, strict=True)])
                     held = []
                     if out is not None:
                         yield out
                 held.append(part)
         if held:
-            out = pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+            out = compare([np.concatenate(x) for x in zip(*held, strict=True)])
             if out is not None:
                 yield out
 
-    return ordered.mapInArrow(compare, "a long, b long")
+    return run
+
+
+def _meetings(run: list[np.ndarray]):
+    """Of a pair of blocks: each entry's number with those of later ones, in different components, that sizes and parities
+    allow: a shingle that one set alone has turns one parity, and linked sets of n and m have at most (n + m) / 9 such.
+    ``c``, a column of the run, is read anew for each entry."""
+    one, two, size, place, node, c, main = run[1:8]
+    bits = np.stack([x.view(np.uint64) for x in run[8:12]], axis=1)
+    apart_blocks = one[0] != two[0]
+    ends = np.searchsorted(size, size * WHOLE // PART, side="right")
+    for i in range(len(node) - 1):
+        later = slice(i + 1, ends[i])
+        at = (c[later] != c[i]) & ~(main[later] & main[i])
+        if apart_blocks:
+            at &= place[later] != place[i]
+        at = np.flatnonzero(at) + i + 1
+        differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        at = at[(PART + WHOLE) * differ <= (WHOLE - PART) * (size[at] + size[i])]
+        if len(at):
+            yield i, at
+
+
+def crossed(apart: DataFrame, block: int, forest: bool = False) -> DataFrame:
+    """Pairs ``a`` < ``b`` of nodes that sizes and parities allow, among the entries of a list (columns key,
+    ``e``, ``c``: its component, ``main``: whether that is the list's largest) that are in different components; entries
+    meet in the order of their sizes, each only those up to 5/4 of its own.
+
+    With a column ``wide`` (:func:`_wide` of the sets) pairs are held against it in the task, so what it refuses is never
+    a row.  A ``forest`` takes a pair for a link as soon as it is allowed: the pairs that it gives connect all that are
+    allowed, and are fewer than the entries.
+    """
+
+    def pairs(run: list[np.ndarray]) -> pa.RecordBatch | None:
+        run[6] = c = run[6].copy()
+        node, wide = run[5], run[12]
+        a_out, b_out = [], []
+        for i, at in _meetings(run):
+            if wide[i] is not None:
+                kept = []
+                for j in at.tolist():
+                    if forest and c[j] == c[i]:
+                        continue
+                    if _wide_possible(wide[i], wide[j]):
+                        kept.append(j)
+                        if forest:
+                            c[c == c[j]] = c[i]
+                at = np.array(kept, np.int64)
+            a_out.append(np.minimum(node[at], node[i]))
+            b_out.append(np.maximum(node[at], node[i]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"]) if a_out else None
+
+    return _dealt(apart, block).mapInArrow(_by_run(pairs), "a long, b long")
+
+
+def meeting(apart: DataFrame, block: int) -> DataFrame:
+    """key and node of the entries that :func:`crossed` pairs, without their pairs."""
+
+    def met(run: list[np.ndarray]) -> pa.RecordBatch | None:
+        there = np.zeros(len(run[5]), bool)
+        for i, at in _meetings(run):
+            there[i] = there[at] = True
+        return pa.RecordBatch.from_arrays([pa.array(run[0][there]), pa.array(run[5][there])], ["key", "node"]) if there.any() else None
+
+    return _dealt(apart, block).mapInArrow(_by_run(met), "key long, node long").distinct()
 
 
 def _wide(found: np.ndarray) -> bytes:
-    """A set's size and the parities of its shingles in 4096 classes."""
-    odd = np.bincount((found & np.uint64(4095)).astype(np.int64), minlength=4096) & 1
-    return len(found).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+    """A set's size and the parities of its shingles in 4096 classes, or in four times its shingles and more, by powers of
+    two: so texts of any length can be told apart."""
+    classes = max(4096, 1 << (4 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return len(found).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _wide_possible(x: bytes, y: bytes) -> bool:
-    """Whether sizes and wide parities of two sets allow a link."""
-    differ = (int.from_bytes(x[8:], "big") ^ int.from_bytes(y[8:], "big")).bit_count()
-    return (PART + WHOLE) * differ <= (WHOLE - PART) * (int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little"))
+    """Whether sizes and wide parities of two sets allow a link; the one of more classes is folded to the other's."""
+    one, two, n = int.from_bytes(x[8:], "little"), int.from_bytes(y[8:], "little"), 8 * (min(len(x), len(y)) - 8)
+    while one >> n or two >> n:
+        mask = (1 << n) - 1
+        one, two = one & mask ^ one >> n, two & mask ^ two >> n
+    return (PART + WHOLE) * (one ^ two).bit_count() <= (WHOLE - PART) * (int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little"))
+
+
+def values(of: DataFrame, value: Callable[[np.ndarray], bytes], firsts: DataFrame, rows: DataFrame, name: str) -> common.Table:
+    """node and value of the distinct nodes ``of`` (node); ``firsts``: node, id and tie of one row of each."""
+    needed = common.Table(of.join(firsts, "node"), "needed")
+    few = needed.rows.count() <= BROADCAST_ROWS
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([value(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "value"])
+
+    texts = rows.join(F.broadcast(needed.rows) if few else needed.rows, ["id", "tie"]).select("node", "text")
+    out = common.Table(common.map_arrow(texts, run, "node long, value binary"), name)
+    needed.drop()
+    return out
 
 
-def verified(candidates: DataFrame, firsts: DataFrame, rows: DataFrame) -> common.Table:
+def verified(candidates: DataFrame, firsts: DataFrame, rows: DataFrame, narrow: bool = False) -> common.Table:
     """The links among pairs ``a``, ``b`` of nodes; ``firsts``: node, id and tie of one row of each.
 
-    Pairs are held against wide parities first, so that whole sets move only for the few that are left.
+    Pairs are held against wide parities first, so that whole sets move only for the few that are left, unless they are
+    ``narrow`` already.
     """
     spark = rows.sparkSession
     pairs = common.Table(candidates.distinct(), "candidates")
     if not pairs.rows.limit(1).count():
         return pairs
 
-    def values(of: DataFrame, value: Callable[[np.ndarray], bytes], name: str) -> common.Table:
-        needed = common.Table(of.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node"), "needed")
-        few = needed.rows.count() <= BROADCAST_ROWS
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([value(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "value"])
-
-        texts = rows.join(F.broadcast(needed.rows) if few else needed.rows, ["id", "tie"]).select("node", "text")
-        out = common.Table(common.map_arrow(texts, run, "node long, value binary"), name)
-        needed.drop()
-        return out
-
     def met(of: common.Table, held: common.Table, kept, name: str) -> common.Table:
         """Pairs whose two values ``kept`` wants; what they came from goes."""
 
@@ -237,5 +284,8 @@ def verified(candidates: DataFrame, firsts: DataFrame, rows: DataFrame) -> commo
         common.release(spark)
         return out
 
-    left = met(pairs, values(pairs.rows, _wide, "wide"), _wide_possible, "left")
-    return met(left, values(left.rows, lambda s: s.tobytes(), "sets"), lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), "links")
+    def nodes(of: common.Table) -> DataFrame:
+        return of.rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    left = pairs if narrow else met(pairs, values(nodes(pairs), _wide, firsts, rows, "wide"), _wide_possible, "left")
+    return met(left, values(nodes(left), lambda s: s.tobytes(), firsts, rows, "sets"), lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), "links")

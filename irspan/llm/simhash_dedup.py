@@ -17,7 +17,8 @@ dealt out as pairs of blocks, so no list is gathered in one task or cut short.
 the pipeline asks for.  Fingerprints alone cannot give that (similar texts may differ in any number of
 bits), so the SimHash index comes first and its links are verified by whole sets; then pairs that the
 index missed are looked for in lists of rare shingles, among documents that aren't connected yet, and
-verified likewise.  The groups are those of all similar pairs.
+verified likewise.  A list's entries are held against each other in the task that has them, by size and parities; it
+gives a spanning forest of what these allow, not pairs.  The groups are those of all similar pairs.
 
 Defined cases: a null text, or one without a word, has the fingerprint zero and is linked like any
 other; a text with fewer words than a shingle is one shingle; a very long text is hashed by one task.
@@ -46,7 +47,7 @@ SHINGLE, BITS = 4, 4
 LEAST_EQUAL = 8 - BITS
 #: Entries of a posting list that are compared in one piece, and entries that a task looks at together.
 BLOCK, GATHERED_ROWS = 4096, 20_000
-#: Entries of a list of shingles whose pairs are all candidates at once.
+#: Was the length of lists whose pairs were all candidates; no list has such pairs now, and only a test sets it.
 SHORT = 256
 
 
@@ -242,43 +243,43 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # 2. Lists of rare shingles, for pairs that aren't connected yet.
     sets = sketches.dropDuplicates(["node"])
     posted = sets.select("node", F.explode("keys").alias("key"))
-    several = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "n")  # HOT entries at most
+    several = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node")  # HOT entries at most
     hot = sets.select("node", F.explode("hot_keys").alias("key"))
     counted = hot.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = common.Table(several.unionByName(hot.join(counted, "key").select("key", "node", "n")), "lists")
+    lists = common.Table(several.unionByName(hot.join(counted, "key").select("key", "node")), "lists")
     common.release(spark)
     known = sketches.select("node", F.struct(*shingle_sets.ENTRY).alias("e")).join(lists.rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     known = common.Table(known.join(groups, "node", "left").select("node", "e", F.coalesce("component", "node").alias("c")), "known")
     # A list all of whose entries are connected has nothing to find.
     mixed = lists.rows.join(known.rows.select("node", "c"), "node").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    entries = common.Table(lists.rows.join(mixed, "key").join(known.rows, "node").select("key", "node", "n", "e", "c"), "entries")
+    entries = common.Table(lists.rows.join(mixed, "key").join(known.rows, "node").select("key", "node", "e", "c"), "entries")
     lists.drop()
     known.drop()
     common.release(spark)
 
-    # All pairs of short lists, and of long ones each against one.
-    short, long = entries.rows.where(F.col("n") <= SHORT), entries.rows.where(F.col("n") > SHORT)
-    left, right = short.select("key", F.col("e").alias("l"), F.col("c").alias("lc")), short.select("key", F.col("e").alias("r"), F.col("c").alias("rc"))
-    paired = left.join(right, "key").where((F.col("l.node") < F.col("r.node")) & (F.col("lc") != F.col("rc")) & shingle_sets.possible("l", "r"))
-    least = long.groupBy("key").agg(F.min(F.struct("e", "c")).alias("r"))
-    met = long.join(least, "key").select("e", "c", F.col("r.e").alias("r"), F.col("r.c").alias("rc"))
-    met = met.where((F.col("c") != F.col("rc")) & shingle_sets.possible("r", "e"))
-    candidates = paired.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().unionByName(met.select(F.col("r.node").alias("a"), F.col("e.node").alias("b")))
-    found = shingle_sets.verified(candidates, firsts, rows).rows
-    if found.limit(1).count():
-        near = near.unionByName(found)
-        groups = components(edges(near))
-
-    # 3. Of long lists, the pairs that are still apart; those of a list's largest group are not paired.
-    named = long.select("key", "e", "node").join(groups, "node", "left").select("key", "e", F.coalesce("component", "node").alias("c"))
-    counted = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    apart = common.Table(named.join(counted, "key").select("key", "e", "c", (F.col("c") == F.col("most.c")).alias("main")), "apart")
-    entries.drop()
-    more = shingle_sets.verified(shingle_sets.crossed(apart.rows, BLOCK), firsts, rows).rows
-    apart.drop()
+    # Entries that may be linked to another one get wide parities, and meet again in their lists' tasks: pairs that these
+    # refuse, whose number grows with the square of a group, are never rows.
+    meetings = common.Table(shingle_sets.meeting(entries.rows, BLOCK), "meetings")
+    wide = shingle_sets.values(meetings.rows.select("node").distinct(), shingle_sets._wide, firsts, rows, "wide")
+    left = common.Table(meetings.rows.join(entries.rows.select("key", "node", "e"), ["key", "node"]).join(wide.rows.withColumnRenamed("value", "wide"), "node"), "left")
+    for table in (entries, meetings, wide):
+        table.drop()
+    common.release(spark)
+
+    # 3. A forest takes what is allowed for links.  If sets refute one, what it stood for is looked at pair by pair.
+    for forest in (True, False):
+        named = left.rows.join(groups, "node", "left").select("key", "e", "wide", F.coalesce("component", "node").alias("c"))
+        pairs = common.Table(shingle_sets.crossed(named, BLOCK, forest).distinct(), "pairs")
+        found = shingle_sets.verified(pairs.rows, firsts, rows, narrow=True).rows
+        n, links_ = pairs.rows.count(), found.count()
+        pairs.drop()
+        if links_:
+            near = near.unionByName(found)
+            groups = components(edges(near))
+        if n == links_:
+            break
+    left.drop()
     common.release(spark)
-    if more.limit(1).count():
-        groups = components(edges(near.unionByName(more)))
     return sketches.select("id", "tie", "node").join(groups, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("component"))
 
 

@@ -40,6 +40,51 @@ def test_pairs_of_long_lists(spark, block):
     assert shingle_sets.crossed(frame.limit(0), block).count() == 0
 
 
+def _entries(sets, key=1):
+    """Entries of one list, each a component of its own, with wide parities."""
+    out = []
+    for node, found in sets.items():
+        odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+        bits = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+        out.append((key, entry(node, len(found), bits), node, shingle_sets._wide(found)))
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_a_group_that_is_alike_gives_no_square_of_pairs(spark, block):
+    """Sets that parities of 256 classes can't tell apart, of which a third is linked: fewer pairs than entries, which
+    connect what is linked; without the forest just the pairs that wide parities allow."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, 700, dtype=np.uint64)
+    mixed = lambda k: np.unique(np.concatenate([base[k:], r.integers(0, 1 << 63, k, dtype=np.uint64)]))
+    sets = {i: mixed(15 if i < 20 else 100) for i in range(60)}  # similarity over 0.9, and of 0.75
+    linked = {(i, j) for i in sets for j in sets if i < j and shingle_sets.similar(sets[i], sets[j])}
+    assert {i for p in linked for i in p} == set(range(20))
+    schema = "key long, e struct<node long, size long, b0 long, b1 long, b2 long, b3 long>, c long, wide binary"
+    frame = spark.createDataFrame(_entries(sets), schema)
+    assert shingle_sets.crossed(frame.drop("wide"), block).count() > 1000  # before, all were rows
+    assert {x.node for x in shingle_sets.meeting(frame, block).collect()} == set(sets)
+    allowed = {(x.a, x.b) for x in shingle_sets.crossed(frame, block).collect()}
+    assert linked <= allowed and len(allowed) < 300
+    forest = {(x.a, x.b) for x in shingle_sets.crossed(frame, block, forest=True).collect()}
+    assert forest <= allowed and (block < 60 or len(forest) < len(sets))
+    group = {i: i for i in sets}
+    for a, b in forest:
+        group = {k: group[a] if g == group[b] else g for k, g in group.items()}
+    assert len({group[i] for i in range(20)}) == 1
+
+
+def test_wide_parities_refuse_no_link():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 5, 900, 1030, 5000):  # on either side of a number of classes
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        for k in (0, n // 10, n // 9, n // 3):
+            for b in (a[k:], np.unique(np.concatenate([a[k:], r.integers(0, 1 << 63, k, dtype=np.uint64)]))):
+                possible = shingle_sets._wide_possible(shingle_sets._wide(a), shingle_sets._wide(b))
+                assert possible or not shingle_sets.similar(a, b)
+                assert possible == shingle_sets._wide_possible(shingle_sets._wide(b), shingle_sets._wide(a))
+
+
 def test_every_document_is_counted(spark):
     texts = ["a b c d e f", "A b  c d e", None, "", "x", "a b c d e " * 50]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
