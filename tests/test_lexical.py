@@ -176,3 +176,23 @@ def test_running_sums_over_ranges(spark, partitions):
         below, same = sum(x[0] < v for x in rows), sum(x[0] == v for x in rows)
         assert ranks[i] == below + (same + 1) / 2
     assert physical.cumulative(df.where("v < 0"), ["v", "i"], F.lit(1), "s").count() == 0
+
+
+def test_terms_are_counted_where_texts_are(spark, monkeypatch):
+    """Whatever the tokenizer, counts are those of its tokens; some bytes of text are tokens at a time."""
+    from collections import Counter
+
+    import pyarrow as pa
+    from irspan.operators import bm25
+    from pyspark.sql import functions as F
+
+    texts = ["The cranes, THE dock-7 Kelvin İx", None, "", "of the", "naïve a1 a1 b" * 40, "boats boat boating the"]
+    monkeypatch.setattr(bm25, "TEXT_BYTES", 16)
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for tokenizer in (PLAIN, NO_STEM, Tokenizer(), Tokenizer(None, True, 4), Tokenizer(stem=False, min_length=3)):
+        rows = frame.select("i", F.lower(F.coalesce("t", F.lit(""))).alias("low"), tokenizer(F.col("t")).alias("tokens")).collect()
+        batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(rows)), pa.array([str(r.i) for r in rows]), pa.array([r.low for r in rows])], ["field", "doc_id", "lowered"])
+        out = list(bm25._counting(tokenizer)(iter([batch])))
+        assert len(out) > 2  # parts of the batch
+        found = [x for b in out for x in b.to_pylist()]
+        assert [(x["doc_id"], x["dl"], dict(zip(x["terms"], x["tfs"], strict=True))) for x in found] == [(str(r.i), len(r.tokens), dict(Counter(r.tokens))) for r in rows]
