@@ -125,12 +125,25 @@ def sketches(rows: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> commo
     return common.Table(common.map_arrow(rows, run, schema), "sketches")
 
 
+def different(entries: DataFrame) -> DataFrame:
+    """Keys of the lists (columns key, node and ``c``: its component) that have something to find: not those of one
+    component alone, and of those with the same nodes the one with the least key.
+
+    Texts that share a passage share the lists of its shingles, which hold the same nodes: so a text is in as many lists
+    as there are different ones, not in one for each shingle of its prefix.  Lists are told apart by their numbers of nodes, the
+    least and the greatest of these and 64 bits of hash of all.
+    """
+    lists = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return lists.where("lo <> hi").groupBy("n", "first", "last", "mix").agg(F.min("key").alias("key")).select("key")
+
+
 def _dealt(apart: DataFrame, block: int) -> DataFrame:
     """Entries of lists (columns key, ``e``, ``c`` and others) as key, one, two, size, block, node, c, main, parities and
     wide: a list of n entries is dealt out as pairs of its ceil(n / block) blocks, so no task holds more than two blocks
     of it; those of a pair are together, in the order of their sizes."""
-    sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = apart.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("e.node"), F.col("blocks")).cast("int"))
+    sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    rows = apart.join(F.broadcast(sizes), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # a row for ``block`` entries at most
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("e.node"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     main = F.col("main") if "main" in apart.columns else F.lit(False).alias("main")
     wide = F.col("wide") if "wide" in apart.columns else F.lit(None).cast("binary").alias("wide")

@@ -250,9 +250,9 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     common.release(spark)
     known = sketches.select("node", F.struct(*shingle_sets.ENTRY).alias("e")).join(lists.rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     known = common.Table(known.join(groups, "node", "left").select("node", "e", F.coalesce("component", "node").alias("c")), "known")
-    # A list all of whose entries are connected has nothing to find.
-    mixed = lists.rows.join(known.rows.select("node", "c"), "node").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    entries = common.Table(lists.rows.join(mixed, "key").join(known.rows, "node").select("key", "node", "e", "c"), "entries")
+    # A list all of whose entries are connected has nothing to find, nor have more lists of the same entries than one.
+    some = shingle_sets.different(lists.rows.join(known.rows.select("node", "c"), "node"))
+    entries = common.Table(lists.rows.join(some, "key").join(known.rows, "node").select("key", "node", "e", "c"), "entries")
     lists.drop()
     known.drop()
     common.release(spark)
@@ -260,16 +260,20 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # Entries that may be linked to another one get wide parities, and meet again in their lists' tasks: pairs that these
     # refuse, whose number grows with the square of a group, are never rows.
     meetings = common.Table(shingle_sets.meeting(entries.rows, BLOCK), "meetings")
-    wide = shingle_sets.values(meetings.rows.select("node").distinct(), shingle_sets._wide, firsts, rows, "wide")
-    left = common.Table(meetings.rows.join(entries.rows.select("key", "node", "e"), ["key", "node"]).join(wide.rows.withColumnRenamed("value", "wide"), "node"), "left")
-    for table in (entries, meetings, wide):
-        table.drop()
+    left = common.Table(entries.rows.drop("c").join(meetings.rows, ["key", "node"], "left_semi"), "left")
+    entries.drop()
+    meetings.drop()
+    wide = shingle_sets.values(left.rows.select("node").distinct(), shingle_sets._wide, firsts, rows, "wide")
     common.release(spark)
 
     # 3. A forest takes what is allowed for links.  If sets refute one, what it stood for is looked at pair by pair.
+    # Wide parities are as long as a set, so only entries of lists that still differ get them, on the way to their task.
     for forest in (True, False):
-        named = left.rows.join(groups, "node", "left").select("key", "e", "wide", F.coalesce("component", "node").alias("c"))
-        pairs = common.Table(shingle_sets.crossed(named, BLOCK, forest).distinct(), "pairs")
+        named = common.Table(left.rows.join(groups, "node", "left").select("key", "node", "e", F.coalesce("component", "node").alias("c")), "named")
+        open_ = named.rows.join(shingle_sets.different(named.rows), "key", "left_semi").join(wide.rows.withColumnRenamed("value", "wide"), "node")
+        pairs = common.Table(shingle_sets.crossed(open_, BLOCK, forest).distinct(), "pairs")
+        named.drop()
+        common.release(spark)
         found = shingle_sets.verified(pairs.rows, firsts, rows, narrow=True).rows
         n, links_ = pairs.rows.count(), found.count()
         pairs.drop()
@@ -278,6 +282,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
             groups = components(edges(near))
         if n == links_:
             break
+    wide.drop()
     left.drop()
     common.release(spark)
     return sketches.select("id", "tie", "node").join(groups, "node", "left").select("id", "tie", F.coalesce("component", "node").alias("component"))

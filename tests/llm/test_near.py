@@ -114,3 +114,33 @@ spark.stop()
     while list(shared.iterdir()) and time.time() < until:
         time.sleep(0.5)
     assert list(shared.iterdir()) == []
+
+
+def test_lists_of_the_same_nodes_are_one(spark):
+    """Of lists with the same nodes one stays; a list of one component goes, one that differs in a node stays."""
+    lists = {5: [1, 2, 3], 6: [3, 2, 1], 4: [1, 2, 3], 7: [1, 2, 4], 8: [1, 4, 3], 9: [1, 2], 10: [6, 7], 11: [6, 7, 8], 12: [7, 6, 8]}
+    rows = [(key, node, 6 if node in (6, 7) else node) for key, nodes in lists.items() for node in nodes]
+    found = [x.key for x in shingle_sets.different(spark.createDataFrame(rows, "key long, node long, c long")).collect()]
+    assert sorted(found) == [4, 7, 8, 9, 11]
+
+
+def test_long_texts_of_a_shared_passage_move_no_square_of_their_length(spark, monkeypatch):
+    """Texts with a similarity under 0.8 that share over a hundred keys: parities, which are as long as a set, went along with
+    every entry of every list."""
+    from irspan.llm import simhash_dedup
+
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    shared = words(2550)
+    texts = [" ".join(shared + words(450)) for _ in range(6)]
+    texts.append(texts[2].rsplit(" ", 200)[0])  # alike: 0.93
+    moved, crossed = [], shingle_sets.crossed
+
+    def watched(apart, *more):
+        moved.append(sum(len(x.wide) for x in apart.select("wide").collect()))
+        return crossed(apart, *more)
+
+    monkeypatch.setattr(shingle_sets, "crossed", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash_dedup.one_of_each(docs).collect()) == [0, 1, 2, 3, 4, 5]
+    assert 0 < sum(moved) < sum(map(len, texts))
